@@ -69,3 +69,10 @@ def bigrams(toks: Column) -> Column:
 def salvaged_paths(response: Column) -> Column:
     """Completed ``path`` items of a broken response, in order."""
     return F.regexp_extract_all(response, F.lit(PATH_ITEM_PATTERN), F.lit(1))
+
+
+def ranked_paths(response: Column) -> tuple[Column, Column]:
+    """(salvaged, paths joined by '|'): the parsed list, or what can be recovered in order."""
+    valid = F.try_parse_json(response).isNotNull()
+    parsed = F.from_json(response, "files array<struct<path:string>>").getField("files").getField("path")
+    return (~valid).alias("salvaged"), F.array_join(F.when(valid, parsed).otherwise(salvaged_paths(response)), "|").alias("paths")

@@ -85,7 +85,7 @@ def lift_ceilings(by_prefix: DataFrame, control: DataFrame, chain: str, min_eval
         *[F.round(F.sum(100 * F.col(f"key_seen{k}") * miss) / F.sum("n_eval"), 4).alias(f"ceiling_ge{k}") for k in (2, 3)])
 
 
-def expected_redundant(records: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: str, group: Sequence[str]) -> DataFrame:
+def expected_redundant(records: DataFrame, keys: Sequence[str], group: Sequence[str]) -> DataFrame:
     """Rows whose key already appeared, per group: all rows minus distinct keys (no ordering needed)."""
     per_key = records.groupBy(*keys).agg(F.count("*").alias("c"))
     return per_key.groupBy(*group).agg(F.sum("c").alias("n"), F.sum(F.col("c") - 1).alias("redundant"))

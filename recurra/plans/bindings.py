@@ -5,7 +5,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..operators import chains
+from ..operators import chains, metrics
 
 ARMS = ("control", "treatment", "placebo")
 NEGATIVE_CONTROL = "NATION_7"
@@ -57,6 +57,16 @@ class Tables:
         return (wide.withColumn("rank", F.row_number().over(w)).filter("rank <= 3")
                 .select("arm", "task_id", "rank", "fkey"))
 
+    @cached_property
+    def outcome(self) -> DataFrame:
+        """Flags of tasks with known truth: arm, task_id, rank, key, ok."""
+        return metrics.outcomes(self.pred, self.gold)
+
+    @cached_property
+    def hit(self) -> DataFrame:
+        """Per arm and task: hit, n_flags, n_fp, with grp, chain_id, created_at."""
+        return metrics.hits(self.outcome).join(self.tasks, "task_id")
+
     @cached_property
     def rec(self) -> DataFrame:
         e = self.raw("events")
