@@ -48,3 +48,18 @@ def running_total_of_groups(df: DataFrame, keys: Sequence[str], order: Sequence[
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*order)
     w = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
+
+
+def asof_latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: str, value: str, name: str) -> DataFrame:
+    """Largest ``value`` among the group's earlier rows and the row itself (NULLs skipped).
+
+    For a value that grows along ``order`` (a version tick) this is the latest one in force.
+    """
+    keys = list(keys)
+    tagged = df.withColumn(_B, F.expr(bucket))
+    per = tagged.groupBy(*keys, _B).agg(F.max(value).alias("__m"))
+    earlier = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select(*keys, _B, F.max("__m").over(earlier).alias("__o"))
+    inner = Window.partitionBy(*keys, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = tagged.join(offsets, keys + [_B])
+    return joined.select(*df.columns, F.greatest(F.max(value).over(inner), F.col("__o")).alias(name))
