@@ -1,5 +1,5 @@
 """Registered queries by family."""
 from .registry import REGISTRY, Query
-from . import chains, consolidate, gates, metrics, paired, recurrence, scalars, similarity, sources  # noqa: F401
+from . import causal, chains, consolidate, gates, intervals, metrics, paired, recurrence, scalars, sequential, similarity, sources, streaming  # noqa: F401
 
 __all__ = ["REGISTRY", "Query"]
