@@ -59,3 +59,14 @@ def source_sections(patch: Column, suffixes: tuple[str, ...]) -> Column:
     """The patch with only its non-test source sections."""
     kept = F.filter(_sections(patch), lambda s: has_suffix(_file(s), suffixes) & ~is_test_path(_file(s)))
     return F.array_join(F.transform(kept, lambda s: F.concat(F.lit(HEADER), s)), "\n")
+
+
+def lines_under_headers(texts: DataFrame, key: str, text: str, every: int) -> DataFrame:
+    """(key, pos, header, line): each line with the header of its block, the first of every ``every`` lines.
+
+    A text is one row, so the header is looked up in the row itself; nothing is shuffled.
+    """
+    lines = F.split(F.col(text), "\n")
+    x = texts.select(key, lines.alias("__ls")).select(key, "__ls", F.posexplode("__ls").alias("pos", "line"))
+    header = F.get(F.col("__ls"), (F.floor(F.col("pos") / every) * every).cast("int"))
+    return x.select(key, "pos", header.alias("header"), "line")

@@ -87,3 +87,10 @@ def dual_extract_agreement(t):
 def source_sections(t):
     p = patches(t).select("task_id", D.source_sections(F.col("patch"), (".py",)).alias("patch"))
     return p.select("task_id", (F.size(F.split(F.concat(F.lit("\n"), "patch"), "\ndiff --git ")) - 1).cast("long").alias("n_sections"))
+
+
+@query("sectioned_lines", """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), e AS (SELECT doc_id, ls, unnest(range(0, len(ls))) AS pos FROM l)
+  SELECT doc_id, pos, md5(ls[(pos // 5) * 5 + 1]) AS header_md5, md5(ls[pos + 1]) AS line_md5 FROM e""")
+def sectioned_lines(t):
+    x = D.lines_under_headers(t.raw("documents"), "doc_id", "text", 5)
+    return x.select("doc_id", "pos", F.md5("header").alias("header_md5"), F.md5("line").alias("line_md5"))
