@@ -115,9 +115,11 @@ def veto_summary(marked: DataFrame, task: str, by: Sequence[str] = ()) -> DataFr
 
 
 def placebo_removal(marked: DataFrame, task: str, seed: str, protect_first: bool) -> DataFrame:
-    """Remove as many flags per task as the veto did, drawn from the same eligible ranks."""
-    n = marked.groupBy(task).agg(F.count_if("removed").alias("n_removed"))
-    eligible = marked.filter("rank > 1") if protect_first else marked
-    w = Window.partitionBy(task).orderBy(draw(seed, F.col(task), F.col("rank")), "rank")
-    drawn = eligible.select(task, "rank", F.row_number().over(w).alias("__rn")).join(n, task).filter(F.col("__rn") <= F.col("n_removed"))
-    return marked.drop("removed").join(drawn.select(task, "rank", F.lit(True).alias("removed")), [task, "rank"], "left").fillna(False, ["removed"])
+    """Remove as many flags per task as the veto did, drawn from the same eligible ranks.
+
+    Windows over a task's shown flags (a handful), both on one shuffle.
+    """
+    eligible = F.col("rank") > 1 if protect_first else F.lit(True)
+    n = F.sum(F.col("removed").cast("int")).over(Window.partitionBy(task))
+    rn = F.row_number().over(Window.partitionBy(task).orderBy(F.when(eligible, 0).otherwise(1), draw(seed, F.col(task), F.col("rank")), "rank"))
+    return marked.withColumn("__n", n).withColumn("__rn", rn).withColumn("removed", eligible & (F.col("__rn") <= F.col("__n"))).drop("__n", "__rn")

@@ -58,9 +58,13 @@ def with_rates(counts: DataFrame) -> DataFrame:
 
 def arm_metrics(per_task: DataFrame, group: str = "grp") -> DataFrame:
     """Counts and rates per arm and group, and per arm overall (group NULL)."""
-    counts = metric_counts(per_task, ["arm", group])
-    overall = merge_counts(counts, ["arm"]).withColumn(group, F.lit(None).cast("string"))
-    return with_rates(counts.unionByName(overall))
+    return with_rates(with_overall(metric_counts(per_task, ["arm", group]), group))
+
+
+def with_overall(counts: DataFrame, group: str) -> DataFrame:
+    """Group rows and, from the same pass, one row per arm over all groups (group NULL)."""
+    both = counts.select("arm", *METRIC_SUMS, F.explode(F.array(F.col(group), F.lit(None).cast("string"))).alias(group))
+    return both.groupBy("arm", group).agg(*[F.sum(c).alias(c) for c in METRIC_SUMS])
 
 
 def merge_counts(counts: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -77,24 +81,29 @@ def lift_points(counts: DataFrame, by: Sequence[str], arm: str = "treatment", ba
                        F.round(100 * (F.col("a_n_false_positive") / F.col("a_n_flags") - F.col("b_n_false_positive") / F.col("b_n_flags")), 2).alias("false_positive_rise_pts"))
 
 
-def gate_report(counts: DataFrame, group: str, negative: str, arms: Sequence[str] = ("treatment", "placebo")) -> DataFrame:
+def gate_report(counts: DataFrame, group: str, negative: str, arms: Sequence[str] = ("treatment", "placebo"), base: str = "control") -> DataFrame:
     """Per memory arm: pooled lift vs control without the negative group, strict majority of
-    positive groups, the negative group's own lift, and the difference to placebo."""
-    rows = None
-    main = counts.filter(F.col(group) != negative)
-    for arm in arms:
-        pooled = lift_points(main, [], arm)
-        per = lift_points(main, [group], arm).agg(F.count("*").alias("n_groups"), F.count_if(F.col("localization_lift_pts") > 0).alias("n_positive"))
-        neg = lift_points(counts.filter(F.col(group) == negative), [], arm).select(F.col("localization_lift_pts").alias("negative_control_lift_pts"))
-        one = (pooled.join(F.broadcast(per)).join(F.broadcast(neg)).withColumn("arm", F.lit(arm))
-               .withColumn("effect_in_majority", F.col("n_positive") * 2 > F.col("n_groups")))
-        if arm != "placebo":
-            versus = lift_points(main, [], arm, "placebo").select(F.col("localization_lift_pts").alias("minus_placebo_pts"))
-            one = one.join(F.broadcast(versus))
-        else:
-            one = one.withColumn("minus_placebo_pts", F.lit(None).cast("double"))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    positive groups, the negative group's own lift, and the difference to placebo.
+
+    One pass over the (group, arm) counts: a row per group, then one aggregate.
+    """
+    every = [base, *arms]
+    wide = counts.groupBy(group).agg(*[F.sum(F.when(F.col("arm") == a, F.col(c))).alias(f"{a}_{c}") for a in every for c in METRIC_SUMS])
+    main, neg = F.col(group) != negative, F.col(group) == negative
+
+    def pts(a: str, b: str, num: str, den: str, keep: Column) -> Column:
+        part = lambda x, c: F.sum(F.when(keep, F.col(f"{x}_{c}")))
+        return F.round(100 * (part(a, num) / part(a, den) - part(b, num) / part(b, den)), 2)
+
+    def rate(a: str) -> Column:
+        return F.col(f"{a}_n_localized") / F.col(f"{a}_n_tasks")
+    cells = [F.struct(
+        F.lit(a).alias("arm"), pts(a, base, "n_localized", "n_tasks", main).alias("localization_lift_pts"), pts(a, base, "n_false_positive", "n_flags", main).alias("false_positive_rise_pts"),
+        F.count_if(main).alias("n_groups"), F.count_if(main & (F.round(100 * (rate(a) - rate(base)), 2) > 0)).alias("n_positive"),
+        pts(a, base, "n_localized", "n_tasks", neg).alias("negative_control_lift_pts"),
+        (pts(a, "placebo", "n_localized", "n_tasks", main) if a != "placebo" and "placebo" in arms else F.lit(None).cast("double")).alias("minus_placebo_pts")) for a in arms]
+    out = wide.agg(F.array(*cells).alias("r")).select(F.inline("r"))
+    return out.withColumn("effect_in_majority", F.col("n_positive") * 2 > F.col("n_groups"))
 
 
 def hit_at_k(ranked: DataFrame, gold: DataFrame, ks: Sequence[int], listed_tasks: DataFrame) -> DataFrame:
@@ -148,9 +157,11 @@ def recurring_tasks(gold_keyed: DataFrame, chain: str, order: Sequence[str], buc
     return seen.groupBy("task_id").agg((F.max("before") > 0).alias("recurring"))
 
 
-def wins_losses(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    win, loss = F.col("arm_hit") & ~F.col("base_hit"), F.col("base_hit") & ~F.col("arm_hit")
-    out = pairs.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(win).alias("wins"), F.count_if(loss).alias("losses"))
+def wins_losses(per_task: DataFrame, arms: Sequence[str], base: str = "control") -> DataFrame:
+    """Tasks an arm wins from and loses to the base, all arms from one shuffle on the task."""
+    wide = per_task.groupBy("task_id").agg(*[F.max(F.when(F.col("arm") == a, F.col("hit"))).alias(a) for a in (base, *arms)])
+    rows = wide.select(F.col(base).alias("b"), F.inline(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(a).alias("x")) for a in arms]))).filter("b is not null and x is not null")
+    out = rows.groupBy("arm").agg(F.count("*").alias("n"), F.count_if(F.col("x") & ~F.col("b")).alias("wins"), F.count_if(F.col("b") & ~F.col("x")).alias("losses"))
     return out.withColumn("delta_pts", F.round(100 * (F.col("wins") - F.col("losses")) / F.col("n"), 2))
 
 

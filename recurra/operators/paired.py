@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.digest import draw
+from ..functions.digest import PRIME, draw, with_counter_draw
 
 # Normal quantiles for alpha 0.05 (two-sided) and power 0.8, and the published interval's z.
 Z_ALPHA = 1.959963984540054
 Z_POWER = 0.8416212335729143
 Z_WALD = 1.959964
+SINGLE_DRAW = 1 << 20      # above, two draws are combined so that "mod n" stays even
 
 PAIR_SUMS = ("n", "both_hit", "control_only", "treatment_only", "differed", "retrieved")
 
@@ -106,10 +107,15 @@ def bootstrap_interval(counts: DataFrame, group: str, seed: str, reps: int, chun
     """
     base = counts.select(group, F.col("n").cast("long").alias("n"), F.col("control_only").alias("b"), F.col("treatment_only").alias("c")).filter("n > 0")
     grid = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).select(
-        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / chunk))).alias("ch")).repartition(group, "rep", "ch")
+        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / chunk))).alias("ch"))
+    grid = grid.repartition(group, "rep", "ch").withColumn("key", F.pmod(draw(seed, F.col(group), F.col("rep")), F.lit(PRIME)))
     last = F.least(F.col("n"), (F.col("ch") + 1) * chunk) - 1
-    draws = grid.select(group, "n", "b", "c", "rep", F.explode(F.sequence(F.col("ch") * chunk, last)).alias("i"))
-    r = F.pmod(draw(seed, F.col(group), F.col("rep"), F.col("i")), F.col("n"))
+    draws = grid.select(group, "n", "b", "c", "rep", "key", F.explode(F.sequence(F.col("ch") * chunk, last)).alias("i"))
+    small = with_counter_draw(draws.filter(F.col("n") < SINGLE_DRAW), F.col("key"), F.col("i"), "x")
+    large = with_counter_draw(draws.filter(F.col("n") >= SINGLE_DRAW), F.col("key"), F.col("i") % PRIME, "x1")
+    large = with_counter_draw(large, F.col("key") + F.floor(F.col("i") / PRIME) + 1, F.col("x1"), "x2").withColumn("x", F.col("x2") * PRIME + F.col("x1"))
+    draws = small.unionByName(large.drop("x1", "x2"))
+    r = F.col("x") % F.col("n")
     value = F.when(r < F.col("b"), -1).when(r < F.col("b") + F.col("c"), 1).otherwise(0)
     sums = draws.groupBy(group, "rep", "n").agg(F.sum(value).alias("s"))
 

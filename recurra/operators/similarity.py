@@ -41,37 +41,44 @@ def cosine(a: Column, b: Column) -> Column:
 def word_sets(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(members: key -> sid, sets: sid, ws, n): one row per distinct word set."""
     tagged = docs.select(key, F.array_sort(X.words(F.col(text))).alias("ws"))
-    tagged = tagged.withColumn("sid", F.sha2(F.array_join("ws", " "), 256))
+    tagged = tagged.withColumn("sid", F.md5(F.array_join("ws", " ")))
     sets = tagged.groupBy("sid").agg(F.first("ws").alias("ws")).withColumn("n", F.size("ws"))
     return tagged.select(key, "sid"), sets
 
 
 def _prefixes(sets: DataFrame, ranks: DataFrame, floor: float) -> DataFrame:
-    """(sid, n, token): the rarest n - ceil(floor n) + 1 words of each set."""
+    """(sid, n, i, token): the rarest n - ceil(floor n) + 1 words of each set, numbered from 1."""
     words = sets.select("sid", "n", F.explode("ws").alias("token")).join(ranks, "token")
     ordered = words.groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
     keep = F.col("n") - F.ceil(F.lit(floor) * F.col("n") - 1e-9).cast("int") + 1
-    return ordered.select("sid", "n", F.explode(F.slice("o", F.lit(1), keep)).alias("p")).select("sid", "n", "p.token")
+    return ordered.select("sid", "n", F.posexplode(F.slice("o", F.lit(1), keep)).alias("i", "p")).select("sid", "n", (F.col("i") + 1).alias("i"), "p.token")
 
 
 def jaccard_set_join(left: DataFrame, right: DataFrame, floor: float, self_join: bool = False) -> DataFrame:
     """All pairs of word sets with Jaccard >= ``floor`` (> 0): sid_l, sid_r, inter, union.
 
-    Prefix filter: with words ordered rarest first, two sets that similar must share a word
-    among the first n - ceil(floor n) + 1 of each, so frequent words never meet in the join
-    unless a set has nothing rarer. Exact: each candidate pair is verified on the whole sets.
+    Prefix filter: with words ordered rarest first, two sets that similar share a word among
+    the first n - ceil(floor n) + 1 of the longer and the first n - ceil(2 floor / (1 + floor) n) + 1
+    of the shorter, so frequent words never meet in the join unless a set has nothing rarer.
+    Per candidate the first shared word bounds the overlap (positions left on either side);
+    what remains is verified on the whole sets. Exact.
     """
     if not 0 < floor <= 1:
         raise ValueError("floor must be in (0, 1]")
     corpus = left if self_join else left.select("ws").unionByName(right.select("ws"))
     ranks = corpus.select(F.explode("ws").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    pl = _prefixes(left, ranks, floor).select(F.col("sid").alias("sid_l"), F.col("n").alias("n_l"), "token")
-    pr = (_prefixes(right, ranks, floor)).select(F.col("sid").alias("sid_r"), F.col("n").alias("n_r"), "token")
-    size_ok = (F.col("n_l") >= F.lit(floor) * F.col("n_r") - 1e-9) & (F.col("n_r") >= F.lit(floor) * F.col("n_l") - 1e-9)
-    cand = pl.join(pr, "token").filter(size_ok)
-    if self_join:
-        cand = cand.filter(F.col("sid_l") < F.col("sid_r"))
-    cand = cand.select("sid_l", "sid_r").distinct()
+    prefixes = _prefixes(left, ranks, floor)
+    pl = prefixes.select(F.col("sid").alias("sid_l"), F.col("n").alias("n_l"), F.col("i").alias("i_l"), "token")
+    pr = (prefixes if self_join else _prefixes(right, ranks, floor)).select(F.col("sid").alias("sid_r"), F.col("n").alias("n_r"), F.col("i").alias("i_r"), "token")
+    n_l, n_r, i_l, i_r = (F.col(c) for c in ("n_l", "n_r", "i_l", "i_r"))
+    size_ok = (n_l >= F.lit(floor) * n_r - 1e-9) & (n_r >= F.lit(floor) * n_l - 1e-9)
+    short = lambda n: n - F.ceil(F.lit(2 * floor / (1 + floor)) * n - 1e-9) + 1
+    near = F.when(n_l >= n_r, i_r <= short(n_r)).otherwise(i_l <= short(n_l))
+    order = F.col("sid_l") < F.col("sid_r") if self_join else F.lit(True)
+    cand = pl.join(pr, "token").filter(size_ok & near & order)
+    first = cand.groupBy("sid_l", "sid_r", "n_l", "n_r").agg(F.min("i_l").alias("i_l"), F.min("i_r").alias("i_r"))
+    need = F.ceil(F.lit(floor / (1 + floor)) * (n_l + n_r) - 1e-9)
+    cand = first.filter(1 + F.least(n_l - i_l, n_r - i_r) >= need).select("sid_l", "sid_r")
     full = (cand.join(left.select(F.col("sid").alias("sid_l"), F.col("ws").alias("ws_l")), "sid_l")
             .join(right.select(F.col("sid").alias("sid_r"), F.col("ws").alias("ws_r")), "sid_r"))
     inter = F.size(F.array_intersect("ws_l", "ws_r"))

@@ -6,6 +6,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import chains, metrics
+from ..session import spread
 
 ARMS = ("control", "treatment", "placebo")
 NEGATIVE_CONTROL = "NATION_7"
@@ -18,9 +19,12 @@ class Tables:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        if name not in self._raw:
+            self._raw[name] = spread(self.spark.read.parquet(f"{self.path}/{name}.parquet"))
+        return self._raw[name]
 
     @cached_property
     def tasks(self) -> DataFrame:
@@ -36,11 +40,15 @@ class Tables:
         """``tasks`` with position ``ord`` and ``chain_len``."""
         return chains.chain_positions(self.tasks, "chain_id", "created_at", "task_id", TASK_BUCKET)
 
+    @cached_property
+    def keys(self) -> DataFrame:
+        """Location key of every part."""
+        return self.raw("part").select("p_partkey", F.concat_ws("", "p_type", F.lit("::"), F.substring("p_brand", 1, 7), F.lit("."), F.expr("substr(p_brand, 8)")).alias("fkey"))
+
     @cached_property
     def ln(self) -> DataFrame:
         """Touched locations: every line of every task."""
-        part = self.raw("part").select("p_partkey", F.concat_ws("", "p_type", F.lit("::"), F.substring("p_brand", 1, 7), F.lit("."), F.expr("substr(p_brand, 8)")).alias("fkey"))
-        return self.raw("lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).withColumnRenamed("l_orderkey", "task_id")
+        return self.raw("lineitem").join(self.keys, F.col("l_partkey") == F.col("p_partkey")).withColumnRenamed("l_orderkey", "task_id")
 
     @cached_property
     def gold(self) -> DataFrame:
@@ -49,13 +57,13 @@ class Tables:
     @cached_property
     def pred(self) -> DataFrame:
         """Top three locations per task for each arm: arm, task_id, rank, fkey."""
-        wide = self.ln.select("task_id", "fkey", "l_partkey", "l_suppkey", "l_linenumber", F.inline(F.array(
+        wide = self.raw("lineitem").select(F.col("l_orderkey").alias("task_id"), "l_partkey", "l_suppkey", "l_linenumber", F.inline(F.array(
             F.struct(F.lit("control").alias("arm"), F.col("l_extendedprice").alias("score")),
             F.struct(F.lit("treatment").alias("arm"), F.col("l_quantity").alias("score")),
             F.struct(F.lit("placebo").alias("arm"), F.col("l_discount").alias("score")))))
         w = Window.partitionBy("arm", "task_id").orderBy(F.col("score").desc(), "l_partkey", "l_suppkey", "l_linenumber")
-        return (wide.withColumn("rank", F.row_number().over(w)).filter("rank <= 3")
-                .select("arm", "task_id", "rank", "fkey"))
+        top = wide.withColumn("rank", F.row_number().over(w)).filter("rank <= 3")
+        return top.join(self.keys, F.col("l_partkey") == F.col("p_partkey")).select("arm", "task_id", "rank", "fkey")
 
     @cached_property
     def outcome(self) -> DataFrame:

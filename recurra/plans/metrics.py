@@ -46,8 +46,7 @@ def lift_sql(a: str, b: str = "control") -> str:
 
 @query("lift", with_views("hit", MC_SQL + f" SELECT grp, {lift_sql('treatment')} AS localization_lift_pts, {RISE.format(a='treatment', b='control')} AS false_positive_rise_pts FROM mc GROUP BY GROUPING SETS ((grp), ())"))
 def lift(t):
-    c = counts(t)
-    return M.lift_points(c, ["grp"]).unionByName(M.lift_points(c, []).withColumn("grp", F.lit(None).cast("string")))
+    return M.lift_points(M.with_overall(counts(t), "grp"), ["grp"])
 
 
 @query("merge_shards", with_views("hit", "SELECT arm, count(*) AS n_tasks, sum(hit::INT)::BIGINT AS n_localized, sum(n_flags)::BIGINT AS n_flags, sum(n_fp)::BIGINT AS n_false_positive FROM hit GROUP BY 1"))
@@ -134,8 +133,7 @@ PAIR_SQL = """pa AS (SELECT c.task_id, c.grp, c.hit AS base_hit, a.hit AS arm_hi
 @query("wins_losses", with_views("hit", " UNION ALL ".join(f"""SELECT '{a}' AS arm, count(*) AS n, count(*) FILTER (x.hit AND NOT c.hit) AS wins, count(*) FILTER (c.hit AND NOT x.hit) AS losses,
   round(100 * (count(*) FILTER (x.hit AND NOT c.hit) - count(*) FILTER (c.hit AND NOT x.hit)) / count(*), 2) AS delta_pts FROM hit c JOIN hit x ON c.task_id = x.task_id WHERE c.arm = 'control' AND x.arm = '{a}'""" for a in ("treatment", "placebo"))))
 def wins_losses(t):
-    out = [M.wins_losses(P.pair_arms(t.outcome, a)).withColumn("arm", F.lit(a)) for a in ("treatment", "placebo")]
-    return out[0].unionByName(out[1])
+    return M.wins_losses(M.hits(t.outcome), ("treatment", "placebo"))
 
 
 @query("pair_arms", with_views("hit", PAIR_SQL.format(a="treatment", b="control") + " SELECT task_id, base_hit, arm_hit FROM pa"))

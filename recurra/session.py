@@ -44,3 +44,16 @@ def materialise(df, spark: SparkSession | None = None):
     path = scratch_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df, min_bytes: int = 1 << 20):
+    """Use all cores on an input that is read as fewer splits than there are cores.
+
+    A table in one file is one scan task; everything up to the first shuffle would run on one
+    core. Inputs with enough splits (any large table) and tiny ones are returned unchanged.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= want:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(want) if size >= min_bytes else df

@@ -71,8 +71,7 @@ def _timed(records: DataFrame, delay: str) -> DataFrame:
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    f = pd.DataFrame(rows, columns=["chain_id", "loc", "kind", "record_id", "outcome", "tick"])
-    return f.astype({"chain_id": "int64", "record_id": "Int64", "tick": "int32"})
+    return pd.DataFrame(rows, columns=["chain_id", "loc", "kind", "record_id", "outcome", "tick"], dtype=object)
 
 
 def consolidate_stream(records: DataFrame, policy: Policy, origin: str, last_tick: int | None = None, delay: str = "0 seconds") -> DataFrame:
@@ -96,12 +95,12 @@ def consolidate_stream(records: DataFrame, policy: Policy, origin: str, last_tic
             if made is not None:
                 out.append((*key, "promotion", None, None, made))
         else:
-            rows = pd.concat(list(batches)).sort_values(["ts", "record_id"])
-            for r in rows.itertuples(index=False):
-                made = s.advance(min(int(r.d), cap))
+            rows = sorted(x for pdf in batches for x in zip(pdf["ts"], pdf["record_id"].tolist(), pdf["d"].tolist(), pdf["label"], pdf["input_hash"]))
+            for _ts, rid, d, label, input_hash in rows:
+                made = s.advance(min(d, cap))
                 if made is not None:
                     out.append((*key, "promotion", None, None, made))
-                out.append((*key, "record", r.record_id, s.ingest(int(r.d), r.label, r.input_hash), int(r.d)))
+                out.append((*key, "record", rid, s.ingest(d, label, input_hash), d))
         state.update(s.values())
         due = [t for t in s.due() if t is not None and t <= cap]
         if due:
