@@ -28,17 +28,20 @@ def chain_stats(chain_lengths: DataFrame, length: str, at_least: Sequence[int],
     Lengths are first counted per distinct value, so the median needs only
     the (small) length histogram, not the chains.
     """
-    hist = chain_lengths.groupBy(F.col(length).alias("n")).agg(F.count("*").alias("c"))
-    total = hist.agg(F.sum("c").alias("n_chains"), F.sum(F.col("n") * F.col("c")).alias("n_tasks"),
-                     *[F.sum(F.when(F.col("n") >= k, F.col("c")).otherwise(0)).alias(f"ge_{k}") for k in at_least],
-                     F.sum(F.when(F.col("n") >= eligible_at, F.col("c")).otherwise(0)).alias("n_eligible"))
-    w = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    cum = hist.withColumn("upto", F.sum("c").over(w))
-    med = (cum.join(F.broadcast(total.select("n_chains")))
-           .select("n", "upto", "c", ((F.col("n_chains") + 1) / 2).cast("long").alias("lo"), (F.col("n_chains") / 2).cast("long").alias("half"))
-           .agg(F.min(F.when(F.col("upto") >= F.col("lo"), F.col("n"))).alias("m1"),
-                F.min(F.when(F.col("upto") >= F.col("half") + 1, F.col("n"))).alias("m2")))
-    return total.join(F.broadcast(med.select(((F.col("m1") + F.col("m2")) / 2).alias("median_len"))))
+    cum = _cumulative(chain_lengths.select(F.col(length).alias("n")), "n")
+    n, c = F.col("n"), F.col("c")
+    out = cum.agg(F.sum("c").alias("n_chains"), F.sum(n * c).alias("n_tasks"),
+                  *[F.sum(F.when(n >= k, c).otherwise(0)).alias(f"ge_{k}") for k in at_least], F.sum(F.when(n >= eligible_at, c).otherwise(0)).alias("n_eligible"),
+                  F.min(F.when(F.col("upto") >= F.floor((F.col("total") + 1) / 2), n)).alias("__lo"), F.min(F.when(F.col("upto") >= F.floor(F.col("total") / 2) + 1, n)).alias("__hi"))
+    return out.withColumn("median_len", (F.col("__lo") + F.col("__hi")) / 2).drop("__lo", "__hi")
+
+
+def _cumulative(values: DataFrame, name: str) -> DataFrame:
+    """(value, c, upto, total): a histogram with running counts. Its size is the number of distinct values."""
+    hist = values.groupBy(name).agg(F.count("*").alias("c"))
+    w = Window.orderBy(name)
+    return hist.select(name, "c", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
+                       F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
 
 
 def split_by_rule(chain_lengths: DataFrame, chain: str, length: str, rule: Sequence[tuple[int, int]],
@@ -54,10 +57,9 @@ def split_by_rule(chain_lengths: DataFrame, chain: str, length: str, rule: Seque
 def top_n_with_rest(table: DataFrame, order: Sequence[Column], label: str, value: str, n: int) -> DataFrame:
     """The first ``n`` rows by ``order`` and one row summing what is left."""
     top = table.orderBy(*order).limit(n).select(F.col(label).cast("string").alias(label), value, F.lit(1).cast("long").alias("n_rows"))
-    rest = (table.agg(F.count("*").alias("all_rows"), F.sum(value).alias("all_value"))
-            .join(F.broadcast(top.agg(F.count("*").alias("top_rows"), F.sum(value).alias("top_value"))))
-            .filter("all_rows > top_rows")
-            .select(F.lit("(rest)").alias(label), (F.col("all_value") - F.col("top_value")).alias(value), (F.col("all_rows") - F.col("top_rows")).alias("n_rows")))
+    shown = top.agg(F.struct(F.count("*").alias("n"), F.sum(value).alias("v")).alias("s"))
+    rest = (table.agg(F.count("*").alias("n"), F.sum(value).alias("v")).withColumn("s", shown.scalar()).filter("n > s.n")
+            .select(F.lit("(rest)").alias(label), (F.col("v") - F.col("s.v")).alias(value), (F.col("n") - F.col("s.n")).alias("n_rows")))
     return top.unionByName(rest)
 
 
@@ -75,8 +77,5 @@ def seeded_sample(df: DataFrame, key: str, seed: str, n: int) -> DataFrame:
 
 def upper_median(sizes: DataFrame, size: str) -> DataFrame:
     """``sorted[n // 2]`` from a histogram of sizes."""
-    hist = sizes.groupBy(size).agg(F.count("*").alias("c"))
-    cum = hist.withColumn("upto", F.sum("c").over(Window.orderBy(size).rowsBetween(Window.unboundedPreceding, 0)))
-    total = hist.agg(F.sum("c").alias("n"))
-    return (cum.join(F.broadcast(total)).filter(F.col("upto") >= F.floor(F.col("n") / 2) + 1)
-            .agg(F.min(size).alias("upper_median")))
+    cum = _cumulative(sizes.select(F.col(size).alias("value")), "value")
+    return cum.filter(F.col("upto") >= F.floor(F.col("total") / 2) + 1).agg(F.min("value").alias("upper_median"))

@@ -82,12 +82,12 @@ def verify(linked: DataFrame, chain: str, heads: DataFrame | None = None) -> Dat
 def run_identity(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Are two runs the same rows? Order-free digests of both and the rows on one side only."""
     row = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-    da = a.agg(set_digest(row).alias("da"), F.count("*").alias("n_a"))
-    db = b.agg(set_digest(row).alias("db"), F.count("*").alias("n_b"))
-    only_a = a.select(*columns).exceptAll(b.select(*columns)).agg(F.count("*").alias("only_a"))
-    only_b = b.select(*columns).exceptAll(a.select(*columns)).agg(F.count("*").alias("only_b"))
-    x = da.join(F.broadcast(db)).join(F.broadcast(only_a)).join(F.broadcast(only_b))
-    return x.select("n_a", "n_b", "only_a", "only_b", (F.col("da") == F.col("db")).alias("same_digest"))
+    mine = a.agg(set_digest(row).alias("da"), F.count("*").alias("n_a"))
+    other = b.agg(F.struct(set_digest(row).alias("d"), F.count("*").alias("n")).alias("o"))
+    only_a = a.select(*columns).exceptAll(b.select(*columns)).agg(F.count("*").alias("c"))
+    only_b = b.select(*columns).exceptAll(a.select(*columns)).agg(F.count("*").alias("c"))
+    x = mine.select("da", "n_a", other.scalar().alias("o"), only_a.scalar().alias("only_a"), only_b.scalar().alias("only_b"))
+    return x.select("n_a", F.col("o.n").alias("n_b"), "only_a", "only_b", (F.col("da") == F.col("o.d")).alias("same_digest"))
 
 
 def table_diff(a: DataFrame, b: DataFrame, keys: Sequence[str], ignore: Sequence[str] = ()) -> DataFrame:

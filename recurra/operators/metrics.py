@@ -113,8 +113,8 @@ def hit_at_k(ranked: DataFrame, gold: DataFrame, ks: Sequence[int], listed_tasks
     per_task = grid.groupBy("k", "task_id").agg(F.max(F.col("ok").cast("int")).alias("h"), F.count("*").alias("f"), F.count_if(~F.col("ok")).alias("w"))
     missing = listed_tasks.select("task_id").distinct().join(gold.select("task_id").distinct(), "task_id", "left_anti").agg(F.count("*").alias("missing_gold"))
     out = per_task.groupBy("k").agg(F.count("*").alias("n"), F.sum("h").alias("hit"), F.sum("f").alias("flags"), F.sum("w").alias("wrong"))
-    return (out.select("k", "n", "hit", F.round(F.col("hit") / F.col("n"), 4).alias("hit_at_k"), "flags", F.round(F.col("wrong") / F.col("flags"), 4).alias("false_positive_rate"))
-            .join(F.broadcast(missing)))
+    return (out.select("k", "n", "hit", F.round(F.col("hit") / F.col("n"), 4).alias("hit_at_k"), "flags", F.round(F.col("wrong") / F.col("flags"), 4).alias("false_positive_rate"),
+                       missing.scalar().alias("missing_gold")))
 
 
 def rerank_distinct(flags: DataFrame) -> DataFrame:

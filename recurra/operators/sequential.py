@@ -187,7 +187,7 @@ def sweep_table(folded: DataFrame, cells: dict[str, Policy], injected: DataFrame
                      F.round((F.col("candidates") - F.col("buffered")) / F.col("candidates"), 4).alias("discard_rate"),
                      F.round(F.when(F.col("promoted") > 0, F.col("n_pure") / F.col("promoted")), 4).alias("purity"))
     if injected is not None:
-        out = out.join(F.broadcast(injected.agg(F.round(F.sum("redundant") / F.sum("n"), 4).alias("injected"))))
+        out = out.withColumn("injected", injected.agg(F.round(F.sum("redundant") / F.sum("n"), 4).alias("i")).scalar())
     return out
 
 

@@ -192,9 +192,8 @@ def cosine_histogram(vectors: DataFrame, key: str, vec: str, label: str, block:
 # -- statistics over a score histogram ---------------------------------------------------
 def index_quantiles(hist: DataFrame, by: str, qs: dict[str, float], scale: int = SCALE) -> DataFrame:
     """``sorted[min(n - 1, int(q n))]`` per group, read off the running counts of the bins."""
-    cum = hist.withColumn("upto", F.sum("n").over(Window.partitionBy(by).orderBy("s4").rowsBetween(Window.unboundedPreceding, 0)))
-    total = hist.groupBy(by).agg(F.sum("n").alias("total"))
-    x = cum.join(F.broadcast(total), by)
+    x = hist.withColumn("upto", F.sum("n").over(Window.partitionBy(by).orderBy("s4").rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("total", F.sum("n").over(Window.partitionBy(by)))
     pos = lambda q: F.least(F.col("total") - 1, F.floor(F.lit(q) * F.col("total")))
     return x.groupBy(by).agg(F.max("total").alias("n_pairs"),
                              *[(F.min(F.when(F.col("upto") > pos(q), F.col("s4"))) / scale).alias(name) for name, q in qs.items()])
@@ -215,6 +214,6 @@ def calibrate(hist: DataFrame, target: float = 0.5, step: float = 0.05, scale: i
     neg = index_quantiles(hist.filter("not match").select(F.lit(0).alias("g"), "s4", "n"), "g", {"q90": 0.9}, scale).agg(F.max("q90").alias("q90"))
     total = hist.agg(F.sum("n").alias("n_pairs"), F.sum(F.when(F.col("match"), F.col("n")).otherwise(0)).alias("n_match"))
     # grid rounding is half-to-even, as in the published rule
-    return (total.join(F.broadcast(first)).join(F.broadcast(neg))
+    return (total.select("*", first.scalar().alias("t1"), neg.scalar().alias("q90"))
             .select(F.coalesce("t1", F.round(F.bround(F.col("q90") / step) * step, 2)).alias("tau"),
                     F.when(F.col("t1").isNotNull(), "precision").otherwise("negative_p90").alias("rule"), "n_pairs", "n_match"))

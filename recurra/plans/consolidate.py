@@ -9,6 +9,7 @@ from ..functions.digest import set_digest_sql
 from ..functions.running import position
 from ..operators import consolidate as C, memory as MEM
 from ..operators.metrics import label_outcomes
+from ..session import materialise
 from .bindings import TASK_BUCKET, T_LAST, with_views
 from .registry import query
 
@@ -119,12 +120,18 @@ MEM_SQL = promo_sql(1) + f""",
 
 
 def memory(t):
+    """The promoted objects as a stored table, which is what they are outside a test: written once
+    to the shared folder and read by every branch of a query."""
+    return materialise(_memory(t))
+
+
+def _memory(t):
     return C.memory_objects(t.rec, C.promotion_ticks(t.rec, P1, T_LAST), P1)
 
 
 @query("memory_ids", with_views("rec", MEM_SQL + " SELECT chain_id, loc, promo_tick, n_support, n_inputs, content, memory_id FROM mem"))
 def memory_ids(t):
-    return memory(t).select("chain_id", "loc", "promo_tick", "n_support", "n_inputs", "content", "memory_id")
+    return _memory(t).select("chain_id", "loc", "promo_tick", "n_support", "n_inputs", "content", "memory_id")
 
 
 @query("memory_put", with_views("rec", MEM_SQL + " SELECT memory_id FROM mem WHERE promo_tick > 15"))
@@ -141,8 +148,8 @@ SUP_SQL = MEM_SQL + """, rq AS (SELECT row_number() OVER (ORDER BY chain_id, loc
   su AS (SELECT seq, vd.old_id, declared, new_id, CASE WHEN NOT known THEN 'unknown id' WHEN NOT dec THEN 'not declared' WHEN seq > f THEN 'already superseded' WHEN new_id = vd.old_id THEN 'not distinct' ELSE '' END AS reason FROM vd LEFT JOIN fs ON vd.old_id = fs.old_id)"""
 
 
-def supersede_requests(t):
-    m = memory(t).select("memory_id", "chain_id", "loc", "promo_tick", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("v"))
+def supersede_requests(m):
+    m = m.select("memory_id", "chain_id", "loc", "promo_tick", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("v"))
     old = F.when(F.col("promo_tick") % 11 == 0, F.concat(F.lit("gone"), F.col("memory_id"))).otherwise(F.col("memory_id"))
     dec = F.when((F.col("promo_tick") % 7 == 0) & (F.col("promo_tick") % 11 != 0), F.lit(None)).otherwise(old)
     new = F.when(F.col("promo_tick") % 5 == 0, F.col("memory_id")).otherwise(F.sha2(F.concat("memory_id", "v"), 256))
@@ -150,32 +157,33 @@ def supersede_requests(t):
     return position(one, ["g"], ["chain_id", "loc", "v"], "chain_id", "seq").select("seq", "old_id", "declared", "new_id")
 
 
-def supersede_verdicts(t):
+def supersede_verdicts(t, m):
     none = t.spark.createDataFrame([], "old_id string, new_id string")
-    return MEM.check_supersede(supersede_requests(t), memory(t), none)
+    return MEM.check_supersede(supersede_requests(m), m, none)
 
 
 @query("supersede", with_views("rec", SUP_SQL + " SELECT seq, old_id, declared, new_id, reason FROM su"))
 def supersede(t):
-    return supersede_verdicts(t)
+    return supersede_verdicts(t, memory(t))
 
 
 @query("live_set", with_views("rec", SUP_SQL + " SELECT memory_id FROM mem WHERE memory_id NOT IN (SELECT old_id FROM su WHERE reason = '') UNION ALL SELECT new_id FROM su WHERE reason = ''"))
 def live_set(t):
-    done = supersede_verdicts(t).filter("reason = ''")
-    every = memory(t).select("memory_id").unionByName(done.select(F.col("new_id").alias("memory_id")))
+    m = memory(t)
+    done = supersede_verdicts(t, m).filter("reason = ''")
+    every = m.select("memory_id").unionByName(done.select(F.col("new_id").alias("memory_id")))
     return MEM.live_set(every, done)
 
 
 @query("snapshot_version", with_views("rec", MEM_SQL + f" SELECT chain_id, {set_digest_sql('memory_id')} AS version_id, count(*) AS n_live FROM mem GROUP BY 1"))
 def snapshot_version(t):
-    return MEM.snapshot(memory(t), ["chain_id"])
+    return MEM.snapshot(_memory(t), ["chain_id"])
 
 
 @query("pool_digest", with_views("rec", MEM_SQL + f", p AS (SELECT DISTINCT chain_id % 10 AS source, content FROM mem) SELECT source, count(*) AS n, {set_digest_sql('content')} AS pool_digest FROM p GROUP BY 1"))
 def pool_digest(t):
     """Placebo pool per source: union of live memories and its digest."""
-    p = memory(t).select((F.col("chain_id") % 10).alias("source"), "content").distinct()
+    p = _memory(t).select((F.col("chain_id") % 10).alias("source"), "content").distinct()
     return MEM.snapshot(p, ["source"], "content").select("source", F.col("n_live").alias("n"), F.col("version_id").alias("pool_digest"))
 
 
