@@ -58,18 +58,18 @@ def promotion_ticks(records: DataFrame, policy: Policy, last: DataFrame | int) -
     ``last`` is the final tick: a number, or a table (chain_id, last_tick).
     """
     el = eligible(records, policy)
-    per_input = el.groupBy(*KEYS, "input_hash").agg(F.min("d").alias("d"))
-    steps = (el.groupBy(*KEYS, "d").agg(F.count("*").alias("e"), F.lit(0).cast("long").alias("i"))
-             .unionByName(per_input.groupBy(*KEYS, "d").agg(F.lit(0).cast("long").alias("e"), F.count("*").alias("i")))
-             .groupBy(*KEYS, "d").agg(F.sum("e").alias("e"), F.sum("i").alias("i")))
+    # one row per cluster, input and tick; an input is new on its first tick
+    base = el.groupBy(*KEYS, "input_hash", "d").agg(F.count("*").alias("e"), F.max((F.col("agent_id") == policy.approver).cast("int")).alias("self"))
+    first = F.min("d").over(Window.partitionBy(*KEYS, "input_hash"))
+    steps = (base.withColumn("i", (F.col("d") == first).cast("int")).groupBy(*KEYS, "d")
+             .agg(F.sum("e").alias("e"), F.sum("i").alias("i"), F.max("self").alias("self")))
     run = running(steps, KEYS, ["d"], TICK_BUCKET, {"n_e": F.col("e"), "n_i": F.col("i")}, inclusive=True)
-    ready = run.filter((F.col("n_e") >= policy.min_occurrences) & (F.col("n_i") >= policy.min_inputs)).groupBy(*KEYS).agg(F.min("d").alias("d"))
+    enough = (F.col("n_e") >= policy.min_occurrences) & (F.col("n_i") >= policy.min_inputs)
+    ready = run.groupBy(*KEYS).agg(F.min(F.when(enough, F.col("d"))).alias("d"), F.min(F.when(F.col("self") == 1, F.col("d"))).alias("d_self")).filter("d is not null")
     if policy.separation_of_duties:
         # an approver among the proposers blocks the cluster from that record on
-        self_made = el.filter(F.col("agent_id") == policy.approver).groupBy(*KEYS).agg(F.min("d").alias("d_self"))
-        ready = ready.join(self_made, KEYS, "left")
         blocked = F.col("d_self").isNotNull() & (next_tick(F.col("d_self"), policy.schedule) <= next_tick(F.col("d"), policy.schedule))
-        ready = ready.filter(~blocked).drop("d_self")
+        ready = ready.filter(~blocked)
     out = ready.select(*KEYS, next_tick(F.col("d"), policy.schedule).alias("promo_tick"))
     if isinstance(last, int):
         return out.filter(F.col("promo_tick") <= last)

@@ -30,11 +30,13 @@ def prequential(tasks: DataFrame, gold: DataFrame, warmup: int, min_chain: int,
     """
     pool = tasks.filter(F.col("chain_len") >= min_chain)
     keyed = keys_at_levels(gold, "task_id", "fkey", level_names)
-    placed = keyed.join(pool.select("task_id", "chain_id", "created_at", "ord"), "task_id")
+    # tasks without gold stay in, under the empty level, so the tasks are read once
+    placed = pool.select("task_id", "chain_id", "grp", "created_at", "ord").join(keyed, "task_id", "left").fillna("", ["level", "key"])
     counted = prior_counts(placed, ["chain_id", "level", "key"], ["ord"], bucket)
-    per_task = (counted.filter(F.col("ord") > warmup).groupBy("task_id", "level").agg(F.max("prior").alias("prior")))
-    evaluated = pool.filter(F.col("ord") > warmup).select("task_id", "grp", F.explode(F.array(*map(F.lit, level_names))).alias("level"))
-    joined = evaluated.join(per_task, ["task_id", "level"], "left")
+    per_task = counted.filter(F.col("ord") > warmup).groupBy("task_id", "grp", "level").agg(F.max("prior").alias("prior"))
+    bare = F.col("level") == ""
+    levels = F.when(bare, F.array(*map(F.lit, level_names))).otherwise(F.array("level"))
+    joined = per_task.select("grp", F.when(~bare, F.col("prior")).alias("prior"), F.explode(levels).alias("level"))
     return (joined.rollup("level", "grp").agg(
         F.count("*").alias("n_eval"), F.count("prior").alias("n_scorable"),
         *[F.count_if(F.col("prior") >= k).alias(f"seen{k}") for k in SEEN])

@@ -47,7 +47,7 @@ def content_components(records: DataFrame, floor: float) -> DataFrame:
     # the chain is part of each word, so only contents of one chain can meet
     own = F.transform(words, lambda w: F.concat(F.col("chain_id").cast("string"), F.lit("\x1f"), w))
     tagged = records.select("chain_id", "content").distinct().withColumn("ws", own)
-    tagged = tagged.withColumn("sid", F.md5(F.concat_ws("\x1e", F.col("chain_id").cast("string"), F.array_join("ws", " "))))
+    tagged = tagged.withColumn("sid", F.unhex(F.md5(F.concat_ws("\x1e", F.col("chain_id").cast("string"), F.array_join("ws", " ")))))
     sets = tagged.groupBy("sid").agg(F.first("ws").alias("ws")).withColumn("n", F.size("ws"))
     comp = components(jaccard_set_join(sets, sets, floor, self_join=True), sets, "sid_l", "sid_r", "sid")
     return tagged.select("chain_id", "content", "sid").join(comp, "sid").drop("sid")

@@ -41,19 +41,24 @@ def cosine(a: Column, b: Column) -> Column:
 def word_sets(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(members: key -> sid, sets: sid, ws, n): one row per distinct word set."""
     tagged = docs.select(key, F.array_sort(X.words(F.col(text))).alias("ws"))
-    tagged = tagged.withColumn("sid", F.md5(F.array_join("ws", " ")))
+    tagged = tagged.withColumn("sid", F.unhex(F.md5(F.array_join("ws", " "))))
     sets = tagged.groupBy("sid").agg(F.first("ws").alias("ws")).withColumn("n", F.size("ws"))
     return tagged.select(key, "sid"), sets
 
 
 def _prefixes(sets: DataFrame, ranks: DataFrame, floor: float) -> DataFrame:
     """(sid, n, i, token): the rarest n - ceil(floor n) + 1 words of each set, numbered from 1."""
-    words = sets.select("sid", "n", F.explode("ws").alias("token")).join(ranks, "token")
+    words = sets.select("sid", "n", F.explode("ws").alias("w")).select("sid", "n", _token("w")).join(ranks, "token")
     ordered = words.groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
     keep = F.col("n") - F.ceil(F.lit(floor) * F.col("n") - 1e-9).cast("int") + 1
     return ordered.select("sid", "n", F.posexplode(F.slice("o", F.lit(1), keep)).alias("i", "p")).select("sid", "n", (F.col("i") + 1).alias("i"), "p.token")
 
 
+def _token(word: str) -> Column:
+    """Words travel as 64-bit hashes; two words sharing one only add a candidate to verify."""
+    return F.xxhash64(word).alias("token")
+
+
 def jaccard_set_join(left: DataFrame, right: DataFrame, floor: float, self_join: bool = False) -> DataFrame:
     """All pairs of word sets with Jaccard >= ``floor`` (> 0): sid_l, sid_r, inter, union.
 
@@ -66,7 +71,7 @@ def jaccard_set_join(left: DataFrame, right: DataFrame, floor: float, self_join:
     if not 0 < floor <= 1:
         raise ValueError("floor must be in (0, 1]")
     corpus = left if self_join else left.select("ws").unionByName(right.select("ws"))
-    ranks = corpus.select(F.explode("ws").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    ranks = corpus.select(F.explode("ws").alias("w")).select(_token("w")).groupBy("token").agg(F.count("*").alias("df"))
     prefixes = _prefixes(left, ranks, floor)
     pl = prefixes.select(F.col("sid").alias("sid_l"), F.col("n").alias("n_l"), F.col("i").alias("i_l"), "token")
     pr = (prefixes if self_join else _prefixes(right, ranks, floor)).select(F.col("sid").alias("sid_r"), F.col("n").alias("n_r"), F.col("i").alias("i_r"), "token")
