@@ -25,7 +25,7 @@ def normalise(clock: Column) -> Column:
 
 def canonical(clock: Column) -> Column:
     """Comparable, hashable text form: agents sorted, zero counts dropped."""
-    items = F.array_sort(F.map_entries(normalise(clock)))
+    items = F.sort_array(F.map_entries(normalise(clock)))
     return F.array_join(F.transform(items, lambda e: F.concat(e.getField("key"), F.lit(":"), e.getField("value").cast("string"))), ",")
 
 

@@ -150,7 +150,7 @@ def ttl_states(records: DataFrame, policy: Policy, last_tick: int) -> DataFrame:
     One array element per tick of the calendar, so its length is bounded by ``last_tick``.
     """
     ttl, sched, mo, mi = policy.ttl, policy.schedule, policy.min_occurrences, policy.min_inputs
-    rows = _tick_rows(records, policy).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("d", "n", "e", "news"))).alias("ticks"))
+    rows = _tick_rows(records, policy).groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("d", "n", "e", "news"))).alias("ticks"))
     start = F.expr("named_struct('ins', cast(null as int), 'e', 0L, 'i', 0L, 'last', -1, 'p', cast(null as int), 'p_from', cast(null as int), "
                    "'states', cast(array() as array<struct<d:int,state:string>>), 'dead', cast(array() as array<struct<ins:int,tick:int>>))")
 

@@ -84,7 +84,7 @@ def candidate_lists(keys: DataFrame, task: str, key: str, suffix: str, n: int) -
     w = Window.partitionBy(task).orderBy(key)
     top = (keys.filter(F.endswith(F.col(key), F.lit(suffix))).select(task, key).distinct()
            .withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n))
-    return top.groupBy(task).agg(F.array_sort(F.collect_list(key)).alias("candidates"))
+    return top.groupBy(task).agg(F.sort_array(F.collect_list(key)).alias("candidates"))
 
 
 def drop_failed_in_any_arm(results: DataFrame, errors: DataFrame, task: str) -> DataFrame:

@@ -19,7 +19,7 @@ def entry_hash(seq: Column, prev: Column, event: Column, payload: Column) -> Col
 def _link(rows: DataFrame, chain: str, segment: int) -> DataFrame:
     """Chain rows (chain, seq, event, payload) inside segments of fixed length."""
     seg = F.floor(F.col("seq") / segment)
-    groups = rows.groupBy(chain, seg.alias("seg")).agg(F.array_sort(F.collect_list(F.struct("seq", "event", "payload"))).alias("es"))
+    groups = rows.groupBy(chain, seg.alias("seg")).agg(F.sort_array(F.collect_list(F.struct("seq", "event", "payload"))).alias("es"))
     start = F.expr(f"named_struct('prev', '{GENESIS}', 'out', cast(array() as array<struct<seq:bigint,event:string,payload:string,prev_hash:string,hash:string>>))")
 
     def step(acc: Column, e: Column) -> Column:

@@ -172,7 +172,7 @@ def co_change(keyed: DataFrame, task: str, key: str, min_tasks: int, max_width:
     which also bounds what one task can emit.
     """
     width = keyed.groupBy(task).agg(F.count("*").alias("w")).filter(F.col("w").between(2, max_width)).select(task)
-    lists = keyed.join(width, task, "left_semi").groupBy(task).agg(F.array_sort(F.collect_list(key)).alias("ks"))
+    lists = keyed.join(width, task, "left_semi").groupBy(task).agg(F.sort_array(F.collect_list(key)).alias("ks"))
     pairs = lists.select(F.explode(F.flatten(F.transform("ks", lambda a, i: F.transform(F.slice("ks", i + 2, F.size("ks")), lambda b: F.struct(a.alias("key_a"), b.alias("key_b")))))).alias("p"))
     return pairs.groupBy("p.key_a", "p.key_b").agg(F.count("*").alias("n_tasks")).filter(F.col("n_tasks") >= min_tasks)
 

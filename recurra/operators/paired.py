@@ -28,7 +28,7 @@ def pair_arms(flags: DataFrame, arm: str = "treatment", base: str = "control") -
     wide = flags.filter(F.col("arm").isin(arm, base)).groupBy("task_id").agg(
         *[x for w, p in ((base, "base"), (arm, "arm")) for x in (
             F.max(F.when(of(w), F.col("ok"))).alias(f"{p}_hit"),
-            F.array_sort(F.collect_list(F.when(of(w), F.struct("rank", "key")))).alias(f"__{p}"))])
+            F.sort_array(F.collect_list(F.when(of(w), F.struct("rank", "key")))).alias(f"__{p}"))])
     return (wide.filter("base_hit is not null and arm_hit is not null")
             .select("task_id", "base_hit", "arm_hit", (F.col("__base") != F.col("__arm")).alias("flags_differed")))
 

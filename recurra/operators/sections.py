@@ -43,7 +43,7 @@ def patch_hunks(patches: DataFrame, task: str, patch: str) -> DataFrame:
 def gold_keys(patches: DataFrame, task: str, patch: str, suffixes: tuple[str, ...] | None = None) -> DataFrame:
     """(task, keys): sorted non-test files; with a suffix rule a task left with none is NULL, without one empty."""
     keep = lambda p: ~is_test_path(p) & (has_suffix(p, suffixes) if suffixes else F.lit(True))
-    files = F.array_sort(F.filter(F.array_distinct(F.transform(_sections(F.col(patch)), _file)), keep))
+    files = F.sort_array(F.filter(F.array_distinct(F.transform(_sections(F.col(patch)), _file)), keep))
     return patches.select(task, (F.when(F.size(files) > 0, files) if suffixes else files).alias("keys"))
 
 
@@ -52,7 +52,7 @@ def independent_files(patches: DataFrame, task: str, patch: str) -> DataFrame:
     p = F.col(patch)
     names = F.concat(F.regexp_extract_all(p, F.lit(PLUS_FILE), F.lit(1)), F.regexp_extract_all(p, F.lit(MINUS_FILE), F.lit(1)))
     clean = F.filter(F.transform(names, F.btrim), lambda x: ~F.endswith(x, F.lit("/dev/null")) & ~is_test_path_strict(x))
-    return patches.select(task, F.array_sort(F.array_distinct(clean)).alias("keys"))
+    return patches.select(task, F.sort_array(F.array_distinct(clean)).alias("keys"))
 
 
 def source_sections(patch: Column, suffixes: tuple[str, ...]) -> Column:

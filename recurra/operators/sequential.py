@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import text as X
 from ..session import materialise
 from .consolidate import Policy
-from .similarity import jaccard_set_join
+from .similarity import distinct_sets, jaccard_set_join
 
 OUT = "cell string, chain_id long, kind string, record_id long, outcome string, tick int, content string, pure boolean"
 
@@ -43,12 +43,13 @@ def components(edges: DataFrame, nodes: DataFrame, a: str, b: str, node: str) ->
 
 def content_components(records: DataFrame, floor: float) -> DataFrame:
     """(chain_id, content, comp) for the distinct contents of every chain."""
-    words = F.array_sort(X.words(F.col("content")))
+    words = F.sort_array(X.words(F.col("content")))
     # the chain is part of each word, so only contents of one chain can meet
     own = F.transform(words, lambda w: F.concat(F.col("chain_id").cast("string"), F.lit("\x1f"), w))
     tagged = records.select("chain_id", "content").distinct().withColumn("ws", own)
     tagged = tagged.withColumn("sid", F.unhex(F.md5(F.concat_ws("\x1e", F.col("chain_id").cast("string"), F.array_join("ws", " ")))))
-    sets = tagged.groupBy("sid").agg(F.first("ws").alias("ws")).withColumn("n", F.size("ws"))
+    tagged = materialise(tagged)
+    sets = distinct_sets(tagged)
     comp = components(jaccard_set_join(sets, sets, floor, self_join=True), sets, "sid_l", "sid_r", "sid")
     return tagged.select("chain_id", "content", "sid").join(comp, "sid").drop("sid")
 

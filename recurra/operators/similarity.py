@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
+from ..session import materialise
 
 SCALE = 10_000           # scores are compared and binned at four decimals
 
@@ -39,17 +40,25 @@ def cosine(a: Column, b: Column) -> Column:
 
 # -- exact Jaccard join ---------------------------------------------------------------
 def word_sets(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(members: key -> sid, sets: sid, ws, n): one row per distinct word set."""
-    tagged = docs.select(key, F.array_sort(X.words(F.col(text))).alias("ws"))
-    tagged = tagged.withColumn("sid", F.unhex(F.md5(F.array_join("ws", " "))))
-    sets = tagged.groupBy("sid").agg(F.first("ws").alias("ws")).withColumn("n", F.size("ws"))
-    return tagged.select(key, "sid"), sets
+    """(members: key -> sid, sets: sid, ws, n): one row per distinct word set.
+
+    Both are written once to the shared folder: the join below reads the sets several times,
+    and splitting the texts is the expensive part.
+    """
+    tagged = docs.select(key, F.sort_array(X.words(F.col(text))).alias("ws"))
+    tagged = materialise(tagged.withColumn("sid", F.unhex(F.md5(F.array_join("ws", " ")))))
+    return tagged.select(key, "sid"), distinct_sets(tagged)
+
+
+def distinct_sets(tagged: DataFrame) -> DataFrame:
+    """(sid, ws, n) once per set, as a written table."""
+    return materialise(tagged.groupBy("sid").agg(F.first("ws").alias("ws")).withColumn("n", F.size("ws")))
 
 
 def _prefixes(sets: DataFrame, ranks: DataFrame, floor: float) -> DataFrame:
     """(sid, n, i, token): the rarest n - ceil(floor n) + 1 words of each set, numbered from 1."""
     words = sets.select("sid", "n", F.explode("ws").alias("w")).select("sid", "n", _token("w")).join(ranks, "token")
-    ordered = words.groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
+    ordered = words.groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("o"))
     keep = F.col("n") - F.ceil(F.lit(floor) * F.col("n") - 1e-9).cast("int") + 1
     return ordered.select("sid", "n", F.posexplode(F.slice("o", F.lit(1), keep)).alias("i", "p")).select("sid", "n", (F.col("i") + 1).alias("i"), "p.token")
 
@@ -86,9 +95,9 @@ def jaccard_set_join(left: DataFrame, right: DataFrame, floor: float, self_join:
     cand = first.filter(1 + F.least(n_l - i_l, n_r - i_r) >= need).select("sid_l", "sid_r")
     full = (cand.join(left.select(F.col("sid").alias("sid_l"), F.col("ws").alias("ws_l")), "sid_l")
             .join(right.select(F.col("sid").alias("sid_r"), F.col("ws").alias("ws_r")), "sid_r"))
-    inter = F.size(F.array_intersect("ws_l", "ws_r"))
-    out = full.select("sid_l", "sid_r", inter.alias("inter"), (F.size("ws_l") + F.size("ws_r") - inter).alias("union"))
-    out = out.filter(F.col("inter") / F.col("union") >= floor)
+    # as an aggregate, so that the intersection is computed once and not again in the filter
+    out = full.groupBy("sid_l", "sid_r").agg(F.max(F.size(F.array_intersect("ws_l", "ws_r"))).alias("inter"), F.max(F.size("ws_l") + F.size("ws_r")).alias("both"))
+    out = out.select("sid_l", "sid_r", "inter", (F.col("both") - F.col("inter")).alias("union")).filter(F.col("inter") / F.col("union") >= floor)
     if not self_join:      # two empty texts are identical
         empty = (left.filter("n = 0").select(F.col("sid").alias("sid_l"))
                  .join(right.filter("n = 0").select(F.col("sid").alias("sid_r")), F.col("sid_l") == F.col("sid_r")))

@@ -58,7 +58,7 @@ def patches(t):
     old = F.when(F.col("q") % 3 == 0, F.concat(F.lit("old/"), F.col("path"))).otherwise(F.col("path"))
     text = F.concat(F.lit("diff --git a/"), old, F.lit(" b/"), old, F.lit("\n--- a/"), F.col("path"), F.lit("\n+++ b/"), F.col("path"), F.lit("\n@@ -"), span, F.lit(" +1,2 @@ def f():\n-x @@ -9,9 +9,9 @@\n+diff --git a/no b/no\n"))
     parts = rows.select("task_id", F.struct("s", "q", "path", text.alias("text")).alias("p"))
-    return parts.groupBy("task_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p.getField("text")), "").alias("patch"))
+    return parts.groupBy("task_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p.getField("text")), "").alias("patch"))
 
 
 @query("patch_files", "WITH " + PX_SQL + " SELECT DISTINCT task_id, path FROM px")

@@ -199,4 +199,4 @@ def shard_overlap(t):
 
 @query("gold_sets", with_views("gold", "SELECT task_id, list(fkey ORDER BY fkey) AS keys FROM gold GROUP BY 1"))
 def gold_sets(t):
-    return t.gold.groupBy("task_id").agg(F.array_sort(F.collect_set("fkey")).alias("keys"))
+    return t.gold.groupBy("task_id").agg(F.sort_array(F.collect_set("fkey")).alias("keys"))

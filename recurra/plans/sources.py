@@ -66,7 +66,7 @@ def csv_roundtrip(t):
 
 @query("arms_explode", with_views("pred", "SELECT arm, task_id, rank, fkey FROM pred"))
 def arms_explode(t):
-    lists = t.pred.groupBy("task_id", "arm").agg(F.array_sort(F.collect_list(F.struct("rank", "fkey"))).alias("f"))
+    lists = t.pred.groupBy("task_id", "arm").agg(F.sort_array(F.collect_list(F.struct("rank", "fkey"))).alias("f"))
     nested = lists.groupBy("task_id").agg(F.map_from_entries(F.collect_list(F.struct("arm", F.col("f.fkey")))).alias("arms"))
     path = scratch_dir(t.spark)
     nested.write.json(path)
