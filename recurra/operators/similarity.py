@@ -40,7 +40,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 # -- exact Jaccard join ---------------------------------------------------------------
 def word_sets(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(members: key -> sid, sets: sid, ws, n): one row per distinct word set.
+    """(members: key -> sid, sets: sid, ws, hs, n): one row per distinct word set.
 
     Both are written once to the shared folder: the join below reads the sets several times,
     and splitting the texts is the expensive part.
@@ -51,8 +51,9 @@ def word_sets(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFram
 
 
 def distinct_sets(tagged: DataFrame) -> DataFrame:
-    """(sid, ws, n) once per set, as a written table."""
-    return materialise(tagged.groupBy("sid").agg(F.first("ws").alias("ws")).withColumn("n", F.size("ws")))
+    """(sid, ws, hs, n) once per set, as a written table; ``hs`` are the words as 64-bit hashes."""
+    sets = tagged.groupBy("sid").agg(F.first("ws").alias("ws"))
+    return materialise(sets.withColumn("hs", F.transform("ws", lambda w: F.xxhash64(w))).withColumn("n", F.size("ws")))
 
 
 def _prefixes(sets: DataFrame, ranks: DataFrame, floor: float) -> DataFrame:
@@ -93,10 +94,15 @@ def jaccard_set_join(left: DataFrame, right: DataFrame, floor: float, self_join:
     first = cand.groupBy("sid_l", "sid_r", "n_l", "n_r").agg(F.min("i_l").alias("i_l"), F.min("i_r").alias("i_r"))
     need = F.ceil(F.lit(floor / (1 + floor)) * (n_l + n_r) - 1e-9)
     cand = first.filter(1 + F.least(n_l - i_l, n_r - i_r) >= need).select("sid_l", "sid_r")
-    full = (cand.join(left.select(F.col("sid").alias("sid_l"), F.col("ws").alias("ws_l")), "sid_l")
-            .join(right.select(F.col("sid").alias("sid_r"), F.col("ws").alias("ws_r")), "sid_r"))
+    # rough check on hashed words (with room for two collisions), then the exact one on what is left
+    def attach(pairs: DataFrame, what: str) -> DataFrame:
+        return (pairs.join(left.select(F.col("sid").alias("sid_l"), F.col(what).alias("v_l")), "sid_l")
+                .join(right.select(F.col("sid").alias("sid_r"), F.col(what).alias("v_r")), "sid_r"))
+    shared = F.size(F.array_intersect("v_l", "v_r"))
+    cand = attach(cand, "hs").filter(shared + 2 >= F.lit(floor / (1 + floor)) * (F.size("v_l") + F.size("v_r")) - 1e-9).select("sid_l", "sid_r")
+    full = attach(cand, "ws")
     # as an aggregate, so that the intersection is computed once and not again in the filter
-    out = full.groupBy("sid_l", "sid_r").agg(F.max(F.size(F.array_intersect("ws_l", "ws_r"))).alias("inter"), F.max(F.size("ws_l") + F.size("ws_r")).alias("both"))
+    out = full.groupBy("sid_l", "sid_r").agg(F.max(shared).alias("inter"), F.max(F.size("v_l") + F.size("v_r")).alias("both"))
     out = out.select("sid_l", "sid_r", "inter", (F.col("both") - F.col("inter")).alias("union")).filter(F.col("inter") / F.col("union") >= floor)
     if not self_join:      # two empty texts are identical
         empty = (left.filter("n = 0").select(F.col("sid").alias("sid_l"))
