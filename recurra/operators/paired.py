@@ -127,11 +127,11 @@ def bootstrap_interval(counts: DataFrame, group: str, seed: str, reps: int, chun
 
 
 def n_per_arm(p0: Column, mde: Column) -> Column:
-    """Tasks per arm to detect ``mde`` (two-proportion normal formula)."""
+    """Tasks per arm to detect ``mde`` (two-proportion normal formula); NULL when a rate leaves (0, 1)."""
     p1 = p0 + mde
     bar = (p0 + p1) / 2
     root = Z_ALPHA * F.sqrt(2 * bar * (1 - bar)) + Z_POWER * F.sqrt(p0 * (1 - p0) + p1 * (1 - p1))
-    return F.ceil(root * root / (mde * mde))
+    return F.when((p0 > 0) & (p0 < 1) & (p1 > 0) & (p1 < 1), F.ceil(root * root / (mde * mde)))
 
 
 def mde_at(p0: Column, n: Column, tol: float = 1e-4) -> Column:

@@ -8,6 +8,7 @@ from ..operators import paired as P, recurrence as R
 from .bindings import NEGATIVE_CONTROL, TASK_BUCKET, file_sql, with_views
 from .registry import query
 
+TIE = 1e-9      # p-values are fractions of 2**n: ties at the fourth decimal are exact and go up
 SECONDARY = "cast(substring_index(grp, '_', -1) as int) < 10"
 
 
@@ -46,10 +47,10 @@ def paired_vs_placebo(t):
 
 
 @query("mcnemar", with_views("hit outcome", counts_sql() + """, m AS (SELECT scope, label, control_only AS b, treatment_only AS c FROM ct)
-  SELECT scope, label, b, c, round(CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))) END, 4) AS p FROM m"""))
+  SELECT scope, label, b, c, round(CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))) END + 1e-9, 4) AS p FROM m"""))
 def mcnemar(t):
     b, c = F.col("control_only"), F.col("treatment_only")
-    return scopes(t).select("scope", "label", b.alias("b"), c.alias("c"), F.round(P.mcnemar_p(b, c), 4).alias("p"))
+    return scopes(t).select("scope", "label", b.alias("b"), c.alias("c"), F.round(P.mcnemar_p(b, c) + TIE, 4).alias("p"))
 
 
 @query("paired_ci", with_views("hit outcome", counts_sql() + """, d AS (SELECT scope, label, n, (treatment_only - control_only) / n AS d, 1.959964 * sqrt(greatest(((control_only + treatment_only) / n - ((treatment_only - control_only) / n) ** 2) / n, 0)) AS h FROM ct)
@@ -79,7 +80,7 @@ def mde_sql(n: str) -> str:
 
 @query("power_table", with_views("hit", f"""g AS (SELECT grp, count(*) AS n, (sum(hit::INT) / count(*))::DOUBLE AS p0 FROM hit WHERE arm = 'control' GROUP BY 1),
   d AS (SELECT c.grp, (count(*) FILTER (c.hit <> x.hit) / count(*))::DOUBLE AS disc FROM hit c JOIN hit x ON c.task_id = x.task_id WHERE c.arm = 'control' AND x.arm = 'treatment' GROUP BY 1)
-  SELECT g.grp, n, {NPA.format(m='0.15')}::BIGINT AS n_for_15pts, {mde_sql('n')} AS mde,
+  SELECT g.grp, n, CASE WHEN p0 > 0 AND p0 + 0.15 < 1 THEN {NPA.format(m='0.15')}::BIGINT END AS n_for_15pts, {mde_sql('n')} AS mde,
     round(least(list_reduce(list_transform(range(0, 101), lambda i: 2.8015852181129683 * sqrt(disc / n)), lambda a, b: (1.959963984540054 * sqrt(disc) + 0.8416212335729143 * sqrt(greatest(disc - a * a, 1e-12))) / sqrt(n)), disc), 4) AS mde_paired,
     CASE WHEN 0.1 < disc THEN ceil(pow((1.959963984540054 * sqrt(disc) + 0.8416212335729143 * sqrt(disc - 0.1 * 0.1)) / 0.1, 2))::BIGINT END AS n_paired_10pts
   FROM g JOIN d ON g.grp = d.grp"""))
