@@ -1,6 +1,9 @@
 """Session defaults and the shared scratch folder."""
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -24,18 +27,25 @@ def get_spark(app: str = "recurra", cores: str | int = "*", shuffle_partitions:
     )
 
 
+_LOCAL: dict[str, str] = {}          # application id -> folder, for local masters without a setting
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh path in the cluster's shared folder (``spark.checkpoint.dir``).
 
     Executors can be lost, so intermediate tables go to storage every node
-    sees. Only a local master may fall back to a temporary folder.
+    sees. Only a ``local`` master, where driver and tasks are one process, may do without the
+    setting; its folder goes when the process ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all nodes")
-        base = tempfile.mkdtemp(prefix="recurra-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="recurra-")
+            atexit.register(shutil.rmtree, _LOCAL[app], True)
+        base = _LOCAL[app]
     return f"{base.rstrip('/')}/recurra-{uuid.uuid4().hex}"
 
 

@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -13,8 +12,6 @@ from recurra.session import get_spark  # noqa: E402
 def spark():
     s = get_spark("tests", 8, shuffle_partitions=4, memory="6g")
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="recurra-tests-"))
     return s
 
 
