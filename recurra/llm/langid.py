@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_sample, fold, frames, held_out, small_batches
+from .common import bounded_sample, fold, frames, held_out, materialise, small_batches
 
 ORDERS = (2, 3, 4)
 HASHES = 3
@@ -122,6 +122,7 @@ def fit(docs: DataFrame, per_lang: int = 1500, rare: float = 3e-5, contrast: flo
                 yield pd.DataFrame({"lang": lang, "g": g.view(np.int64), "n": n.astype(np.int64)})
 
     counted = rows.select("lang", "text").mapInPandas(count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
+    counted = materialise(counted)                          # read three times below
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total")).withColumnRenamed("lang", "tlang")
     freq = counted.join(F.broadcast(totals), F.col("lang") == F.col("tlang")).withColumn("f", F.col("n") / F.col("total"))   # one row a language
     n_langs = max(1, totals.count())
