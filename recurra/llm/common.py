@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import materialise  # noqa: F401
@@ -48,8 +48,23 @@ def utf8(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
-def frames(batches: Iterator[pd.DataFrame], fn) -> Iterator[pd.DataFrame]:
-    """Apply ``fn`` to every batch; empty batches give nothing."""
-    for b in batches:
-        if len(b):
-            yield fn(b)
+def batches_of(fn):
+    """A function for ``mapInArrow`` that applies ``fn`` to every batch with rows. Arrow keeps NULL ids and long
+    ids exact, which pandas does not."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield fn(b)
+    return run
+
+
+def batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def salted_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str, salt_by: Column, salts: int = 16) -> DataFrame:
+    """An equi-join of a table with hot keys (left) and one with a row per key (right): the left side is spread over ``salts``
+    tasks a key, the right side is repeated for each. The right side's columns must not clash with the left's."""
+    l = left.withColumn("__salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
+    r = right.withColumn("__rsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return l.join(r, (F.col(left_key) == F.col(right_key)) & (F.col("__salt") == F.col("__rsalt")), how).drop("__salt", "__rsalt")

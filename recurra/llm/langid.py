@@ -20,9 +20,10 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_sample, fold, frames, held_out, materialise, small_batches
+from .common import batch, batches_of, bounded_sample, fold, held_out, materialise, small_batches
 
 ORDERS = (2, 3, 4)
 HASHES = 3
@@ -141,9 +142,9 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
         f = shared.value
         fp = f.false_positive
 
-        def one(b: pd.DataFrame) -> pd.DataFrame:
+        def one(b: pa.RecordBatch) -> pa.RecordBatch:
             names, scores = [], []
-            for t in b["text"]:
+            for t in b.column("text").to_pylist():
                 h = grams(t)
                 if not len(h) or not f.langs:
                     names.append("und")
@@ -153,10 +154,10 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
                 i = int(np.argmax(share))
                 names.append(f.langs[i])
                 scores.append(float(min(1.0, max(0.0, share[i]))))
-            return pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "lang_pred": names, "score": scores})
-        return frames(batches, one)
+            return batch(doc_id=b.column("doc_id"), lang_pred=pa.array(names, pa.string()), score=pa.array(scores, pa.float64()))
+        return batches_of(one)(batches)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, lang_pred string, score double")
 
 
@@ -176,7 +177,6 @@ def keep_identified(docs: DataFrame, filters: Filters, min_score: float = 0.3) -
     def run(batches):
         f = shared.value
         fp = f.false_positive
-        import pyarrow as pa
         for b in batches:
             keep = []
             for t in b.column(at).to_pylist():

@@ -18,11 +18,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_sample, fold, frames, held_out, small_batches, utf8
+from .common import batch, batches_of, bounded_sample, fold, held_out, small_batches, utf8
 
 
 @dataclass(frozen=True)
@@ -123,17 +123,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         sizer = Sizer(m.good, m.bad, m.piece, m.level) if m.good is not None else None
 
-        def one(b: pd.DataFrame) -> pd.DataFrame:
+        def one(b: pa.RecordBatch) -> pa.RecordBatch:
             if sizer is None:
-                s = np.full(len(b), m.bias)
+                s = np.full(b.num_rows, m.bias)
             else:
-                x = np.array([sizer.features(t) for t in b["text"]])
+                x = np.array([sizer.features(t) for t in b.column("text").to_pylist()])
                 z = np.clip((x - np.array(m.mean)) / np.array(m.scale), -6, 6)
                 s = 1 / (1 + np.exp(-np.clip(np.hstack([z, z * z]) @ np.array(m.weights) + m.bias, -30, 30)))
-            return pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": s, "predicted": (s >= 0.5).astype("int32")})
-        return frames(batches, one)
+            return batch(doc_id=b.column("doc_id"), score=pa.array(s), predicted=pa.array((s >= 0.5).astype("int32")))
+        return batches_of(one)(batches)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, score double, predicted int")
 
 

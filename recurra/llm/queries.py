@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, mih, mixing, quality, secrets, topk
+from . import langid, lines, mih, mixing, quality, secrets, topk
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,17 @@ def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mih.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("before")))
+    n_lines = F.size(F.split(F.coalesce("before", F.lit("")), "\n", -1))
+    gone = F.aggregate(F.coalesce("runs", F.array().cast("array<struct<first:int,last:int>>")), F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1)
+    return done.select("doc_id", n_lines.alias("n_lines"), gone.alias("n_deleted"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+SQL["op5_line_dedup"] = lines.SQL
+
+
 @query
 def op6_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(table(spark, sf_dir, "documents"))

@@ -16,11 +16,11 @@ import math
 import re
 from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark import TaskContext
 
-from .common import frames, materialise, small_batches, utf8
+from .common import batch, materialise, salted_join, small_batches, utf8
 
 # The base kinds, in the order used for ties, and their patterns.
 KINDS = ("assign", "access", "hex", "owned")
@@ -30,8 +30,6 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 HINTS = ("passw", "secret", "token", "api")          # every assign match contains one of them
 
-SALT = 8
-
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     """(start, kind, end, value) of the base kinds, leftmost and non-overlapping per kind.
@@ -81,6 +79,9 @@ SCAN = ("row long, doc_id long, owner string, n_assign long, n_access long, n_he
         "spans array<struct<start:int,kind:int,end:int,hash:long>>")
 
 
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("hash", pa.int64())]))
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", min_bits: float = 3.0) -> DataFrame:
     """One row per document with its base spans and candidates (hashes only, no values)."""
     small_batches(docs.sparkSession)
@@ -90,21 +91,22 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
         first = (ctx.partitionId() if ctx else 0) << 33
         n = 0
         for b in batches:
-            rows = []
-            for d, t, o in zip(b["doc_id"], b["text"], b["owner"]):
+            if not b.num_rows:
+                continue
+            counts, spans = [], []
+            for t in b.column("text").to_pylist():
                 t = t or ""
                 base = base_spans(t)
-                found = sorted(base + further_candidates(t, base, min_bits))
                 kinds = Counter(x[1] for x in base)
-                rows.append((first + n, d, o, kinds[0], kinds[1], kinds[2], [(s, k, e, value_hash(v)) for s, k, e, v in found]))
-                n += 1
-            if rows:
-                out = pd.DataFrame(rows, columns=["row", "doc_id", "owner", "n_assign", "n_access", "n_hex", "spans"])
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
+                counts.append((kinds[0], kinds[1], kinds[2]))
+                spans.append([(s, k, e, value_hash(v)) for s, k, e, v in sorted(base + further_candidates(t, base, min_bits))])
+            assign, access, hexes = (pa.array(c, pa.int64()) for c in zip(*counts))
+            yield batch(row=pa.array(range(first + n, first + n + b.num_rows), pa.int64()), doc_id=b.column("doc_id"), owner=b.column("owner"),
+                        n_assign=assign, n_access=access, n_hex=hexes, spans=pa.array(spans, SPANS))
+            n += b.num_rows
 
     cols = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(owner).cast("string").alias("owner"))
-    return cols.mapInPandas(run, SCAN)
+    return cols.mapInArrow(run, SCAN)
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
@@ -120,9 +122,9 @@ def find_secrets(docs: DataFrame, max_owners: int = 1, min_bits: float = 3.0, **
     """Per document: base counts, all spans ``array<struct<start,kind,end>>``, and how many base values are owner-specific
     (``n_live``) or copied across owners (``n_copied``). The scan is written once; only hashes and spans are shuffled."""
     scanned = materialise(scan(docs, min_bits=min_bits, **columns))
-    live = ownership(scanned).filter(F.col("n_owners") <= max_owners).select(F.col("hash").alias("live_hash"), F.explode(F.array(*[F.lit(i) for i in range(SALT)])).alias("live_salt"))
-    each = scanned.select("row", F.inline("spans")).withColumn("salt", F.pmod("row", F.lit(SALT)).cast("int"))
-    found = (each.join(live, (F.col("hash") == F.col("live_hash")) & (F.col("salt") == F.col("live_salt")))
+    live = ownership(scanned).filter(F.col("n_owners") <= max_owners).select(F.col("hash").alias("live_hash"))
+    each = scanned.select("row", F.inline("spans"))
+    found = (salted_join(each, live, "hash", "live_hash", "inner", F.col("row"))
              .groupBy("row").agg(F.collect_list(F.when(F.col("kind") == 3, F.struct("start", "kind", "end"))).alias("added"),
                                  F.sum(F.when(F.col("kind") < 3, 1).otherwise(0)).alias("n_live"))
              .withColumnRenamed("row", "found_row"))
