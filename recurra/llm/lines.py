@@ -20,10 +20,9 @@ the order of documents is (doc_id, NULL first, then the hash of the text); empty
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import batches_of, materialise, salted_join, small_batches, utf8
 
@@ -145,33 +144,39 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return runs.groupBy(F.col("doc_id").alias("x_doc"), F.col("key").alias("x_key")).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
-@F.pandas_udf(T.StringType())
-def cut(text: pd.Series, runs: pd.Series) -> pd.Series:
-    """Texts without the lines of their runs; a text of which no word is left becomes empty."""
-    def one(t, r):
-        if r is None or t is None:
-            return t
-        lines = t.split("\n")
-        kept, at = [], 0
-        for x in r:
-            kept += lines[at:x["first"]]
-            at = x["last"] + 1
-        left = "\n".join(kept + lines[at:])
-        return left if utf8(left).split() else ""
-    return pd.Series([one(t, r) for t, r in zip(text, runs)], dtype=object)
+def cut(text: str, runs: list[int]) -> str:
+    """A text without the lines of its runs (first, last, first, last, ...); without any word left it becomes empty."""
+    lines = text.split("\n")
+    kept, at = [], 0
+    for first, last in zip(runs[::2], runs[1::2]):
+        kept += lines[at:first]
+        at = last + 1
+    left = "\n".join(kept + lines[at:])
+    return left if utf8(left).split() else ""
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The columns of ``docs`` with the text cut, and a last column ``runs`` (the deleted runs of lines, NULL where nothing
-    went; a column of that name in the input is replaced)."""
-    gone = deletions(docs, min_words)
+    """The columns of ``docs`` with the text cut, and a last column ``runs`` (the deleted runs of lines as first, last, first, last,
+    ...; NULL where nothing went; a column of that name in the input is replaced)."""
+    gone = deletions(docs, min_words).select("x_doc", "x_key", F.flatten(F.transform("runs", lambda r: F.array(r["first"], r["last"]))).alias("runs"))
     text = F.col("text").cast("string")
-    rest = [c for c in docs.columns if c not in ("text", "runs")]
-    body = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), text.alias("body"), F.col("doc_id").cast("long").alias("d_doc"),
+    names = [c for c in docs.columns if c not in ("text", "runs")]
+    body = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), text.alias("body"), F.col("doc_id").cast("long").alias("d_doc"),
                        F.xxhash64(F.coalesce(text, F.lit(""))).alias("d_key"))
     joined = body.join(gone, F.col("d_doc").eqNullSafe(F.col("x_doc")) & (F.col("d_key") == F.col("x_key")), "left")
-    new = F.when(F.col("runs").isNull(), F.col("body")).otherwise(cut("body", "runs"))
-    return joined.select(*[new.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != "runs"], "runs")
+    flat = joined.select(*[F.col("body").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != "runs"], "runs")
+    at = flat.columns.index("text")
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        runs = b.column(b.num_columns - 1)
+        if runs.null_count == b.num_rows:
+            return b
+        new = [t if r is None or t is None else cut(t, r) for t, r in zip(b.column(at).to_pylist(), runs.to_pylist())]
+        columns = b.columns
+        columns[at] = pa.array(new, b.schema.field(at).type)
+        return pa.RecordBatch.from_arrays(columns, schema=b.schema)
+
+    return flat.mapInArrow(batches_of(one), flat.schema)
 
 
 SQL = f"""

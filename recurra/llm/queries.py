@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import automaton, langid, lines, mih, mixing, quality, secrets, topk
+from . import automaton, grammar, langid, lines, mih, mixing, quality, secrets, topk
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_repair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grammar.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query
 def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mih.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
@@ -37,7 +42,8 @@ def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("before")))
     n_lines = F.size(F.split(F.coalesce("before", F.lit("")), "\n", -1))
-    gone = F.aggregate(F.coalesce("runs", F.array().cast("array<struct<first:int,last:int>>")), F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1)
+    ends = F.coalesce("runs", F.array().cast("array<int>"))            # first, last, first, last, ...
+    gone = F.aggregate(F.transform(ends, lambda x, i: F.when(i % 2 == 1, x + 1).otherwise(-x)), F.lit(0), lambda a, x: a + x)
     return done.select("doc_id", n_lines.alias("n_lines"), gone.alias("n_deleted"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
