@@ -36,6 +36,8 @@ NEAR = re.compile("[^\x00-ɏ]")
 LETTER, NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 BLANK = "\t-\r \x85\xa0"
 SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{BLANK}{LETTER}{NUMBER}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
+# finds what a text must not have to be looked up by chunks: other white space, white space at an end or next to white space
+PLAIN = re.compile(r"[^\S \n]|[ \n](?:[ \n]|\Z)|\A[ \n]").search
 
 
 def byte_letters() -> list[str]:
@@ -167,6 +169,8 @@ class Coder:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.spec = text
         self.words, self.parts = _Words(self), _Parts(self)
+        self.first, self.spaced = _Chunks(self, ""), _Chunks(self, " ")
+        self.feed = self.words["\n"]
         self._library = None
 
     def split(self, text: str) -> list[str]:
@@ -187,6 +191,22 @@ class Coder:
             out += [part] if i % 2 else self.split(part)
         return out
 
+    def coded(self, text: str) -> list[str]:
+        """The ids of a text as decimal texts, one for each chunk.
+
+        In a text whose only white space are single spaces and line feeds between other characters, the splitting rule cuts before each
+        space and on both sides of each line feed; so its chunks can be looked up whole. Other texts are split first."""
+        if PLAIN(text) is None and not any(a in text for a in self.added):
+            firsts, spaced, out = self.first, self.spaced, []
+            for line in text.split("\n"):
+                first, *rest = line.split(" ")
+                out.append(firsts[first])
+                out += [spaced[w] for w in rest]
+                out.append(self.feed)
+            out.pop()
+            return out
+        return [self.words[w] for w in self.pieces(text)]
+
     def encode_word(self, word: str) -> list[int]:
         one = self.added.get(word)
         return [one] if one is not None else self.machine.encode(utf8(word))
@@ -199,7 +219,7 @@ class Coder:
 
 
 class _Words(dict):
-    """word -> its ids as decimal text."""
+    """pre-split word -> its ids as decimal text."""
 
     def __init__(self, coder: Coder) -> None:
         super().__init__()
@@ -212,6 +232,22 @@ class _Words(dict):
         return text
 
 
+class _Chunks(dict):
+    """chunk (without the blank before it) -> its ids as decimal text."""
+
+    def __init__(self, coder: Coder, before: str) -> None:
+        super().__init__()
+        self.coder, self.before = coder, before
+
+    def __missing__(self, chunk: str) -> str:
+        if len(self) >= TABLE_LIMIT:
+            self.clear()
+        chunk_text = self.before + chunk
+        words = self.coder.words
+        self[chunk] = text = words[chunk_text] if chunk.isalpha() else ",".join([words[w] for w in self.coder.pieces(chunk_text)])
+        return text
+
+
 class _Parts(dict):
     """decimal ids of a word -> the bytes its arc labels emit."""
 
@@ -245,8 +281,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, keep_ids: bool = False) -> Da
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
             n, ids, a, z = [], [], [], []
             for t in b.column("text").to_pylist():
-                words = coder.pieces(t or "")
-                coded = [coder.words[w] for w in words]
+                coded = coder.coded(t) if t else []
                 text = ",".join(coded)
                 n.append(text.count(",") + 1 if text else 0)
                 ids.append([int(i) for i in text.split(",")] if keep_ids and text else [] if keep_ids else None)
