@@ -155,16 +155,17 @@ def cut(text: str, runs: list[int]) -> str:
     return left if utf8(left).split() else ""
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The columns of ``docs`` with the text cut, and a last column ``runs`` (the deleted runs of lines as first, last, first, last,
-    ...; NULL where nothing went; a column of that name in the input is replaced)."""
-    gone = deletions(docs, min_words).select("x_doc", "x_key", F.flatten(F.transform("runs", lambda r: F.array(r["first"], r["last"]))).alias("runs"))
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, runs_name: str = "runs") -> DataFrame:
+    """The columns of ``docs`` with the text cut, and a last column ``runs_name`` (the deleted runs of lines as first, last, first, last,
+    ...; NULL where nothing went), which must not be a column of ``docs``."""
+    if runs_name in docs.columns:
+        raise ValueError(f"{runs_name} is a column of the input")
+    gone = deletions(docs, min_words).select("x_doc", "x_key", F.flatten(F.transform("runs", lambda r: F.array(r["first"], r["last"]))).alias("x_runs"))
     text = F.col("text").cast("string")
-    names = [c for c in docs.columns if c not in ("text", "runs")]
-    body = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), text.alias("body"), F.col("doc_id").cast("long").alias("d_doc"),
+    body = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), text.alias("body"), F.col("doc_id").cast("long").alias("d_doc"),
                        F.xxhash64(F.coalesce(text, F.lit(""))).alias("d_key"))
     joined = body.join(gone, F.col("d_doc").eqNullSafe(F.col("x_doc")) & (F.col("d_key") == F.col("x_key")), "left")
-    flat = joined.select(*[F.col("body").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != "runs"], "runs")
+    flat = joined.select(*[F.col("body").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], F.col("x_runs").alias(runs_name))
     at = flat.columns.index("text")
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:

@@ -17,12 +17,16 @@ text are one plan row with ``copies``, each of which is taken alike; NULL ids ar
 from __future__ import annotations
 
 import math
+import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD, materialise
+from .common import WORD, batches_of, materialise, small_batches
 from .order import running_total
 
+_WORD = re.compile(WORD)
 POINTS = 24
 ROUNDS = 8
 PRIMES = (2147483659, 2147483693, 2147483713, 2147483743)      # fixed values: primes above 2^31, multipliers of the permutation
@@ -149,6 +153,67 @@ def taken() -> Column:
     return F.when((size > 0) & (F.col("quota") > 0), part).otherwise(F.lit(0)).cast("long")
 
 
+def block_times(first_block: int, last_block: int, blocks: int, quota: int, turn: int) -> np.ndarray:
+    """:func:`times` for the blocks of a document, inside a task."""
+    j = np.arange(first_block, last_block + 1)
+    again = (j * PRIMES[turn % len(PRIMES)] + turn) % blocks < quota % blocks
+    return quota // blocks + again
+
+
+def taken_text(text: str, size: int, first: int, words: int, blocks: int, quota: int, turn: int) -> str:
+    """The words a mix takes of a text, with the white space between them: passes follow each other on a new line, and so do
+    parts that are not next to each other."""
+    if not size or not quota:
+        return ""
+    a, z = first * blocks // words, min(blocks - 1, (first + size) * blocks // words + 1)
+    a = max(0, a - 1)
+    n = block_times(a, z, blocks, quota, turn)
+    j = np.arange(a, z + 1)
+    begin = np.maximum(j * words // blocks - first, 0)
+    end = np.minimum((j + 1) * words // blocks - first, size)
+    use = end > begin
+    n, begin, end = n[use], begin[use], end[use]
+    if n.min() == n.max():
+        return "\n".join([text] * int(n[0]))
+    at = [m.span() for m in _WORD.finditer(text)]
+    out = []
+    for turn_no in range(1, int(n.max()) + 1):
+        held = None
+        for i in np.nonzero(n >= turn_no)[0]:
+            if held is not None and held[1] == begin[i]:
+                held = (held[0], end[i])
+            else:
+                if held is not None:
+                    out.append(text[at[held[0]][0]:at[held[1] - 1][1]])
+                held = (begin[i], end[i])
+        if held is not None:
+            out.append(text[at[held[0]][0]:at[held[1] - 1][1]])
+    return "\n".join(out)
+
+
+def apply_mix(docs: DataFrame, **params) -> DataFrame:
+    """The columns of ``docs``: each row's text cut to the words the mix takes of it (more than once, where the mix repeats
+    them); rows of which nothing is taken go."""
+    plan = materialise(mix(docs, **params).filter(F.col("taken") > 0).select(
+        F.col("doc_id").alias("p_doc"), F.col("source").alias("p_source"), F.col("key").alias("p_key"),
+        F.struct("size", "first", "words", "blocks", "quota", "turn").alias("plan")))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), text.alias("body"),
+                       F.col("doc_id").cast("long").alias("r_doc"), F.col("source").cast("string").alias("r_source"), text_key(text).alias("r_key"))
+    met = rows.join(plan, F.col("r_doc").eqNullSafe(F.col("p_doc")) & F.col("r_source").eqNullSafe(F.col("p_source")) & (F.col("r_key") == F.col("p_key")))
+    flat = met.select(*[F.col("body").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], "plan")
+    at = docs.columns.index("text")
+    small_batches(docs.sparkSession)
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        new = [taken_text(t, **p) for t, p in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist())]
+        columns = b.columns[:-1]
+        columns[at] = pa.array(new, b.schema.field(at).type)
+        return pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
+
+    return flat.mapInArrow(batches_of(one), flat.drop("plan").schema)
+
+
 SQL = f"""
 WITH RECURSIVE raw AS (
   SELECT doc_id, source, md5(coalesce(text, '')) AS key, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+'))::BIGINT AS size FROM documents),

@@ -152,7 +152,12 @@ def set_id(h: np.ndarray) -> int:
     return int(mix(np.array([mix(h ^ U(0xA24BAED4963EE407)).sum(dtype=np.uint64) + U(len(h))], np.uint64)).view(np.int64)[0])
 
 
-FACTS = "doc_id long, n long, sid long, sketch array<long>, keys array<long>"
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text"))
+
+
+FACTS = "doc_id long, text_key long, n long, sid long, sketch array<long>, keys array<long>"
 
 
 def set_facts(docs: DataFrame, width: int, per: int) -> DataFrame:
@@ -179,12 +184,11 @@ def set_facts(docs: DataFrame, width: int, per: int) -> DataFrame:
                 known.add(s)
                 sketches.append(narrow_sketch(h))
                 keys.append(part_keys(h, plan))
-            return batch(doc_id=b.column("doc_id"), n=pa.array(ns, pa.int64()), sid=pa.array(sids, pa.int64()),
+            return batch(doc_id=b.column("doc_id"), text_key=b.column("text_key"), n=pa.array(ns, pa.int64()), sid=pa.array(sids, pa.int64()),
                          sketch=pa.array(sketches, pa.list_(pa.int64())), keys=pa.array(keys, pa.list_(pa.int64())))
         return batches_of(one)(batches)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, FACTS)
+    return _texts(docs).mapInArrow(run, FACTS)
 
 
 def shared_keys(facts: DataFrame) -> DataFrame:
@@ -242,9 +246,8 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, per
     need = pairs.select(F.explode(F.array("a", "b")).alias("w_sid")).distinct()
     ids = materialise(sets.join(need, F.col("sid") == F.col("w_sid"), "left_semi").select(F.col("first_id").alias("w_id"), F.col("no_id").alias("w_no")))
     few = ids.count() <= BROADCAST_ROWS
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = ids.distinct()
-    rows = rows.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
+    rows = _texts(docs).join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
 
     def run(batches):
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -310,27 +313,53 @@ def remaining(shared: DataFrame, comp: DataFrame, sets: DataFrame, per: int) ->
     return two.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, per: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, links (verified links of the document's set with other sets, of those that were
-    needed to find the components)."""
+def _groups(docs: DataFrame, width: int, per: int) -> tuple[DataFrame, DataFrame]:
+    """(facts of the documents, sid -> root and smallest id of its component)."""
     facts = materialise(set_facts(docs, width, per))
     sets = materialise(facts.filter(F.col("sid").isNotNull()).groupBy("sid").agg(
-        F.min("doc_id").alias("first_id"), F.bool_and(F.col("doc_id").isNull()).alias("no_id"), F.max("n").alias("n"), F.any_value("sketch", F.lit(True)).alias("sketch")))
+        F.min("doc_id").alias("first_id"), F.bool_and(F.col("doc_id").isNull()).alias("no_id"), F.any_value("n").alias("n"), F.any_value("sketch", F.lit(True)).alias("sketch")))
     shared = materialise(shared_keys(facts))
     by_key = Window.partitionBy("key").orderBy("sid")
-    first = F.first("sid").over(by_key)
-    pairs = (shared.select("sid", first.alias("first"), F.lag("sid").over(by_key).alias("before"))
-             .select(F.explode(F.array("first", "before")).alias("a"), F.col("sid").alias("b")).filter(F.col("a").isNotNull() & (F.col("a") != F.col("b"))).distinct())
+    pairs = (shared.select("sid", F.first("sid").over(by_key).alias("first"), F.lag("sid").over(by_key).alias("before"))
+             .select(F.explode(F.array("first", "before")).alias("a"), F.col("sid").alias("b")).filter(F.col("a") != F.col("b")).distinct())
     links = materialise(verified(materialise(possible(pairs, sets, per)), docs, sets, width, per))
     comp = materialise(components(links))
     more = materialise(remaining(shared, comp, sets, per))
     if more.limit(1).count():
-        found = materialise(verified(more, docs, sets, width, per))
-        links = links.union(found)
+        links = links.union(materialise(verified(more, docs, sets, width, per)))
         comp = materialise(components(links))
-    smallest = (sets.join(comp, F.col("sid") == F.col("node"), "left").select("sid", "first_id", F.coalesce("root", "sid").alias("root")))
-    ids = smallest.groupBy(F.col("root").alias("g_root")).agg(F.min("first_id").alias("component_id"))
-    of_set = smallest.join(ids, F.col("root") == F.col("g_root")).select(F.col("sid").alias("s_sid"), "component_id")
-    plain = facts.select("doc_id", F.col("n").alias("n_shingles"), "sid")
-    return (plain.join(of_set, F.col("sid") == F.col("s_sid"), "left")
-            .select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "sid"))
+    of_set = sets.join(comp, F.col("sid") == F.col("node"), "left").select("sid", "first_id", F.coalesce("root", "sid").alias("root"))
+    ids = of_set.groupBy(F.col("root").alias("g_root")).agg(F.min("first_id").alias("component_id"))
+    return facts, of_set.join(ids, F.col("root") == F.col("g_root")).select(F.col("sid").alias("s_sid"), "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, per: int = 80) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id, root: one row per document. ``text_key`` tells rows of one id apart;
+    ``root`` names the component (NULL for documents without words)."""
+    facts, groups = _groups(docs, width, per)
+    plain = facts.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "sid")
+    return (plain.join(groups, F.col("sid") == F.col("s_sid"), "left")
+            .select("doc_id", "text_key", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, per: int = 80) -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest id (NULL last, then by hash of the text). Documents
+    without words all stay."""
+    found = materialise(near_duplicates(docs, width, per).filter(F.col("root").isNotNull()).select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key").alias("who")))
+    best = found.groupBy(F.col("root").alias("b_root")).agg(F.min("who").alias("best"), F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)
+    inside = materialise(found.join(best, F.col("root") == F.col("b_root")).select("who", (F.col("who") == F.col("best")).alias("stays")))
+    gone = materialise(inside.filter(~F.col("stays")).select("who.*").distinct())
+    twice = materialise(inside.filter("stays").groupBy("who").count().filter("count > 1").select("who.*"))
+
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("k_doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("k_text"))
+
+    def matching(left: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        ids = ids.select(F.col("doc_id").alias("i_doc"), F.col("text_key").alias("i_text"))
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+        return left.join(ids, F.col("k_doc").eqNullSafe(F.col("i_doc")) & (F.col("k_text") == F.col("i_text")), how)
+
+    kept = matching(rows, gone, "left_anti")
+    if twice.limit(1).count():                       # repeated rows of a document that stays: one of them
+        kept = matching(kept, twice, "left_anti").unionByName(matching(kept, twice, "left_semi").dropDuplicates(["k_doc", "k_text"]))
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
