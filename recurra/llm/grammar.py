@@ -16,9 +16,11 @@ of their text and repeated rows are written each for itself; other columns are i
 """
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -27,18 +29,45 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import scratch_dir
+from .automaton import byte_letters
 from .common import batch, small_batches
 
-MEMO_LIMIT = 300_000               # entries of a task's memo before it is emptied: bounds memory, not results
-ODD_BLANKS = re.compile("[\x1c-\x1f]")    # white space for Python alone
+MEMO_LIMIT = 400_000               # entries of a generation of a task's memos: bounds memory, not results
+
+# White space for Python alone; what is beyond Latin letters with one lower case of one letter; the splitting rule.
+ODD_BLANKS = re.compile("[\x1c-\x1f]")
+FAR = re.compile("[^\x00-\u012f\u0131-\u017f]")
+LETTER, NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\\s{LETTER}{NUMBER}]+")
 
 SHARD = ("part int, no int, base int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, "
          "left binary, right binary, lengths binary, seq binary")
 
 
+class Memo(dict):
+    """A memo of two generations: when the young one is full it becomes the old one, and what is used again is taken over."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= MEMO_LIMIT:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
-    """The tokenizers library with a memo of chunks between white space. Splitting at white space first changes nothing for a
-    tokenizer whose pre-tokenizer drops white space; a text with odd blanks goes to the library whole."""
+    """The tokenizers library's ids, with memos for chunks between white space and for the words in them.
+
+    For a tokenizer that lower-cases, drops white space and has one splitting rule, a text of Latin letters is lower-cased, cut at
+    white space and split here, and the library's model encodes each new word once. Any other text (further
+    scripts, odd blanks, added tokens) and any other tokenizer goes to the library whole."""
 
     def __init__(self, spec: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"                # Spark runs the tasks in parallel
@@ -47,26 +76,40 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.size = self.library.get_vocab_size(with_added_tokens=True)
-        self.memo: dict[str, bytes] = {}
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        rules = json.loads(spec)
+        self.added = [t["content"] for t in rules.get("added_tokens", [])]
+        pre = json.dumps(rules.get("pre_tokenizer"))
+        self.known = '"Lowercase"' in json.dumps(rules.get("normalizer")) and "'s|'t|'re|'ve|'m|'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in pre and '"ByteLevel"' in pre
+        self.letter = {b: c for b, c in enumerate(byte_letters())}
+        self.words = Memo(self._word)
+        self.chunks = Memo(self._chunk)
+
+    def _word(self, word: str) -> bytes:
+        if not (word.isascii() and word.isprintable()):
+            word = word.encode().decode("latin-1").translate(self.letter)
+        return array("I", [t.id for t in self.library.model.tokenize(word)]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        words = self.words
+        return words[chunk] if chunk.isalpha() else b"".join([words[w] for w in PIECES.findall(chunk)])
+
+    def near(self, text: str) -> bool:
+        if not self.known or any(a in text for a in self.added) or ODD_BLANKS.search(text):
+            return False
+        if text.isascii():
+            return True
+        try:
+            text.encode("latin-1")
+            return True
+        except UnicodeEncodeError:
+            return FAR.search(text) is None
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers."""
-        if ODD_BLANKS.search(text):
-            return self._pack(self.library.encode(text, add_special_tokens=False).ids)
-        chunks, memo = text.split(), self.memo
-        try:
-            return b"".join([memo[c] for c in chunks])
-        except KeyError:
-            new = list({c for c in chunks if c not in memo})
-            if len(memo) + len(new) > MEMO_LIMIT:
-                memo.clear()
-                new = list(set(chunks))
-            for c, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-                memo[c] = self._pack(e.ids)
-            return b"".join([memo[c] for c in chunks])
+        if not self.near(text):
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        chunks = self.chunks
+        return b"".join([chunks[c] for c in text.lower().split()])
 
 
 @lru_cache(1)
