@@ -11,8 +11,8 @@ is deterministic: its state is the last token of the prefix with the token begin
 entered in a table the first time they are taken; afterwards a byte is one look-up. The tokens are the arc labels on
 the path, read back from the end. Decoding emits the labels' bytes.
 
-Words repeat, so each task keeps a table from words to their ids; tables are emptied when they reach a fixed number of entries,
-which changes no result.
+Words repeat, so each task keeps tables from words to their ids; tables are bounded by a fixed number of entries, which
+changes no result.
 
 Defined results: NULL text is empty: no ids, the digests of nothing; the text of an added token becomes its id, as in the
 tokenizers library; repeated rows are encoded alike; other columns are ignored.
@@ -27,9 +27,9 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batch, batches_of, small_batches, utf8
+from .common import Memo, batch, batches_of, small_batches, utf8
 
-TABLE_LIMIT = 300_000            # entries of a task's tables before they are emptied: bounds memory, not results
+TABLE_LIMIT = 300_000            # transitions of a task's machine before its table is emptied: bounds memory, not results
 
 # Letters, numbers and white space below U+0250, and the splitting rule of byte-level BPE.
 NEAR = re.compile("[^\x00-ɏ]")
@@ -168,8 +168,9 @@ class Coder:
         self.bytes_of |= {i: utf8(t) for t, i in self.added.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.spec = text
-        self.words, self.parts = _Words(self), _Parts(self)
-        self.first, self.spaced = _Chunks(self, ""), _Chunks(self, " ")
+        self.words = Memo(lambda w: ",".join(map(str, self.encode_word(w))))                                    # word -> its ids as decimal text
+        self.first, self.spaced = Memo(self._chunk), Memo(lambda c: self._chunk(c, " "))                         # chunk -> its ids
+        self.parts = Memo(lambda ids: b"".join([self.bytes_of[int(i)] for i in ids.split(",")]))                 # ids -> what their arc labels emit
         self.feed = self.words["\n"]
         self._library = None
 
@@ -207,6 +208,10 @@ class Coder:
             return out
         return [self.words[w] for w in self.pieces(text)]
 
+    def _chunk(self, chunk: str, before: str = "") -> str:
+        words = self.words
+        return words[before + chunk] if chunk.isalpha() else ",".join([words[w] for w in self.pieces(before + chunk)])
+
     def encode_word(self, word: str) -> list[int]:
         one = self.added.get(word)
         return [one] if one is not None else self.machine.encode(utf8(word))
@@ -218,50 +223,6 @@ class Coder:
         return b"".join(self.bytes_of[i] for i in ids).decode("utf-8", "replace")
 
 
-class _Words(dict):
-    """pre-split word -> its ids as decimal text."""
-
-    def __init__(self, coder: Coder) -> None:
-        super().__init__()
-        self.coder = coder
-
-    def __missing__(self, word: str) -> str:
-        if len(self) >= TABLE_LIMIT:
-            self.clear()
-        self[word] = text = ",".join(map(str, self.coder.encode_word(word)))
-        return text
-
-
-class _Chunks(dict):
-    """chunk (without the blank before it) -> its ids as decimal text."""
-
-    def __init__(self, coder: Coder, before: str) -> None:
-        super().__init__()
-        self.coder, self.before = coder, before
-
-    def __missing__(self, chunk: str) -> str:
-        if len(self) >= TABLE_LIMIT:
-            self.clear()
-        chunk_text = self.before + chunk
-        words = self.coder.words
-        self[chunk] = text = words[chunk_text] if chunk.isalpha() else ",".join([words[w] for w in self.coder.pieces(chunk_text)])
-        return text
-
-
-class _Parts(dict):
-    """decimal ids of a word -> the bytes its arc labels emit."""
-
-    def __init__(self, coder: Coder) -> None:
-        super().__init__()
-        self.coder = coder
-
-    def __missing__(self, ids: str) -> bytes:
-        if len(self) >= TABLE_LIMIT:
-            self.clear()
-        self[ids] = data = b"".join(self.coder.bytes_of[int(i)] for i in ids.split(","))
-        return data
-
-
 @lru_cache(1)
 def coder_of(text: str) -> Coder:
     return Coder(text)

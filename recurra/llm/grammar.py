@@ -30,9 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import scratch_dir
 from .automaton import byte_letters
-from .common import batch, small_batches
-
-MEMO_LIMIT = 400_000               # entries of a generation of a task's memos: bounds memory, not results
+from .common import Memo, batch, small_batches
 
 # White space for Python alone; what is beyond Latin letters with one lower case of one letter; the splitting rule.
 ODD_BLANKS = re.compile("[\x1c-\x1f]")
@@ -44,24 +42,6 @@ SHARD = ("part int, no int, base int, n_tokens long, doc_ids array<long>, doc_to
          "left binary, right binary, lengths binary, seq binary")
 
 
-class Memo(dict):
-    """A memo of two generations: when the young one is full it becomes the old one, and what is used again is taken over."""
-
-    def __init__(self, make) -> None:
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= MEMO_LIMIT:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 class Encoder:
     """The tokenizers library's ids, with memos for chunks between white space and for the words in them.
 
