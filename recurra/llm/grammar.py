@@ -3,7 +3,7 @@
 Documents are brought into ascending order of id, encoded, and written in shards of about ``shard_tokens`` ids (whole documents). In a
 shard, frequent pairs of neighbouring symbols are replaced by nonterminals, round after round. A round estimates
 the frequency of every pair with hashed counters; a position is replaced when its pair is more frequent than the overlapping pairs at
-both sides (so replacements never overlap and the most frequent pair of a neighbourhood wins), and a pair that
+both sides, every other one where such pairs are equally frequent (so replacements never overlap and the most frequent pair of a neighbourhood wins), and a pair that
 is chosen at ``least`` places or more becomes a rule. Rounds end when no pair is left or after ``rounds``.
 
 File format: Parquet, one row per shard: ``part, no`` (place in the global order), ``base`` (first nonterminal), ``n_tokens``,
@@ -111,10 +111,14 @@ def compress(ids: np.ndarray, base: int, rounds: int, least: int) -> tuple[np.nd
         h = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> (np.uint64(64) - bits)).astype(np.int64)
         freq = np.bincount(h, minlength=1 << int(bits)).astype(np.int32)[h]
         del h
-        # a position wins against its left neighbour only if more frequent, against its right one also if equal
-        win = freq >= least
-        win[1:] &= freq[1:] > freq[:-1]
-        win[:-1] &= freq[:-1] >= freq[1:]
+        # neighbours of equal frequency form a run; a run wins when both runs beside it are less frequent, and every other position of it is replaced
+        start = np.concatenate([[0], np.nonzero(freq[1:] != freq[:-1])[0] + 1])
+        value, size = freq[start], np.diff(np.append(start, len(freq)))
+        wins = value >= least
+        wins[1:] &= value[1:] > value[:-1]
+        wins[:-1] &= value[:-1] > value[1:]
+        win = np.repeat(wins, size)
+        win &= ((np.arange(len(freq)) - np.repeat(start, size)) & 1) == 0
         at = np.nonzero(win)[0]
         rule, which, n = np.unique(pair[at], return_inverse=True, return_counts=True)
         good = n >= least
