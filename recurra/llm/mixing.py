@@ -201,7 +201,10 @@ def apply_mix(docs: DataFrame, **params) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), text.alias("body"),
                        F.col("doc_id").cast("long").alias("r_doc"), F.col("source").cast("string").alias("r_source"), text_key(text).alias("r_key"))
     met = rows.join(plan, F.col("r_doc").eqNullSafe(F.col("p_doc")) & F.col("r_source").eqNullSafe(F.col("p_source")) & (F.col("r_key") == F.col("p_key")))
-    flat = met.select(*[F.col("body").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], "plan")
+    name = "plan"
+    while name in docs.columns:
+        name += "_"
+    flat = met.select(*[F.col("body").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], F.col("plan").alias(name))
     at = docs.columns.index("text")
     small_batches(docs.sparkSession)
 
@@ -211,7 +214,7 @@ def apply_mix(docs: DataFrame, **params) -> DataFrame:
         columns[at] = pa.array(new, b.schema.field(at).type)
         return pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
 
-    return flat.mapInArrow(batches_of(one), flat.drop("plan").schema)
+    return flat.mapInArrow(batches_of(one), flat.drop(name).schema)
 
 
 SQL = f"""
