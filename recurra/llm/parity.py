@@ -36,7 +36,7 @@ from .components import components
 BAND = 1.5
 NARROW = 1024                     # bits of the narrow sketch
 BLOCK = 512
-BROADCAST_ROWS = 1_000_000        # ids sent to every task at most; beyond it the join is shuffled
+BROADCAST_ROWS = 250_000         # ids sent to every task at most; beyond it the join is shuffled
 U = np.uint64
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -324,10 +324,13 @@ def _groups(docs: DataFrame, width: int, per: int) -> tuple[DataFrame, DataFrame
              .select(F.explode(F.array("first", "before")).alias("a"), F.col("sid").alias("b")).filter(F.col("a") != F.col("b")).distinct())
     links = materialise(verified(materialise(possible(pairs, sets, per)), docs, sets, width, per))
     comp = materialise(components(links))
-    more = materialise(remaining(shared, comp, sets, per))
-    if more.limit(1).count():
-        links = links.union(materialise(verified(more, docs, sets, width, per)))
-        comp = materialise(components(links))
+    # an eighth of the keys first: sets that share one key mostly share several, and what is joined by then is not compared again
+    share = F.pmod(F.xxhash64("key"), F.lit(8))
+    for keys in (shared.filter(share == 0), shared.filter(share != 0)):
+        more = materialise(remaining(keys, comp, sets, per))
+        if more.limit(1).count():
+            links = materialise(links.union(verified(more, docs, sets, width, per)))
+            comp = materialise(components(links))
     of_set = sets.join(comp, F.col("sid") == F.col("node"), "left").select("sid", "first_id", F.coalesce("root", "sid").alias("root"))
     ids = of_set.groupBy(F.col("root").alias("g_root")).agg(F.min("first_id").alias("component_id"))
     return facts, of_set.join(ids, F.col("root") == F.col("g_root")).select(F.col("sid").alias("s_sid"), "root", "component_id")
