@@ -6,10 +6,9 @@ all merges the automaton accepts exactly the right tokenizations and nothing els
 a state per token, and it is stored as what the gadgets changed: the rank at which its arc v was removed, and for uv
 the rank from which it copies the arcs of v. :meth:`Gadgets.arc` unrolls these differences for one arc.
 
-Encoding. A pre-split word is read byte by byte. There is one right tokenization of every prefix, so the machine
-is deterministic: its state is the last token of the prefix with the token beginnings that are still open. Transitions are
-entered in a table the first time they are taken; afterwards a byte is one look-up. The tokens are the arc labels on
-the path, read back from the end. Decoding emits the labels' bytes.
+Encoding. A pre-split word is read from the start state: a tree of labels gives those that continue the word, the arc table says
+which of them leave the present state, and the path that spells the whole word (there is exactly one) is the tokenization; its arc labels are the ids. Arcs
+are entered in the table the first time they are asked for. Decoding emits the labels' bytes.
 
 Words repeat, so each task keeps tables from words to their ids; tables are bounded by a fixed number of entries, which
 changes no result.
@@ -29,15 +28,27 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import Memo, batch, batches_of, small_batches, utf8
 
-TABLE_LIMIT = 300_000            # transitions of a task's machine before its table is emptied: bounds memory, not results
+TABLE_LIMIT = 1_000_000          # arcs in a task's table before it is emptied: bounds memory, not results
 
 # Letters, numbers and white space below U+0250, and the splitting rule of byte-level BPE.
 NEAR = re.compile("[^\x00-ɏ]")
 LETTER, NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 BLANK = "\t-\r \x85\xa0"
 SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{BLANK}{LETTER}{NUMBER}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
-# finds what a text must not have to be looked up by chunks: other white space, white space at an end or next to white space
-PLAIN = re.compile(r"[^\S \n]|[ \n](?:[ \n]|\Z)|\A[ \n]").search
+# what a text must not have to be looked up by chunks: other white space, white space at an end or next to white space
+OTHER_BLANK = re.compile(r"[^\S \n]").search
+SINGLE = ("  ", " \n", "\n ", "\n\n")
+LATIN_BLANKS = ("\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0")
+
+
+def plain(text: str) -> bool:
+    if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in SINGLE):
+        return False
+    try:
+        text.isascii() or text.encode("latin-1")
+    except UnicodeEncodeError:
+        return OTHER_BLANK(text) is None
+    return not any(x in text for x in LATIN_BLANKS)
 
 
 def byte_letters() -> list[str]:
@@ -59,9 +70,9 @@ class Gadgets:
         self.removed: dict[int, int] = {}        # (state u, arc v) -> rank at which the arc went
 
     def merge(self, u: int, v: int, uv: int, rank: int) -> None:
-        self.removed.setdefault(u << 20 | v, rank)                      # the copy of the state after u has no arc v
-        if self.born[uv] < 0:
+        if self.born[uv] < 0 and self.arc(u, v):                        # else no path has u, v: nothing to merge
             self.born[uv], self.left[uv], self.right[uv] = rank, u, v   # arc uv where arc u is; then the arcs after v
+            self.removed[u << 20 | v] = rank                            # the copy of the state after u has no arc v
 
     def arc(self, x: int, y: int) -> bool:
         """Whether the state after token x has an arc y. Going back in rank, the younger of the two is replaced by
@@ -86,67 +97,85 @@ class Gadgets:
 
 
 class Machine:
-    """Reads bytes: transitions by table, entered as they are first needed."""
+    """Reads words: from state to state along the arcs whose labels spell the word."""
 
     def __init__(self, tokens: dict[int, bytes], gadgets: Gadgets) -> None:
         self.gadgets = gadgets
         self.length = {t: len(b) for t, b in tokens.items()}
-        self.child: dict[int, int] = {}          # (node, byte) -> node of the tree of token beginnings
-        self.token_at: dict[int, int] = {}
-        self.inner: set[int] = {0}
-        nodes = 1
+        self.child: dict[int, int] = {}          # (node, byte) -> node of the tree of labels
+        self.label_at = [-1]                     # of each node
+        self.arcs: dict[int, bool] = {}          # (state, label) -> whether the arc exists; entered when first needed
         for t, data in tokens.items():
             at = 0
             for b in data:
                 to = self.child.get(at << 8 | b)
                 if to is None:
-                    to = self.child[at << 8 | b] = nodes
-                    nodes += 1
-                    self.inner.add(at)
+                    to = self.child[at << 8 | b] = len(self.label_at)
+                    self.label_at.append(-1)
                 at = to
-            self.token_at[at] = t
-        self.clear()
-
-    def clear(self) -> None:
-        self.step: dict[int, int] = {}           # (state, byte) -> state
-        self.number: dict[tuple, int] = {(-1, ()): 0}
-        self.last: list[int] = [-1]
-        self.open: list[tuple] = [()]
-
-    def enter(self, state: int, b: int) -> int:
-        found, still = -1, []
-        for node, before in (*self.open[state], (0, self.last[state])):
-            to = self.child.get(node << 8 | b)
-            if to is None:
-                continue
-            t = self.token_at.get(to)
-            if t is not None and (before < 0 or self.gadgets.arc(before, t)):
-                found = t
-            if to in self.inner:
-                still.append((to, before))
-        name = (found, tuple(still))
-        new = self.number.get(name)
-        if new is None:
-            new = self.number[name] = len(self.last)
-            self.last.append(found)
-            self.open.append(name[1])
-        self.step[state << 8 | b] = new
-        return new
+            self.label_at[at] = t
+
+    def labels(self, word: bytes, at: int) -> list[int]:
+        """The labels that continue a word, shortest first."""
+        out, node, child, label_at = [], 0, self.child, self.label_at
+        for b in word[at:]:
+            node = child.get(node << 8 | b)
+            if node is None:
+                break
+            t = label_at[node]
+            if t >= 0:
+                out.append(t)
+        return out
+
+    def arc(self, state: int, label: int) -> bool:
+        key = state << 20 | label
+        ok = self.arcs.get(key)
+        if ok is None:
+            ok = self.arcs[key] = self.gadgets.arc(state, label)
+        return ok
 
     def encode(self, word: bytes) -> list[int]:
-        if len(self.step) > TABLE_LIMIT:
-            self.clear()
-        step, last, state, path = self.step, self.last, 0, []
-        for b in word:
-            to = step.get(state << 8 | b)
-            state = self.enter(state, b) if to is None else to
-            path.append(last[state])
-        ids, at = [], len(word)
-        while at:
-            t = path[at - 1]
-            ids.append(t)
-            at -= self.length[t]
-        return ids[::-1]
+        """The one path that spells the word: nearly always the longest label with an arc at each state; else a search."""
+        arcs, length, n = self.arcs, self.length, len(word)
+        if len(arcs) > TABLE_LIMIT:
+            arcs.clear()
+        path: list[int] = []
+        at, state = 0, -1
+        while at < n:
+            for t in reversed(self.labels(word, at)):
+                if state < 0:
+                    break
+                ok = arcs.get(state << 20 | t)
+                if ok or ok is None and self.arc(state, t):
+                    break
+            else:
+                return self.search(word)
+            path.append(t)
+            at += length[t]
+            state = t
+        return path
+
+    def search(self, word: bytes) -> list[int]:
+        """Longer labels are tried first; a state that cannot go on at a position is not entered there again, so the work is
+        bounded by positions times labels."""
+        path: list[int] = []
+        ahead, at, state = [self.labels(word, 0)], 0, -1
+        dead: set[tuple[int, int]] = set()
+        while True:
+            if not ahead[-1]:
+                dead.add((at, state))
+                ahead.pop()
+                at -= self.length[path.pop()]
+                state = path[-1] if path else -1
+                continue
+            t = ahead[-1].pop()
+            if state >= 0 and not self.arc(state, t) or (at + self.length[t], t) in dead:
+                continue
+            path.append(t)
+            at, state = at + self.length[t], t
+            if at == len(word):
+                return path
+            ahead.append(self.labels(word, at))
 
 
 class Coder:
@@ -168,9 +197,8 @@ class Coder:
         self.bytes_of |= {i: utf8(t) for t, i in self.added.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.spec = text
-        self.words = Memo(lambda w: ",".join(map(str, self.encode_word(w))))                                    # word -> its ids as decimal text
-        self.first, self.spaced = Memo(self._chunk), Memo(lambda c: self._chunk(c, " "))                         # chunk -> its ids
-        self.parts = Memo(lambda ids: b"".join([self.bytes_of[int(i)] for i in ids.split(",")]))                 # ids -> what their arc labels emit
+        self.words = Memo(lambda w: self._both(self.encode_word(w)))                                             # word -> ids and bytes
+        self.first, self.spaced = Memo(self._chunk), Memo(lambda c: self._chunk(c, " "))                         # chunk -> ids and bytes
         self.feed = self.words["\n"]
         self._library = None
 
@@ -192,12 +220,12 @@ class Coder:
             out += [part] if i % 2 else self.split(part)
         return out
 
-    def coded(self, text: str) -> list[str]:
-        """The ids of a text as decimal texts, one for each chunk.
+    def coded(self, text: str) -> list[tuple[str, bytes]]:
+        """Ids (as decimal text) and emitted bytes, chunk by chunk.
 
         In a text whose only white space are single spaces and line feeds between other characters, the splitting rule cuts before each
         space and on both sides of each line feed; so its chunks can be looked up whole. Other texts are split first."""
-        if PLAIN(text) is None and not any(a in text for a in self.added):
+        if text and plain(text) and not any(a in text for a in self.added):
             firsts, spaced, out = self.first, self.spaced, []
             for line in text.split("\n"):
                 first, *rest = line.split(" ")
@@ -206,11 +234,18 @@ class Coder:
                 out.append(self.feed)
             out.pop()
             return out
-        return [self.words[w] for w in self.pieces(text)]
+        words = self.words
+        return [words[w] for w in self.pieces(text)]
+
+    def _both(self, ids: list[int]) -> tuple[str, bytes]:
+        return ",".join(map(str, ids)), b"".join([self.bytes_of[i] for i in ids])
 
-    def _chunk(self, chunk: str, before: str = "") -> str:
+    def _chunk(self, chunk: str, before: str = "") -> tuple[str, bytes]:
         words = self.words
-        return words[before + chunk] if chunk.isalpha() else ",".join([words[w] for w in self.pieces(before + chunk)])
+        if chunk.isalpha():
+            return words[before + chunk]
+        ids, data = zip(*[words[w] for w in self.pieces(before + chunk)])
+        return ",".join(ids), b"".join(data)
 
     def encode_word(self, word: str) -> list[int]:
         one = self.added.get(word)
@@ -242,12 +277,12 @@ def encode_decode(docs: DataFrame, tokenizer: str, keep_ids: bool = False) -> Da
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
             n, ids, a, z = [], [], [], []
             for t in b.column("text").to_pylist():
-                coded = coder.coded(t) if t else []
-                text = ",".join(coded)
+                coded = coder.coded(t or "")
+                text = ",".join([c[0] for c in coded])
                 n.append(text.count(",") + 1 if text else 0)
                 ids.append([int(i) for i in text.split(",")] if keep_ids and text else [] if keep_ids else None)
                 a.append(hashlib.sha256(text.encode()).hexdigest())
-                data = b"".join([coder.parts[c] for c in coded])
+                data = b"".join([c[1] for c in coded])
                 z.append(hashlib.sha256(data.decode("utf-8", "replace").encode()).hexdigest())
             return batch(doc_id=b.column("doc_id"), n_tokens=pa.array(n, pa.int64()), ids=pa.array(ids, pa.list_(pa.int32())),
                          ids_sha256=pa.array(a, pa.string()), decoded_sha256=pa.array(z, pa.string()))
