@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..session import materialise  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"          # fixed value: the word pattern of the contracts
-MEMO_LIMIT = 400_000                 # entries of a generation of a task's memos: bounds memory, not results
+MEMO_LIMIT = 500_000                 # entries of a generation of a task's memos: bounds memory, not results
 
 
 class Memo(dict):

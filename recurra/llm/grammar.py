@@ -33,7 +33,7 @@ from .automaton import byte_letters
 from .common import Memo, batch, small_batches
 
 # White space for Python alone; what is beyond Latin letters with one lower case of one letter; the splitting rule.
-ODD_BLANKS = re.compile("[\x1c-\x1f]")
+ODD_BLANKS = "\x1c\x1d\x1e\x1f"
 FAR = re.compile("[^\x00-\u012f\u0131-\u017f]")
 LETTER, NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
 PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\\s{LETTER}{NUMBER}]+")
@@ -61,7 +61,6 @@ class Encoder:
         pre = json.dumps(rules.get("pre_tokenizer"))
         self.known = '"Lowercase"' in json.dumps(rules.get("normalizer")) and "'s|'t|'re|'ve|'m|'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in pre and '"ByteLevel"' in pre
         self.letter = {b: c for b, c in enumerate(byte_letters())}
-        self.words = Memo(self._word)
         self.chunks = Memo(self._chunk)
 
     def _word(self, word: str) -> bytes:
@@ -70,11 +69,14 @@ class Encoder:
         return array("I", [t.id for t in self.library.model.tokenize(word)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        words = self.words
-        return words[chunk] if chunk.isalpha() else b"".join([words[w] for w in PIECES.findall(chunk)])
+        words = [chunk] if chunk.isalpha() else PIECES.findall(chunk)
+        if len(words) == 1:
+            return self._word(words[0])
+        chunks = self.chunks
+        return b"".join([chunks[w] for w in words])
 
     def near(self, text: str) -> bool:
-        if not self.known or any(a in text for a in self.added) or ODD_BLANKS.search(text):
+        if not self.known or any(a in text for a in self.added) or any(b in text for b in ODD_BLANKS):
             return False
         if text.isascii():
             return True
@@ -106,27 +108,27 @@ def compress(ids: np.ndarray, base: int, rounds: int, least: int) -> tuple[np.nd
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        bits = np.uint64(max(12, int(len(seq)).bit_length()))
+        bits = max(12, int(len(seq)).bit_length() - 1)
         pair = (seq[:-1] << 32) | seq[1:]
-        h = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> (np.uint64(64) - bits)).astype(np.int64)
-        freq = np.bincount(h, minlength=1 << int(bits)).astype(np.int32)[h]
-        del h
+        h = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+        freq = np.bincount(h, minlength=1 << bits).astype(np.int32)[h]
         # neighbours of equal frequency form a run; a run wins when both runs beside it are less frequent, and every other position of it is replaced
         start = np.concatenate([[0], np.nonzero(freq[1:] != freq[:-1])[0] + 1])
         value, size = freq[start], np.diff(np.append(start, len(freq)))
         wins = value >= least
         wins[1:] &= value[1:] > value[:-1]
         wins[:-1] &= value[:-1] > value[1:]
-        win = np.repeat(wins, size)
-        win &= ((np.arange(len(freq)) - np.repeat(start, size)) & 1) == 0
-        at = np.nonzero(win)[0]
+        at = start[wins]
+        more = (size[wins] - 1) // 2                                  # further places of long runs
+        if more.any():
+            extra = np.repeat(at, more) + 2 * (np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1)
+            at = np.sort(np.concatenate([at, extra]))
         rule, which, n = np.unique(pair[at], return_inverse=True, return_counts=True)
         good = n >= least
         if not good.any():
             break
-        number = np.cumsum(good) - 1 + made
         use = good[which]
-        at, symbol = at[use], number[which[use]]
+        at, symbol = at[use], (np.cumsum(good) - 1 + made)[which[use]]
         left, right = rule[good] >> 32, rule[good] & 0xFFFFFFFF
         seq[at] = symbol
         keep = np.ones(len(seq), bool)
