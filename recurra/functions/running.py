@@ -6,7 +6,7 @@ over the earlier buckets, and added to a window inside the bucket only. The
 result equals the plain window; no task ever holds more than one bucket.
 
 ``bucket`` is a SQL expression that must be non-decreasing along ``order`` (a truncated timestamp, a
-position divided by a constant). Key columns and the bucket must not be NULL.
+position divided by a constant). A NULL key is a group like any other.
 """
 from __future__ import annotations
 
@@ -17,6 +17,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 _B = "__bucket"
 
 
+def _on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Equi-join in which NULL keys meet."""
+    r = right.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return left.join(r, same).drop(*[f"__k_{k}" for k in keys])
+
+
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: str,
             sums: Mapping[str, Column], inclusive: bool = False) -> DataFrame:
     """Add one column per entry of ``sums``: its total over the group's earlier rows
@@ -30,7 +39,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], b
     offsets = totals.select(*keys, _B, *[F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(f"__o_{n}") for n in sums])
     inner = (Window.partitionBy(*keys, _B).orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    joined = tagged.join(offsets, keys + [_B])
+    joined = _on(tagged, offsets, [*keys, _B])
     out = joined.select(*df.columns, *[
         (F.col(f"__o_{n}") + F.coalesce(F.sum(f"__v_{n}").over(inner), F.lit(0))).alias(n) for n in sums])
     return out
@@ -42,14 +51,6 @@ def position(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     return running(df, keys, order, bucket, {name: F.lit(1)}, inclusive=True)
 
 
-def running_total_of_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
-                            value: str, name: str, inclusive: bool = True) -> DataFrame:
-    """Plain running sum; for tables that are already aggregated to a bounded size."""
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*order)
-    w = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
-
-
 def asof_latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: str, value: str, name: str) -> DataFrame:
     """Largest ``value`` among the group's earlier rows and the row itself (NULLs skipped).
 
@@ -61,5 +62,5 @@ def asof_latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str
     earlier = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per.select(*keys, _B, F.max("__m").over(earlier).alias("__o"))
     inner = Window.partitionBy(*keys, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = tagged.join(offsets, keys + [_B])
+    joined = _on(tagged, offsets, [*keys, _B])
     return joined.select(*df.columns, F.greatest(F.max(value).over(inner), F.col("__o")).alias(name))

@@ -52,10 +52,28 @@ def next_tick(d: Column, schedule: int) -> Column:
 
 
 # -- without expiry: closed form ---------------------------------------------------------
-def promotion_ticks(records: DataFrame, policy: Policy, last: DataFrame | int) -> DataFrame:
+def last_ticks(records: DataFrame, policy: Policy) -> DataFrame:
+    """(chain_id, last_tick): the tick that closes a chain's last record. Where the calendar of a finished run ends."""
+    return records.groupBy("chain_id").agg(F.max(next_tick(F.col("d"), policy.schedule)).alias("last_tick"))
+
+
+def conflicts(records: DataFrame, policy: Policy) -> DataFrame:
+    """(chain_id, loc, d_other): from which day on a cluster also holds a record of the opposite label."""
+    opposite = "good" if "bad" in policy.labels else "bad"
+    return records.filter(F.col("label") == opposite).groupBy(*KEYS).agg(F.min("d").alias("d_other"))
+
+
+def _keyed_join(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Join on the cluster; a NULL location is a cluster like any other."""
+    r = right.withColumnsRenamed({"chain_id": "__c", "loc": "__l"})
+    return left.join(r, F.col("chain_id").eqNullSafe(F.col("__c")) & F.col("loc").eqNullSafe(F.col("__l")), how).drop("__c", "__l")
+
+
+def promotion_ticks(records: DataFrame, policy: Policy, last: DataFrame | int | None = None, contradicting: DataFrame | None = None) -> DataFrame:
     """(chain_id, loc, promo_tick) of every cluster that is promoted.
 
-    ``last`` is the final tick: a number, or a table (chain_id, last_tick).
+    ``last`` is the final tick: a number, a table (chain_id, last_tick), or None when the calendar goes on until every
+    record is closed. ``contradicting`` has (chain_id, loc, d_other): a conflict known when a tick closes blocks the cluster.
     """
     el = eligible(records, policy)
     # one row per cluster, input and tick; an input is new on its first tick
@@ -70,7 +88,12 @@ def promotion_ticks(records: DataFrame, policy: Policy, last: DataFrame | int) -
         # an approver among the proposers blocks the cluster from that record on
         blocked = F.col("d_self").isNotNull() & (next_tick(F.col("d_self"), policy.schedule) <= next_tick(F.col("d"), policy.schedule))
         ready = ready.filter(~blocked)
+    if contradicting is not None:
+        ready = _keyed_join(ready, contradicting.select(*KEYS, "d_other"), "left")
+        ready = ready.filter(~F.coalesce(next_tick(F.col("d_other"), policy.schedule) <= next_tick(F.col("d"), policy.schedule), F.lit(False)))
     out = ready.select(*KEYS, next_tick(F.col("d"), policy.schedule).alias("promo_tick"))
+    if last is None:
+        return out
     if isinstance(last, int):
         return out.filter(F.col("promo_tick") <= last)
     return out.join(last, "chain_id").filter(F.col("promo_tick") <= F.col("last_tick")).drop("last_tick")
@@ -79,7 +102,7 @@ def promotion_ticks(records: DataFrame, policy: Policy, last: DataFrame | int) -
 def outcomes(records: DataFrame, promotions: DataFrame) -> DataFrame:
     """``outcome`` per record, and the cluster's promo_tick."""
     first = records.groupBy(*KEYS).agg(F.min(F.struct("ts", "record_id")).alias("f"))
-    x = records.join(first.select(*KEYS, F.col("f.record_id").alias("__first")), KEYS).join(promotions, KEYS, "left")
+    x = _keyed_join(_keyed_join(records, first.select(*KEYS, F.col("f.record_id").alias("__first")), "inner"), promotions, "left")
     out = (F.when(F.col("record_id") == F.col("__first"), "buffered")
            .when(F.col("promo_tick").isNotNull() & (F.col("d") + 1 > F.col("promo_tick")), "discarded").otherwise("reinforced"))
     return x.withColumn("outcome", out).drop("__first")
@@ -88,18 +111,18 @@ def outcomes(records: DataFrame, promotions: DataFrame) -> DataFrame:
 def support_rows(records: DataFrame, promotions: DataFrame, policy: Policy) -> DataFrame:
     """Eligible records behind each promotion: provenance as rows, unbounded by any array."""
     start = F.col("from_tick") if "from_tick" in promotions.columns else F.lit(0)
-    return eligible(records, policy).join(promotions, KEYS).filter((F.col("d") + 1 <= F.col("promo_tick")) & (F.col("d") >= start))
+    return _keyed_join(eligible(records, policy), promotions, "inner").filter((F.col("d") + 1 <= F.col("promo_tick")) & (F.col("d") >= start))
 
 
 def memory_objects(records: DataFrame, promotions: DataFrame, policy: Policy) -> DataFrame:
     """One immutable object per promotion, with digests of its evidence and its content id."""
     start = F.col("from_tick") if "from_tick" in promotions.columns else F.lit(0)
-    seed = (records.join(promotions, KEYS).filter(F.col("d") >= start).groupBy(*KEYS)
+    seed = (_keyed_join(records, promotions, "inner").filter(F.col("d") >= start).groupBy(*KEYS)
             .agg(F.min(F.struct("ts", "record_id", "content")).alias("s")).select(*KEYS, F.col("s.content").alias("content")))
     sup = support_rows(records, promotions, policy)
     ev = sup.groupBy(*KEYS, "promo_tick").agg(F.count("*").alias("n_support"), set_digest(F.col("record_id").cast("string")).alias("provenance"))
     inputs = sup.select(*KEYS, "input_hash").distinct().groupBy(*KEYS).agg(F.count("*").alias("n_inputs"), set_digest(F.col("input_hash")).alias("inputs"))
-    out = ev.join(inputs, KEYS).join(seed, KEYS).withColumn("approved_by", F.lit(policy.approver))
+    out = _keyed_join(_keyed_join(ev, inputs, "inner"), seed, "inner").withColumn("approved_by", F.lit(policy.approver))
     return out.withColumn("memory_id", content_digest("content", "provenance", "inputs", "approved_by"))
 
 
@@ -111,59 +134,75 @@ def gate_reasons(records: DataFrame, policy: Policy, contradicting: DataFrame |
     is_el = F.col("label").isin(*policy.labels)
     inputs = eligible(records, policy).select(*KEYS, "input_hash").distinct().groupBy(*KEYS).agg(F.count("*").alias("n_inputs"))
     c = records.groupBy(*KEYS).agg(F.count_if(is_el).alias("n_eligible"), F.max((is_el & (F.col("agent_id") == policy.approver)).cast("int")).alias("__self"))
-    c = c.join(inputs, KEYS, "left").fillna(0, ["n_inputs"])
+    c = _keyed_join(c, inputs, "left").fillna(0, ["n_inputs"])
     if contradicting is not None:
-        c = c.join(contradicting.select(*KEYS).distinct().withColumn("__bad", F.lit(True)), KEYS, "left")
+        c = _keyed_join(c, contradicting.select(*KEYS).distinct().withColumn("__bad", F.lit(True)), "left")
     else:
         c = c.withColumn("__bad", F.lit(None).cast("boolean"))
-    reason = (F.when(F.col("n_eligible") < policy.min_occurrences, F.concat(F.lit("occurrences "), F.col("n_eligible").cast("string"), F.lit(f" < {policy.min_occurrences}")))
-              .when(F.col("n_inputs") < policy.min_inputs, F.concat(F.lit("distinct_inputs "), F.col("n_inputs").cast("string"), F.lit(f" < {policy.min_inputs}")))
-              .when(F.lit(policy.separation_of_duties) & (F.col("__self") == 1), F.lit(f"separation_of_duties: approver {policy.approver} is a proposer"))
-              .when(F.col("__bad"), F.lit("contradicts promoted memory")).otherwise(F.lit("")))
+    reason = (F.when(F.col("n_eligible") < policy.min_occurrences, "too_few_records")
+              .when(F.col("n_inputs") < policy.min_inputs, "too_few_inputs")
+              .when(F.lit(policy.separation_of_duties) & (F.col("__self") == 1), "own_approval")
+              .when(F.col("__bad"), "conflict").otherwise(""))
     return c.select(*KEYS, "n_eligible", "n_inputs", reason.alias("reason"))
 
 
 def contradicted(records: DataFrame, promotions: DataFrame, policy: Policy) -> DataFrame:
     """Promotions whose cluster also holds a record of the opposite label by then."""
-    opposite = "good" if "bad" in policy.labels else "bad"
-    other = records.filter(F.col("label") == opposite).groupBy(*KEYS).agg(F.min("d").alias("d_other"))
-    return promotions.join(other, KEYS).filter(F.col("d_other") + 1 <= F.col("promo_tick")).select(*KEYS)
+    return _keyed_join(promotions, conflicts(records, policy), "inner").filter(F.col("d_other") + 1 <= F.col("promo_tick")).select(*KEYS)
 
 
 # -- with expiry: a fold over the ticks of each cluster -------------------------------------
 def _tick_rows(records: DataFrame, policy: Policy) -> DataFrame:
-    """(chain_id, loc, d, n, e, news): news counts the tick's eligible inputs by the tick
-    they were last seen at (-1 = never), which is what decides if they are new to an entry."""
+    """(chain_id, loc, d, n, e, self, news): self tells that the approver is among the tick's proposers; news counts the tick's
+    eligible inputs by the tick they were last seen at (-1 = never), which is what decides if they are new to an entry."""
     is_el = F.col("label").isin(*policy.labels)
-    per = records.groupBy(*KEYS, "d").agg(F.count("*").alias("n"), F.count_if(is_el).alias("e"))
+    mine = is_el & F.coalesce(F.col("agent_id") == policy.approver, F.lit(False))
+    per = records.groupBy(*KEYS, "d").agg(F.count("*").alias("n"), F.count_if(is_el).alias("e"), F.max(mine).alias("self"))
     seen = eligible(records, policy).select(*KEYS, "input_hash", "d").distinct()
     prev = F.coalesce(F.lag("d").over(Window.partitionBy(*KEYS, "input_hash").orderBy("d")), F.lit(-1))
     news = seen.select(*KEYS, "d", prev.alias("prev")).groupBy(*KEYS, "d", "prev").agg(F.count("*").alias("c"))
-    lists = news.groupBy(*KEYS, "d").agg(F.collect_list(F.struct("prev", "c")).alias("news"))
-    return per.join(lists, [*KEYS, "d"], "left").select(*KEYS, "d", "n", "e", F.coalesce("news", F.array().cast("array<struct<prev:int,c:bigint>>")).alias("news"))
+    lists = news.groupBy(*KEYS, "d").agg(F.collect_list(F.struct("prev", "c")).alias("news")).withColumnRenamed("d", "__d")
+    return _day_join(per, lists).select(*KEYS, "d", "n", "e", "self", F.coalesce("news", F.array().cast("array<struct<prev:int,c:bigint>>")).alias("news"))
+
+
+def _day_join(left: DataFrame, right: DataFrame) -> DataFrame:
+    r = right.withColumnsRenamed({"chain_id": "__c", "loc": "__l"})
+    return left.join(r, F.col("chain_id").eqNullSafe(F.col("__c")) & F.col("loc").eqNullSafe(F.col("__l")) & (F.col("d") == F.col("__d")), "left").drop("__c", "__l", "__d")
 
 
-def ttl_states(records: DataFrame, policy: Policy, last_tick: int) -> DataFrame:
+def ttl_states(records: DataFrame, policy: Policy, last_tick: int | None = None, contradicting: DataFrame | None = None) -> DataFrame:
     """Per cluster: promo_tick, from_tick (start of the promoted entry), the state at every
     tick with records, and the expiries. Ticks without records are skipped over exactly.
 
-    One array element per tick of the calendar, so its length is bounded by ``last_tick``.
+    The calendar ends at ``last_tick`` or, without it, where the chain's last record is closed. The fold holds one array element
+    per tick on which the cluster has records. Separation of duties and contradictions (see :func:`promotion_ticks`) hold as in
+    the closed form; an entry starts with no proposers.
     """
     ttl, sched, mo, mi = policy.ttl, policy.schedule, policy.min_occurrences, policy.min_inputs
-    rows = _tick_rows(records, policy).groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("d", "n", "e", "news"))).alias("ticks"))
-    start = F.expr("named_struct('ins', cast(null as int), 'e', 0L, 'i', 0L, 'last', -1, 'p', cast(null as int), 'p_from', cast(null as int), "
+    rows = _tick_rows(records, policy).groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("d", "n", "e", "self", "news"))).alias("ticks"))
+    if last_tick is not None:
+        rows = rows.withColumn("last_tick", F.lit(last_tick))
+    else:
+        end = last_ticks(records, policy).withColumnRenamed("chain_id", "__end")
+        rows = rows.join(end, F.col("chain_id").eqNullSafe(F.col("__end"))).drop("__end")
+    if contradicting is not None:
+        rows = _keyed_join(rows, contradicting.select(*KEYS, next_tick(F.col("d_other"), sched).alias("barred")), "left")
+    else:
+        rows = rows.withColumn("barred", F.lit(None).cast("int"))
+    start = F.expr("named_struct('ins', cast(null as int), 'e', 0L, 'i', 0L, 'self', false, 'last', -1, 'p', cast(null as int), 'p_from', cast(null as int), "
                    "'states', cast(array() as array<struct<d:int,state:string>>), 'dead', cast(array() as array<struct<ins:int,tick:int>>))")
 
     def advance(s: Column, upto: Column) -> Column:
         g = s.getField
         tick = next_tick(g("last"), sched)
         live = g("p").isNull() & g("ins").isNotNull()
-        promote = F.coalesce(live & (g("e") >= mo) & (g("i") >= mi) & (tick <= upto) & (tick < g("ins") + ttl), F.lit(False))
+        allowed = F.coalesce(tick < F.col("barred"), F.lit(True)) & ~(F.lit(policy.separation_of_duties) & g("self"))
+        promote = F.coalesce(live & allowed & (g("e") >= mo) & (g("i") >= mi) & (tick <= upto) & (tick < g("ins") + ttl), F.lit(False))
         expire = F.coalesce(live & ~promote & (g("ins") + ttl <= upto), F.lit(False))
         gone = promote | expire
         dead = F.when(expire, F.array(F.struct(g("ins").alias("ins"), (g("ins") + ttl).alias("tick")))).otherwise(F.expr("cast(array() as array<struct<ins:int,tick:int>>)"))
         return F.struct(F.when(~gone, g("ins")).alias("ins"), F.when(gone, 0).otherwise(g("e")).cast("long").alias("e"), F.when(gone, 0).otherwise(g("i")).cast("long").alias("i"),
-                        g("last").alias("last"), F.when(promote, tick).otherwise(g("p")).alias("p"), F.when(promote, g("ins")).otherwise(g("p_from")).alias("p_from"),
+                        (~gone & g("self")).alias("self"), g("last").alias("last"), F.when(promote, tick).otherwise(g("p")).alias("p"), F.when(promote, g("ins")).otherwise(g("p_from")).alias("p_from"),
                         g("states").alias("states"), F.concat(g("dead"), dead).alias("dead"))
 
     def absorb(s: Column, x: Column) -> Column:
@@ -171,10 +210,10 @@ def ttl_states(records: DataFrame, policy: Policy, last_tick: int) -> DataFrame:
         state = F.when(g("p").isNotNull(), "discarded").when(g("ins").isNull(), "buffered").otherwise("reinforced")
         ins = F.when(g("p").isNull(), F.coalesce(g("ins"), x.getField("d")))
         new = F.aggregate(x.getField("news"), F.lit(0).cast("long"), lambda a, v: a + F.when(v.getField("prev") < ins, v.getField("c")).otherwise(0))
-        return F.struct(ins.alias("ins"), (g("e") + x.getField("e")).alias("e"), (g("i") + new).alias("i"), x.getField("d").alias("last"), g("p").alias("p"), g("p_from").alias("p_from"),
+        return F.struct(ins.alias("ins"), (g("e") + x.getField("e")).alias("e"), (g("i") + new).alias("i"), (g("self") | x.getField("self")).alias("self"), x.getField("d").alias("last"), g("p").alias("p"), g("p_from").alias("p_from"),
                         F.concat(g("states"), F.array(F.struct(x.getField("d").alias("d"), state.alias("state")))).alias("states"), g("dead").alias("dead"))
 
-    folded = F.aggregate("ticks", start, lambda s, x: absorb(advance(s, x.getField("d")), x), lambda s: advance(s, F.lit(last_tick)))
+    folded = F.aggregate("ticks", start, lambda s, x: absorb(advance(s, x.getField("d")), x), lambda s: advance(s, F.col("last_tick")))
     return rows.select(*KEYS, folded.alias("f")).select(*KEYS, F.col("f.p").alias("promo_tick"), F.col("f.p_from").alias("from_tick"), F.col("f.states").alias("states"), F.col("f.dead").alias("expired"))
 
 
@@ -182,7 +221,7 @@ def ttl_outcomes(records: DataFrame, states: DataFrame) -> DataFrame:
     """``outcome`` per record under expiry: only the first record of a tick can open an entry."""
     per_tick = states.select(*KEYS, F.inline("states"))
     first = records.groupBy(*KEYS, "d").agg(F.min(F.struct("ts", "record_id")).alias("f")).select(*KEYS, "d", F.col("f.record_id").alias("__first"))
-    x = records.join(per_tick.join(first, [*KEYS, "d"]), [*KEYS, "d"])
+    x = _day_join(records, _day_join(per_tick, first.withColumnRenamed("d", "__d")).withColumnRenamed("d", "__d"))
     opens = (F.col("state") == "buffered") & (F.col("record_id") != F.col("__first"))
     return x.withColumn("outcome", F.when(opens, "reinforced").otherwise(F.col("state"))).drop("state", "__first")
 
@@ -212,7 +251,7 @@ def cluster_purity(support: DataFrame, pattern: Column, by: str = "chain_id") ->
 
 def never_used(promotions: DataFrame, outcome_rows: DataFrame) -> DataFrame:
     """Promotions no later record was redundant to."""
-    return promotions.join(outcome_rows.filter("outcome = 'discarded'").select(*KEYS).distinct(), KEYS, "left_anti")
+    return _keyed_join(promotions, outcome_rows.filter("outcome = 'discarded'").select(*KEYS).distinct(), "left_anti")
 
 
 # -- evaluation against memory as it was --------------------------------------------------------

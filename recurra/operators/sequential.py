@@ -137,35 +137,43 @@ class Fold:
         return "discarded"
 
 
-def consolidate(records: DataFrame, cells: dict[str, Policy], last_tick: int) -> DataFrame:
+def consolidate(records: DataFrame, cells: dict[str, Policy], last_tick: int | None = None) -> DataFrame:
     """Outcome per record (kind 'record') and promotions (kind 'promotion') for every cell of settings.
 
     ``records`` has chain_id, record_id, ts, d, content, label, input_hash, agent_id, pattern.
-    Similarities are found once, at the lowest bar of all cells, and shared by them.
+    Similarities are found once, at the lowest bar of all cells, and shared by them. The calendar ends at ``last_tick`` or where
+    a chain's last record is closed.
     """
     floor = min(min(1 - p.theta, p.cluster, p.rho if p.rho is not None else 1.0) for p in cells.values()) - 1e-9
     comps = content_components(records, max(floor, 1e-6))
     names = F.array(*[F.lit(c) for c in cells])
-    rows = (records.join(comps, ["chain_id", "content"]).withColumn("cell", F.explode(names))
-            .select("cell", "chain_id", "comp", "ts", "record_id", "d", "content", "label", "input_hash", "agent_id", "pattern")
+    ends = records.groupBy("chain_id").agg(F.max("d").alias("last_d"))
+    rows = (records.join(ends, "chain_id").join(comps, ["chain_id", "content"]).withColumn("cell", F.explode(names))
+            .select("cell", "chain_id", "comp", "ts", "record_id", "d", "last_d", "content", X.words(F.col("content")).alias("ws"), "label", "input_hash", "agent_id", "pattern")
             .repartition("cell", "chain_id", "comp").sortWithinPartitions("cell", "chain_id", "comp", "ts", "record_id"))
 
+    def end(key: tuple) -> int:
+        if last_tick is not None:
+            return last_tick
+        step = cells[key[0]].schedule
+        return -(-(key[3] + 1) // step) * step
+
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state, here = None, None
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                key = (r.cell, r.chain_id, r.comp)
+                key = (r.cell, r.chain_id, r.comp, int(r.last_d))
                 if key != here:
                     if state is not None:
-                        out += [(here[0], here[1], "promotion", None, None, t, c, ok) for t, c, ok in state.advance(last_tick)]
+                        out += [(here[0], here[1], "promotion", None, None, t, c, ok) for t, c, ok in state.advance(end(here))]
                     state, here = Fold(cells[r.cell]), key
                 out += [(r.cell, r.chain_id, "promotion", None, None, t, c, ok) for t, c, ok in state.advance(int(r.d))]
-                got = state.ingest(int(r.d), r.content, frozenset(r.content.split()), r.label, r.input_hash, r.agent_id, r.pattern)
+                got = state.ingest(int(r.d), r.content, frozenset(r.ws), r.label, r.input_hash, r.agent_id, r.pattern)
                 out.append((r.cell, r.chain_id, "record", r.record_id, got, int(r.d), r.content, None))
             yield _frame(out)
         if state is not None:
-            yield _frame([(here[0], here[1], "promotion", None, None, t, c, ok) for t, c, ok in state.advance(last_tick)])
+            yield _frame([(here[0], here[1], "promotion", None, None, t, c, ok) for t, c, ok in state.advance(end(here))])
     return rows.mapInPandas(fold, OUT)
 
 
@@ -199,7 +207,7 @@ def leader_clusters(items: DataFrame, order: Sequence[str], floor: float) -> Dat
     chain_id, item_id, content and the order columns.
     """
     comps = content_components(items, floor)
-    rows = (items.join(comps, ["chain_id", "content"]).select("chain_id", "comp", *dict.fromkeys([*order, "item_id", "content"]))
+    rows = (items.join(comps, ["chain_id", "content"]).select("chain_id", "comp", *dict.fromkeys([*order, "item_id"]), X.words(F.col("content")).alias("ws"))
             .repartition("chain_id", "comp").sortWithinPartitions("chain_id", "comp", *order))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,7 +217,7 @@ def leader_clusters(items: DataFrame, order: Sequence[str], floor: float) -> Dat
             for r in pdf.itertuples(index=False):
                 if (r.chain_id, r.comp) != here:
                     here, leaders = (r.chain_id, r.comp), []
-                words = frozenset(r.content.split())
+                words = frozenset(r.ws)
                 home = next((i for i, w in leaders if _sim(words, w) >= floor), None)
                 if home is None:
                     leaders.append((r.item_id, words))

@@ -10,7 +10,6 @@ from ..session import spread
 
 ARMS = ("control", "treatment", "placebo")
 NEGATIVE_CONTROL = "NATION_7"
-T_LAST = 30          # last tick of the events calendar (30 days)
 TASK_BUCKET = "trunc(created_at, 'month')"
 
 

@@ -9,7 +9,7 @@ from ..functions.digest import canonical as json_of
 from ..operators import causal as V, consolidate as C, ledger as L
 from ..session import scratch_dir
 from ..sources import state
-from .bindings import T_LAST, with_views
+from .bindings import with_views
 from .registry import query
 
 ROLES = ("assistant", "system", "user")
@@ -97,8 +97,8 @@ def ledger_events(t):
 @query("run_identity", "SELECT count(*) AS n_a, count(*) AS n_b, 0::BIGINT AS only_a, 0::BIGINT AS only_b, true AS same_digest FROM events")
 def run_identity(t):
     """The closed form and the per-tick fold (with an expiry beyond the calendar) must agree row by row."""
-    a = C.outcomes(t.rec, C.promotion_ticks(t.rec, C.TUNED, T_LAST))
-    b = C.ttl_outcomes(t.rec.repartition(13), C.ttl_states(t.rec.repartition(13), replace(C.TUNED, ttl=1000), T_LAST))
+    a = C.outcomes(t.rec, C.promotion_ticks(t.rec, C.TUNED))
+    b = C.ttl_outcomes(t.rec.repartition(13), C.ttl_states(t.rec.repartition(13), replace(C.TUNED, ttl=1000)))
     return L.run_identity(a, b, ["record_id", "outcome"])
 
 
@@ -116,6 +116,6 @@ def table_diff(t):
 def state_roundtrip(t):
     path = scratch_dir(t.spark)
     config = C.TUNED.digest()
-    state.save_state({"promotions": C.promotion_ticks(t.rec, C.TUNED, T_LAST), "ledger": ledger(t)[0]}, config, path)
+    state.save_state({"promotions": C.promotion_ticks(t.rec, C.TUNED), "ledger": ledger(t)[0]}, config, path)
     back = state.load_state(t.spark, ["promotions", "ledger"], config, path)
     return back["promotions"].select(F.lit("promotions").alias("name")).unionByName(back["ledger"].select(F.lit("ledger").alias("name"))).groupBy("name").agg(F.count("*").alias("n"))

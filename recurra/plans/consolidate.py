@@ -10,7 +10,7 @@ from ..functions.running import position
 from ..operators import consolidate as C, memory as MEM
 from ..operators.metrics import label_outcomes
 from ..session import materialise
-from .bindings import TASK_BUCKET, T_LAST, with_views
+from .bindings import TASK_BUCKET, with_views
 from .registry import query
 
 P1 = C.TUNED
@@ -19,7 +19,7 @@ P5 = replace(C.TUNED, schedule=5)
 
 def promo_sql(schedule: int) -> str:
     """Promotion ticks by scanning every scheduled tick (independent of the closed form)."""
-    return f"""pm AS (SELECT chain_id, loc, min(tick) AS promo_tick FROM (SELECT r.chain_id, r.loc, tk_.tick FROM rec r JOIN (SELECT unnest(range({schedule}, {T_LAST + 1}, {schedule})) AS tick) tk_ ON r.d + 1 <= tk_.tick
+    return f"""pm AS (SELECT chain_id, loc, min(tick) AS promo_tick FROM (SELECT r.chain_id, r.loc, tk_.tick FROM rec r JOIN (SELECT unnest(range({schedule}, (SELECT max(d) FROM rec) + 1 + {schedule}, {schedule})) AS tick) tk_ ON r.d + 1 <= tk_.tick
       WHERE r.label = 'bad' GROUP BY 1, 2, 3 HAVING count(*) >= 2 AND count(DISTINCT r.input_hash) >= 2) GROUP BY 1, 2)"""
 
 
@@ -29,29 +29,32 @@ OUT_SQL = """oc AS (SELECT r.*, promo_tick, CASE WHEN row_number() OVER (PARTITI
 
 def _ingest(schedule: int):
     policy = replace(C.TUNED, schedule=schedule)
-    return lambda t: C.outcomes(t.rec, C.promotion_ticks(t.rec, policy, T_LAST)).select("record_id", "outcome", "promo_tick")
+    return lambda t: C.outcomes(t.rec, C.promotion_ticks(t.rec, policy)).select("record_id", "outcome", "promo_tick")
 
 
 for _s in (1, 5):
     query("ingest_outcomes" if _s == 1 else f"ingest_outcomes_every{_s}", with_views("rec", promo_sql(_s) + ",\n" + OUT_SQL + " SELECT record_id, outcome, promo_tick FROM oc"))(_ingest(_s))
 
 
-def ttl_sql(ttl: int, sched: int) -> str:
-    """Record-at-a-time state machine as a recursive query."""
+def ttl_sql(ttl: int, sched: int, approver: str = "promotion-gate", conflict: bool = False) -> str:
+    """Record-at-a-time state machine as a recursive query. The calendar of a chain ends where its last record is closed."""
     tick = f"((last_d + 1 + {sched} - 1) // {sched}) * {sched}"
-    prom = f"(p IS NULL AND ins IS NOT NULL AND e >= 2 AND len(inputs) >= 2 AND {tick} <= {{up}} AND {tick} < ins + {ttl})"
+    prom = f"(p IS NULL AND ins IS NOT NULL AND e >= 2 AND len(inputs) >= 2 AND NOT own AND {tick} < bar AND {tick} <= {{up}} AND {tick} < ins + {ttl})"
     expi = f"(p IS NULL AND ins IS NOT NULL AND NOT {prom} AND ins + {ttl} <= {{up}})"
     pr, ex = prom.format(up="nd"), expi.format(up="nd")
-    return f"""od AS (SELECT chain_id, loc, record_id, d, label = 'bad' AS el, input_hash, row_number() OVER (PARTITION BY chain_id, loc ORDER BY ts, record_id) AS rn FROM rec),
-  st AS (SELECT chain_id, loc, record_id, rn, d AS last_d, d AS ins, CASE WHEN el THEN 1 ELSE 0 END AS e, CASE WHEN el THEN [input_hash] ELSE []::VARCHAR[] END AS inputs, NULL::INT AS p, NULL::INT AS p_from, 'buffered' AS outcome, NULL::INT AS dead_ins FROM od WHERE rn = 1
+    bar = f"coalesce(((min(CASE WHEN label = 'good' THEN d END) OVER (PARTITION BY chain_id, loc) + {sched}) // {sched}) * {sched}, 2147483647)" if conflict else "2147483647"
+    fp, fe = prom.format(up="lc"), expi.format(up="lc")
+    return f"""od AS (SELECT chain_id, loc, record_id, d, label = 'bad' AS el, label = 'bad' AND agent_id = '{approver}' AS me, {bar} AS bar, input_hash, row_number() OVER (PARTITION BY chain_id, loc ORDER BY ts, record_id) AS rn,
+      ((max(d) OVER (PARTITION BY chain_id) + {sched}) // {sched}) * {sched} AS lc FROM rec),
+  st AS (SELECT chain_id, loc, record_id, rn, lc, bar, d AS last_d, d AS ins, me AS own, CASE WHEN el THEN 1 ELSE 0 END AS e, CASE WHEN el THEN [input_hash] ELSE []::VARCHAR[] END AS inputs, NULL::INT AS p, NULL::INT AS p_from, 'buffered' AS outcome, NULL::INT AS dead_ins FROM od WHERE rn = 1
     UNION ALL
-    SELECT chain_id, loc, record_id, rn, d, CASE WHEN p2 IS NOT NULL THEN NULL WHEN ins2 IS NULL THEN d ELSE ins2 END,
+    SELECT chain_id, loc, record_id, rn, lc, bar, d, CASE WHEN p2 IS NOT NULL THEN NULL WHEN ins2 IS NULL THEN d ELSE ins2 END, CASE WHEN ins2 IS NULL THEN me ELSE own OR me END,
       CASE WHEN ins2 IS NULL THEN 0 ELSE e END + CASE WHEN el THEN 1 ELSE 0 END,
       CASE WHEN el THEN list_distinct(list_append(CASE WHEN ins2 IS NULL THEN []::VARCHAR[] ELSE inputs END, input_hash)) WHEN ins2 IS NULL THEN []::VARCHAR[] ELSE inputs END,
       p2, pf2, CASE WHEN p2 IS NOT NULL THEN 'discarded' WHEN ins2 IS NULL THEN 'buffered' ELSE 'reinforced' END, dead
-    FROM (SELECT chain_id, loc, record_id, rn, d, el, input_hash, e, inputs, CASE WHEN {pr} THEN {tick} ELSE p END AS p2, CASE WHEN {pr} THEN ins ELSE p_from END AS pf2, CASE WHEN {pr} OR {ex} THEN NULL ELSE ins END AS ins2, CASE WHEN {ex} THEN ins END AS dead
-      FROM (SELECT st.chain_id, st.loc, od.record_id, od.rn, od.d, od.el, od.input_hash, st.e, st.inputs, st.ins, st.p, st.p_from, st.last_d, od.d AS nd FROM st JOIN od ON st.chain_id = od.chain_id AND st.loc = od.loc AND od.rn = st.rn + 1))),
-  fin AS (SELECT chain_id, loc, CASE WHEN {prom.format(up=T_LAST)} THEN {tick} ELSE p END AS promo_tick, CASE WHEN {prom.format(up=T_LAST)} THEN ins ELSE p_from END AS from_tick, CASE WHEN {expi.format(up=T_LAST)} THEN ins END AS dead_ins
+    FROM (SELECT chain_id, loc, record_id, rn, lc, bar, d, el, me, own, input_hash, e, inputs, CASE WHEN {pr} THEN {tick} ELSE p END AS p2, CASE WHEN {pr} THEN ins ELSE p_from END AS pf2, CASE WHEN {pr} OR {ex} THEN NULL ELSE ins END AS ins2, CASE WHEN {ex} THEN ins END AS dead
+      FROM (SELECT st.chain_id, st.loc, od.record_id, od.rn, od.d, od.el, od.me, od.input_hash, st.lc, st.bar, st.own, st.e, st.inputs, st.ins, st.p, st.p_from, st.last_d, od.d AS nd FROM st JOIN od ON st.chain_id = od.chain_id AND st.loc = od.loc AND od.rn = st.rn + 1))),
+  fin AS (SELECT chain_id, loc, CASE WHEN {fp} THEN {tick} ELSE p END AS promo_tick, CASE WHEN {fp} THEN ins ELSE p_from END AS from_tick, CASE WHEN {fe} THEN ins END AS dead_ins
     FROM (SELECT *, max(rn) OVER (PARTITION BY chain_id, loc) AS mx FROM st) WHERE rn = mx)"""
 
 
@@ -61,21 +64,50 @@ TTL_POLICY_SLOW = replace(C.TUNED, ttl=10, schedule=10)
 
 @query("ingest_outcomes_ttl", with_views("rec", ttl_sql(7, 1) + " SELECT record_id, outcome FROM st", recursive=True))
 def ingest_outcomes_ttl(t):
-    return C.ttl_outcomes(t.rec, C.ttl_states(t.rec, TTL_POLICY, T_LAST)).select("record_id", "outcome")
+    return C.ttl_outcomes(t.rec, C.ttl_states(t.rec, TTL_POLICY)).select("record_id", "outcome")
 
 
 @query("ttl_expiry", with_views("rec", ttl_sql(7, 1) + " SELECT chain_id, loc, dead_ins AS inserted, dead_ins + 7 AS expired_tick FROM (SELECT chain_id, loc, dead_ins FROM st UNION ALL SELECT chain_id, loc, dead_ins FROM fin) WHERE dead_ins IS NOT NULL", recursive=True))
 def ttl_expiry(t):
-    return C.expiries(C.ttl_states(t.rec, TTL_POLICY, T_LAST))
+    return C.expiries(C.ttl_states(t.rec, TTL_POLICY))
 
 
 @query("ttl_promotions", with_views("rec", ttl_sql(10, 10) + " SELECT chain_id, loc, promo_tick, from_tick FROM fin WHERE promo_tick IS NOT NULL", recursive=True))
 def ttl_promotions(t):
-    return C.ttl_states(t.rec, TTL_POLICY_SLOW, T_LAST).filter("promo_tick is not null").select("chain_id", "loc", "promo_tick", "from_tick")
+    return C.ttl_states(t.rec, TTL_POLICY_SLOW).filter("promo_tick is not null").select("chain_id", "loc", "promo_tick", "from_tick")
+
+
+SEPARATED = replace(C.TUNED, ttl=12, approver="agent-0")
+
+
+def _separated(t):
+    return C.ttl_states(t.rec, SEPARATED, contradicting=C.conflicts(t.rec, SEPARATED))
+
+
+@query("ttl_promotions_separated", with_views("rec", ttl_sql(12, 1, "agent-0", True) + " SELECT chain_id, loc, promo_tick, from_tick FROM fin WHERE promo_tick IS NOT NULL", recursive=True))
+def ttl_promotions_separated(t):
+    """An approver that is also a proposer, and records of the opposite label, block promotions under expiry too."""
+    return _separated(t).filter("promo_tick is not null").select("chain_id", "loc", "promo_tick", "from_tick")
+
+
+@query("ingest_outcomes_ttl_separated", with_views("rec", ttl_sql(12, 1, "agent-0", True) + " SELECT record_id, outcome FROM st", recursive=True))
+def ingest_outcomes_ttl_separated(t):
+    return C.ttl_outcomes(t.rec, _separated(t)).select("record_id", "outcome")
+
+
+@query("promotions_separated", with_views("rec", """e AS (SELECT chain_id, loc, d, agent_id, input_hash FROM rec WHERE label = 'bad'),
+  t AS (SELECT DISTINCT r.chain_id, r.loc, r.d + 1 AS tick FROM e r),
+  g AS (SELECT t.chain_id, t.loc, tick FROM t JOIN e ON e.chain_id = t.chain_id AND e.loc = t.loc AND e.d + 1 <= tick GROUP BY ALL
+    HAVING count(*) >= 2 AND count(DISTINCT input_hash) >= 2),
+  f AS (SELECT chain_id, loc, min(tick) AS promo_tick FROM g GROUP BY 1, 2)
+  SELECT f.* FROM f WHERE NOT EXISTS (SELECT 1 FROM rec r WHERE r.chain_id = f.chain_id AND r.loc = f.loc AND r.d + 1 <= promo_tick AND (r.label = 'good' OR r.label = 'bad' AND r.agent_id = 'agent-0'))"""))
+def promotions_separated(t):
+    policy = replace(C.TUNED, approver="agent-0")
+    return C.promotion_ticks(t.rec, policy, contradicting=C.conflicts(t.rec, policy))
 
 
 @query("promotion_gate", with_views("rec", """c AS (SELECT chain_id, loc, count(*) FILTER (label = 'bad') AS n_eligible, count(DISTINCT input_hash) FILTER (label = 'bad') AS n_inputs, coalesce(bool_or(label = 'bad' AND agent_id = 'agent-0'), false) AS s, bool_or(label = 'good' AND event_type = 'view') AS k FROM rec GROUP BY 1, 2)
-  SELECT chain_id, loc, n_eligible, n_inputs, CASE WHEN n_eligible < 2 THEN 'occurrences ' || n_eligible || ' < 2' WHEN n_inputs < 2 THEN 'distinct_inputs ' || n_inputs || ' < 2' WHEN s THEN 'separation_of_duties: approver agent-0 is a proposer' WHEN k THEN 'contradicts promoted memory' ELSE '' END AS reason FROM c"""))
+  SELECT chain_id, loc, n_eligible, n_inputs, CASE WHEN n_eligible < 2 THEN 'too_few_records' WHEN n_inputs < 2 THEN 'too_few_inputs' WHEN s THEN 'own_approval' WHEN k THEN 'conflict' ELSE '' END AS reason FROM c"""))
 def promotion_gate(t):
     conflict = t.rec.filter("label = 'good' and content like 'view%'")
     return C.gate_reasons(t.rec, replace(P1, approver="agent-0"), conflict)
@@ -83,30 +115,30 @@ def promotion_gate(t):
 
 @query("contradiction_block", with_views("rec", promo_sql(1) + " SELECT pm.chain_id, pm.loc FROM pm WHERE EXISTS (SELECT 1 FROM rec r WHERE r.chain_id = pm.chain_id AND r.loc = pm.loc AND label = 'good' AND d + 1 <= promo_tick)"))
 def contradiction_block(t):
-    return C.contradicted(t.rec, C.promotion_ticks(t.rec, P1, T_LAST), P1)
+    return C.contradicted(t.rec, C.promotion_ticks(t.rec, P1), P1)
 
 
 @query("learning_stats", with_views("rec", promo_sql(1) + ",\n" + OUT_SQL + """, p AS (SELECT chain_id, count(*) AS n FROM pm GROUP BY 1)
   SELECT oc.chain_id, count(*) AS candidates, count(*) FILTER (outcome = 'buffered') AS buffered, coalesce(max(p.n), 0) AS promoted, round((count(*) - count(*) FILTER (outcome = 'buffered')) / count(*), 4) AS discard_rate FROM oc LEFT JOIN p ON oc.chain_id = p.chain_id GROUP BY 1"""))
 def learning_stats(t):
-    pm = C.promotion_ticks(t.rec, P1, T_LAST)
+    pm = C.promotion_ticks(t.rec, P1)
     return C.learning_stats(C.outcomes(t.rec, pm), pm)
 
 
 @query("outcome_crosstab", with_views("rec", promo_sql(1) + ",\n" + OUT_SQL + " SELECT outcome, count(*) FILTER (label='bad') AS bad, count(*) FILTER (label='good') AS good, count(*) FILTER (label='unknown') AS unknown FROM oc GROUP BY 1"))
 def outcome_crosstab(t):
-    return C.outcome_crosstab(C.outcomes(t.rec, C.promotion_ticks(t.rec, P1, T_LAST)))
+    return C.outcome_crosstab(C.outcomes(t.rec, C.promotion_ticks(t.rec, P1)))
 
 
 @query("cluster_purity", with_views("rec", promo_sql(5) + """, s AS (SELECT r.chain_id, r.loc, count(DISTINCT agent_id) = 1 AS pure FROM rec r JOIN pm ON r.chain_id = pm.chain_id AND r.loc = pm.loc WHERE label = 'bad' AND d + 1 <= promo_tick GROUP BY 1, 2)
   SELECT chain_id, count(*) AS clusters, count(*) FILTER (pure) AS pure, round((count(*) - count(*) FILTER (pure)) / count(*), 4) AS merged_share FROM s GROUP BY 1"""))
 def cluster_purity(t):
-    return C.cluster_purity(C.support_rows(t.rec, C.promotion_ticks(t.rec, P5, T_LAST), P5), F.col("agent_id"))
+    return C.cluster_purity(C.support_rows(t.rec, C.promotion_ticks(t.rec, P5), P5), F.col("agent_id"))
 
 
 @query("never_retrieved", with_views("rec", promo_sql(1) + ",\n" + OUT_SQL + " SELECT chain_id, loc, promo_tick FROM pm WHERE NOT EXISTS (SELECT 1 FROM oc WHERE oc.chain_id = pm.chain_id AND oc.loc = pm.loc AND outcome = 'discarded')"))
 def never_retrieved(t):
-    pm = C.promotion_ticks(t.rec, P1, T_LAST)
+    pm = C.promotion_ticks(t.rec, P1)
     return C.never_used(pm, C.outcomes(t.rec, pm)).select("chain_id", "loc", "promo_tick")
 
 
@@ -126,7 +158,7 @@ def memory(t):
 
 
 def _memory(t):
-    return C.memory_objects(t.rec, C.promotion_ticks(t.rec, P1, T_LAST), P1)
+    return C.memory_objects(t.rec, C.promotion_ticks(t.rec, P1), P1)
 
 
 @query("memory_ids", with_views("rec", MEM_SQL + " SELECT chain_id, loc, promo_tick, n_support, n_inputs, content, memory_id FROM mem"))
@@ -189,7 +221,7 @@ def pool_digest(t):
 
 @query("memory_location", with_views("rec", MEM_SQL + " SELECT mem.memory_id, arg_min(sp.loc, sp.record_id) AS location FROM mem JOIN sp ON mem.chain_id = sp.chain_id AND mem.loc = sp.loc GROUP BY 1"))
 def memory_location(t):
-    pm = C.promotion_ticks(t.rec, P1, T_LAST)
+    pm = C.promotion_ticks(t.rec, P1)
     sup = C.support_rows(t.rec, pm, P1).join(C.memory_objects(t.rec, pm, P1).select("chain_id", "loc", "memory_id"), ["chain_id", "loc"])
     return MEM.memory_locations(sup)
 

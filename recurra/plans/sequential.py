@@ -9,7 +9,6 @@ from ..operators import sequential as Q
 from ..operators.consolidate import Policy
 from ..operators.paired import recommend_cell
 from ..operators.recurrence import expected_redundant
-from .bindings import T_LAST
 from .registry import query
 
 BASE = Policy(min_occurrences=2, min_inputs=2, schedule=1, ttl=10, theta=0.45, rho=0.6, cluster=0.6)
@@ -18,26 +17,24 @@ GRID = {f"{th:.2f}/{rho:.2f}/{cl:.2f}": replace(BASE, ttl=10_000, schedule=10, t
 
 
 def records(t):
-    """Events with a readable content: the event type and location as words."""
-    content = F.concat_ws(" ", F.split("content", " => ").getItem(0), F.lit("at"), F.col("loc"), F.concat(F.lit("by"), F.col("agent_id")), F.col("label"))
-    return t.rec.withColumn("content", content).withColumn("pattern", F.col("loc"))
+    return t.rec.withColumn("pattern", F.col("loc"))
 
 
 @query("ingest_outcomes_jaccard")
 def ingest_outcomes_jaccard(t):
-    out = Q.consolidate(records(t), {"base": BASE}, T_LAST)
+    out = Q.consolidate(records(t), {"base": BASE})
     return out.filter("kind = 'record'").select("chain_id", "record_id", "outcome")
 
 
 @query("threshold_sweep")
 def threshold_sweep(t):
     injected = expected_redundant(records(t), ["chain_id", "loc"], ["chain_id"])
-    return Q.sweep_table(Q.consolidate(records(t), GRID, T_LAST), GRID, injected)
+    return Q.sweep_table(Q.consolidate(records(t), GRID), GRID, injected)
 
 
 @query("recommend_cell")
 def recommend(t):
-    return recommend_cell(threshold_sweep(t), tol=0.5, min_purity=0.0)
+    return recommend_cell(threshold_sweep(t))
 
 
 @query("leader_cluster")

@@ -133,11 +133,11 @@ def test_gate_rules(spark):
     p = Policy()
     why = lambda df, pol=p, con=None: C.gate_reasons(df, pol, con).head().reason
     assert why(recs(["bad"] * 3, "abc")) == ""
-    assert why(recs(["bad"] * 2, "ab")) == "occurrences 2 < 3"
-    assert why(recs(["bad", "bad", "good", "unknown"], "abcd")) == "occurrences 2 < 3"
-    assert why(recs(["bad"] * 3, "aaa")) == "distinct_inputs 1 < 3"
-    assert why(recs(["bad"] * 3, "abc", p.approver)).startswith("separation_of_duties")
-    assert why(recs(["bad"] * 3, "abc"), p, recs(["good"], "z")) == "contradicts promoted memory"
+    assert why(recs(["bad"] * 2, "ab")) == "too_few_records"
+    assert why(recs(["bad", "bad", "good", "unknown"], "abcd")) == "too_few_records"
+    assert why(recs(["bad"] * 3, "aaa")) == "too_few_inputs"
+    assert why(recs(["bad"] * 3, "abc", p.approver)) == "own_approval"
+    assert why(recs(["bad"] * 3, "abc"), p, recs(["good"], "z")) == "conflict"
 
 
 def test_rho_band(spark):
@@ -168,7 +168,7 @@ def test_stream_equals_batch(spark, tmp_path):
         df.filter(F.col("d").between(i * 5, i * 5 + 4)).coalesce(1).write.mode("append").parquet(str(src))
     closing.coalesce(1).write.mode("append").parquet(str(src))
     live = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(src))
-    out = S.consolidate_stream(live, p, "2024-01-01", 20)
+    out = S.consolidate_stream(live, p, "2024-01-01", "0 seconds", 20)
     S.run_available(out, str(tmp_path / "out"), str(tmp_path / "ck"))
     got = spark.read.parquet(str(tmp_path / "out")).filter("chain_id <> 99")
     st = C.ttl_states(df, p, 20)
