@@ -13,7 +13,7 @@ Sets that share a key (band, part, value) are candidates.
 Links. Identical sets are folded first. In a group of sets with one key, everyone is compared with the group's first and with
 its predecessor; components of the verified links follow. What is left are pairs in different components inside groups of four or more:
 they are compared block by block on narrow sketches inside a task, which reports only pairs whose Hamming distance allows a
-link, never all pairs. Every reported pair is verified on whole sets, and components are built again: no link is lost.
+link, never all pairs. Every reported pair that wide sketches (for long sets) allow too is verified on whole sets, and components are built again: no link is lost.
 
 Shingles are compared by 64-bit hashes of their words (so are sets): a false match has a chance of about 2^-64 a pair of shingles.
 
@@ -35,6 +35,7 @@ from .components import components
 
 BAND = 1.5
 NARROW = 1024                     # bits of the narrow sketch
+LONG = 400                        # from this size on a set also has a wide sketch, of two bits an element or more
 BLOCK = 512
 BROADCAST_ROWS = 250_000         # ids sent to every task at most; beyond it the join is shuffled
 U = np.uint64
@@ -143,9 +144,15 @@ def part_keys(h: np.ndarray, plan: Plan) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
-def narrow_sketch(h: np.ndarray) -> np.ndarray:
-    bits = np.bincount(((h >> U(7)) & U(NARROW - 1)).astype(np.int64), minlength=NARROW) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+def sketch(h: np.ndarray, bits: int) -> np.ndarray:
+    """Parity of the elements that fall on each of ``bits`` bits (a power of two). The halves of a sketch, XORed, are the
+    sketch of half as many bits."""
+    odd = np.bincount(((h >> U(7)) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def wide_bits(n: int) -> int:
+    return 1 << (2 * n - 1).bit_length()
 
 
 def set_id(h: np.ndarray) -> int:
@@ -157,7 +164,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text"))
 
 
-FACTS = "doc_id long, text_key long, n long, sid long, sketch array<long>, keys array<long>"
+FACTS = "doc_id long, text_key long, n long, sid long, sketch array<long>, wide array<long>, keys array<long>"
 
 
 def set_facts(docs: DataFrame, width: int, per: int) -> DataFrame:
@@ -169,7 +176,7 @@ def set_facts(docs: DataFrame, width: int, per: int) -> DataFrame:
         plan, known = Plan(per), set()
 
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
-            ns, sids, sketches, keys = [], [], [], []
+            ns, sids, sketches, wides, keys = [], [], [], [], []
             for t in b.column("text").cast(pa.binary()).to_pylist():
                 h = shingles(t or b"", width)
                 ns.append(len(h))
@@ -177,15 +184,17 @@ def set_facts(docs: DataFrame, width: int, per: int) -> DataFrame:
                 sids.append(s)
                 if s is None or s in known:
                     sketches.append(None)
+                    wides.append(None)
                     keys.append(None)
                     continue
                 if len(known) >= 100_000:
                     known.clear()
                 known.add(s)
-                sketches.append(narrow_sketch(h))
+                sketches.append(sketch(h, NARROW))
+                wides.append(sketch(h, wide_bits(len(h))) if len(h) >= LONG else None)
                 keys.append(part_keys(h, plan))
             return batch(doc_id=b.column("doc_id"), text_key=b.column("text_key"), n=pa.array(ns, pa.int64()), sid=pa.array(sids, pa.int64()),
-                         sketch=pa.array(sketches, pa.list_(pa.int64())), keys=pa.array(keys, pa.list_(pa.int64())))
+                         sketch=pa.array(sketches, pa.list_(pa.int64())), wide=pa.array(wides, pa.list_(pa.int64())), keys=pa.array(keys, pa.list_(pa.int64())))
         return batches_of(one)(batches)
 
     return _texts(docs).mapInArrow(run, FACTS)
@@ -232,13 +241,27 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
 
 
+def _folded(x: Column) -> Column:
+    half = F.floor(F.size(x) / 2).cast("int")
+    return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+
 def possible(pairs: DataFrame, sets: DataFrame, per: int) -> DataFrame:
-    """The pairs (a, b) that sizes and narrow sketches do not rule out."""
-    side = lambda p: sets.select(*[F.col(c).alias(f"{p}_{c}") for c in ("sid", "n", "sketch")])          # noqa: E731
-    both = (pairs.join(side("a"), F.col("a") == F.col("a_sid")).join(side("b"), F.col("b") == F.col("b_sid")))
-    total = F.col("a_n") + F.col("b_n")
-    near = (100 * F.least("a_n", "b_n") >= per * F.greatest("a_n", "b_n")) & (hamming(F.col("a_sketch"), F.col("b_sketch")) * (100 + per) <= total * (100 - per))
-    return both.filter(near).select("a", "b")
+    """The pairs (a, b) that sizes and sketches do not rule out: narrow sketches first, wide ones for long sets that pass. Sizes
+    are so near that two wide sketches have as many bits or twice as many; then the larger is folded once."""
+    def sides(rows: DataFrame, what: str) -> DataFrame:
+        side = lambda p: sets.select(F.col("sid").alias(f"{p}_sid"), F.col("n").alias(f"{p}_n"), F.col(what).alias(f"{p}_s"))          # noqa: E731
+        return rows.join(side("a"), F.col("a") == F.col("a_sid")).join(side("b"), F.col("b") == F.col("b_sid"))
+
+    def allowed(a: Column, b: Column) -> Column:
+        return hamming(a, b) * (100 + per) <= (F.col("a_n") + F.col("b_n")) * (100 - per)
+
+    a, b = F.col("a_s"), F.col("b_s")
+    near = 100 * F.least("a_n", "b_n") >= per * F.greatest("a_n", "b_n")
+    first = materialise(sides(pairs, "sketch").filter(near & allowed(a, b)).select("a", "b", (F.least("a_n", "b_n") >= LONG).alias("long")))
+    long = sides(first.filter("long").select("a", "b"), "wide")
+    wa, wb = F.when(F.size(a) > F.size(b), _folded(a)).otherwise(a), F.when(F.size(b) > F.size(a), _folded(b)).otherwise(b)
+    return first.filter("NOT long").select("a", "b").unionByName(long.filter(allowed(wa, wb)).select("a", "b"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, per: int) -> DataFrame:
@@ -317,7 +340,7 @@ def _groups(docs: DataFrame, width: int, per: int) -> tuple[DataFrame, DataFrame
     """(facts of the documents, sid -> root and smallest id of its component)."""
     facts = materialise(set_facts(docs, width, per))
     sets = materialise(facts.filter(F.col("sid").isNotNull()).groupBy("sid").agg(
-        F.min("doc_id").alias("first_id"), F.bool_and(F.col("doc_id").isNull()).alias("no_id"), F.any_value("n").alias("n"), F.any_value("sketch", F.lit(True)).alias("sketch")))
+        F.min("doc_id").alias("first_id"), F.bool_and(F.col("doc_id").isNull()).alias("no_id"), F.any_value("n").alias("n"), F.any_value("sketch", F.lit(True)).alias("sketch"), F.any_value("wide", F.lit(True)).alias("wide")))
     shared = materialise(shared_keys(facts))
     by_key = Window.partitionBy("key").orderBy("sid")
     pairs = (shared.select("sid", F.first("sid").over(by_key).alias("first"), F.lag("sid").over(by_key).alias("before"))
@@ -327,7 +350,7 @@ def _groups(docs: DataFrame, width: int, per: int) -> tuple[DataFrame, DataFrame
     # an eighth of the keys first: sets that share one key mostly share several, and what is joined by then is not compared again
     share = F.pmod(F.xxhash64("key"), F.lit(8))
     for keys in (shared.filter(share == 0), shared.filter(share != 0)):
-        more = materialise(remaining(keys, comp, sets, per))
+        more = materialise(possible(materialise(remaining(keys, comp, sets, per)), sets, per))
         if more.limit(1).count():
             links = materialise(links.union(verified(more, docs, sets, width, per)))
             comp = materialise(components(links))
