@@ -26,7 +26,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Memo, batch, batches_of, small_batches, utf8
+from .common import MEMO_LIMIT, Memo, batch, batches_of, small_batches, utf8
 
 TABLE_LIMIT = 1_000_000          # arcs in a task's table before it is emptied: bounds memory, not results
 
@@ -181,7 +181,7 @@ class Machine:
 class Coder:
     """A byte-level BPE tokenizer compiled from the text of a ``tokenizer.json``."""
 
-    def __init__(self, text: str) -> None:
+    def __init__(self, text: str, memo: int = MEMO_LIMIT) -> None:
         spec = json.loads(text)
         model = spec["model"]
         vocab = model["vocab"]
@@ -197,9 +197,8 @@ class Coder:
         self.bytes_of |= {i: utf8(t) for t, i in self.added.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.spec = text
-        self.words = Memo(lambda w: self._both(self.encode_word(w)))                                             # word -> ids and bytes
-        self.first, self.spaced = Memo(self._chunk), Memo(lambda c: self._chunk(c, " "))                         # chunk -> ids and bytes
-        self.feed = self.words["\n"]
+        self.first, self.spaced = Memo(self._chunk, memo), Memo(lambda c: self._chunk(c, " "), memo)         # chunk -> ids and bytes; spaced: after a space
+        self.feed = self.first["\n"]
         self._library = None
 
     def split(self, text: str) -> list[str]:
@@ -234,17 +233,18 @@ class Coder:
                 out.append(self.feed)
             out.pop()
             return out
-        words = self.words
-        return [words[w] for w in self.pieces(text)]
+        return [self._word(w) for w in self.pieces(text)]
 
-    def _both(self, ids: list[int]) -> tuple[str, bytes]:
-        return ",".join(map(str, ids)), b"".join([self.bytes_of[i] for i in ids])
+    def _word(self, word: str) -> tuple[str, bytes]:
+        return self.spaced[word[1:]] if word[0] == " " and len(word) > 1 else self.first[word]
 
     def _chunk(self, chunk: str, before: str = "") -> tuple[str, bytes]:
-        words = self.words
-        if chunk.isalpha():
-            return words[before + chunk]
-        ids, data = zip(*[words[w] for w in self.pieces(before + chunk)])
+        whole = before + chunk
+        words = [whole] if chunk.isalpha() else self.pieces(whole)
+        if len(words) == 1:
+            ids = self.encode_word(whole)
+            return ",".join(map(str, ids)), b"".join([self.bytes_of[i] for i in ids])
+        ids, data = zip(*[self._word(w) for w in words])
         return ",".join(ids), b"".join(data)
 
     def encode_word(self, word: str) -> list[int]:
@@ -259,20 +259,21 @@ class Coder:
 
 
 @lru_cache(1)
-def coder_of(text: str) -> Coder:
-    return Coder(text)
+def coder_of(text: str, memo: int) -> Coder:
+    return Coder(text, memo)
 
 
-def encode_decode(docs: DataFrame, tokenizer: str, keep_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer: str, keep_ids: bool = False, memo: int = MEMO_LIMIT) -> DataFrame:
     """doc_id, n_tokens, ids (NULL unless ``keep_ids``), ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 (of the text
-    decoded from them). ``tokenizer`` is the path of a byte-level ``tokenizer.json`` on the driver; its text is sent to the tasks."""
+    decoded from them). ``tokenizer`` is the path of a byte-level ``tokenizer.json`` on the driver; its text is sent to the tasks. ``memo`` bounds the chunks a
+    task remembers; it changes time and memory, not results."""
     spark = docs.sparkSession
     small_batches(spark)
     with open(tokenizer, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())               # a vocabulary: of fixed size
 
     def run(batches):
-        coder = coder_of(shared.value)
+        coder = coder_of(shared.value, memo)
 
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
             n, ids, a, z = [], [], [], []

@@ -9,21 +9,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..session import materialise  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"          # fixed value: the word pattern of the contracts
-MEMO_LIMIT = 500_000                 # entries of a generation of a task's memos: bounds memory, not results
+MEMO_LIMIT = 400_000                 # entries of a generation of a task's memo: bounds memory (about 300 bytes each, two generations), not results
 
 
 class Memo(dict):
     """A memo of two generations: when the young one is full it becomes the old one, and what is used again is taken over."""
 
-    def __init__(self, make) -> None:
+    def __init__(self, make, limit: int = MEMO_LIMIT) -> None:
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key: str) :
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= MEMO_LIMIT:
+        if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
         self[key] = value

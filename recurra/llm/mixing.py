@@ -74,25 +74,25 @@ def _seats(weight: Column, threshold: Column) -> Column:
 def apportion(cells: DataFrame, group: str, weight: str, house: str, order: list[str]) -> DataFrame:
     """Add ``seats``: the group's ``house`` seats by the highest quotients weight / (2 s + 1), ties by ``order``.
     ``group`` must not be NULL; ``house`` is the same in all rows of a group."""
-    groups = cells.groupBy(group).agg(F.max(house).alias("h"), F.sum(weight).alias("w"), F.max(weight).alias("most"))
+    groups = cells.groupBy(group).agg(F.max(house).alias("a_house"), F.sum(weight).alias("w"), F.max(weight).alias("most"))
     # every seat at threshold w / (2 h) or below is at least the fair share; above the largest weight there is none
-    state = groups.select(F.col(group).alias("g"), "h", (F.col("w") / (2 * F.col("h") + 2) / 2).alias("low"), (F.col("most") * 1.5).alias("high"))
-    state = materialise(state.filter((F.col("h") > 0) & (F.col("w") > 0)))
+    state = groups.select(F.col(group).alias("a_group"), "a_house", (F.col("w") / (2 * F.col("a_house") + 2) / 2).alias("a_low"), (F.col("most") * 1.5).alias("a_high"))
+    state = materialise(state.filter((F.col("a_house") > 0) & (F.col("w") > 0)))
     for _ in range(ROUNDS):
-        at = [F.col("low") + (F.col("high") - F.col("low")) * (i / POINTS) for i in range(POINTS + 1)]
-        counts = (cells.select(group, weight).join(state, F.col(group) == F.col("g"))
-                  .groupBy("g", "h", "low", "high").agg(F.array(*[F.sum(_seats(F.col(weight), p)) for p in at]).alias("n")))
+        at = [F.col("a_low") + (F.col("a_high") - F.col("a_low")) * (i / POINTS) for i in range(POINTS + 1)]
+        counts = (cells.select(group, weight).join(state, F.col(group) == F.col("a_group"))
+                  .groupBy("a_group", "a_house", "a_low", "a_high").agg(F.array(*[F.sum(_seats(F.col(weight), p)) for p in at]).alias("n")))
         # the last point that still gives at least h seats, and the first that gives fewer
-        last = F.greatest(F.lit(0), F.size(F.filter("n", lambda c: c >= F.col("h"))) - 1)
-        step = (F.col("high") - F.col("low")) / POINTS
-        state = materialise(counts.select("g", "h", (F.col("low") + step * last).alias("low"), (F.col("low") + step * F.least(F.lit(POINTS), last + 1)).alias("high")))
-    held = cells.join(state, F.col(group) == F.col("g"), "left").withColumn("sure", _seats(F.col(weight), F.col("high"))).withColumn("may", _seats(F.col(weight), F.col("low")))
+        last = F.greatest(F.lit(0), F.size(F.filter("n", lambda c: c >= F.col("a_house"))) - 1)
+        step = (F.col("a_high") - F.col("a_low")) / POINTS
+        state = materialise(counts.select("a_group", "a_house", (F.col("a_low") + step * last).alias("a_low"), (F.col("a_low") + step * F.least(F.lit(POINTS), last + 1)).alias("a_high")))
+    held = cells.join(state, F.col(group) == F.col("a_group"), "left").withColumn("sure", _seats(F.col(weight), F.col("a_high"))).withColumn("may", _seats(F.col(weight), F.col("a_low")))
     held = materialise(held)
     sure = held.groupBy(group).agg(F.sum("sure").alias("given")).withColumnRenamed(group, "sg")
     contested = (held.filter(F.col("may") > F.col("sure")).withColumn("s", F.explode(F.sequence(F.col("sure"), F.col("may") - 1)))
                  .withColumn("quotient", F.col(weight) / (2 * F.col("s") + 1)))
     rank = Window.partitionBy(group).orderBy(F.col("quotient").desc(), *order)
-    won = (contested.withColumn("r", F.row_number().over(rank)).join(sure, F.col(group) == F.col("sg")).filter(F.col("r") <= F.col("h") - F.col("given"))
+    won = (contested.withColumn("r", F.row_number().over(rank)).join(sure, F.col(group) == F.col("sg")).filter(F.col("r") <= F.col("a_house") - F.col("given"))
            .groupBy(*[F.col(c).alias(f"w_{c}") for c in [group, *order]]).agg(F.count(F.lit(1)).alias("won")))
     same = F.lit(True)
     for c in [group, *order]:

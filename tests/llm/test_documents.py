@@ -265,7 +265,7 @@ def test_ownership_separates_live_from_copied(make):
     docs = make([(1, f"key {live} here", None, "a"), (2, f"again {live}", None, "a")] + [(10 + i, f"x {copied} token={live}", None, f"s{i % 3}") for i in range(6)] +
                 [(30, None, None, None), (31, "", None, "a"), (32, "x " * 500_000, None, "a"), (None, "password = hunter2hunter2", None, None)])
     rows = {x.doc_id: x for x in secrets.find_secrets(docs).withColumn("text", secrets.joined("spans")).collect()}
-    assert rows[1].text == "" and rows[10].text == "assign:25:54"          # the value is under several owners
+    assert rows[1].text == "" and rows[10].text == "assign:26:55"          # the value is under several owners
     only = {x.doc_id: x for x in secrets.find_secrets(docs.filter("doc_id < 3 OR doc_id IS NULL")).withColumn("text", secrets.joined("spans")).collect()}
     assert only[1].text == f"owned:4:{4 + len(live)}" and only[None].text == "assign:0:26" and only[None].n_live == 1
     assert rows[30].n_assign == rows[31].n_assign == rows[32].n_assign == 0 and len(rows) == 12
