@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import scratch_dir
 from .automaton import byte_letters
-from .common import Memo, batch, small_batches
+from .common import MEMO_LIMIT, Memo, batch, small_batches
 
 # White space for Python alone; what is beyond Latin letters with one lower case of one letter; the splitting rule.
 ODD_BLANKS = "\x1c\x1d\x1e\x1f"
@@ -61,12 +61,13 @@ class Encoder:
         pre = json.dumps(rules.get("pre_tokenizer"))
         self.known = '"Lowercase"' in json.dumps(rules.get("normalizer")) and "'s|'t|'re|'ve|'m|'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in pre and '"ByteLevel"' in pre
         self.letter = {b: c for b, c in enumerate(byte_letters())}
-        self.chunks = Memo(self._chunk)
+        self.chunks = Memo(self._chunk, 2 * MEMO_LIMIT)                # its entries are half as large as others'
+        self.model = self.library.model
 
     def _word(self, word: str) -> bytes:
         if not (word.isascii() and word.isprintable()):
             word = word.encode().decode("latin-1").translate(self.letter)
-        return array("I", [t.id for t in self.library.model.tokenize(word)]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         words = [chunk] if chunk.isalpha() else PIECES.findall(chunk)
@@ -101,29 +102,19 @@ def encoder_of(spec: str) -> Encoder:
 
 def compress(ids: np.ndarray, base: int, rounds: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(left, right, lengths, seq) of a sequence of ids below ``base``."""
-    seq = ids.astype(np.int64)
-    lefts, rights, lens = [], [], [np.ones(0, np.int64)]
+    seq = ids.astype(np.uint32)
+    lefts, rights = [], []
     made = base
     length_of = np.ones(0, np.int64)
     for _ in range(rounds):
         if len(seq) < 2:
             break
         bits = max(12, int(len(seq)).bit_length() - 1)
-        pair = (seq[:-1] << 32) | seq[1:]
-        h = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-        freq = np.bincount(h, minlength=1 << bits).astype(np.int32)[h]
-        # neighbours of equal frequency form a run; a run wins when both runs beside it are less frequent, and every other position of it is replaced
-        start = np.concatenate([[0], np.nonzero(freq[1:] != freq[:-1])[0] + 1])
-        value, size = freq[start], np.diff(np.append(start, len(freq)))
-        wins = value >= least
-        wins[1:] &= value[1:] > value[:-1]
-        wins[:-1] &= value[:-1] > value[1:]
-        at = start[wins]
-        more = (size[wins] - 1) // 2                                  # further places of long runs
-        if more.any():
-            extra = np.repeat(at, more) + 2 * (np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1)
-            at = np.sort(np.concatenate([at, extra]))
-        rule, which, n = np.unique(pair[at], return_inverse=True, return_counts=True)
+        h = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D)
+        h = (h >> np.uint32(32 - bits)).astype(np.int64)
+        at = _places(np.bincount(h, minlength=1 << bits).astype(np.int32)[h], least)
+        pair = (seq[at].astype(np.int64) << 32) | seq[at + 1]
+        rule, which, n = np.unique(pair, return_inverse=True, return_counts=True)
         good = n >= least
         if not good.any():
             break
@@ -143,6 +134,25 @@ def compress(ids: np.ndarray, base: int, rounds: int, least: int) -> tuple[np.nd
     return cat(lefts).astype("<u4"), cat(rights).astype("<u4"), length_of.astype("<u4"), seq.astype("<u4")
 
 
+def _places(freq: np.ndarray, least: int) -> np.ndarray:
+    """Where a pair is replaced, given the frequency of the pair at each place: places more frequent than both neighbours, and every
+    other place of a run of equal ones between less frequent neighbours."""
+    up, down = freq[1:] > freq[:-1], freq[1:] < freq[:-1]
+    win = freq >= least
+    win[1:] &= up
+    win[:-1] &= down
+    at = np.nonzero(win)[0]
+    tie = np.nonzero(~(up | down))[0]                       # place i is as frequent as i + 1
+    if not len(tie):
+        return at
+    new = np.concatenate([[True], np.diff(tie) > 1])
+    first, last = tie[new], tie[np.append(np.nonzero(new)[0][1:] - 1, len(tie) - 1)] + 1
+    ok = (freq[first] >= least) & ((first == 0) | up[np.maximum(first - 1, 0)]) & ((last == len(freq) - 1) | down[np.minimum(last, len(down) - 1)])
+    first, n = first[ok], (last[ok] - first[ok]) // 2 + 1
+    extra = np.repeat(first, n) + 2 * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    return np.sort(np.concatenate([at, extra]))
+
+
 class Grammar:
     """Rules of a shard, with expansions laid end to end. A rule's parts are terminals or earlier rules."""
 
@@ -173,14 +183,11 @@ class Grammar:
             return np.empty(0, np.uint32)
         rule = symbols >= self.base
         start = np.where(rule, self.offset[np.maximum(symbols - self.base, 0)] if len(self.len) else 0, 0)
-        place = np.repeat(start - ends + n, n)
+        # where each id comes from: the symbol itself, written behind the rules' expansions, or a place in them
+        own = len(self.text) + np.arange(len(symbols))
+        place = np.repeat(np.where(rule, start, own) - ends + n, n)
         place += np.arange(ends[-1])
-        terminal = np.repeat(~rule, n)
-        out = np.empty(ends[-1], np.uint32)
-        out[terminal] = symbols[~rule]
-        inside = ~terminal
-        out[inside] = self.text[place[inside]]
-        return out
+        return np.concatenate([self.text, symbols.astype(np.uint32)])[place]
 
 
 def decode_range(grammar: Grammar, seq: np.ndarray, begin: int, end: int) -> np.ndarray:
