@@ -23,6 +23,7 @@ import json
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -277,15 +278,18 @@ def encode_decode(docs: DataFrame, tokenizer: str, keep_ids: bool = False, memo:
 
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
             n, ids, a, z = [], [], [], []
+            none = pa.nulls(b.num_rows, pa.list_(pa.int32()))
             for t in b.column("text").to_pylist():
                 coded = coder.coded(t or "")
                 text = ",".join([c[0] for c in coded])
                 n.append(text.count(",") + 1 if text else 0)
-                ids.append([int(i) for i in text.split(",")] if keep_ids and text else [] if keep_ids else None)
+                if keep_ids:
+                    ids.append(np.fromstring(text, np.int32, sep=",") if text else np.empty(0, np.int32))
                 a.append(hashlib.sha256(text.encode()).hexdigest())
                 data = b"".join([c[1] for c in coded])
                 z.append(hashlib.sha256(data.decode("utf-8", "replace").encode()).hexdigest())
-            return batch(doc_id=b.column("doc_id"), n_tokens=pa.array(n, pa.int64()), ids=pa.array(ids, pa.list_(pa.int32())),
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), np.concatenate(ids)) if keep_ids else none
+            return batch(doc_id=b.column("doc_id"), n_tokens=pa.array(n, pa.int64()), ids=lists,
                          ids_sha256=pa.array(a, pa.string()), decoded_sha256=pa.array(z, pa.string()))
         return batches_of(one)(batches)
 
