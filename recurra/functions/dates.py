@@ -5,10 +5,15 @@ from pyspark.sql import Column, functions as F
 
 
 def literal_date(value: Column) -> Column:
-    """The calendar date a string names, without shifting it to UTC; NULL if it names none."""
+    """The calendar date a string names, without shifting it to UTC; NULL if it names none.
+
+    ISO forms with or without dashes and an optional time of day, to the end of the string.
+    """
     s = F.trim(value)
-    shape = F.regexp_like(s, F.lit(r"^\d{4}-\d{2}-\d{2}($|[T ]\d{2}:\d{2})"))
-    return F.when(shape, F.try_to_timestamp(F.substring(s, 1, 10), F.lit("yyyy-MM-dd")).cast("date"))
+    time = r"([T ]\d{2}(:?\d{2}(:?\d{2}([.,]\d+)?)?)?([Zz]|[+-]\d{2}(:?\d{2}(:?\d{2})?)?)?)?$"
+    dashed, plain = F.regexp_like(s, F.lit(r"^\d{4}-\d{2}-\d{2}" + time)), F.regexp_like(s, F.lit(r"^\d{8}" + time))
+    return (F.when(dashed, F.try_to_timestamp(F.substring(s, 1, 10), F.lit("yyyy-MM-dd")))
+            .when(plain, F.try_to_timestamp(F.substring(s, 1, 8), F.lit("yyyyMMdd")))).cast("date")
 
 
 def cutoff_from_epoch(seconds: Column) -> Column:

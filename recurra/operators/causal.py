@@ -56,20 +56,22 @@ def turn_clocks(turns: DataFrame, agents: Sequence[str], isolated: Sequence[str]
     return r.withColumn("clock", normalise(F.create_map(*parts))).drop(*sums)
 
 
-def recent_pairs(turns: DataFrame, back: int, columns: Sequence[str]) -> DataFrame:
-    """Each turn (``a_``) with each of its ``back`` predecessors (``m_``): linear in the turns.
-
-    The window is cut at fixed stretches of turns; the last ``back`` turns of a stretch are
-    repeated at the start of the next, so a long conversation is never one task.
-    """
-    stretch = 64
-    here = turns.withColumn("__s", F.floor(F.col("turn") / stretch)).withColumn("__own", F.lit(True))
-    carry = (turns.filter(F.col("turn") % stretch >= stretch - back).withColumn("__s", F.floor(F.col("turn") / stretch) + 1).withColumn("__own", F.lit(False)))
-    w = Window.partitionBy("conv_id", "__s").orderBy("turn")
-    both = here.unionByName(carry)
-    lagged = F.array(*[F.struct(*[F.lag(c, i).over(w).alias(f"m_{c}") for c in columns]) for i in range(1, back + 1)])
-    x = both.select("conv_id", "__own", *[F.col(c).alias(f"a_{c}") for c in columns], lagged.alias("__l"))
-    return x.filter("__own").select("conv_id", *[f"a_{c}" for c in columns], F.inline("__l")).filter("m_turn is not null")
+def with_memories(turns: DataFrame, memories: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
+    """Every turn (``a_``) beside every memory (``m_``) of its conversation, whatever lies between them. ``memories`` is a
+    table of its own; the result has turns times memories rows."""
+    m = memories.select(F.col(by).alias("__by"), *[F.col(c).alias(f"m_{c}") for c in columns])
+    return (turns.select(by, *[F.col(c).alias(f"a_{c}") for c in columns]).join(m, F.col(by).eqNullSafe(F.col("__by"))).drop("__by"))
+
+
+def known_before(turns: DataFrame, memory: Column, agents: Sequence[str], by: str = "conv_id", order: str = "turn", bucket: str = "turn div 64") -> DataFrame:
+    """``known``: how many memories lie in the causal past of each turn, without a pair. The past of a turn is a frontier, its
+    clock: of each agent's memories the first so many turns of that agent are known, which a running count has ready."""
+    r = running(turns, [by], [order], bucket, {f"m_{a}": F.when((F.col("role") == a) & memory, 1).otherwise(0) for a in agents}, inclusive=True)
+    seen = [F.when(F.coalesce(F.try_element_at("clock", F.lit(a)), F.lit(0)) > 0, F.col(f"m_{a}")).otherwise(0) for a in agents]
+    total = seen[0]
+    for s in seen[1:]:
+        total = total + s
+    return r.withColumn("known", total.cast("long")).drop(*[f"m_{a}" for a in agents])
 
 
 def causal_join(pairs: DataFrame, memory: str = "m_clock", action: str = "a_clock") -> DataFrame:

@@ -64,7 +64,7 @@ def at_version(members: DataFrame, objects: DataFrame, version: str | None, key:
 
 def gate_retrieval(ranked: DataFrame, tau: float) -> DataFrame:
     """Keep every candidate's score; inject those above zero and at least ``tau``."""
-    return ranked.withColumn("injected", (F.col("s4") > 0) & (F.col("s4") >= round(tau * SCALE)))
+    return ranked.withColumn("injected", (F.col("score") > 0) & (F.col("score") >= tau))
 
 
 def placebo_retrieval(gated: DataFrame, pool_ranked: DataFrame) -> DataFrame:

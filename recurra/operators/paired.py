@@ -12,7 +12,6 @@ from ..functions.digest import PRIME, draw, with_counter_draw
 Z_ALPHA = 1.959963984540054
 Z_POWER = 0.8416212335729143
 Z_WALD = 1.959964
-SINGLE_DRAW = 1 << 20      # above, two draws are combined so that "mod n" stays even
 
 PAIR_SUMS = ("n", "both_hit", "control_only", "treatment_only", "differed", "retrieved")
 
@@ -111,10 +110,9 @@ def bootstrap_interval(counts: DataFrame, group: str, seed: str, reps: int, chun
     grid = grid.repartition(group, "rep", "ch").withColumn("key", F.pmod(draw(seed, F.col(group), F.col("rep")), F.lit(PRIME)))
     last = F.least(F.col("n"), (F.col("ch") + 1) * chunk) - 1
     draws = grid.select(group, "n", "b", "c", "rep", "key", F.explode(F.sequence(F.col("ch") * chunk, last)).alias("i"))
-    small = with_counter_draw(draws.filter(F.col("n") < SINGLE_DRAW), F.col("key"), F.col("i"), "x")
-    large = with_counter_draw(draws.filter(F.col("n") >= SINGLE_DRAW), F.col("key"), F.col("i") % PRIME, "x1")
-    large = with_counter_draw(large, F.col("key") + F.floor(F.col("i") / PRIME) + 1, F.col("x1"), "x2").withColumn("x", F.col("x2") * PRIME + F.col("x1"))
-    draws = small.unionByName(large.drop("x1", "x2"))
+    # two draws make one of 62 bits, so that "mod n" stays even for every n
+    draws = with_counter_draw(draws, F.col("key"), F.col("i") % PRIME, "x1")
+    draws = with_counter_draw(draws, F.col("key") + F.floor(F.col("i") / PRIME) + 1, F.col("x1"), "x2").withColumn("x", F.col("x2") * PRIME + F.col("x1"))
     r = F.col("x") % F.col("n")
     value = F.when(r < F.col("b"), -1).when(r < F.col("b") + F.col("c"), 1).otherwise(0)
     sums = draws.groupBy(group, "rep", "n").agg(F.sum(value).alias("s"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import text as X
 from ..session import materialise
 
-SCALE = 10_000           # scores are compared and binned at four decimals
+SCALE = 10_000           # scores are shown and binned at four decimals
 
 
 # -- pair expressions ---------------------------------------------------------------
@@ -132,7 +132,7 @@ def novelty_gate(candidates: DataFrame, key: str, memory: DataFrame, mem_key: st
     decision is known and ``max_similarity`` stays NULL.
     """
     near = jaccard_nearest(candidates, key, memory, mem_key, text, max(1 - theta - 1e-9, 1e-6))
-    admitted = F.coalesce((1 - F.col("max_similarity")) > theta, F.lit(True))
+    admitted = F.coalesce((1 - F.col("max_similarity")) > theta, F.lit(theta < 1))          # nothing similar: a surprise of 1
     return near.withColumn("admitted", admitted).withColumn("reason", F.when(admitted, F.lit("novel")).otherwise(F.lit("redundant to memory")))
 
 
@@ -149,45 +149,52 @@ def _grid(queries: DataFrame, memory: DataFrame, key: str, vec: str, extra: list
     of two bounded blocks, and only the reduced result of a block pair leaves the task.
     """
     q, nq = _blocks(queries.select(key, vec, *extra), key, size)
-    m, nm = _blocks(memory.select(key, vec, *extra), key, size)
+    # fresh columns: two sides of one table would otherwise share theirs, which a cogroup mixes up
+    m, nm = _blocks(memory.select(*[F.col(c).alias(c) for c in (key, vec, *extra)]), key, size)
     q = q.withColumnRenamed("__blk", "qb").withColumn("mb", F.explode(F.sequence(F.lit(0), F.lit(nm - 1))))
     m = m.withColumnRenamed("__blk", "mb").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
     return q.groupBy("qb", "mb").cogroup(m.groupBy("qb", "mb"))
 
 
 def _scores(a: pd.Series, b: pd.Series) -> np.ndarray:
-    """Clamped cosine of all pairs as whole ten-thousandths."""
+    """Clamped cosine of all pairs."""
     x, y = np.stack(a.to_numpy()).astype(float), np.stack(b.to_numpy()).astype(float)
     nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     den = np.outer(np.where(nx > 0, nx, 1), np.where(ny > 0, ny, 1))
     s = np.where(np.outer(nx > 0, ny > 0), (x @ y.T) / den, 0.0)
-    return np.floor(np.clip(s, 0, 1) * SCALE + 0.5).astype(np.int64)
+    return np.clip(s, 0, 1)
+
+
+def _bins(s: np.ndarray) -> np.ndarray:
+    """Scores as whole ten-thousandths, for output and histograms only."""
+    return np.floor(s * SCALE + 0.5).astype(np.int64)
 
 
 def cosine_topk(queries: DataFrame, memory: DataFrame, key: str, vec: str, k: int, block: int = 2048) -> DataFrame:
-    """The ``k`` most similar memories per query (ties by id): qid, rank, mid, s4 (score in ten-thousandths)."""
+    """The ``k`` most similar memories per query (ties by id): qid, rank, mid, score, s4 (score in
+    ten-thousandths, for display: ranks and ties are by the score itself)."""
     def best(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         if q.empty or m.empty:
-            return pd.DataFrame({"qid": [], "mid": [], "s4": []})
+            return pd.DataFrame({"qid": [], "mid": [], "score": [], "s4": []})
         m = m.sort_values(key)
         s = _scores(q[vec], m[vec])
         take = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"qid": np.repeat(q[key].to_numpy(), take.shape[1]), "mid": m[key].to_numpy()[take].ravel(), "s4": np.take_along_axis(s, take, 1).ravel()})
-    part = _grid(queries, memory, key, vec, [], block).applyInPandas(best, "qid long, mid long, s4 long")
-    w = Window.partitionBy("qid").orderBy(F.col("s4").desc(), "mid")
+        got = np.take_along_axis(s, take, 1).ravel()
+        return pd.DataFrame({"qid": np.repeat(q[key].to_numpy(), take.shape[1]), "mid": m[key].to_numpy()[take].ravel(), "score": got, "s4": _bins(got)})
+    part = _grid(queries, memory, key, vec, [], block).applyInPandas(best, "qid long, mid long, score double, s4 long")
+    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), "mid")
     return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def cosine_pairs(vectors: DataFrame, key: str, vec: str, floor: float, block: int = 2048) -> DataFrame:
-    """Unordered pairs with cosine >= ``floor`` (at four decimals): a, b, s4."""
-    cut = math.floor(floor * SCALE + 0.5)
+    """Unordered pairs with cosine >= ``floor``: a, b, s4."""
 
     def pairs(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         if q.empty or m.empty:
             return pd.DataFrame({"a": [], "b": [], "s4": []})
         s = _scores(q[vec], m[vec])
-        i, j = np.nonzero((s >= cut) & (q[key].to_numpy()[:, None] < m[key].to_numpy()[None, :]))
-        return pd.DataFrame({"a": q[key].to_numpy()[i], "b": m[key].to_numpy()[j], "s4": s[i, j]})
+        i, j = np.nonzero((s >= floor) & (q[key].to_numpy()[:, None] < m[key].to_numpy()[None, :]))
+        return pd.DataFrame({"a": q[key].to_numpy()[i], "b": m[key].to_numpy()[j], "s4": _bins(s[i, j])})
     return _grid(vectors, vectors, key, vec, [], block).applyInPandas(pairs, "a long, b long, s4 long")
 
 
@@ -203,7 +210,7 @@ def cosine_histogram(vectors: DataFrame, key: str, vec: str, label: str, block:
         s = _scores(q[vec], m[vec])
         keep = q[key].to_numpy()[:, None] < m[key].to_numpy()[None, :]
         same = q[label].to_numpy()[:, None] == m[label].to_numpy()[None, :]
-        code, n = np.unique(s[keep] * 2 + same[keep], return_counts=True)
+        code, n = np.unique(_bins(s[keep]) * 2 + same[keep], return_counts=True)
         return pd.DataFrame({"s4": code // 2, "match": code % 2 == 1, "n": n})
     part = _grid(vectors, vectors, key, vec, [label], block).applyInPandas(hist, "s4 long, match boolean, n long")
     return part.groupBy("s4", "match").agg(F.sum("n").alias("n"))

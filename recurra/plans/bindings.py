@@ -6,7 +6,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import chains, metrics
-from ..session import spread
 
 ARMS = ("control", "treatment", "placebo")
 NEGATIVE_CONTROL = "NATION_7"
@@ -22,7 +21,7 @@ class Tables:
 
     def raw(self, name: str) -> DataFrame:
         if name not in self._raw:
-            self._raw[name] = spread(self.spark.read.parquet(f"{self.path}/{name}.parquet"))
+            self._raw[name] = self.spark.read.parquet(f"{self.path}/{name}.parquet")
         return self._raw[name]
 
     @cached_property

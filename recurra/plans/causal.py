@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.digest import canonical as json_of
 from ..operators import causal as V, consolidate as C, ledger as L
-from ..session import scratch_dir
+from ..session import materialise, scratch_dir
 from ..sources import state
 from .bindings import with_views
 from .registry import query
@@ -16,7 +16,8 @@ ROLES = ("assistant", "system", "user")
 CV_SQL = """WITH r AS (SELECT conv_id, turn, role, count(*) FILTER (role='assistant') OVER w AS a, count(*) FILTER (role='user') OVER w AS u, count(*) FILTER (role='system') OVER w AS s FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)),
   c AS (SELECT conv_id, turn, role, CASE WHEN role='system' THEN 0 ELSE a END AS a, CASE WHEN role='system' THEN s ELSE 0 END AS s, CASE WHEN role='system' THEN 0 ELSE u END AS u,
     turn * 60 + CASE role WHEN 'assistant' THEN -115 WHEN 'system' THEN 125 ELSE 0 END AS wall FROM r),
-  pr AS (SELECT m.conv_id, m.turn AS m_turn, x.turn AS a_turn, m.a AS ma, m.s AS ms, m.u AS mu, x.a AS xa, x.s AS xs, x.u AS xu, m.wall AS m_wall, x.wall AS a_wall FROM c m JOIN c x ON m.conv_id = x.conv_id AND x.turn - m.turn BETWEEN 1 AND 3)"""
+  pr AS (SELECT m.conv_id, m.turn AS m_turn, x.turn AS a_turn, m.a AS ma, m.s AS ms, m.u AS mu, x.a AS xa, x.s AS xs, x.u AS xu, m.wall AS m_wall, x.wall AS a_wall FROM c m JOIN c x ON m.conv_id = x.conv_id
+    WHERE m.turn = (SELECT min(f.turn) FROM c f WHERE f.conv_id = m.conv_id AND f.role = m.role))"""
 TEXT_SQL = "concat_ws(',', CASE WHEN {p}a > 0 THEN 'assistant:' || {p}a END, CASE WHEN {p}s > 0 THEN 'system:' || {p}s END, CASE WHEN {p}u > 0 THEN 'user:' || {p}u END)"
 
 
@@ -27,7 +28,10 @@ def clocks(t):
 
 
 def pairs(t):
-    return V.recent_pairs(clocks(t).select("conv_id", "turn", "clock", "wall"), 3, ["turn", "clock", "wall"])
+    """Memories are the first turn of each agent in a conversation; every turn meets all of them."""
+    c = materialise(clocks(t).select("conv_id", "turn", "role", "clock", "wall"))
+    first = c.groupBy("conv_id", "role").agg(F.min_by(F.struct("turn", "clock", "wall"), "turn").alias("m")).select("conv_id", "m.*")
+    return V.with_memories(c, first, "conv_id", ["turn", "clock", "wall"])
 
 
 @query("vclock_turns", CV_SQL + f" SELECT conv_id, turn, {TEXT_SQL.format(p='')} AS clock FROM c")
@@ -55,15 +59,42 @@ def clock_skew_disagreement(t):
     return V.skew_disagreement(pairs(t))
 
 
-SEG = 32
-LED_SQL = f"""le AS (SELECT chain_id, row_number() OVER (PARTITION BY chain_id ORDER BY ts, record_id) - 1 AS seq, 'ingest' AS event, to_json({{'content': content, 'label': label, 'record_id': record_id}})::VARCHAR AS payload FROM rec),
-  hc AS (SELECT chain_id, seq, payload, repeat('0', 64) AS prev_hash, sha256(concat_ws('|', seq, repeat('0', 64), event, payload)) AS hash FROM le WHERE seq % {SEG} = 0
-    UNION ALL SELECT le.chain_id, le.seq, le.payload, hc.hash, sha256(concat_ws('|', le.seq, hc.hash, le.event, le.payload)) FROM hc JOIN le ON le.chain_id = hc.chain_id AND le.seq = hc.seq + 1 WHERE le.seq % {SEG} <> 0)"""
+@query("causal_known", CV_SQL + """ SELECT x.conv_id, x.turn, (SELECT count(*) FROM c m WHERE m.conv_id = x.conv_id AND m.turn <= x.turn AND m.turn % 2 = 0 AND m.a <= x.a AND m.s <= x.s AND m.u <= x.u) AS known FROM c x""")
+def causal_known(t):
+    """Even turns are memories; how many of those so far does each turn know?"""
+    return V.known_before(clocks(t), F.col("turn") % 2 == 0, ROLES).select("conv_id", "turn", "known")
+
+
+SEG = 4
+LEVELS = 8
+def _hash_sql(seq: str, prev: str, event: str, payload: str, clock: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in (f"({seq})::VARCHAR", prev, event, payload, clock)) + ")"
+
+
+ZERO = "repeat('0', 64)"
+LED_SQL = f"""le AS (SELECT chain_id, row_number() OVER (PARTITION BY chain_id ORDER BY ts, record_id) - 1 AS seq, 'ingest' AS event, to_json({{'content': content, 'label': label, 'record_id': record_id}})::VARCHAR AS payload, agent_id || ':' || (d + 1) AS clock FROM rec),
+  hc AS (SELECT chain_id, seq, payload, {ZERO} AS prev_hash, {_hash_sql('seq', ZERO, 'event', 'payload', 'clock')} AS hash FROM le WHERE seq % {SEG} = 0
+    UNION ALL SELECT le.chain_id, le.seq, le.payload, hc.hash, {_hash_sql('le.seq', 'hc.hash', 'le.event', 'le.payload', 'le.clock')} FROM hc JOIN le ON le.chain_id = hc.chain_id AND le.seq = hc.seq + 1 WHERE le.seq % {SEG} <> 0)"""
+
+
+def _levels_sql() -> str:
+    """Levels one above the other, each with the chains that still have several segments; the head is that of the highest."""
+    out = [f"s0 AS (SELECT chain_id, seq // {SEG} AS seg, arg_max(hash, seq) AS h FROM hc GROUP BY 1, 2)"]
+    fold = _hash_sql("split_part(x, '|', 1)", "p", "'segment'", "split_part(x, '|', 2)", "NULL::VARCHAR")
+    for i in range(1, LEVELS):
+        out.append(f"""g{i} AS (SELECT chain_id, seg // {SEG} AS sg, list(seg || '|' || h ORDER BY seg) AS items FROM s{i - 1} WHERE chain_id IN (SELECT chain_id FROM s{i - 1} GROUP BY 1 HAVING count(*) > 1) GROUP BY 1, 2),
+  s{i} AS (SELECT chain_id, sg AS seg, list_reduce(list_prepend({ZERO}, items), lambda p, x: {fold}) AS h FROM g{i})""")
+    tops = " UNION ALL ".join(f"SELECT chain_id, {i} AS level, arg_max(h, seg) AS h FROM s{i} GROUP BY 1" for i in range(LEVELS))
+    return ",\n  ".join(out) + f",\n  tp AS (SELECT chain_id, arg_max(h, level) AS head FROM ({tops}) GROUP BY 1)"
+
+
+def entries(t):
+    return t.rec.select("chain_id", "ts", "record_id", F.lit("ingest").alias("event"), json_of("record_id", "content", "label").alias("payload"),
+                        F.concat("agent_id", F.lit(":"), (F.col("d") + 1).cast("string")).alias("clock"))
 
 
 def ledger(t):
-    e = t.rec.select("chain_id", "ts", "record_id", F.lit("ingest").alias("event"), json_of("record_id", "content", "label").alias("payload"))
-    return L.build(e, "chain_id", ["ts", "record_id"], "to_date(ts)", SEG)
+    return L.build(entries(t), "chain_id", ["ts", "record_id"], "to_date(ts)", SEG)
 
 
 @query("ledger_build", with_views("rec", LED_SQL + " SELECT chain_id, seq, prev_hash, hash FROM hc", recursive=True))
@@ -71,21 +102,43 @@ def ledger_build(t):
     return ledger(t)[0].select("chain_id", "seq", "prev_hash", "hash")
 
 
-@query("ledger_head", with_views("rec", LED_SQL + f""", sh AS (SELECT chain_id, seq // {SEG} AS seg, arg_max(hash, seq) AS h FROM hc GROUP BY 1, 2),
-  g1 AS (SELECT chain_id, seg // {SEG} AS sg, list(seg || '|' || h ORDER BY seg) AS items FROM sh GROUP BY 1, 2),
-  l1 AS (SELECT chain_id, sg, list_reduce(list_prepend(repeat('0', 64), items), lambda p, x: sha256(split_part(x, '|', 1) || '|' || p || '|segment|' || split_part(x, '|', 2))) AS h FROM g1)
-  SELECT chain_id, sha256('0|' || repeat('0', 64) || '|segment|' || h) AS head FROM l1""", recursive=True))
+@query("ledger_head", with_views("rec", LED_SQL + ",\n  " + _levels_sql() + " SELECT chain_id, head, (SELECT count(*) FROM le WHERE le.chain_id = tp.chain_id) AS length FROM tp", recursive=True))
 def ledger_head(t):
-    return L.chain_heads(ledger(t)[1], "chain_id")
+    return L.chain_heads(*ledger(t), "chain_id")
+
 
+@query("ledger_append", with_views("rec", LED_SQL + ",\n  " + _levels_sql() + " SELECT chain_id, head, (SELECT count(*) FROM le WHERE le.chain_id = tp.chain_id) AS length FROM tp", recursive=True))
+def ledger_append(t):
+    """The first half of the calendar is built and stored, the rest appended from the stored heads: the same head as in one go."""
+    e = entries(t)
+    old = F.col("ts") < "2024-01-16"
+    linked, heads = (materialise(x) for x in L.build(e.filter(old), "chain_id", ["ts", "record_id"], "to_date(ts)", SEG))
+    return L.chain_heads(*L.append(linked, heads, e.filter(~old), "chain_id", ["ts", "record_id"], "to_date(ts)", SEG), "chain_id")
 
-@query("ledger_verify", with_views("rec", "le AS (SELECT chain_id, record_id, row_number() OVER (PARTITION BY chain_id ORDER BY ts, record_id) - 1 AS seq FROM rec) SELECT chain_id, min(seq) FILTER (record_id % 397 = 0) AS first_bad_seq, count(*) FILTER (record_id % 397 = 0) = 0 AS ok FROM le GROUP BY 1"))
+
+@query("ledger_verify", with_views("rec", """le AS (SELECT chain_id, record_id, row_number() OVER (PARTITION BY chain_id ORDER BY ts, record_id) - 1 AS seq FROM rec) SELECT chain_id, min(seq) FILTER (record_id % 397 = 0) AS first_bad_seq, count(*) FILTER (record_id % 397 = 0) = 0 AS ok FROM le GROUP BY 1"""))
 def ledger_verify(t):
     """Some payloads are altered after the chain was built; verification must find the first."""
-    built, heads = ledger(t)
+    built, heads = (materialise(x) for x in ledger(t))
+    stored = materialise(L.chain_heads(built, heads, "chain_id"))
     rid = F.get_json_object("payload", "$.record_id").cast("long")
     tampered = built.withColumn("payload", F.when(rid % 397 == 0, F.concat("payload", F.lit(" "))).otherwise(F.col("payload")))
-    return L.verify(tampered, "chain_id", heads).select("chain_id", "ok", "first_bad_seq")
+    return L.verify(tampered, heads, stored, "chain_id", SEG).select("chain_id", "ok", "first_bad_seq")
+
+
+@query("ledger_missing_segment", with_views("rec", f"""le AS (SELECT chain_id, row_number() OVER (PARTITION BY chain_id ORDER BY ts, record_id) - 1 AS seq FROM rec), n AS (SELECT chain_id, max(seq) // {SEG} AS last_seg FROM le GROUP BY 1)
+  SELECT chain_id, NOT (chain_id % 3 = 0 AND last_seg >= 2 OR chain_id % 3 = 1 AND last_seg >= 1) AS ok FROM n"""))
+def ledger_missing_segment(t):
+    """Every third chain loses its second segment with the row above it, every other third its last one with the row above:
+    neither may verify, and the untouched chains must."""
+    built, heads = (materialise(x) for x in ledger(t))
+    stored = materialise(L.chain_heads(built, heads, "chain_id"))
+    last = built.groupBy(F.col("chain_id").alias("lc")).agg(F.max("seg").alias("last_seg"))
+    m = F.col("chain_id") % 3
+    gone = lambda at: ((m == 0) & (F.col("last_seg") >= 2) & (at == 1)) | ((m == 1) & (F.col("last_seg") >= 1) & (at == F.col("last_seg")))          # noqa: E731
+    cut = lambda df, at: df.join(last, F.col("chain_id") == F.col("lc")).filter(~gone(at)).select(*df.columns)          # noqa: E731
+    upper = cut(heads.filter("level = 1"), F.col("seq")).unionByName(heads.filter("level > 1"))
+    return L.verify(cut(built, F.col("seg")), upper, stored, "chain_id", SEG).select("chain_id", "ok")
 
 
 @query("ledger_events", with_views("rec", "SELECT chain_id, count(*) AS n FROM rec WHERE label = 'bad' GROUP BY 1"))
@@ -112,10 +165,14 @@ def table_diff(t):
     return L.table_diff(a, b, ["p_partkey"], ignore=["p_retailprice"])
 
 
-@query("state_roundtrip", with_views("rec", "pmx AS (SELECT 1) SELECT 'ledger' AS name, count(*) AS n FROM rec UNION ALL SELECT 'promotions', (SELECT count(*) FROM (SELECT 1 FROM (SELECT chain_id, loc, count(*) AS e, count(DISTINCT input_hash) AS i FROM rec WHERE label = 'bad' GROUP BY 1, 2) WHERE e >= 2 AND i >= 2))"))
+@query("state_roundtrip", with_views("rec", LED_SQL + """, pmx AS (SELECT chain_id, loc, min(d) AS d FROM (SELECT chain_id, loc, d, count(*) OVER w AS e, dense_rank() OVER (PARTITION BY chain_id, loc ORDER BY input_hash) AS i FROM rec WHERE label = 'bad' WINDOW w AS (PARTITION BY chain_id, loc ORDER BY d)) GROUP BY 1, 2 HAVING max(e) >= 2 AND max(i) >= 2)
+  SELECT 'ledger' AS name, count(*) AS n, count(DISTINCT hash) AS distinct_values FROM hc UNION ALL SELECT 'promotions', count(*), count(DISTINCT chain_id || '/' || loc) FROM pmx""", recursive=True))
 def state_roundtrip(t):
     path = scratch_dir(t.spark)
     config = C.TUNED.digest()
-    state.save_state({"promotions": C.promotion_ticks(t.rec, C.TUNED), "ledger": ledger(t)[0]}, config, path)
-    back = state.load_state(t.spark, ["promotions", "ledger"], config, path)
-    return back["promotions"].select(F.lit("promotions").alias("name")).unionByName(back["ledger"].select(F.lit("ledger").alias("name"))).groupBy("name").agg(F.count("*").alias("n"))
+    built, heads = ledger(t)
+    state.save_state({"promotions": C.promotion_ticks(t.rec, C.TUNED), "ledger": built, "ledger_heads": heads}, config, path)
+    back = state.load_state(t.spark, ["promotions", "ledger"], config, path, segment=SEG)
+    values = (back["promotions"].select(F.lit("promotions").alias("name"), F.concat(F.col("chain_id").cast("string"), F.lit("/"), "loc").alias("v"))
+              .unionByName(back["ledger"].select(F.lit("ledger").alias("name"), F.col("hash").alias("v"))))
+    return values.groupBy("name").agg(F.count("*").alias("n"), F.countDistinct("v").alias("distinct_values"))

@@ -61,7 +61,8 @@ def paired_ci(t):
 
 
 @query("bootstrap_ci", with_views("hit outcome", counts_sql() + """, g AS (SELECT label, n, control_only AS b, treatment_only AS c FROM ct WHERE scope = 'group'),
-  dr AS (SELECT label, n, b, c, rep, """ + counter_draw_sql('key', 'i') + """ % n AS r FROM (SELECT *, unnest(range(0, n)) AS i FROM (SELECT *, ('0x'||substr(md5('7:' || label || ':' || rep),1,15))::BIGINT % 2147483647 AS key FROM (SELECT *, unnest(range(0, 200)) AS rep FROM g)))),
+  dx AS (SELECT label, n, b, c, rep, i, key, """ + counter_draw_sql('key', '(i % 2147483647)') + """ AS x1 FROM (SELECT *, unnest(range(0, n)) AS i FROM (SELECT *, ('0x'||substr(md5('7:' || label || ':' || rep),1,15))::BIGINT % 2147483647 AS key FROM (SELECT *, unnest(range(0, 200)) AS rep FROM g)))),
+  dr AS (SELECT label, n, b, c, rep, (""" + counter_draw_sql('(key + i // 2147483647 + 1)', 'x1') + """ * 2147483647 + x1) % n AS r FROM dx),
   s AS (SELECT label, n, rep, sum(CASE WHEN r < b THEN -1 WHEN r < b + c THEN 1 ELSE 0 END) AS s FROM dr GROUP BY ALL),
   k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s, rep) AS rn FROM s)
   SELECT label, max(n) AS n, round(max(100 * s / n) FILTER (rn = 6), 2) AS ci_low, round(max(100 * s / n) FILTER (rn = 195), 2) AS ci_high FROM k GROUP BY 1"""))

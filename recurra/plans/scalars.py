@@ -46,12 +46,12 @@ def location_of(t):
     return u.select("id", X.location_in(F.col("content")).alias("location"))
 
 
-@query("clean_message", f"""WITH d AS (SELECT doc_id, substr(text, 1, 40) || ' (#' || doc_id || ')' AS subject, 'Signed-off-by: a' || chr(10) || text || chr(10) || ' Reviewed-By: b' AS body FROM documents),
+@query("clean_message", f"""WITH d AS (SELECT doc_id, text || ' (#' || doc_id || ')' AS subject, 'Signed-off-by: a' || chr(10) || text || chr(10) || ' Reviewed-By: b' AS body FROM documents),
   e AS (SELECT doc_id, trim(regexp_replace(subject, '\\s*\\(#\\d+\\)\\s*$', ''), {WS_SQL}) AS head,
-    trim(array_to_string(list_filter(list_transform(string_split(body, chr(10)), lambda x: rtrim(x, ' ')), lambda x: NOT regexp_matches(trim(x, {WS_SQL}), '^(?i)(co-authored-by|signed-off-by|claude-session|reviewed-by|see-also):')), chr(10)), {WS_SQL}) AS txt FROM d)
+    trim(array_to_string(list_filter(list_transform(string_split(body, chr(10)), lambda x: rtrim(x, ' ')), lambda x: NOT regexp_matches(trim(x, {WS_SQL}), '^(?i)(co-authored-by|signed-off-by|reviewed-by|see-also):')), chr(10)), {WS_SQL}) AS txt FROM d)
   SELECT doc_id, md5(trim(head || CASE WHEN txt <> '' THEN chr(10) || chr(10) || txt ELSE '' END, {WS_SQL})) AS message_md5 FROM e""")
 def clean_message(t):
-    subject = F.concat(F.expr("substr(text, 1, 40)"), F.lit(" (#"), F.col("doc_id").cast("string"), F.lit(")"))
+    subject = F.concat(F.col("text"), F.lit(" (#"), F.col("doc_id").cast("string"), F.lit(")"))
     body = F.concat(F.lit("Signed-off-by: a\n"), F.col("text"), F.lit("\n Reviewed-By: b"))
     return t.raw("documents").select("doc_id", F.md5(X.clean_message(subject, body)).alias("message_md5"))
 
@@ -64,14 +64,19 @@ def coerce_list(t):
     return t.raw("orders").select("o_orderkey", X.coerce_list(v).alias("items"))
 
 
-@query("parse_dates", r"""WITH s AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN strftime(ts,'%Y-%m-%d') WHEN 1 THEN strftime(ts,'%Y-%m-%dT%H:%M:%SZ') WHEN 2 THEN strftime(ts,'%Y-%m-%dT%H:%M:%S') || '+09:00'
-    WHEN 3 THEN 'not a date' WHEN 4 THEN '2024-02-3' || (event_id % 10) ELSE NULL END AS s FROM events)
-  SELECT event_id, CASE WHEN regexp_matches(s, '^\d{4}-\d{2}-\d{2}($|[T ]\d{2}:\d{2})') THEN try_cast(substr(s,1,10) AS DATE) END AS day FROM s""")
+DATE_SQL = r"""CASE WHEN regexp_matches(s, '^\d{4}-\d{2}-\d{2}([T ]\d{2}(:?\d{2}(:?\d{2}([.,]\d+)?)?)?([Zz]|[+-]\d{2}(:?\d{2}(:?\d{2})?)?)?)?$') THEN try_cast(substr(s,1,10) AS DATE)
+    WHEN regexp_matches(s, '^\d{8}([T ]\d{2}(:?\d{2}(:?\d{2}([.,]\d+)?)?)?([Zz]|[+-]\d{2}(:?\d{2}(:?\d{2})?)?)?)?$') THEN try_cast(substr(s,1,4) || '-' || substr(s,5,2) || '-' || substr(s,7,2) AS DATE) END"""
+
+
+@query("parse_dates", r"""WITH s AS (SELECT event_id, CASE event_id % 8 WHEN 0 THEN strftime(ts,'%Y-%m-%d') WHEN 1 THEN strftime(ts,'%Y-%m-%dT%H:%M:%SZ') WHEN 2 THEN strftime(ts,'%Y-%m-%dT%H:%M:%S') || '+09:00'
+    WHEN 3 THEN 'not a date' WHEN 4 THEN '2024-02-3' || (event_id % 10) WHEN 5 THEN strftime(ts,'%Y%m%d') WHEN 6 THEN strftime(ts,'%Y-%m-%dT%H:%M') || ' rubbish' ELSE NULL END AS s FROM events)
+  SELECT event_id, """ + DATE_SQL + " AS day FROM s")
 def parse_dates(t):
-    m = F.col("event_id") % 6
+    m = F.col("event_id") % 8
     s = (F.when(m == 0, F.date_format("ts", "yyyy-MM-dd")).when(m == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
          .when(m == 2, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+09:00"))).when(m == 3, "not a date")
-         .when(m == 4, F.concat(F.lit("2024-02-3"), (F.col("event_id") % 10).cast("string"))))
+         .when(m == 4, F.concat(F.lit("2024-02-3"), (F.col("event_id") % 10).cast("string")))
+         .when(m == 5, F.date_format("ts", "yyyyMMdd")).when(m == 6, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm"), F.lit(" rubbish"))))
     return t.raw("events").select("event_id", dates.literal_date(s).alias("day"))
 
 
@@ -136,3 +141,15 @@ def json_salvage(t):
     cut = F.length("full_text") - 5 - (F.col("record_id") % 31).cast("int")
     s = t.rec.select("record_id", full.alias("full_text")).select("record_id", F.when(F.col("record_id") % 3 == 0, F.substring(F.col("full_text"), F.lit(1), cut)).otherwise(F.col("full_text")).alias("resp"))
     return s.select("record_id", *X.ranked_paths(F.col("resp")))
+
+
+@query("json_salvage_functions", with_views("rec", """r AS (SELECT record_id, '{"functions":[{"path":"' || label || '","qualname":"q' || d || '"},{"path":"' || loc || '","qualname":"x"}]}' AS full_text FROM rec),
+  s AS (SELECT record_id, record_id % 3 AS m, label, loc, d, CASE record_id % 3 WHEN 0 THEN substr(full_text, 1, length(full_text) - 3) WHEN 1 THEN 'Here: ```json' || chr(10) || full_text || '```' ELSE '{"note":"none"}' END AS resp FROM r JOIN rec USING (record_id))
+  SELECT record_id, m <> 1 AS salvaged, CASE WHEN m = 2 THEN '' ELSE label || '::q' || d || '|' || loc || '::x' END AS paths FROM s"""))
+def json_salvage_functions(t):
+    """Answers that name functions: broken ones, fenced ones, and valid ones without a list."""
+    full = F.concat(F.lit('{"functions":[{"path":"'), F.col("label"), F.lit('","qualname":"q'), F.col("d").cast("string"), F.lit('"},{"path":"'), F.col("loc"), F.lit('","qualname":"x"}]}'))
+    m = F.col("record_id") % 3
+    s = t.rec.select("record_id", full.alias("f"))
+    resp = F.when(m == 0, F.expr("substr(f, 1, length(f) - 3)")).when(m == 1, F.concat(F.lit("Here: ```json\n"), F.col("f"), F.lit("```"))).otherwise('{"note":"none"}')
+    return s.select("record_id", *X.ranked_paths(resp))

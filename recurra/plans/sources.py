@@ -55,13 +55,13 @@ def sink_roundtrip(t):
     return S.read_records(t.spark, path, df.schema, "jsonl").filter(F.col(S.CORRUPT).isNull()).drop(S.CORRUPT)
 
 
-@query("csv_roundtrip", """SELECT doc_id, lang, head FROM (SELECT doc_id, lang, coalesce(substr(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' '||chr(9)||chr(13)||chr(10))), lambda x: x <> '')[1],1,60),'') AS head FROM documents
+@query("csv_roundtrip", """SELECT doc_id, lang, text FROM (SELECT doc_id, lang, text FROM documents
   ORDER BY md5('s'||doc_id), doc_id LIMIT 200)""")
 def csv_roundtrip(t):
-    df = seeded_sample(t.raw("documents").select("doc_id", "lang", text.first_line(F.col("text"), 60).alias("head")), "doc_id", "s", 200)
+    df = seeded_sample(t.raw("documents").select("doc_id", "lang", "text"), "doc_id", "s", 200)
     path = scratch_dir(t.spark)
     S.write_csv(df, path)
-    return S.read_records(t.spark, path, df.schema, "csv").fillna("", ["head"])
+    return S.read_records(t.spark, path, df.schema, "csv").fillna("", ["text"])
 
 
 @query("arms_explode", with_views("pred", "SELECT arm, task_id, rank, fkey FROM pred"))

@@ -2,10 +2,12 @@
 from __future__ import annotations
 
 import atexit
+import os
 import re
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -27,6 +29,28 @@ def get_spark(app: str = "recurra", cores: str | int = "*", shuffle_partitions:
     )
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application: Python functions are unpickled there by module name."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="recurra-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = f"{folder}/recurra.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for at, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(at, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
+
+
 _LOCAL: dict[str, str] = {}          # application id -> folder, for local masters without a setting
 
 
@@ -55,16 +79,3 @@ def materialise(df, spark: SparkSession | None = None):
     path = scratch_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df, min_bytes: int = 1 << 20):
-    """Use all cores on an input that is read as fewer splits than there are cores.
-
-    A table in one file is one scan task; everything up to the first shuffle would run on one
-    core. Inputs with enough splits (any large table) and tiny ones are returned unchanged.
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= want:
-        return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(want) if size >= min_bytes else df

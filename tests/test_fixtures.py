@@ -312,29 +312,71 @@ def test_supersession_and_snapshots(spark):
         MEM.at_version(members, store, "nope")
 
 
-def ledger(spark, n=5):
-    e = spark.createDataFrame([(1, i, "ev", f"p{i}") for i in range(n)], "chain_id long, t long, event string, payload string")
-    return L.build(e, "chain_id", ["t"], "t div 4", segment=4)
+def ledger(spark, n=5, segment=4, first=0):
+    e = spark.createDataFrame([(1, i, "ev", f"p{i}", f"x:{i}") for i in range(first, n)], "chain_id long, t long, event string, payload string, clock string")
+    return e, *L.build(e, "chain_id", ["t"], "t div 4", segment=segment)
+
+
+def verdict(built, heads, stored, segment=4):
+    return rows(L.verify(built, heads, stored, "chain_id", segment), "ok", "first_bad_seq")
 
 
 def test_ledger(spark):
-    built, heads = ledger(spark, 11)
-    assert rows(L.verify(built, "chain_id", heads), "ok", "first_bad_seq") == [(True, None)]
-    bad = built.withColumn("payload", F.when(F.col("seq") == 2, "changed").otherwise(F.col("payload")))
-    assert rows(L.verify(bad, "chain_id"), "ok", "first_bad_seq") == [(False, 2)]
-    cut = built.filter("seq < 10")
-    assert rows(L.verify(cut, "chain_id", heads), "ok") == [(False,)]
+    _, built, heads = ledger(spark, 11)
+    stored = L.chain_heads(built, heads, "chain_id")
+    assert verdict(built, heads, stored) == [(True, None)]
+    for column in ("payload", "clock"):
+        bad = built.withColumn(column, F.when(F.col("seq") == 2, "changed").otherwise(F.col(column)))
+        assert verdict(bad, heads, stored) == [(False, 2)]
+    assert verdict(built.filter("seq < 10"), heads, stored)[0][0] is False
+
+
+def test_ledger_of_many_levels(spark):
+    """20 entries in segments of two: five levels; every kind of damage is seen."""
+    _, built, heads = ledger(spark, 20, 2)
+    stored = L.chain_heads(built, heads, "chain_id")
+    assert heads.agg(F.max("level")).first()[0] == 4
+    assert verdict(built, heads, stored, 2) == [(True, None)]
+    without = lambda seg: (built.filter(F.col("seg") != seg), heads.filter(~((F.col("level") == 1) & (F.col("seq") == seg))))          # noqa: E731
+    for seg in (0, 4, 9):                             # first, middle and last segment, each with the row above it
+        assert verdict(*without(seg), stored, 2)[0][0] is False
+    for level in range(1, 5):
+        bent = heads.withColumn("payload", F.when((F.col("level") == level) & (F.col("seq") == 0), F.lit("0" * 64)).otherwise(F.col("payload")))
+        assert verdict(built, bent, stored, 2)[0][0] is False
+    assert verdict(built, heads, stored.withColumn("head", F.lit("0" * 64)), 2)[0][0] is False
+    assert verdict(built.limit(0), heads.limit(0), stored, 2) == [(False, 0)]
+
+
+def test_first_entry_is_under_the_head_of_a_long_chain(spark):
+    e, built, heads = ledger(spark, 20, 2)
+    other = L.build(e.withColumn("payload", F.when(F.col("t") == 0, "other").otherwise(F.col("payload"))), "chain_id", ["t"], "t div 4", segment=2)
+    assert rows(L.chain_heads(built, heads, "chain_id"), "head") != rows(L.chain_heads(*other, "chain_id"), "head")
+
+
+def test_moved_separator_changes_the_hash(spark):
+    df = spark.createDataFrame([("a|b", "c", None), ("a", "b|c", None), ("a", None, "b|c")], "event string, payload string, clock string")
+    h = df.select(L.entry_hash(F.lit(0), F.lit(L.GENESIS), F.col("event"), F.col("payload"), F.col("clock")).alias("h"))
+    assert h.distinct().count() == 3
+
+
+def test_appending_gives_the_ledger_built_in_one_go(spark):
+    _, built, heads = ledger(spark, 9, 2)
+    more, _, _ = ledger(spark, 23, 2, first=9)
+    _, whole, top = ledger(spark, 23, 2)
+    grown, upper = L.append(built, heads, more, "chain_id", ["t"], "t div 4", 2)
+    assert rows(grown, "seq", "prev_hash", "hash") == rows(whole, "seq", "prev_hash", "hash")
+    assert rows(upper, "level", "seq", "hash") == rows(top, "level", "seq", "hash")
 
 
 def test_state_refuses_other_settings_and_broken_ledger(spark, tmp_path):
-    built, _ = ledger(spark)
-    state.save_state({"ledger": built}, "cfg", str(tmp_path / "s"))
-    assert state.load_state(spark, ["ledger"], "cfg", str(tmp_path / "s"))["ledger"].count() == 5
+    _, built, heads = ledger(spark)
+    state.save_state({"ledger": built, "ledger_heads": heads}, "cfg", str(tmp_path / "s"))
+    assert state.load_state(spark, ["ledger"], "cfg", str(tmp_path / "s"), segment=4)["ledger"].count() == 5
     with pytest.raises(ValueError, match="settings"):
-        state.load_state(spark, ["ledger"], "other", str(tmp_path / "s"))
-    state.save_state({"ledger": built.withColumn("event", F.lit("x"))}, "cfg", str(tmp_path / "b"))
+        state.load_state(spark, ["ledger"], "other", str(tmp_path / "s"), segment=4)
+    state.save_state({"ledger": built.withColumn("event", F.lit("x")), "ledger_heads": heads}, "cfg", str(tmp_path / "b"))
     with pytest.raises(ValueError, match="entry 0"):
-        state.load_state(spark, ["ledger"], "cfg", str(tmp_path / "b"))
+        state.load_state(spark, ["ledger"], "cfg", str(tmp_path / "b"), segment=4)
 
 
 def test_clocks(spark):
