@@ -7,38 +7,46 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 MODULE = "<module>"
 WHOLE_FILE = (1, 10 ** 9)
-WIDE = 16      # an interval over more bins than this is joined on the path alone
 
 
 def whole_file(path: Column) -> tuple[Column, Column, Column]:
     return path.alias("path"), F.lit(WHOLE_FILE[0]).alias("start_line"), F.lit(WHOLE_FILE[1]).alias("end_line")
 
 
+def _levels(side: DataFrame) -> Column:
+    """The levels a side's ranges have: an array of at most 64 numbers."""
+    return side.agg(F.collect_set("__lvl").alias("l")).scalar()
+
+
 def overlap_join(left: DataFrame, right: DataFrame, slack: int = 0, bin_width: int = 64, symbols: bool = False) -> DataFrame:
     """Pairs on the same path whose ranges touch (with ``slack``).
 
     Both sides have path, start_line, end_line and other, distinct column names; the right
     side's come back prefixed ``r_``. With ``symbols`` both also have ``symbol``: an empty one
-    matches any, two named ones must be equal. Ranges are cut into bins and joined on
-    (path, bin), so a path that holds a large share of the rows spreads over its bins; a pair
-    is emitted only in the bin where the later range starts. Very wide ranges skip the bins.
+    matches any, two named ones must be equal. A range has the level at which it lies in one or two bins of
+    ``bin_width`` 2^level lines; two ranges meet at the higher of their levels, so a range is repeated once for each higher level that
+    the other side has, and a long one is never cut into many bins. A pair is emitted only in the bin where the later range starts.
     """
+    def binned(df: DataFrame, start: Column, end: Column) -> DataFrame:
+        x = df.withColumn("__lo", F.floor(start / bin_width).cast("long")).withColumn("__hi", F.floor(F.greatest(start, end) / bin_width).cast("long"))
+        return x.withColumn("__lvl", F.ceil(F.log2(F.col("__hi") - F.col("__lo") + 1)).cast("int"))
+
+    def placed(df: DataFrame, others: Column, prefix: str) -> DataFrame:
+        at = df.withColumn("__others", F.coalesce(others, F.array().cast("array<int>")))
+        at = at.withColumn("__at", F.explode(F.array_union(F.array("__lvl"), F.filter("__others", lambda v: v > F.col("__lvl"))))).drop("__others")
+        at = at.withColumn("__first", F.expr("shiftright(__lo, __at)"))
+        at = at.withColumn("__bin", F.explode(F.sequence("__first", F.expr("shiftright(__hi, __at)"))))
+        return at.withColumnsRenamed({c: f"{prefix}{c}" for c in ("__lvl", "__at", "__first", "__bin")}).drop("__lo", "__hi")
+
     r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
-    lo, hi = F.floor((F.col("start_line") - slack) / bin_width), F.floor((F.col("end_line") + slack) / bin_width)
-    rlo, rhi = F.floor(F.col("r_start_line") / bin_width), F.floor(F.col("r_end_line") / bin_width)
-    left_ = left.withColumn("__lo", lo).withColumn("__n", hi - lo)
-    r_ = r.withColumn("__rlo", rlo).withColumn("__rn", rhi - rlo)
+    l_, r_ = binned(left, F.col("start_line") - slack, F.col("end_line") + slack), binned(r, F.col("r_start_line"), F.col("r_end_line"))
+    here, there = placed(l_, _levels(r_), "l"), placed(r_, _levels(l_), "r")
     touch = (F.col("start_line") - slack <= F.col("r_end_line")) & (F.col("r_start_line") - slack <= F.col("end_line"))
     if symbols:
         touch = touch & ((F.coalesce("symbol", F.lit("")) == "") | (F.coalesce("r_symbol", F.lit("")) == "") | (F.col("symbol") == F.col("r_symbol")))
-    same = F.col("path") == F.col("r_path")
-    binned_l = left_.filter(F.col("__n") < WIDE).withColumn("__bin", F.explode(F.sequence("__lo", F.col("__lo") + F.col("__n"))))
-    binned_r = r_.filter(F.col("__rn") < WIDE).withColumn("__rbin", F.explode(F.sequence("__rlo", F.col("__rlo") + F.col("__rn"))))
-    narrow = binned_l.join(binned_r, same & (F.col("__bin") == F.col("__rbin")) & (F.col("__bin") == F.greatest("__lo", "__rlo")) & touch)
-    wide_l = left_.filter(F.col("__n") >= WIDE).join(r_, same & touch)
-    wide_r = left_.filter(F.col("__n") < WIDE).join(r_.filter(F.col("__rn") >= WIDE), same & touch)
-    cols = [*left.columns, *r.columns]
-    return narrow.select(*cols).unionByName(wide_l.select(*cols)).unionByName(wide_r.select(*cols))
+    meet = (F.col("path") == F.col("r_path")) & (F.col("l__at") == F.col("r__at")) & (F.col("l__bin") == F.col("r__bin"))
+    once = (F.col("l__at") == F.greatest("l__lvl", "r__lvl")) & (F.col("l__bin") == F.greatest("l__first", "r__first"))
+    return here.join(there, meet & once & touch).select(*left.columns, *r.columns)
 
 
 def innermost(points: DataFrame, spans: DataFrame, ids: Sequence[str], line: str = "line", bin_width: int = 64) -> DataFrame:

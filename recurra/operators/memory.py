@@ -5,13 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.digest import content_digest, set_digest
-from .similarity import SCALE
-
-
-def address(objects: DataFrame, columns: Sequence[str], name: str = "memory_id") -> DataFrame:
-    """Content id over ``columns`` (never the wall clock)."""
-    return objects.withColumn(name, content_digest(*columns))
+from ..functions.digest import set_digest
 
 
 def put(store: DataFrame, new: DataFrame, key: str = "memory_id") -> DataFrame:
@@ -38,6 +32,14 @@ def check_supersede(requests: DataFrame, store: DataFrame, supersession: DataFra
     return x.select("seq", "old_id", "declared", "new_id", reason.alias("reason"))
 
 
+def supersede(store: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The objects that applied requests write: the declared new id with everything else inherited from the old object (content,
+    provenance, inputs, approval), and which one it ``supersedes``. To be appended to the store with :func:`put`."""
+    done = verdicts.filter("reason = ''").select("old_id", "new_id")
+    rest = [c for c in store.columns if c not in ("memory_id", "supersedes")]
+    return store.join(done, F.col("memory_id") == F.col("old_id")).select(F.col("new_id").alias("memory_id"), F.col("old_id").alias("supersedes"), *rest)
+
+
 def live_set(objects: DataFrame, supersession: DataFrame, key: str = "memory_id") -> DataFrame:
     return objects.join(supersession.select(F.col("old_id").alias(key)).distinct(), key, "left_anti")
 

@@ -14,7 +14,9 @@ HUNK = r"(?m)^@@ -(\d+)(?:,(\d+))? \+\d+(?:,\d+)? @@"
 
 
 def _sections(patch: Column) -> Column:
-    parts = F.split(F.concat(F.lit("\n"), patch), "\n" + HEADER)
+    """Sections begin at header lines or, in a diff that has none, at ``+++ b/`` lines."""
+    text = F.concat(F.lit("\n"), patch)
+    parts = F.when(F.contains(text, F.lit("\n" + HEADER)), F.split(text, "\n" + HEADER)).otherwise(F.split(text, r"\n(?=\+\+\+ b/)"))
     return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
 
 

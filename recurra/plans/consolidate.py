@@ -6,7 +6,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from ..functions.digest import set_digest_sql
-from ..functions.running import position
+from ..functions.running import ordered_numbers
 from ..operators import consolidate as C, memory as MEM
 from ..operators.metrics import label_outcomes
 from ..session import materialise
@@ -185,8 +185,8 @@ def supersede_requests(m):
     old = F.when(F.col("promo_tick") % 11 == 0, F.concat(F.lit("gone"), F.col("memory_id"))).otherwise(F.col("memory_id"))
     dec = F.when((F.col("promo_tick") % 7 == 0) & (F.col("promo_tick") % 11 != 0), F.lit(None)).otherwise(old)
     new = F.when(F.col("promo_tick") % 5 == 0, F.col("memory_id")).otherwise(F.sha2(F.concat("memory_id", "v"), 256))
-    one = m.select("chain_id", "loc", "v", old.alias("old_id"), dec.alias("declared"), new.alias("new_id"), F.lit(0).alias("g"))
-    return position(one, ["g"], ["chain_id", "loc", "v"], "chain_id", "seq").select("seq", "old_id", "declared", "new_id")
+    one = m.select("chain_id", "loc", "v", old.alias("old_id"), dec.alias("declared"), new.alias("new_id"))
+    return ordered_numbers(one, ["chain_id", "loc", "v"], "seq").select("seq", "old_id", "declared", "new_id")
 
 
 def supersede_verdicts(t, m):
@@ -199,6 +199,12 @@ def supersede(t):
     return supersede_verdicts(t, memory(t))
 
 
+@query("supersede_write", with_views("rec", SUP_SQL + " SELECT new_id AS memory_id, su.old_id AS supersedes, m.chain_id, m.loc, m.promo_tick, m.content, m.provenance FROM su JOIN mem m ON m.memory_id = su.old_id WHERE reason = ''"))
+def supersede_write(t):
+    m = memory(t)
+    return MEM.supersede(m, supersede_verdicts(t, m)).select("memory_id", "supersedes", "chain_id", "loc", "promo_tick", "content", "provenance")
+
+
 @query("live_set", with_views("rec", SUP_SQL + " SELECT memory_id FROM mem WHERE memory_id NOT IN (SELECT old_id FROM su WHERE reason = '') UNION ALL SELECT new_id FROM su WHERE reason = ''"))
 def live_set(t):
     m = memory(t)

@@ -25,25 +25,21 @@ def innermost_span(t):
     return I.innermost(t.hunks.select("path", F.col("start_line").alias("line")).distinct(), t.spans, [])
 
 
-RANGE_SQL = """sp AS (SELECT * FROM spans WHERE path::INT % 10 <> 0),
+RANGE_SQL = """sp AS (SELECT * FROM spans),
   ln_ AS (SELECT *, unnest(range(greatest(start_line, 1), greatest(end_line, start_line, 1) + 1)) AS line FROM hunks),
   dl AS (SELECT DISTINCT path, line FROM ln_),
   bs AS (SELECT d.path, d.line, arg_min(qualname, (s.end_line - s.start_line, s.start_line, qualname)) AS q FROM dl d JOIN sp s ON d.path = s.path AND line BETWEEN s.start_line AND s.end_line GROUP BY 1, 2),
   sy AS (SELECT task_id, l.path, start_line, end_line, coalesce(q, '<module>') AS symbol, min(l.line) AS first_line FROM ln_ l LEFT JOIN bs ON l.path = bs.path AND l.line = bs.line GROUP BY 1, 2, 3, 4, 5)"""
 
 
-def partial_spans(t):
-    return t.spans.filter("cast(path as int) % 10 <> 0")
-
-
 @query("range_symbols", with_views("hunks spans", RANGE_SQL + " SELECT *, row_number() OVER (PARTITION BY task_id, path, start_line, end_line ORDER BY first_line) AS pos FROM sy"))
 def range_symbols(t):
-    return I.range_symbols(t.hunks, partial_spans(t), IDS)
+    return I.range_symbols(t.hunks, t.spans, IDS)
 
 
 @query("symbolise", with_views("hunks spans", RANGE_SQL + " SELECT DISTINCT task_id, sy.path, coalesce(sp.start_line, sy.start_line) AS start_line, coalesce(sp.end_line, sy.end_line) AS end_line, symbol FROM sy LEFT JOIN sp ON sp.path = sy.path AND sp.qualname = symbol"))
 def symbolise(t):
-    return I.symbolise(t.hunks, partial_spans(t), IDS)
+    return I.symbolise(t.hunks, t.spans, IDS)
 
 
 # -- patches built from the order lines: the rows are the truth the parser has to find again

@@ -182,3 +182,32 @@ def test_epoch_append_is_idempotent(spark, tmp_path):
     for epoch in (0, 0, 1):
         write(b, epoch)
     assert spark.read.parquet(str(tmp_path / "rows")).count() == 6
+
+
+def test_rows_without_a_location_are_kept(spark):
+    df, _ = stream(spark, n=80, seed=5)
+    df = df.withColumn("loc", F.when(F.col("record_id") % 4 != 0, F.col("loc")))
+    p = replace(BASE, ttl=6)
+    assert C.outcomes(df, C.promotion_ticks(df, p)).count() == df.count()
+    assert C.ttl_outcomes(df, C.ttl_states(df, p)).count() == df.count()
+
+
+@pytest.mark.parametrize("conflict", [False, True])
+def test_approver_and_conflicts_hold_under_expiry_and_in_streams(spark, tmp_path, conflict):
+    df, _ = stream(spark, n=200, seed=6)
+    p = replace(BASE, ttl=1000, schedule=2, approver="v")
+    against = C.conflicts(df, p) if conflict else None
+    closed = C.promotion_ticks(df, p, contradicting=against)
+    fold = C.ttl_states(df, p, contradicting=against).filter("promo_tick is not null")
+    assert rows(fold, "chain_id", "loc", "promo_tick") == rows(closed, "chain_id", "loc", "promo_tick")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    S.run_available(S.consolidate_stream(live, p, "2024-01-01", "0 seconds", contradictions=conflict), str(tmp_path / "out"), str(tmp_path / "ck"))
+    got = spark.read.parquet(str(tmp_path / "out")).filter("kind = 'record'")
+    assert rows(got, "record_id", "outcome") == rows(C.ttl_outcomes(df, C.ttl_states(df, p, contradicting=against)), "record_id", "outcome")
+
+
+def test_calendar_goes_on_beyond_a_month(spark):
+    far = spark.createDataFrame([(1, i, None, 400 + i, "k", "c", "bad", f"i{i}", "v") for i in range(3)], SCHEMA).withColumn("ts", F.timestamp_seconds("record_id"))
+    assert rows(C.promotion_ticks(far, replace(BASE, min_occurrences=3, min_inputs=3, schedule=1)), "promo_tick") == [(403,)]
+    assert rows(C.ttl_states(far, replace(BASE, min_occurrences=3, min_inputs=3, schedule=1, ttl=50)), "promo_tick") == [(403,)]

@@ -395,3 +395,60 @@ def test_veto(spark):
     got = rows(G.veto_marks(f, 2, "chain", "key", ["task_id", "rank"], "1"), "task_id", "removed")
     assert got == [("t1", False), ("t2", False), ("t3", True), ("t4", True), ("t5", False)]
     assert rows(G.veto_marks(f, 2, "chain", "key", ["task_id", "rank"], "1", True).filter("removed"), "task_id") == []
+
+
+# -- what the second round mended ------------------------------------------------------------------------------
+def test_diff_without_header_lines(spark):
+    df = spark.createDataFrame([("t", "--- a/m/x.py\n+++ b/m/x.py\n@@ -4,3 +4,3 @@\n-a\n+b\n--- a/m/y.py\n+++ b/m/y.py\n@@ -9 +9 @@\n-a\n+b\n")], "task string, patch string")
+    assert rows(D.patch_files(df, "task", "patch"), "path") == [("m/x.py",), ("m/y.py",)]
+    assert rows(D.patch_hunks(df, "task", "patch"), "path", "start_line", "end_line") == [("m/x.py", 4, 6), ("m/y.py", 9, 9)]
+
+
+def test_interval_join_of_short_long_and_endless_ranges(spark):
+    import itertools
+    import random
+    r = random.Random(4)
+    side = lambda n: [("p" if r.random() < 0.8 else "q", i, a, a + r.choice([0, 3, 70, 900, 40_000, 10 ** 9])) for i in range(n) for a in [r.randrange(5000)]]
+    left, right = side(60), side(60)
+    schema = "path string, id long, start_line long, end_line long"
+    got = rows(I.overlap_join(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), slack=2), "id", "r_id")
+    want = sorted((a[1], b[1]) for a, b in itertools.product(left, right) if a[0] == b[0] and a[2] - 2 <= b[3] and b[2] - 2 <= a[3])
+    assert sorted(got) == want
+
+
+def test_words_split_at_every_unicode_space(spark):
+    df = spark.createDataFrame([("a b　c a \x1cd",)], "t string")
+    assert sorted(df.select(X.words(F.col("t")).alias("w")).head().w) == ["a", "b", "c", "d"]
+
+
+def test_order_is_by_the_unrounded_score(spark):
+    import math
+    at = lambda c: [float(c), math.sqrt(1 - c * c)]
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    m = spark.createDataFrame([(10, at(0.50001)), (11, at(0.50004)), (12, at(0.49996))], "vec_id long, embedding array<double>")
+    top = S.cosine_topk(q, m, "vec_id", "embedding", 3)
+    assert [x.mid for x in top.orderBy("rank").collect()] == [11, 10, 12]
+    assert rows(MEM.gate_retrieval(top, 0.5), "mid", "injected") == [(10, True), (11, True), (12, False)]
+
+
+def test_nothing_is_novel_enough_for_theta_one(spark):
+    c = spark.createDataFrame([(1, "never seen words")], "k long, text string")
+    m = spark.createDataFrame([(7, "other text")], "item long, text string")
+    assert rows(S.novelty_gate(c, "k", m, "item", "text", 1.0), "admitted") == [(False,)]
+    assert rows(S.novelty_gate(c, "k", m, "item", "text", 0.9), "admitted") == [(True,)]
+
+
+def test_memories_far_apart_meet_and_are_counted(spark):
+    turns = spark.createDataFrame([(1, t, r) for t, r in [(10, "user"), (12, "assistant"), (90, "user"), (200, "assistant"), (300, "user")]], "conv_id long, turn long, role string")
+    c = V.turn_clocks(turns, ("assistant", "user"))
+    pairs = V.with_memories(c, c.filter("turn = 10"), "conv_id", ["turn", "clock"])
+    assert {x.a_turn for x in V.causal_join(pairs).collect()} == {10, 12, 90, 200, 300}
+    known = {x.turn: x.known for x in V.known_before(c, F.col("turn") < 100, ("assistant", "user")).collect()}
+    assert known == {10: 1, 12: 2, 90: 3, 200: 3, 300: 3}
+
+
+def test_bootstrap_draws_are_even_beyond_a_million_tasks(spark):
+    counts = spark.createDataFrame([("a", (1 << 20) + 7, 300_000, 320_000)], "label string, n long, control_only long, treatment_only long")
+    got = P.bootstrap_interval(counts, "label", "7", 20).head()
+    lift = 100 * 20_000 / ((1 << 20) + 7)
+    assert got.ci_low < lift < got.ci_high and got.ci_high - got.ci_low < 0.4
