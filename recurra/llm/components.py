@@ -7,7 +7,7 @@ from .common import materialise, salted_join
 
 
 def _towards(edges: DataFrame, least: DataFrame) -> DataFrame:
-    return salted_join(edges, least, "u", "l_u", "inner", F.col("v"))
+    return salted_join(edges, least, "u", "l_u", "inner", F.col("v"), 4)
 
 
 def components(links: DataFrame) -> DataFrame:

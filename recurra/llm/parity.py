@@ -34,7 +34,7 @@ from .common import batch, batches_of, materialise, small_batches
 from .components import components
 
 BAND = 1.5
-NARROW = 1024                     # bits of the narrow sketch
+NARROW = 1024                     # bits of the narrow sketch at least; long sets have three quarters of a bit an element or more
 LONG = 400                        # from this size on a set also has a wide sketch, of two bits an element or more
 BLOCK = 512
 BROADCAST_ROWS = 250_000         # ids sent to every task at most; beyond it the join is shuffled
@@ -151,6 +151,10 @@ def sketch(h: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def narrow_bits(n: int) -> int:
+    return max(NARROW, 1 << (3 * n // 4).bit_length())
+
+
 def wide_bits(n: int) -> int:
     return 1 << (2 * n - 1).bit_length()
 
@@ -190,7 +194,7 @@ def set_facts(docs: DataFrame, width: int, per: int) -> DataFrame:
                 if len(known) >= 100_000:
                     known.clear()
                 known.add(s)
-                sketches.append(sketch(h, NARROW))
+                sketches.append(sketch(h, narrow_bits(len(h))))
                 wides.append(sketch(h, wide_bits(len(h))) if len(h) >= LONG else None)
                 keys.append(part_keys(h, plan))
             return batch(doc_id=b.column("doc_id"), text_key=b.column("text_key"), n=pa.array(ns, pa.int64()), sid=pa.array(sids, pa.int64()),
@@ -248,20 +252,20 @@ def _folded(x: Column) -> Column:
 
 def possible(pairs: DataFrame, sets: DataFrame, per: int) -> DataFrame:
     """The pairs (a, b) that sizes and sketches do not rule out: narrow sketches first, wide ones for long sets that pass. Sizes
-    are so near that two wide sketches have as many bits or twice as many; then the larger is folded once."""
+    are so near that two sketches have as many bits or one twice as many; then that one is folded once."""
     def sides(rows: DataFrame, what: str) -> DataFrame:
         side = lambda p: sets.select(F.col("sid").alias(f"{p}_sid"), F.col("n").alias(f"{p}_n"), F.col(what).alias(f"{p}_s"))          # noqa: E731
         return rows.join(side("a"), F.col("a") == F.col("a_sid")).join(side("b"), F.col("b") == F.col("b_sid"))
 
     def allowed(a: Column, b: Column) -> Column:
+        a, b = F.when(F.size(a) > F.size(b), _folded(a)).otherwise(a), F.when(F.size(b) > F.size(a), _folded(b)).otherwise(b)
         return hamming(a, b) * (100 + per) <= (F.col("a_n") + F.col("b_n")) * (100 - per)
 
     a, b = F.col("a_s"), F.col("b_s")
     near = 100 * F.least("a_n", "b_n") >= per * F.greatest("a_n", "b_n")
     first = materialise(sides(pairs, "sketch").filter(near & allowed(a, b)).select("a", "b", (F.least("a_n", "b_n") >= LONG).alias("long")))
     long = sides(first.filter("long").select("a", "b"), "wide")
-    wa, wb = F.when(F.size(a) > F.size(b), _folded(a)).otherwise(a), F.when(F.size(b) > F.size(a), _folded(b)).otherwise(b)
-    return first.filter("NOT long").select("a", "b").unionByName(long.filter(allowed(wa, wb)).select("a", "b"))
+    return first.filter("NOT long").select("a", "b").unionByName(long.filter(allowed(a, b)).select("a", "b"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, per: int) -> DataFrame:
@@ -311,18 +315,29 @@ def remaining(shared: DataFrame, comp: DataFrame, sets: DataFrame, per: int) ->
     other = blocks.select(F.col("key").alias("o_key"), F.col("block").alias("o_block"), F.col("rows").alias("o_rows"))
     two = blocks.join(other, (F.col("key") == F.col("o_key")) & (F.col("block") <= F.col("o_block"))).select("rows", "o_rows", (F.col("block") == F.col("o_block")).alias("same"))
 
-    def unpack(col: pa.Array) -> list[np.ndarray]:
-        f = [col.values.field(i) for i in range(4)]
-        return [x.to_numpy(zero_copy_only=False) for x in f[:3]] + [f[3].flatten().to_numpy(zero_copy_only=False).reshape(-1, NARROW // 64)]
+    def unpack(group: pa.StructArray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        sid, root, n, sketches = group.flatten()
+        words, ends = sketches.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(sketches.value_lengths().to_numpy(zero_copy_only=False))
+        return [x.to_numpy(zero_copy_only=False) for x in (sid, root, n)], np.split(words, ends[:-1])
+
+    def fold_to(sketches: list[np.ndarray], words: int) -> np.ndarray:
+        out = []
+        for x in sketches:
+            while len(x) > words:
+                x = x[:len(x) // 2] ^ x[len(x) // 2:]
+            out.append(x)
+        return np.stack(out)
 
     def run(batches):
         for b in batches:
             out = []
             for i in range(b.num_rows):
-                (sa, ra, na, ha), (sb, rb, nb, hb) = (unpack(pa.array(b.column(x).slice(i, 1).to_pylist(), b.column(x).type)) for x in ("rows", "o_rows"))
+                ((sa, ra, na), ha), ((sb, rb, nb), hb) = (unpack(b.column(x)[i].values) for x in ("rows", "o_rows"))
+                words = min(map(len, ha + hb))
+                ha, hb = fold_to(ha, words), fold_to(hb, words)
                 ham = np.zeros((len(sa), len(sb)), np.int64)
-                for j in range(NARROW // 64):
-                    ham += np.bitwise_count(ha[:, j][:, None].view(np.uint64) ^ hb[:, j][None, :].view(np.uint64))
+                for j in range(words):
+                    ham += np.bitwise_count(ha[:, j][:, None] ^ hb[:, j][None, :])
                 ok = (ra[:, None] != rb[None, :]) & (ham * (100 + per) <= (na[:, None] + nb[None, :]) * (100 - per))
                 ok &= 100 * np.minimum(na[:, None], nb[None, :]) >= per * np.maximum(na[:, None], nb[None, :])
                 if b.column("same")[i].as_py():
