@@ -52,8 +52,8 @@ def lift(t):
 @query("merge_shards", with_views("hit", "SELECT arm, count(*) AS n_tasks, sum(hit::INT)::BIGINT AS n_localized, sum(n_flags)::BIGINT AS n_flags, sum(n_fp)::BIGINT AS n_false_positive FROM hit GROUP BY 1"))
 def merge_shards(t):
     shard = F.crc32(F.col("grp").cast("binary")) % 3
-    parts = [M.metric_counts(t.hit.filter(shard == i), ["arm", "grp"]) for i in range(3)]
-    return M.merge_counts(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["arm"])
+    parts = M.metric_counts(t.hit.withColumn("shard", shard), ["shard", "arm", "grp"])          # the counts of every shard in one pass
+    return M.merge_counts(parts, ["arm"])
 
 
 def _report_sql(arm: str) -> str:

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from ..session import materialise
+
 CORRUPT = "_corrupt_record"
 CSV_OPTIONS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
@@ -13,7 +15,6 @@ TASK_SCHEMA = T.StructType(
     [T.StructField(n, T.StringType()) for n in (
         "instance_id", "repo", "base_commit", "created_at", "problem_statement", "patch",
         "test_patch", "environment_setup_commit", "hints_text", "FAIL_TO_PASS", "PASS_TO_PASS")])
-REQUIRED = ("instance_id", "repo", "base_commit", "created_at", "problem_statement", "patch")
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType, fmt: str | None = None) -> DataFrame:
@@ -67,7 +68,8 @@ def write_sorted_json(df: DataFrame, path: str, order: Sequence[str]) -> None:
 
 
 def write_with_verdicts(data: DataFrame, verdict_columns: Sequence[str], admitted: Column, path: str) -> None:
-    """Accepted rows and the full verdict table side by side."""
+    """Accepted rows and the full verdict table side by side, both from one evaluation of ``data``."""
+    data = materialise(data)
     data.filter(admitted).drop(*[c for c in verdict_columns if c not in ("instance_id", "task_id")]).write.json(f"{path}/accepted")
     data.select(*verdict_columns).write.json(f"{path}/verdicts")
 
