@@ -6,7 +6,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from ..functions.digest import set_digest_sql
-from ..functions.running import ordered_numbers
+from ..functions.running import ordered_numbers, position
 from ..operators import consolidate as C, memory as MEM
 from ..operators.metrics import label_outcomes
 from ..session import materialise
