@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .blocks import doubles, longs, matrix, pack, units, usable
+from .blocks import doubles, longs, pack, units, usable
 from .common import materialise
 
 BINS = 1024

@@ -8,7 +8,6 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from recurra.llm import lines, mixing, parity, queries, secrets
