@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import text
 from ..session import scratch_dir
 from ..sources import memo, records as S
 from ..operators.chains import seeded_sample
