@@ -7,8 +7,14 @@ source's seats go to its shards by the shards' words in the same way, which give
 shard the documents lie end to end in seeded order and are cut into blocks of equal length; the quota takes every
 block ``quota div blocks`` times and, by a seeded permutation of the block numbers, some of them once more.
 
-Shards are cut by hash into about ``shard_docs`` documents, so a source that holds a third of all rows is many small cells. The
-highest quotients are found without listing them: the threshold quotient is bracketed by counting seats at ``POINTS`` values at
+Shards are cut by hash into about ``shard_docs`` documents, so a source that holds a third of all rows is many small cells. With
+``own_shards`` each source is cut by the number of its own documents that have words (those without lie in cells of their own), so a
+cell is not shorter than a block unless its whole source is. A source's seats are words then: they become blocks of the length that its
+cells really have, a cell takes at most ``cap`` times its blocks, and what is above goes to the next quotients. Without
+``own_shards`` all sources are cut by the number of all documents, as the SQL below does: a source with about one short document a
+shard then loses what its cells are too short for.
+
+The highest quotients are found without listing them: the threshold quotient is bracketed by counting seats at ``POINTS`` values at
 a time, then only the quotients inside the last bracket are ranked.
 
 Defined results: NULL text has size 0 and nothing is taken; a source without words has target 0; rows that agree in id, source and
@@ -66,27 +72,32 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap: f
     return ranked.withColumn("target", F.when(F.col("weight") * F.lit(level) >= limit, limit).otherwise(F.col("weight") * F.lit(level)))
 
 
-def _seats(weight: Column, threshold: Column) -> Column:
-    """How many quotients weight / (2 s + 1) are at least the threshold."""
-    return F.when((weight > 0) & (threshold > 0), F.floor((weight / threshold + 1) / 2)).otherwise(F.lit(0)).cast("long")
+def _seats(weight: Column, threshold: Column, limit: str | None = None) -> Column:
+    """How many quotients weight / (2 s + 1) are at least the threshold; at most ``limit``."""
+    n = F.when((weight > 0) & (threshold > 0), F.floor((weight / threshold + 1) / 2)).otherwise(F.lit(0)).cast("long")
+    return F.least(n, F.col(limit)) if limit else n
 
 
-def apportion(cells: DataFrame, group: str, weight: str, house: str, order: list[str]) -> DataFrame:
-    """Add ``seats``: the group's ``house`` seats by the highest quotients weight / (2 s + 1), ties by ``order``.
-    ``group`` must not be NULL; ``house`` is the same in all rows of a group."""
-    groups = cells.groupBy(group).agg(F.max(house).alias("a_house"), F.sum(weight).alias("w"), F.max(weight).alias("most"))
-    # every seat at threshold w / (2 h) or below is at least the fair share; above the largest weight there is none
-    state = groups.select(F.col(group).alias("a_group"), "a_house", (F.col("w") / (2 * F.col("a_house") + 2) / 2).alias("a_low"), (F.col("most") * 1.5).alias("a_high"))
+def apportion(cells: DataFrame, group: str, weight: str, house: str, order: list[str], limit: str | None = None) -> DataFrame:
+    """Add ``seats``: the group's ``house`` seats by the highest quotients weight / (2 s + 1), ties by ``order``; a cell gets at most
+    ``limit`` seats (a column), the others go to the next quotients. ``group`` must not be NULL; ``house`` is the same in all rows of a group."""
+    positive = F.when(F.col(weight) > 0, F.col(weight))
+    groups = cells.groupBy(group).agg(F.max(house).alias("a_house"), F.sum(weight).alias("w"), F.min(positive).alias("least"),
+                                      *([F.sum(F.when(F.col(weight) > 0, F.col(limit))).alias("room")] if limit else []))
+    if limit:
+        groups = groups.withColumn("a_house", F.least("a_house", "room"))
+    # at the smallest weight / (2 h + 2) every cell has h seats or its limit; above w / h there are fewer than h, since a cell has at most weight / threshold
+    state = groups.select(F.col(group).alias("a_group"), "a_house", (F.col("least") / (2 * F.col("a_house") + 2)).alias("a_low"), (F.col("w") / F.greatest(F.lit(1), "a_house") * 1.01).alias("a_high"))
     state = materialise(state.filter((F.col("a_house") > 0) & (F.col("w") > 0)))
     for _ in range(ROUNDS):
         at = [F.col("a_low") + (F.col("a_high") - F.col("a_low")) * (i / POINTS) for i in range(POINTS + 1)]
-        counts = (cells.select(group, weight).join(state, F.col(group) == F.col("a_group"))
-                  .groupBy("a_group", "a_house", "a_low", "a_high").agg(F.array(*[F.sum(_seats(F.col(weight), p)) for p in at]).alias("n")))
+        counts = (cells.select(group, weight, *([limit] if limit else [])).join(state, F.col(group) == F.col("a_group"))
+                  .groupBy("a_group", "a_house", "a_low", "a_high").agg(F.array(*[F.sum(_seats(F.col(weight), p, limit)) for p in at]).alias("n")))
         # the last point that still gives at least h seats, and the first that gives fewer
         last = F.greatest(F.lit(0), F.size(F.filter("n", lambda c: c >= F.col("a_house"))) - 1)
         step = (F.col("a_high") - F.col("a_low")) / POINTS
         state = materialise(counts.select("a_group", "a_house", (F.col("a_low") + step * last).alias("a_low"), (F.col("a_low") + step * F.least(F.lit(POINTS), last + 1)).alias("a_high")))
-    held = cells.join(state, F.col(group) == F.col("a_group"), "left").withColumn("sure", _seats(F.col(weight), F.col("a_high"))).withColumn("may", _seats(F.col(weight), F.col("a_low")))
+    held = cells.join(state, F.col(group) == F.col("a_group"), "left").withColumn("sure", _seats(F.col(weight), F.col("a_high"), limit)).withColumn("may", _seats(F.col(weight), F.col("a_low"), limit))
     held = materialise(held)
     sure = held.groupBy(group).agg(F.sum("sure").alias("given")).withColumnRenamed(group, "sg")
     contested = (held.filter(F.col("may") > F.col("sure")).withColumn("s", F.explode(F.sequence(F.col("sure"), F.col("may") - 1)))
@@ -100,7 +111,7 @@ def apportion(cells: DataFrame, group: str, weight: str, house: str, order: list
     return held.join(won, same, "left").withColumn("seats", F.col("sure") + F.coalesce("won", F.lit(0))).select(*cells.columns, "seats")
 
 
-def quotas(rows: DataFrame, weights: tuple[float, ...], share: float, cap: float, block: int, shard_docs: int) -> DataFrame:
+def quotas(rows: DataFrame, weights: tuple[float, ...], share: float, cap: float, block: int, own_shards: bool) -> DataFrame:
     """(source, shard) cells of written plan rows with target, blocks and quota."""
     cells = rows.groupBy("sid", "source", "shard").agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("copies")).alias("all_words"))
     sources = cells.groupBy("sid", "source").agg(F.sum("words").alias("distinct_size"), F.sum("all_words").alias("source_size"))
@@ -110,21 +121,34 @@ def quotas(rows: DataFrame, weights: tuple[float, ...], share: float, cap: float
     claims = float(wanted.agg(F.sum("claim")).first()[0] or 0)
     seated = apportion(wanted.withColumn("house", F.lit(math.floor(claims / block + 0.5)).cast("long")), "one", "claim", "house", ["sid"])
     seated = materialise(seated.select(F.col("sid").alias("s_sid"), "source_size", "target", F.col("seats").alias("source_seats")))
-    cells = cells.join(seated, F.col("sid") == F.col("s_sid")).withColumn("w", F.col("words").cast("double")).select("sid", "source", "shard", "words", "w", "source_size", "target", "source_seats")
-    out = apportion(materialise(cells), "sid", "w", "source_seats", ["shard"])
     blocks = F.greatest(F.lit(1), F.floor(F.col("words") / block + 0.5)).cast("long")
-    return out.withColumn("blocks", blocks).withColumn("quota", F.least(F.col("seats"), F.floor(F.col("blocks") * cap).cast("long")))
+    cells = (cells.join(seated, F.col("sid") == F.col("s_sid")).withColumn("blocks", blocks).withColumn("limit", F.floor(F.col("blocks") * cap).cast("long"))
+             .select("sid", "source", "shard", "words", "blocks", "limit", "source_size", "target", "source_seats"))
+    if not own_shards:
+        out = apportion(materialise(cells.withColumn("w", F.col("words").cast("double"))), "sid", "w", "source_seats", ["shard"])
+        return out.withColumn("quota", F.least("seats", "limit"))
+    cells = materialise(cells.withColumn("w", F.when(F.col("words") > 0, F.col("blocks")).otherwise(0).cast("double")))
+    lengths = cells.groupBy("sid").agg(F.try_divide(F.sum("w"), F.sum("words")).alias("per_word")).withColumnRenamed("sid", "l_sid")
+    house = F.floor(F.col("source_seats") * block * F.coalesce("per_word", F.lit(0.0)) + 0.5).cast("long")
+    cells = cells.join(lengths, F.col("sid") == F.col("l_sid")).withColumn("house", house).drop("l_sid", "per_word")
+    return apportion(materialise(cells), "sid", "w", "house", ["shard"], "limit").withColumnRenamed("seats", "quota")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 64,
-        shard_docs: int = 1024, seed: str = "mix") -> DataFrame:
+        shard_docs: int = 1024, seed: str = "mix", own_shards: bool = True) -> DataFrame:
     """Per distinct (doc_id, source, key): size, copies, source_size, target, taken (words the mix takes of one copy), and
     where it lies: ``first`` (words before it in its shard), ``words``, ``blocks``, ``quota``, ``turn`` of the shard."""
     rows = materialise(plan_rows(docs).withColumn("sid", F.md5(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))))
                        .withColumn("draw", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "key", "sid"))))
-    shards = max(1, math.ceil(rows.count() / shard_docs))
-    rows = rows.withColumn("shard", F.conv(F.substring("draw", 1, 8), 16, 10).cast("long") % shards)
-    cells = quotas(rows, weights, share, cap, block, shard_docs).select(F.col("sid").alias("c_sid"), F.col("shard").alias("c_shard"), "words", "source_size", "target", "blocks", "quota")
+    number = F.conv(F.substring("draw", 1, 8), 16, 10).cast("long")
+    if own_shards:
+        n_shards = lambda n: F.greatest(F.lit(1), F.ceil(n / shard_docs)).cast("long")          # noqa: E731
+        own = materialise(rows.groupBy(F.col("sid").alias("n_sid")).agg(n_shards(F.count(F.when(F.col("size") > 0, 1))).alias("n_full"), n_shards(F.count(F.when(F.col("size") == 0, 1))).alias("n_empty")))
+        rows = (rows.join(own, F.col("sid") == F.col("n_sid"))
+                .withColumn("shard", F.when(F.col("size") > 0, number % F.col("n_full")).otherwise(-1 - number % F.col("n_empty"))).drop("n_sid", "n_full", "n_empty"))
+    else:
+        rows = rows.withColumn("shard", number % max(1, math.ceil(rows.count() / shard_docs)))
+    cells = quotas(rows, weights, share, cap, block, own_shards).select(F.col("sid").alias("c_sid"), F.col("shard").alias("c_shard"), "words", "source_size", "target", "blocks", "quota")
     w = Window.partitionBy("sid", "shard").orderBy("draw", "doc_id", "source", "key").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("first", F.coalesce(F.sum("size").over(w), F.lit(0)))
     placed = (placed.join(cells, (F.col("sid") == F.col("c_sid")) & (F.col("shard") == F.col("c_shard")))

@@ -52,7 +52,7 @@ SQL["op5_line_dedup"] = lines.SQL
 
 @query
 def op6_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.mix(table(spark, sf_dir, "documents"))
+    plan = mixing.mix(table(spark, sf_dir, "documents"), own_shards=False)          # shards as in its SQL
     return plan.select("doc_id", "size", "source_size", "target", "taken", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
 
 

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from recurra.llm import lines, mixing, parity, queries, secrets
@@ -242,6 +243,27 @@ def test_seats_go_to_the_highest_quotients(spark):
         assert {i: got[g, i] for gg, i, _ in cells if gg == g} == {i: want[i] for gg, i, _ in cells if gg == g}
 
 
+def test_all_seats_are_given_when_cells_outnumber_them(spark):
+    df = spark.createDataFrame([("g", i, 1.0 if i else 1e6, 400) for i in range(500)] + [("k", i, 5.0, 7) for i in range(3000)], "g string, i int, w double, h long")
+    got = {x.g: x.n for x in mixing.apportion(df, "g", "w", "h", ["i"]).groupBy("g").agg(F.sum("seats").alias("n")).collect()}
+    assert got == {"g": 400, "k": 7}
+
+
+def test_seats_above_a_limit_go_to_other_cells(spark):
+    df = spark.createDataFrame([("g", 0, 90.0, 12, 4), ("g", 1, 9.0, 12, 20), ("g", 2, 1.0, 12, 20), ("f", 0, 5.0, 9, 2), ("f", 1, 5.0, 9, 3)], "g string, i int, w double, h long, most long")
+    got = {(x.g, x.i): x.seats for x in mixing.apportion(df, "g", "w", "h", ["i"], "most").collect()}
+    assert got == {("g", 0): 4, ("g", 1): 7, ("g", 2): 1, ("f", 0): 2, ("f", 1): 3}
+
+
+def test_mix_of_a_source_of_short_documents_among_many(make):
+    """A source of 300 short documents in a table of 6,000 keeps its target, however many shards the others have."""
+    r = random.Random(11)
+    docs = make([(i, " ".join(words(r, 5 if i % 20 == 0 else 12)), None, "z" if i % 20 == 0 else "a") for i in range(6000)] + [(9000 + i, "", None, "z") for i in range(300)])
+    plan = mixing.mix(docs, shard_docs=16).filter("source = 'z'").collect()
+    assert len(plan) == 600 and all(x.taken <= 2 * x.size for x in plan)
+    assert abs(sum(x.taken for x in plan) - plan[0].target) <= 0.05 * plan[0].target
+
+
 # -- secrets ------------------------------------------------------------------------------------------------
 def spans_by_hand(t):
     """The contract's patterns as written."""
