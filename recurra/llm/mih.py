@@ -6,6 +6,9 @@ radius r, substring j is probed at every value within t_j bits, where the t_j +
 principle every code within r agrees with the query to t_j bits in some substring j, so the probes retrieve all of them.
 Retrieved codes within r are reranked by the double inner product of the original vectors.
 
+A query that has found fewer than k rows in the whole index is searched again with a larger radius, one more bit in every substring each
+time, until it has k rows or the radius is all bits; only such queries are. So a query gets min(k, candidates) rows.
+
 Inner products are turned into angles first: a row is divided by the largest norm and gets one more component that fills it up to
 norm 1, a query gets 0 there. The radius is learned too: on the sample, the Hamming distance within which ``recall`` of the
 true neighbours lie (at the rank in the sample that corresponds to ``k`` in all rows).
@@ -15,18 +18,18 @@ Every row is indexed. ``sample`` (rows) and ``probes`` (sample queries) are the
 
 Defined results: NULL or zero vectors, vectors with NULL or non-finite components and rows without id take no part; shorter
 vectors count as padded with zeros; rows with the query's id are its own; a repeated query row is answered once for each
-row; fewer candidates than k: all that are found; an empty table gives no rows.
+row; fewer candidates than k: all of them; an empty table gives no rows.
 """
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .blocks import doubles, longs, matrix, pack, units, usable
+from .blocks import BLOCK, doubles, longs, matrix, pack, units, usable
 from .common import draw, materialise
 
 BITS = 64                       # a code is one machine word
@@ -162,6 +165,39 @@ def nearest(table: DataFrame, is_query: Column, k: int, query_block: int = 1024,
     model = fit(distinct, dim, total, size["norm"] or 1.0, k, **learning)
     index = materialise(pack(distinct.repartition(max(1, math.ceil(total / index_block))), dim, index_block, extra=lambda m: model.encode(m, False).tobytes(), ids_col="ids"))
     queries = materialise(pack(rows.filter(is_query).repartition(max(1, math.ceil(total / 20 / query_block))), dim, query_block))
-    found = units(queries, index, max(1, index.count())).mapInPandas(_search(model, k), "block long, pos int, query_id long, vec_id long, score double")
+    slots = max(1, index.count())
     w = Window.partitionBy("block", "pos").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    done = None
+    while True:
+        found = units(queries, index, slots).mapInPandas(_search(model, k), "block long, pos int, query_id long, vec_id long, score double")
+        best = materialise(found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
+        if model.radius >= model.bits:
+            break
+        full = best.filter(F.col("rank") == k).select(F.col("block").alias("f_block"), F.col("pos").alias("f_pos"))
+        left = materialise(_without(queries, full))
+        if left.isEmpty():
+            break
+        kept = best.join(full, (F.col("block") == F.col("f_block")) & (F.col("pos") == F.col("f_pos"))).drop("f_block", "f_pos")
+        done = kept if done is None else done.unionByName(kept)
+        queries, model = left, replace(model, radius=min(model.bits, model.radius + len(model.parts())))
+    done = best if done is None else done.unionByName(best)
+    return done.select("query_id", "rank", "vec_id", "score")
+
+
+def _without(queries: DataFrame, full: DataFrame) -> DataFrame:
+    """The query blocks without the queries that are in ``full`` (f_block, f_pos); a block of which nothing is left goes."""
+    gone = full.groupBy("f_block").agg(F.collect_list("f_pos").alias("gone"))               # at most a block's queries
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for row in b.itertuples(index=False):
+                stay = np.ones(row.n, bool)
+                if row.gone is not None:
+                    stay[np.asarray(row.gone, np.int64)] = False
+                if stay.any():
+                    out.append({"block": row.block, "n": int(stay.sum()), "ids": longs(row.ids)[stay].tobytes(), "mat": doubles(row.mat, row.n)[stay].tobytes(), "extra": b""})
+            if out:
+                yield pd.DataFrame(out)
+
+    return queries.join(gone, F.col("block") == F.col("f_block"), "left").select("block", "n", "ids", "mat", "gone").mapInPandas(run, BLOCK)

@@ -87,6 +87,27 @@ def test_mih_of_odd_input(vectors):
     assert mih.nearest(df.limit(0), F.col("vec_id") % 5 == 0, 3).count() == 0
 
 
+def test_mih_fills_every_query(vectors):
+    """Lone vectors beside dense clusters: min(k, candidates) rows for each query, whatever radius the dense part teaches."""
+    r = np.random.default_rng(5)
+    centres = r.standard_normal((20, 32))
+    x = np.vstack([centres[i % 20] + 0.1 * r.standard_normal(32) for i in range(1000)] + [r.standard_normal(32) for _ in range(8)])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = vectors([(i, v.tolist()) for i, v in enumerate(x)])
+    is_query = (F.col("vec_id") >= 1000) | (F.col("vec_id") % 100 == 0)
+    rows = mih.nearest(df, is_query, 20, query_block=4, index_block=256).collect()
+    got = {}
+    for q in rows:
+        got.setdefault(q.query_id, []).append((q["rank"], q.vec_id, q.score))
+    assert len(got) == 18
+    for q, best in got.items():
+        best.sort()
+        assert [b[0] for b in best] == list(range(1, 21)) and len({b[1] for b in best}) == 20 and q not in {b[1] for b in best}
+        assert [b[2] for b in best] == sorted((b[2] for b in best), reverse=True)
+    few = mih.nearest(df.filter("vec_id >= 995"), is_query, 50).groupBy("query_id").count().collect()
+    assert {(x.query_id, x["count"]) for x in few} == {(q, 12) for q in range(1000, 1008)}
+
+
 def test_pigeonhole_finds_every_code_within_the_radius():
     r = np.random.default_rng(1)
     for bits, radius in ((64, 9), (64, 28), (20, 5), (5, 2)):
