@@ -74,6 +74,25 @@ def known_before(turns: DataFrame, memory: Column, agents: Sequence[str], by: st
     return r.withColumn("known", total.cast("long")).drop(*[f"m_{a}" for a in agents])
 
 
+def skew_counts(turns: DataFrame, memory: Column, agents: Sequence[str], by: str = "conv_id", wall: str = "wall", bucket: str = "wall div 4096") -> DataFrame:
+    """:func:`skew_disagreement` of every turn with every memory of its conversation, without a pair. Of each agent's memories a turn
+    knows the first so many, by its clock and by wall time alike, so those known by both are the smaller number. An agent's own
+    wall clock must not run backwards."""
+    mine = {f"m_{a}": F.when((F.col("role") == a) & memory, 1).otherwise(0) for a in agents}
+    t = running(turns, [by], ["turn"], "turn div 64", mine, inclusive=True)
+    at = turns.groupBy(by, wall).agg(*[F.sum(v).alias(f"s_{k}") for k, v in mine.items()])              # equal times are known to each other
+    at = running(at, [by], [wall], bucket, {f"w_{a}": F.col(f"s_m_{a}") for a in agents}, inclusive=True)
+    at = at.select(F.col(by).alias("__by"), F.col(wall).alias("__wall"), *[f"w_{a}" for a in agents])
+    every = turns.groupBy(F.col(by).alias("__all")).agg(F.sum(F.when(memory, 1).otherwise(0)).alias("n_all"))
+    t = t.join(at, F.col(by).eqNullSafe(F.col("__by")) & (F.col(wall) == F.col("__wall"))).join(every, F.col(by).eqNullSafe(F.col("__all")))
+    causal = {a: F.when(F.coalesce(F.try_element_at("clock", F.lit(a)), F.lit(0)) > 0, F.col(f"m_{a}")).otherwise(0) for a in agents}
+    total = lambda cols: sum(cols, F.lit(0))          # noqa: E731
+    t = t.select("n_all", total(causal.values()).alias("c"), total(F.col(f"w_{a}") for a in agents).alias("w"), total(F.least(causal[a], F.col(f"w_{a}")) for a in agents).alias("b"))
+    n = t.agg(F.sum("b").alias("tt"), F.sum(F.col("c") - F.col("b")).alias("tf"), F.sum(F.col("w") - F.col("b")).alias("ft"), F.sum(F.col("n_all") - F.col("c") - F.col("w") + F.col("b")).alias("ff"))
+    cells = F.array(*[F.struct(F.lit(x[0] == "t").alias("knew_causal"), F.lit(x[1] == "t").alias("knew_wall"), F.col(x).cast("long").alias("n")) for x in ("tt", "tf", "ft", "ff")])
+    return n.select(F.inline(cells)).filter("n > 0")
+
+
 def causal_join(pairs: DataFrame, memory: str = "m_clock", action: str = "a_clock") -> DataFrame:
     """Pairs in which the memory lies in the action's causal past."""
     return pairs.filter(leq(F.col(memory), F.col(action)))

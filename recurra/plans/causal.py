@@ -65,6 +65,18 @@ def causal_known(t):
     return V.known_before(clocks(t), F.col("turn") % 2 == 0, ROLES).select("conv_id", "turn", "known")
 
 
+@query("clock_skew_all", CV_SQL + " SELECT m.a <= x.a AND m.s <= x.s AND m.u <= x.u AS knew_causal, x.wall >= m.wall AS knew_wall, count(*) AS n FROM c m JOIN c x ON m.conv_id = x.conv_id GROUP BY 1, 2")
+def clock_skew_all(t):
+    """The disagreement matrix with every turn as a memory, from running counts."""
+    return V.skew_counts(materialise(clocks(t).select("conv_id", "turn", "role", "clock", "wall")), F.lit(True), ROLES)
+
+
+@query("causal_known_all", CV_SQL + """ SELECT x.conv_id, x.turn, (SELECT count(*) FROM c m WHERE m.conv_id = x.conv_id AND m.a <= x.a AND m.s <= x.s AND m.u <= x.u) AS known FROM c x""")
+def causal_known_all(t):
+    """Every turn is a memory; how many does each turn know?"""
+    return V.known_before(clocks(t), F.lit(True), ROLES).select("conv_id", "turn", "known")
+
+
 SEG = 4
 LEVELS = 8
 def _hash_sql(seq: str, prev: str, event: str, payload: str, clock: str) -> str:
