@@ -5,20 +5,20 @@ through an equi-join on a slot number, so each unit is one row of one task and w
 """
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 BLOCK = "block long, n int, ids binary, mat binary, extra binary"
 
 
-def usable(table: DataFrame, zero: bool) -> DataFrame:
-    """vec_id, v: rows with an id and a vector without NULL or non-finite components (and not all zero unless ``zero``)."""
+def usable(table: DataFrame, zero: bool, more: Sequence[Column] = ()) -> DataFrame:
+    """vec_id, v (and ``more``): rows with an id and a vector without NULL or non-finite components (and not all zero unless ``zero``)."""
     v = F.col("embedding").cast("array<double>")
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
+    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), *more).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     ok = F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     return rows.filter(ok if zero else ok & F.exists("v", lambda x: x != 0.0))
 
@@ -84,3 +84,27 @@ def longs(raw: bytes) -> np.ndarray:
 
 def doubles(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, np.float64).reshape(n, -1)
+
+
+def integer_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products (query, candidate) of integers held as doubles, exact; what 64 bits do not hold is cut to their largest value or
+    its negative. Doubles multiply where they are exact, 64-bit integers beyond, and whole numbers of any length for rows that need them."""
+    top_q, top_c = np.abs(q).max(axis=1, initial=0), np.abs(c).max(axis=1, initial=0)
+    most = float(top_q.max(initial=0)) * float(top_c.max(initial=0)) * max(1, q.shape[1])
+    if most < 2.0 ** 53:
+        return (q @ c.T).astype(np.int64)
+    side = np.sqrt(2.0 ** 62 / max(1, q.shape[1]))
+    long_q, long_c = np.nonzero(top_q >= side)[0], np.nonzero(top_c >= side)[0]
+    small_q, small_c = q.copy(), c.copy()
+    small_q[long_q], small_c[long_c] = 0, 0
+    s = small_q.astype(np.int64) @ small_c.astype(np.int64).T
+    if len(long_q) or len(long_c):
+        end = (1 << 63) - 1
+        whole = np.frompyfunc(int, 1, 1)
+        cut = np.frompyfunc(lambda x: max(-end, min(end, x)), 1, 1)
+        wq, wc = whole(q), whole(c)
+        if len(long_q):
+            s[long_q] = cut(wq[long_q] @ wc.T).astype(np.int64)
+        if len(long_c):
+            s[:, long_c] = cut(wq @ wc[long_c].T).astype(np.int64)
+    return s

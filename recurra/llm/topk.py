@@ -26,7 +26,11 @@ QUERY_BLOCK, INDEX_BLOCK = 1024, 8192
 
 
 def quantise(scale: float):
-    return lambda m: np.floor(scale * m)
+    """Whole numbers as doubles; beyond the largest double they are cut to it."""
+    def run(m: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return np.clip(np.floor(scale * m), -np.finfo(float).max, np.finfo(float).max)
+    return run
 
 
 def _scores(row, wide: bool) -> np.ndarray:
