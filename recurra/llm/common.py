@@ -77,6 +77,21 @@ def batches_of(fn):
     return run
 
 
+def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that none holds more than about ``most`` bytes, nor is empty: memory follows from bytes, whatever the session's batch sizes."""
+    for b in batches:
+        if b.num_rows:
+            step = max(1, int(b.num_rows * most / max(1, b.nbytes)))
+            stack = [(i, min(step, b.num_rows - i)) for i in range(0, b.num_rows, step)][::-1]
+            while stack:
+                at, n = stack.pop()
+                part = b.slice(at, n)
+                if n > 1 and part.nbytes > 2 * most:
+                    stack += [(at + n // 2, n - n // 2), (at, n // 2)]
+                else:
+                    yield part
+
+
 def batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(columns)
 
@@ -87,3 +102,19 @@ def salted_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     l = left.withColumn("__salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
     r = right.withColumn("__rsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return l.join(r, (F.col(left_key) == F.col(right_key)) & (F.col("__salt") == F.col("__rsalt")), how).drop("__salt", "__rsalt")
+
+
+def hot_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], salt_by: Column, buckets: int = 4096, salts: int = 32) -> DataFrame:
+    """An inner equi-join of a written table with hot keys (left) and one with a row per key (right). Keys are counted by hash bucket (a bounded
+    number of counts); only in buckets with over four times the mean is the left side spread over ``salts`` tasks and the right side repeated."""
+    bucket = lambda keys: F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")           # noqa: E731
+    counts = left.groupBy(bucket(left_keys).alias("b")).count().collect()
+    mean = sum(r["count"] for r in counts) / max(1, buckets)
+    hot = [r["b"] for r in counts if r["count"] > 4 * mean + 1000]                        # fewer than a quarter of the buckets
+    in_hot = (lambda keys: bucket(keys).isin(hot)) if hot else (lambda keys: F.lit(False))
+    l = left.withColumn("__salt", F.when(in_hot(left_keys), F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")).otherwise(0))
+    r = right.withColumn("__rsalt", F.explode(F.when(in_hot(right_keys), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    on = F.col("__salt") == F.col("__rsalt")
+    for a, b in zip(left_keys, right_keys):
+        on &= F.col(a) == F.col(b)
+    return l.join(r, on).drop("__salt", "__rsalt")

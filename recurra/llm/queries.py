@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import automaton, grammar, hardneg, langid, lines, mih, mixing, parity, quality, secrets, topk, whitening
+from . import automaton, grammar, hardneg, langid, lines, mih, mixing, parity, quality, recompress, secrets, topk, whitening
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,6 +111,22 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.joined("spans").alias("spans"), "n_live", "n_copied")
 
 
+@query
+def op11_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.digests(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+SQL["op11_recompression_dedup"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS ws FROM documents),
+g AS (SELECT doc_id, u.i, array_to_string(ws[u.i : u.i + 49], ' ') AS s FROM w, unnest(range(1, len(ws) - 48)) AS u(i)),
+m AS (SELECT s, min(doc_id) AS d FROM g GROUP BY s),
+h AS (SELECT DISTINCT doc_id, g.i + u.k AS i FROM g JOIN m USING (s), unnest(range(0, 50)) AS u(k) WHERE m.d < g.doc_id),
+c AS (SELECT doc_id, list(i) AS gone FROM h GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(array_to_string([x FOR x, i IN ws IF gone IS NULL OR NOT list_contains(gone, i)], ' ')) AS kept_sha256
+FROM w LEFT JOIN c ON w.doc_id = c.doc_id"""
+
+
 @query
 def op12_hilbert_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
