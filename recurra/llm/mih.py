@@ -6,12 +6,15 @@ radius r, substring j is probed at every value within t_j bits, where the t_j +
 principle every code within r agrees with the query to t_j bits in some substring j, so the probes retrieve all of them.
 Retrieved codes within r are reranked by the double inner product of the original vectors.
 
-A query that has found fewer than k rows in the whole index is searched again with a larger radius, one more bit in every substring each
-time, until it has k rows or the radius is all bits; only such queries are. So a query gets min(k, candidates) rows.
+How far a query must look is its own matter: on the sample, the Hamming distance is learned that ``recall`` of all pairs with a given
+angle keep to (``reach``; for angles that the sample does not show, from the share of bits that random hyperplanes would differ in).
+A query is done when it has k rows and the radius searched covers the angle of its k-th: what scores higher lies at a smaller angle. The others
+are searched again with one more bit in every substring each time, until that holds or the radius is all bits. So lone queries, whose k-th
+neighbour is far away, look further than those in clusters, and every query gets min(k, candidates) rows.
 
 Inner products are turned into angles first: a row is divided by the largest norm and gets one more component that fills it up to
-norm 1, a query gets 0 there. The radius is learned too: on the sample, the Hamming distance within which ``recall`` of the
-true neighbours lie (at the rank in the sample that corresponds to ``k`` in all rows).
+norm 1, a query gets 0 there. The first radius is the Hamming distance within which ``recall`` of the true neighbours in the
+sample lie (at the rank in the sample that corresponds to ``k`` in all rows).
 
 Copies of one vector are indexed once, with their k + 1 smallest ids: they score alike, so no further id can be returned.
 Every row is indexed. ``sample`` (rows) and ``probes`` (sample queries) are the documented bounds of what is learned from.
@@ -34,6 +37,7 @@ from .common import draw, materialise
 
 BITS = 64                       # a code is one machine word
 PART = 8                        # bits of a substring, about
+ANGLES = 64                     # cosines are told apart in so many steps
 
 
 @dataclass(frozen=True)
@@ -41,6 +45,7 @@ class Codes:
     rotation: np.ndarray        # (dim + 1, bits)
     norm: float                 # the largest norm
     radius: int
+    reach: tuple[int, ...] = (BITS,) * ANGLES          # by cosine from -1 to 1
 
     @property
     def bits(self) -> int:
@@ -76,6 +81,17 @@ def learn_rotation(x: np.ndarray, bits: int, rounds: int = 30) -> np.ndarray:
     return axes @ r
 
 
+def learn_reach(cosine: np.ndarray, ham: np.ndarray, bits: int, recall: float) -> tuple[int, ...]:
+    """For every step of the cosine, the Hamming distance that ``recall`` of the pairs at or just above it keep to."""
+    step = np.clip(((cosine + 1) / 2 * ANGLES).astype(np.int64), 0, ANGLES - 1)
+    out = np.empty(ANGLES)
+    for i in range(ANGLES):
+        here = ham[step == i]
+        p = math.acos(min(1.0, 2 * i / ANGLES - 1)) / math.pi
+        out[i] = np.quantile(here, recall, method="higher") if len(here) >= 30 else bits * p + 2 * math.sqrt(bits * p * (1 - p))
+    return tuple(int(min(bits, math.ceil(x))) for x in np.maximum.accumulate(out[::-1])[::-1])
+
+
 def fit(distinct: DataFrame, dim: int, total: int, norm: float, k: int, sample: int = 8192, probes: int = 256, recall: float = 0.97) -> Codes:
     rows = distinct.filter(draw(F.col("first_id")) < F.lit(sample / max(1, total))).select("first_id", "v").orderBy("first_id").toPandas()
     if len(rows) < 2:
@@ -88,8 +104,12 @@ def fit(distinct: DataFrame, dim: int, total: int, norm: float, k: int, sample:
     scores[np.arange(len(at)), at] = -np.inf
     rank = min(len(x) - 1, max(1, math.ceil(k * len(x) / max(1, total))))
     best = np.argpartition(-scores, rank - 1, axis=1)[:, :rank]
-    ham = np.bitwise_count(codes.encode(x[at], True)[:, None] ^ codes.encode(x, False)[best])
-    return Codes(codes.rotation, norm, int(np.quantile(ham, recall, method="higher")))
+    ham = np.bitwise_count(codes.encode(x[at], True)[:, None] ^ codes.encode(x, False)[None, :]).astype(np.int64)
+    near = np.take_along_axis(ham, best, axis=1)
+    length = np.linalg.norm(x[at], axis=1)[:, None] * norm
+    other = np.isfinite(scores)
+    reach = learn_reach((np.where(other, scores, 0.0) / length)[other], ham[other], codes.bits, recall)
+    return Codes(codes.rotation, norm, int(np.quantile(near, recall, method="higher")), reach)
 
 
 class Tables:
@@ -146,7 +166,8 @@ def _search(model: Codes, k: int):
                     ok = got != own[i]
                     got, s = got[ok], s[ok]
                     first = np.lexsort((got, -s))[:k]
-                    out.append(pd.DataFrame({"block": row.block, "pos": np.int32(i), "query_id": own[i], "vec_id": got[first], "score": s[first]}))
+                    out.append(pd.DataFrame({"block": row.block, "pos": np.int32(i), "query_id": own[i], "vec_id": got[first], "score": s[first],
+                                             "cosine": s[first] / (np.linalg.norm(q[i]) * model.norm)}))
                 if out:
                     yield pd.concat(out, ignore_index=True)
     return run
@@ -164,16 +185,18 @@ def nearest(table: DataFrame, is_query: Column, k: int, query_block: int = 1024,
     dim, total = size["d"] or 1, size["n"]
     model = fit(distinct, dim, total, size["norm"] or 1.0, k, **learning)
     index = materialise(pack(distinct.repartition(max(1, math.ceil(total / index_block))), dim, index_block, extra=lambda m: model.encode(m, False).tobytes(), ids_col="ids"))
-    queries = materialise(pack(rows.filter(is_query).repartition(max(1, math.ceil(total / 20 / query_block))), dim, query_block))
+    queries = materialise(pack(rows.filter(is_query).repartition(max(1, math.ceil(rows.filter(is_query).count() / query_block))), dim, query_block))
     slots = max(1, index.count())
     w = Window.partitionBy("block", "pos").orderBy(F.col("score").desc(), "vec_id")
     done = None
     while True:
-        found = units(queries, index, slots).mapInPandas(_search(model, k), "block long, pos int, query_id long, vec_id long, score double")
+        found = units(queries, index, slots).mapInPandas(_search(model, k), "block long, pos int, query_id long, vec_id long, score double, cosine double")
         best = materialise(found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
         if model.radius >= model.bits:
             break
-        full = best.filter(F.col("rank") == k).select(F.col("block").alias("f_block"), F.col("pos").alias("f_pos"))
+        step = F.greatest(F.lit(0), F.least(F.lit(ANGLES - 1), F.floor((F.col("cosine") + 1) / 2 * ANGLES))).cast("int")
+        need = F.array(*[F.lit(r) for r in model.reach])[step]
+        full = best.filter((F.col("rank") == k) & (need <= model.radius)).select(F.col("block").alias("f_block"), F.col("pos").alias("f_pos"))
         left = materialise(_without(queries, full))
         if left.isEmpty():
             break

@@ -7,12 +7,10 @@ source's seats go to its shards by the shards' words in the same way, which give
 shard the documents lie end to end in seeded order and are cut into blocks of equal length; the quota takes every
 block ``quota div blocks`` times and, by a seeded permutation of the block numbers, some of them once more.
 
-Shards are cut by hash into about ``shard_docs`` documents, so a source that holds a third of all rows is many small cells. With
-``own_shards`` each source is cut by the number of its own documents that have words (those without lie in cells of their own), so a
-cell is not shorter than a block unless its whole source is. A source's seats are words then: they become blocks of the length that its
-cells really have, a cell takes at most ``cap`` times its blocks, and what is above goes to the next quotients. Without
-``own_shards`` all sources are cut by the number of all documents, as the SQL below does: a source with about one short document a
-shard then loses what its cells are too short for.
+Shards are cut by hash into about ``shard_docs`` documents, so a source that holds a third of all rows is many small cells. Each
+source is cut by the number of its own documents that have words (those without lie in cells of their own), so a cell is not shorter
+than a block unless its whole source is. A source's seats are words then: they become blocks of the length that its cells really
+have, a cell takes at most ``cap`` times its blocks, and what is above goes to the next quotients.
 
 The highest quotients are found without listing them: the threshold quotient is bracketed by counting seats at ``POINTS`` values at
 a time, then only the quotients inside the last bracket are ranked.
@@ -29,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD, batches_of, materialise, small_batches
+from .common import WORD, batches_of, materialise
 from .order import running_total
 
 _WORD = re.compile(WORD)
@@ -111,7 +109,7 @@ def apportion(cells: DataFrame, group: str, weight: str, house: str, order: list
     return held.join(won, same, "left").withColumn("seats", F.col("sure") + F.coalesce("won", F.lit(0))).select(*cells.columns, "seats")
 
 
-def quotas(rows: DataFrame, weights: tuple[float, ...], share: float, cap: float, block: int, own_shards: bool) -> DataFrame:
+def quotas(rows: DataFrame, weights: tuple[float, ...], share: float, cap: float, block: int) -> DataFrame:
     """(source, shard) cells of written plan rows with target, blocks and quota."""
     cells = rows.groupBy("sid", "source", "shard").agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("copies")).alias("all_words"))
     sources = cells.groupBy("sid", "source").agg(F.sum("words").alias("distinct_size"), F.sum("all_words").alias("source_size"))
@@ -124,9 +122,6 @@ def quotas(rows: DataFrame, weights: tuple[float, ...], share: float, cap: float
     blocks = F.greatest(F.lit(1), F.floor(F.col("words") / block + 0.5)).cast("long")
     cells = (cells.join(seated, F.col("sid") == F.col("s_sid")).withColumn("blocks", blocks).withColumn("limit", F.floor(F.col("blocks") * cap).cast("long"))
              .select("sid", "source", "shard", "words", "blocks", "limit", "source_size", "target", "source_seats"))
-    if not own_shards:
-        out = apportion(materialise(cells.withColumn("w", F.col("words").cast("double"))), "sid", "w", "source_seats", ["shard"])
-        return out.withColumn("quota", F.least("seats", "limit"))
     cells = materialise(cells.withColumn("w", F.when(F.col("words") > 0, F.col("blocks")).otherwise(0).cast("double")))
     lengths = cells.groupBy("sid").agg(F.try_divide(F.sum("w"), F.sum("words")).alias("per_word")).withColumnRenamed("sid", "l_sid")
     house = F.floor(F.col("source_seats") * block * F.coalesce("per_word", F.lit(0.0)) + 0.5).cast("long")
@@ -135,20 +130,17 @@ def quotas(rows: DataFrame, weights: tuple[float, ...], share: float, cap: float
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 64,
-        shard_docs: int = 1024, seed: str = "mix", own_shards: bool = True) -> DataFrame:
+        shard_docs: int = 1024, seed: str = "mix") -> DataFrame:
     """Per distinct (doc_id, source, key): size, copies, source_size, target, taken (words the mix takes of one copy), and
     where it lies: ``first`` (words before it in its shard), ``words``, ``blocks``, ``quota``, ``turn`` of the shard."""
     rows = materialise(plan_rows(docs).withColumn("sid", F.md5(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))))
                        .withColumn("draw", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "key", "sid"))))
     number = F.conv(F.substring("draw", 1, 8), 16, 10).cast("long")
-    if own_shards:
-        n_shards = lambda n: F.greatest(F.lit(1), F.ceil(n / shard_docs)).cast("long")          # noqa: E731
-        own = materialise(rows.groupBy(F.col("sid").alias("n_sid")).agg(n_shards(F.count(F.when(F.col("size") > 0, 1))).alias("n_full"), n_shards(F.count(F.when(F.col("size") == 0, 1))).alias("n_empty")))
-        rows = (rows.join(own, F.col("sid") == F.col("n_sid"))
-                .withColumn("shard", F.when(F.col("size") > 0, number % F.col("n_full")).otherwise(-1 - number % F.col("n_empty"))).drop("n_sid", "n_full", "n_empty"))
-    else:
-        rows = rows.withColumn("shard", number % max(1, math.ceil(rows.count() / shard_docs)))
-    cells = quotas(rows, weights, share, cap, block, own_shards).select(F.col("sid").alias("c_sid"), F.col("shard").alias("c_shard"), "words", "source_size", "target", "blocks", "quota")
+    n_shards = lambda n: F.greatest(F.lit(1), F.ceil(n / shard_docs)).cast("long")              # noqa: E731
+    own = materialise(rows.groupBy(F.col("sid").alias("n_sid")).agg(n_shards(F.count(F.when(F.col("size") > 0, 1))).alias("n_full"), n_shards(F.count(F.when(F.col("size") == 0, 1))).alias("n_empty")))
+    rows = (rows.join(own, F.col("sid") == F.col("n_sid"))
+            .withColumn("shard", F.when(F.col("size") > 0, number % F.col("n_full")).otherwise(-1 - number % F.col("n_empty"))).drop("n_sid", "n_full", "n_empty"))
+    cells = quotas(rows, weights, share, cap, block).select(F.col("sid").alias("c_sid"), F.col("shard").alias("c_shard"), "words", "source_size", "target", "blocks", "quota")
     w = Window.partitionBy("sid", "shard").orderBy("draw", "doc_id", "source", "key").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("first", F.coalesce(F.sum("size").over(w), F.lit(0)))
     placed = (placed.join(cells, (F.col("sid") == F.col("c_sid")) & (F.col("shard") == F.col("c_shard")))
@@ -230,7 +222,6 @@ def apply_mix(docs: DataFrame, **params) -> DataFrame:
         name += "_"
     flat = met.select(*[F.col("body").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], F.col("plan").alias(name))
     at = docs.columns.index("text")
-    small_batches(docs.sparkSession)
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         new = [taken_text(t, **p) for t, p in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist())]
@@ -246,7 +237,8 @@ WITH RECURSIVE raw AS (
   SELECT doc_id, source, md5(coalesce(text, '')) AS key, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+'))::BIGINT AS size FROM documents),
 keyed AS (SELECT doc_id, source, key, size, count(*) AS copies, md5(coalesce('=' || source, '')) AS sid FROM raw GROUP BY ALL),
 drawn AS (SELECT *, md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || key || '|' || sid) AS draw FROM keyed),
-rows_ AS (SELECT *, ('0x' || substr(draw, 1, 8))::BIGINT % greatest(1, ceil((SELECT count(*) FROM drawn) / 1024)::BIGINT) AS shard FROM drawn),
+own AS (SELECT sid, greatest(1, ceil(count(*) FILTER (WHERE size > 0) / 1024))::BIGINT AS n_full, greatest(1, ceil(count(*) FILTER (WHERE size = 0) / 1024))::BIGINT AS n_empty FROM drawn GROUP BY sid),
+rows_ AS (SELECT d.*, CASE WHEN size > 0 THEN ('0x' || substr(draw, 1, 8))::BIGINT % n_full ELSE -1 - ('0x' || substr(draw, 1, 8))::BIGINT % n_empty END AS shard FROM drawn d JOIN own o ON d.sid = o.sid),
 cells AS (SELECT sid, source, shard, sum(size)::BIGINT AS words, sum(size * copies)::BIGINT AS all_words FROM rows_ GROUP BY ALL),
 sources AS (SELECT sid, source, sum(words)::BIGINT AS distinct_size, sum(all_words)::BIGINT AS source_size FROM cells GROUP BY ALL),
 weighed AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM sources),
@@ -261,14 +253,15 @@ house AS (SELECT floor(sum(claim) / 64 + 0.5)::BIGINT AS h FROM claimed),
 seats AS (SELECT sid, count(*) AS source_seats FROM (
   SELECT sid, row_number() OVER (ORDER BY claim / (2 * s + 1) DESC, sid) AS r FROM claimed, unnest(range((claim / 64 * 1.1 + 20)::BIGINT)) AS u(s) WHERE claim > 0)
   WHERE r <= (SELECT h FROM house) GROUP BY sid),
+blocked AS (SELECT c.sid, c.shard, c.words, greatest(1, floor(c.words / 64 + 0.5))::BIGINT AS blocks, CASE WHEN c.words > 0 THEN greatest(1, floor(c.words / 64 + 0.5)) ELSE 0 END::DOUBLE AS w FROM cells c),
+houses AS (SELECT b.sid, floor(source_seats * 64 * (sum(w) / sum(words)) + 0.5)::BIGINT AS house FROM blocked b JOIN seats q ON b.sid = q.sid GROUP BY b.sid, source_seats),
 cell_seats AS (SELECT sid, shard, count(*) AS seats FROM (
-  SELECT sid, shard, source_seats, row_number() OVER (PARTITION BY sid ORDER BY words::DOUBLE / (2 * s + 1) DESC, shard) AS r
-  FROM cells JOIN seats USING (sid), unnest(range((words * 2 / 64 * 1.1 + 20)::BIGINT)) AS u(s) WHERE words > 0)
-  WHERE r <= source_seats GROUP BY sid, shard),
-quota AS (SELECT c.sid, c.shard, c.words, greatest(1, floor(c.words / 64 + 0.5))::BIGINT AS blocks,
-    least(coalesce(q.seats, 0), 2 * greatest(1, floor(c.words / 64 + 0.5))::BIGINT) AS quota,
+  SELECT b.sid, shard, house, row_number() OVER (PARTITION BY b.sid ORDER BY w / (2 * s + 1) DESC, shard) AS r
+  FROM blocked b JOIN houses h ON b.sid = h.sid, unnest(range(2 * blocks)) AS u(s) WHERE w > 0)
+  WHERE r <= house GROUP BY sid, shard),
+quota AS (SELECT c.sid, c.shard, c.words, c.blocks, coalesce(q.seats, 0) AS quota,
     ('0x' || substr(md5('mix|' || c.sid || '|' || c.shard), 1, 7))::BIGINT AS turn
-  FROM cells c LEFT JOIN cell_seats q ON c.sid = q.sid AND c.shard = q.shard),
+  FROM blocked c LEFT JOIN cell_seats q ON c.sid = q.sid AND c.shard = q.shard),
 placed AS (SELECT r.*, q.words, q.blocks, q.quota, q.turn,
     coalesce(sum(size) OVER (PARTITION BY r.sid, r.shard ORDER BY draw, doc_id NULLS FIRST, r.source NULLS FIRST, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first
   FROM rows_ r JOIN quota q ON r.sid = q.sid AND r.shard = q.shard),

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recurra.llm import mih, topk
+from recurra.llm import mih, queries, topk
 from recurra.llm.common import table
 
 SF = "/root/testdata/sf0.01"
@@ -62,6 +62,54 @@ def test_topk_of_large_components(vectors):
     assert len(got) == 9
 
 
+def test_topk_of_components_beyond_64_bits(vectors):
+    """One vector of 1e12 does not keep the others from being answered; what does not fit is cut to the largest long."""
+    r = np.random.default_rng(8)
+    rows = [(i, r.standard_normal(3).astype(np.float32).tolist()) for i in range(60)]
+    rows[10], rows[17], rows[31] = (10, [1e12, 0.5, 0.0]), (17, [-2e12, 1.0, 0.0]), (31, [3e30, 0.0, 1.0])
+    got = [tuple(x) for x in topk.exact_topk(vectors(rows), F.col("vec_id") % 5 == 0, 4, query_block=8, index_block=16).collect()]
+    m = {i: [math.floor(256 * np.float64(np.float32(x))) for x in v] for i, v in rows}
+    end = (1 << 63) - 1
+    want = []
+    for q in range(0, 60, 5):
+        scored = sorted((-max(-end, min(end, sum(a * b for a, b in zip(m[q], m[v])))), v) for v in m if v != q)[:4]
+        want += [(q, i + 1, v, -s) for i, (s, v) in enumerate(scored)]
+    assert sorted(got) == sorted(want)
+
+
+def shapes():
+    r = np.random.default_rng(12)
+    centres = r.standard_normal((60, 32))
+    near = lambda n, noise: np.vstack([centres[i % 60] + noise * r.standard_normal(32) for i in range(n)])           # noqa: E731
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]                                                          # noqa: E731
+    yield "clusters and lone rows", unit(np.vstack([near(2900, 0.15), r.standard_normal((100, 32))])), lambda i: (i >= 2900) | (i % 20 == 0)
+    yield "norms that differ", unit(near(2500, 0.4)) * np.exp(r.standard_normal(2500))[:, None], lambda i: i % 20 == 0
+    yield "no structure", r.standard_normal((2500, 32)), lambda i: i % 20 == 0
+
+
+@pytest.mark.parametrize("name,x,is_query", list(shapes()), ids=lambda v: v if isinstance(v, str) else "")
+def test_mih_recall_of_every_kind_of_query(vectors, name, x, is_query):
+    x = x.astype(np.float32)
+    ids = np.arange(len(x))
+    df = vectors([(int(i), v.tolist()) for i, v in zip(ids, x)])
+    asked = [int(i) for i in np.nonzero(is_query(ids))[0]]
+    want = brute(ids, x.astype(np.float64), is_query, 20, False)
+    got = {(g.query_id, g.vec_id) for g in mih.nearest(df, F.col("vec_id").isin(asked), 20, index_block=1024).collect()}
+    hits = {q: 0 for q in asked}
+    for q, _, v, _ in want:
+        hits[q] += (q, v) in got
+    recall = np.array(list(hits.values())) / 20
+    assert recall.mean() >= 0.9 and np.quantile(recall, 0.05) >= 0.9
+
+
+def test_settings_stay_as_they_were(spark, vectors, make):
+    before = dict(spark.sparkContext.getConf().getAll()), {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.shuffle.partitions")}
+    for name in ("op3_repair_grammar", "op5_line_dedup", "op9_bpe_automaton", "op2_language_id"):
+        queries.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    after = dict(spark.sparkContext.getConf().getAll()), {k: spark.conf.get(k) for k in before[1]}
+    assert before == after
+
+
 def test_mih_recall(spark):
     df = table(spark, SF, "embeddings")
     rows = df.toPandas()
