@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import MEMO_LIMIT, Memo, batch, batches_of, small_batches, utf8
+from .common import MEMO_LIMIT, Memo, batch, batches_of, utf8
 
 TABLE_LIMIT = 1_000_000          # arcs in a task's table before it is emptied: bounds memory, not results
 
@@ -269,7 +269,6 @@ def encode_decode(docs: DataFrame, tokenizer: str, keep_ids: bool = False, memo:
     decoded from them). ``tokenizer`` is the path of a byte-level ``tokenizer.json`` on the driver; its text is sent to the tasks. ``memo`` bounds the chunks a
     task remembers; it changes time and memory, not results."""
     spark = docs.sparkSession
-    small_batches(spark)
     with open(tokenizer, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())               # a vocabulary: of fixed size
 

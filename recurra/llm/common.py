@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..session import materialise  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"          # fixed value: the word pattern of the contracts
+LONG_KEY = 64
 MEMO_LIMIT = 400_000                 # entries of a generation of a task's memo: bounds memory (about 300 bytes each, two generations), not results
 
 
 class Memo(dict):
-    """A memo of two generations: when the young one is full it becomes the old one, and what is used again is taken over."""
+    """A memo of two generations: when the young one is full it becomes the old one, and what is used again is taken over. Keys of over
+    ``LONG_KEY`` characters are made anew each time, so that entries, and with them memory, are bounded."""
 
     def __init__(self, make, limit: int = MEMO_LIMIT) -> None:
         super().__init__()
@@ -23,6 +25,8 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+            if len(key) > LONG_KEY:
+                return value
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -34,12 +38,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Texts can be very long: hand them to Python in batches bounded by bytes, not only by rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
-
-
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, mod 3 (NULL for a NULL id)."""
     return F.crc32(doc_id.cast("string")) % 3
@@ -68,12 +66,11 @@ def utf8(text: str) -> bytes:
 
 
 def batches_of(fn):
-    """A function for ``mapInArrow`` that applies ``fn`` to every batch with rows. Arrow keeps NULL ids and long
+    """A function for ``mapInArrow`` that applies ``fn`` to slices of bounded size. Arrow keeps NULL ids and long
     ids exact, which pandas does not."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield fn(b)
+        for b in slices(batches):
+            yield fn(b)
     return run
 
 

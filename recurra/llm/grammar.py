@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import scratch_dir
 from .automaton import byte_letters
-from .common import MEMO_LIMIT, Memo, batch, small_batches
+from .common import MEMO_LIMIT, Memo, batch, materialise, slices
 
 # White space for Python alone; what is beyond Latin letters with one lower case of one letter; the splitting rule.
 ODD_BLANKS = "\x1c\x1d\x1e\x1f"
@@ -38,6 +38,7 @@ FAR = re.compile("[^\x00-\u012f\u0131-\u017f]")
 LETTER, NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
 PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\\s{LETTER}{NUMBER}]+")
 
+BROADCAST_SHARDS = 200_000           # rows of two integers and a long
 SHARD = ("part int, no int, base int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, "
          "left binary, right binary, lengths binary, seq binary")
 
@@ -100,15 +101,14 @@ def encoder_of(spec: str) -> Encoder:
     return Encoder(spec)
 
 
-def compress(ids: np.ndarray, base: int, rounds: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, base: int, rounds: int | None, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(left, right, lengths, seq) of a sequence of ids below ``base``."""
     seq = ids.astype(np.uint32)
     lefts, rights = [], []
     made = base
     length_of = np.ones(0, np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1 and rounds != 0:
+        rounds = rounds and rounds - 1
         bits = max(12, int(len(seq)).bit_length() - 1)
         h = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D)
         h = (h >> np.uint32(32 - bits)).astype(np.int64)
@@ -198,10 +198,9 @@ def decode_range(grammar: Grammar, seq: np.ndarray, begin: int, end: int) -> np.
     return grammar.expand(seq[a:b])[begin - first:end - first]
 
 
-def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, shard_tokens: int = 1 << 20, rounds: int = 6, least: int = 4) -> None:
+def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, shard_tokens: int = 1 << 20, rounds: int | None = None, least: int = 4) -> None:
     """Encode every text and write the shards to ``path``. ``tokenizer`` is the path of a ``tokenizer.json`` on the driver."""
     spark = docs.sparkSession
-    small_batches(spark)
     with open(tokenizer, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())               # a vocabulary: of fixed size
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -225,7 +224,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, sh
                          doc_ids=one(ids, pa.list_(pa.int64())), doc_tokens=one(tokens, pa.list_(pa.int64())),
                          **{k: one(v.tobytes(), pa.binary()) for k, v in (("left", left), ("right", right), ("lengths", lengths), ("seq", seq))})
 
-        for b in batches:
+        for b in slices(batches):
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 coded = coder.encode(t) + end
                 ids.append(d)
@@ -242,15 +241,16 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, sh
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of every document, decoded from the shards."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")           # a shard a batch
     shards = spark.read.schema(SHARD).parquet(path)
     sizes = shards.select("part", "no", "n_tokens")
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("t"))                # one row a partition of the writer
     before = parts.select(F.col("part").alias("p_part"), F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("p_start"))
     inner = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = (sizes.withColumn("inner", inner).join(F.broadcast(before), F.col("part") == F.col("p_part"))
-              .select(F.col("part").alias("s_part"), F.col("no").alias("s_no"), (F.col("p_start") + F.col("inner")).alias("start")))
-    placed = shards.join(F.broadcast(starts), (F.col("part") == F.col("s_part")) & (F.col("no") == F.col("s_no"))).drop("s_part", "s_no")
+    starts = materialise(sizes.withColumn("inner", inner).join(before, F.col("part") == F.col("p_part"))
+                         .select(F.col("part").alias("s_part"), F.col("no").alias("s_no"), (F.col("p_start") + F.col("inner")).alias("start")))
+    if starts.count() <= BROADCAST_SHARDS:                                     # beyond it the shards are shuffled to their starts
+        starts = F.broadcast(starts)
+    placed = shards.join(starts, (F.col("part") == F.col("s_part")) & (F.col("no") == F.col("s_no"))).drop("s_part", "s_no")
 
     def run(batches):
         for b in batches:

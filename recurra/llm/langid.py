@@ -10,8 +10,8 @@ language by hash of the id (``per_lang`` is the bound), counted over whole texts
 frequency there is at least ``rare`` and at least ``contrast`` times its mean relative frequency over all languages.
 
 Defined results: text that is NULL or has no letter is ``und`` with score 0; with nothing to learn from every text is
-``und``; ties go to the language first by name; repeated rows score alike; other columns are ignored. At most 64 languages
-fit the mask: more are refused when fitting.
+``und``; ties go to the language first by name; repeated rows score alike; other columns are ignored. A mask has as many 64-bit words
+as the languages need.
 """
 from __future__ import annotations
 
@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batch, batches_of, bounded_sample, fold, held_out, materialise, small_batches
+from .common import batch, batches_of, bounded_sample, fold, held_out, materialise, slices
 
 ORDERS = (2, 3, 4)
 HASHES = 3
@@ -72,12 +72,12 @@ def slots(h: np.ndarray, bits: int) -> list[np.ndarray]:
 @dataclass(frozen=True)
 class Filters:
     langs: tuple[str, ...]
-    table: np.ndarray             # one mask per slot
+    table: np.ndarray             # (slots, words): one mask per slot
     bits: int
 
     @property
     def false_positive(self) -> np.ndarray:
-        return np.array([(((self.table >> U(i)) & U(1)).mean()) ** HASHES for i in range(len(self.langs))])
+        return np.array([((self.table[:, i >> 6] >> U(i & 63)) & U(1)).mean() ** HASHES for i in range(len(self.langs))])
 
     def languages(self, h: np.ndarray) -> np.ndarray:
         """The mask of all languages that contain each n-gram."""
@@ -87,28 +87,27 @@ class Filters:
     def counts(self, h: np.ndarray) -> np.ndarray:
         masks = self.languages(h)
         if len(self.langs) <= 12:                          # one histogram of masks serves all languages
-            hist = np.bincount(masks.astype(np.int64), minlength=1 << len(self.langs))
+            hist = np.bincount(masks[:, 0].astype(np.int64), minlength=1 << len(self.langs))
             values = np.arange(len(hist))
             return np.array([hist[(values >> i) & 1 == 1].sum() for i in range(len(self.langs))], float)
-        return np.array([((masks >> U(i)) & U(1)).sum() for i in range(len(self.langs))], float)
+        return np.array([((masks[:, i >> 6] >> U(i & 63)) & U(1)).sum() for i in range(len(self.langs))], float)
 
 
 def build(pairs: list[tuple[str, int]], bits: int) -> Filters:
     """Filters from (language, n-gram hash) pairs."""
     langs = tuple(sorted({p[0] for p in pairs}))
-    if len(langs) > 64:
-        raise ValueError("at most 64 languages")
-    table = np.zeros(1 << bits, U)
+    table = np.zeros((1 << bits, max(1, -(-len(langs) // 64))), U)
+    learned: dict[str, list[int]] = {lang: [] for lang in langs}
+    for lang, g in pairs:
+        learned[lang].append(g)
     for i, lang in enumerate(langs):
-        h = np.array([g for name, g in pairs if name == lang], np.int64).view(U)
-        for s in slots(h, bits):
-            table[s] |= U(1) << U(i)
+        for s in slots(np.array(learned[lang], np.int64).view(U), bits):
+            table[s, i >> 6] |= U(1) << U(i & 63)
     return Filters(langs, table, bits)
 
 
 def fit(docs: DataFrame, per_lang: int = 1500, rare: float = 3e-5, contrast: float = 0.5, bits: int = 20) -> Filters:
     """Learn from rows outside the held-out fold with a language and a text."""
-    small_batches(docs.sparkSession)
     known = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.filter((fold(F.col("id")) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     chosen = bounded_sample(known.select("id", "lang"), "lang", "id", per_lang)
@@ -117,7 +116,7 @@ def fit(docs: DataFrame, per_lang: int = 1500, rare: float = 3e-5, contrast: flo
 
     def count(batches):
         for b in batches:
-            for lang, part in b.groupby("lang"):
+            for (lang, _), part in b.groupby(["lang", b["text"].str.len().cumsum() // (1 << 20)]):          # hashes of a bounded part at once
                 h = [grams(t) for t in part["text"]]
                 g, n = np.unique(np.concatenate(h) if h else np.empty(0, U), return_counts=True)
                 yield pd.DataFrame({"lang": lang, "g": g.view(np.int64), "n": n.astype(np.int64)})
@@ -135,7 +134,6 @@ def fit(docs: DataFrame, per_lang: int = 1500, rare: float = 3e-5, contrast: flo
 
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     """doc_id, lang_pred, score: the share of the text's n-grams that the language contains (corrected, 0 to 1)."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches):
@@ -169,7 +167,6 @@ def classify(docs: DataFrame, **params) -> DataFrame:
 def keep_identified(docs: DataFrame, filters: Filters, min_score: float = 0.3) -> DataFrame:
     """The documents whose language is recognised (not ``und``, score at least ``min_score``), all columns and rows
     as they came. The decision is made on each row's own text, so nothing is joined or shuffled."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     schema = docs.schema
     at = docs.columns.index("text")
@@ -177,7 +174,7 @@ def keep_identified(docs: DataFrame, filters: Filters, min_score: float = 0.3) -
     def run(batches):
         f = shared.value
         fp = f.false_positive
-        for b in batches:
+        for b in slices(batches):
             keep = []
             for t in b.column(at).to_pylist():
                 h = grams(t)

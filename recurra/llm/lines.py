@@ -24,21 +24,21 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import batches_of, materialise, salted_join, small_batches, utf8
+from .common import batches_of, materialise, salted_join, utf8
 
 MIN_WORDS = 8
 
 
 def line_facts(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number, hash, words) of the lines that have a word. Bytes are split at exactly the white space of the word pattern."""
+    """(number, hashes, words) of the lines that have a word; hashes are two columns of 64 bits. Bytes are split at exactly the white space of the word pattern."""
     at, h, n = [], [], []
     for i, line in enumerate(utf8(text).split(b"\n")):
         words = len(line.split())
         if words:
             at.append(i)
-            h.append(xxhash.xxh3_64_intdigest(line.strip()))
+            h.append(xxhash.xxh3_128_digest(line.strip()))
             n.append(words)
-    return np.array(at, np.int32), np.array(h, np.uint64), np.array(n, np.int64)
+    return np.array(at, np.int32), np.frombuffer(b"".join(h), np.uint64).reshape(-1, 2), np.array(n, np.int64)
 
 
 def windows(n: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +97,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
-    """print, doc_id, key, first, last, win, head: each window of a document with the line hash it chose. ``head`` marks one
+    """print, doc_id, key, first, last, win, also (two independent hashes of its lines), head: each window of a document with the line hash it chose. ``head`` marks one
     window of each chosen line, so that a sum counts positions."""
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         out, rows = [], []
@@ -106,31 +106,30 @@ def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
             first, last = windows(n, min_words)
             if not len(first):
                 continue
-            chosen = minima(h, first, last)
+            chosen = minima(h[:, 0], first, last)
             head = np.zeros(len(chosen), bool)
             head[np.unique(chosen, return_index=True)[1]] = True
-            out.append((h[chosen].view(np.int64), at[first], at[last], window_keys(h, first, last), head))
+            out.append((h[chosen, 0].copy().view(np.int64), at[first], at[last], window_keys(h[:, 0], first, last), window_keys(h[:, 1], first, last), head))
             rows.append(np.full(len(first), i))
         if out:
             cols, rows = [np.concatenate(c) for c in zip(*out)], pa.array(np.concatenate(rows))
         else:
-            cols, rows = [np.empty(0, t) for t in (np.int64, np.int32, np.int32, np.int64, bool)], pa.array([], pa.int64())
-        names = ("print", "first", "last", "win", "head")
+            cols, rows = [np.empty(0, t) for t in (np.int64, np.int32, np.int32, np.int64, np.int64, bool)], pa.array([], pa.int64())
+        names = ("print", "first", "last", "win", "also", "head")
         return pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), b.column("key").take(rows), *map(pa.array, cols)], ["doc_id", "key", *names])
 
-    return docs.mapInArrow(batches_of(one), "doc_id long, key long, print long, first int, last int, win long, head boolean")
+    return docs.mapInArrow(batches_of(one), "doc_id long, key long, print long, first int, last int, win long, also long, head boolean")
 
 
 def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
     """doc_id, key, first, last: the windows that occurred earlier."""
-    small_batches(docs.sparkSession)
     prints = materialise(fingerprints(keyed(docs), min_words))
     # joined positions: fingerprints at two places or more
     often = prints.groupBy("print").agg(F.count(F.when(F.col("head"), 1)).alias("places")).filter(F.col("places") > 1).select(F.col("print").alias("often"))
     place = F.struct("doc_id", "key", "first")
-    near = salted_join(prints, often, "print", "often", "inner", place).select("doc_id", "key", "first", "last", "win")
-    owner = near.groupBy(F.col("win").alias("o_win")).agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("places")).filter(F.col("places") > 1)
-    return salted_join(near, owner, "win", "o_win", "inner", place).filter(place > F.col("origin")).select("doc_id", "key", "first", "last")
+    near = salted_join(prints, often, "print", "often", "inner", place).select("doc_id", "key", "first", "last", "win", "also")
+    owner = near.groupBy(F.col("win").alias("o_win"), F.col("also").alias("o_also")).agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("places")).filter(F.col("places") > 1)
+    return salted_join(near, owner, "win", "o_win", "inner", place).filter((F.col("also") == F.col("o_also")) & (place > F.col("origin"))).select("doc_id", "key", "first", "last")
 
 
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import batch, batches_of, materialise, small_batches
+from .common import batch, batches_of, materialise
 from .components import components
 
 BAND = 1.5
@@ -173,7 +173,6 @@ FACTS = "doc_id long, text_key long, n long, sid long, sketch array<long>, wide
 def set_facts(docs: DataFrame, width: int, per: int) -> DataFrame:
     """Per document: size, id of its set, narrow sketch, and the join keys. A task gives the keys of a set once (as
     long as it remembers it): further copies have the same keys and would only be folded later."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         plan, known = Plan(per), set()

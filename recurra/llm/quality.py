@@ -22,7 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batch, batches_of, bounded_sample, fold, held_out, small_batches, utf8
+from .common import batch, batches_of, bounded_sample, fold, held_out, materialise, slices, utf8
 
 
 @dataclass(frozen=True)
@@ -61,12 +61,14 @@ class Sizer:
         return (bad - good) / (bad + good), (bad - good) / len(data), float(np.log(min(good, bad) / len(data)))
 
 
-def train_dictionary(texts: list[str], size: int, piece: int, per_text: int) -> bytes:
-    samples = []
-    for t in texts:
-        cut = pieces(utf8(t), piece)
-        step = max(1, len(cut) // per_text)
-        samples += cut[::step][:per_text]
+def spread(data: bytes, size: int, per_text: int) -> list[bytes]:
+    """At most ``per_text`` pieces, evenly spaced over the whole text."""
+    cut = pieces(data, size)
+    n = min(per_text, len(cut))
+    return [cut[i * len(cut) // n] for i in range(n)]
+
+
+def train_dictionary(samples: list[bytes], size: int) -> bytes:
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:                    # too few samples to train on: the text itself is the dictionary
@@ -98,16 +100,31 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     chosen = bounded_sample(known, "cell", "id", per_class)
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
             .join(F.broadcast(chosen), F.col("doc") == F.col("id"))         # at most about 4 x per_class rows
-            .select("id", "text", "y", "part").orderBy("id", "text", "y").collect())
-    texts = {y: [r.text for r in rows if r.part == 0 and r.y == y and r.text] for y in (0, 1)}
-    held = [r for r in rows if r.part == 2]
-    if not texts[0] or not texts[1] or len({r.y for r in held}) < 2:
-        share = sum(r.y for r in rows) / len(rows) if rows else 0.5
-        return Model(None, None, (), share, (), (), piece, level)
-    good, bad = (train_dictionary(texts[y], dictionary, piece, per_text) for y in (1, 0))
-    sizer = Sizer(good, bad, piece, level)
-    x = np.array([sizer.features(r.text) for r in held])
-    y = np.array([r.y for r in held], float)
+            .select("id", "text", "y", "part"))
+    rows = materialise(rows)
+
+    def sampled(batches):
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array([spread(utf8(t or ""), piece, per_text) for t in b.column("text").to_pylist()], pa.list_(pa.binary()))], ["id", "y", "pieces"])
+
+    taken = sorted((r.id, r.y, [bytes(p) for p in r.pieces]) for r in rows.filter("part = 0").mapInArrow(sampled, "id long, y int, pieces array<binary>").collect())     # per_text pieces a document
+    samples = {y: [p for _, of, cut in taken if of == y for p in cut] for y in (0, 1)}
+    seen = rows.groupBy("part", "y").count().collect()
+    if not samples[0] or not samples[1] or len({r.y for r in seen if r.part == 2}) < 2:
+        n = sum(r["count"] for r in seen)
+        return Model(None, None, (), sum(r["count"] for r in seen if r.y == 1) / n if n else 0.5, (), (), piece, level)
+    good, bad = (train_dictionary(samples[y], dictionary) for y in (1, 0))
+    shared = docs.sparkSession.sparkContext.broadcast((good, bad))             # two dictionaries of a fixed size
+
+    def measured(batches):
+        sizer = Sizer(*shared.value, piece, level)
+        for b in slices(batches):
+            x = [list(sizer.features(t)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array(x, pa.list_(pa.float64()))], ["id", "y", "x"])
+
+    held = sorted((r.id, list(r.x), r.y) for r in rows.filter("part = 2").mapInArrow(measured, "id long, y int, x array<double>").collect())          # three numbers a document
+    x = np.array([h[1] for h in held])
+    y = np.array([h[2] for h in held], float)
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.clip((x - mean) / scale, -6, 6)
     w, b = logistic(np.hstack([z, z * z]), y)
@@ -116,7 +133,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (higher: label 1 likelier), predicted; every whole text, by the text alone."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)      # two dictionaries of a fixed size
 
     def run(batches):

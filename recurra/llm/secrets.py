@@ -14,13 +14,15 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark import TaskContext
 
-from .common import batch, materialise, salted_join, small_batches, utf8
+from .common import batch, materialise, salted_join, slices, utf8
 
 # The base kinds, in the order used for ties, and their patterns.
 KINDS = ("assign", "access", "hex", "owned")
@@ -57,14 +59,13 @@ def looks_live(value: str, min_bits: float = 3.0) -> bool:
 
 def further_candidates(text: str, base: list[tuple[int, int, int, str]], min_bits: float = 3.0) -> list[tuple[int, int, int, str]]:
     """Random-looking runs that overlap no base span."""
-    out, ends, i = [], [], 0
+    out = []
     merged = sorted((s, e) for s, _, e, _ in base)
+    starts, reached = [s for s, _ in merged], list(accumulate((e for _, e in merged), max))
     for m in RUN.finditer(text):
         s, e = m.span()
-        while i < len(merged) and merged[i][1] <= s:
-            i += 1
-        # base spans of different kinds may overlap each other: look at all that start before the run ends
-        if any(a < e and b > s for a, b in merged[max(0, i - 4):] if a < e):
+        before = bisect_left(starts, e)                      # base spans that start before the run ends
+        if before and reached[before - 1] > s:
             continue
         if looks_live(m[0], min_bits):
             out.append((s, 3, e, m[0]))
@@ -84,15 +85,12 @@ SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end",
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", min_bits: float = 3.0) -> DataFrame:
     """One row per document with its base spans and candidates (hashes only, no values)."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         ctx = TaskContext.get()
         first = (ctx.partitionId() if ctx else 0) << 33
         n = 0
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in slices(batches):
             counts, spans = [], []
             for t in b.column("text").to_pylist():
                 t = t or ""
@@ -118,11 +116,12 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return per_owner.groupBy("hash").agg(F.sum("repos").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
 
 
-def find_secrets(docs: DataFrame, max_owners: int = 1, min_bits: float = 3.0, **columns: str) -> DataFrame:
+def find_secrets(docs: DataFrame, max_owners: int = 1, max_repos: int = 16, min_bits: float = 3.0, **columns: str) -> DataFrame:
     """Per document: base counts, all spans ``array<struct<start,kind,end>>``, and how many base values are owner-specific
-    (``n_live``) or copied across owners (``n_copied``). The scan is written once; only hashes and spans are shuffled."""
+    (``n_live``: at most ``max_owners`` owners and, all owners together, ``max_repos`` repositories have the value) or widely copied
+    (``n_copied``: an example that one owner repeats in many repositories is copied, too). A document is a repository. The scan is written once; only hashes and spans are shuffled."""
     scanned = materialise(scan(docs, min_bits=min_bits, **columns))
-    live = ownership(scanned).filter(F.col("n_owners") <= max_owners).select(F.col("hash").alias("live_hash"))
+    live = ownership(scanned).filter((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)).select(F.col("hash").alias("live_hash"))
     each = scanned.select("row", F.inline("spans"))
     found = (salted_join(each, live, "hash", "live_hash", "inner", F.col("row"))
              .groupBy("row").agg(F.collect_list(F.when(F.col("kind") == 3, F.struct("start", "kind", "end"))).alias("added"),

@@ -1,6 +1,7 @@
 """Line dedup, near duplicates, components, mixing, secrets and the pipeline against brute-force versions."""
 import hashlib
 import itertools
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -293,6 +294,51 @@ def test_ownership_separates_live_from_copied(make):
     assert secrets.find_secrets(docs.limit(0)).count() == 0
 
 
+def test_an_example_of_one_owner_is_copied(make):
+    """Many repositories of one hot owner hold the example, few the live key."""
+    live, example = "Zx9Qw7Er5Ty3Ui1Op8As6Df", "Ab1Cd2Ef3Gh4Ij5Kl6Mn7Op"
+    docs = make([(i, f"see {example} and token={example}x", None, "hot") for i in range(300)] + [(900 + i, f"use {live}", None, "hot") for i in range(3)])
+    rows = secrets.find_secrets(docs).withColumn("text", secrets.joined("spans")).collect()
+    assert {x.text for x in rows if x.doc_id < 300} == {"assign:32:62"} and {(x.n_live, x.n_copied) for x in rows if x.doc_id < 300} == {(0, 1)}
+    assert {x.text for x in rows if x.doc_id >= 900} == {f"owned:4:{4 + len(live)}"}
+    assert all(x.text.startswith("owned:4:27,assign") for x in secrets.find_secrets(docs, max_repos=1000).withColumn("text", secrets.joined("spans")).filter("doc_id < 300").collect())
+
+
+def test_secrets_equal_a_plain_scan(spark):
+    """Base and further spans of every document, with owners and repositories counted in one process."""
+    rows = table(spark, SF, "documents").select("doc_id", "text", "source").collect()
+    repos, owners, per = Counter(), defaultdict(set), {}
+    for d, t, o in rows:
+        t = t or ""
+        base = spans_by_hand(t)
+        more = []
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", t):
+            v = m[0]
+            bits = -sum(c / len(v) * math.log2(c / len(v)) for c in Counter(v).values())
+            if bits >= 3 and any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and not any(a < m.end() and e > m.start() for a, _, e in base):
+                more.append((m.start(), 3, m.end()))
+        value = lambda a, k, e: spans_value(t[a:e]) if k == 0 else t[a:e]              # noqa: E731
+        per[d] = (base, [(x, value(*x)) for x in more])
+        seen = {value(*x) for x in base} | {v for _, v in per[d][1]}
+        repos.update(seen)
+        for v in seen:
+            owners[v].add(o)
+    got = {x.doc_id: x.spans for x in queries.QUERIES["op10_secret_scan"](spark, SF).collect()}
+    for d, (base, more) in per.items():
+        spans = sorted(base + [x for x, v in more if len(owners[v]) <= 1 and repos[v] <= 16])
+        assert got[d] == ",".join(f"{secrets.KINDS[k]}:{a}:{e}" for a, k, e in spans)
+
+
+def spans_value(match):
+    return re.fullmatch(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", match, re.I | re.A)[1]
+
+
+def test_further_spans_of_a_text_full_of_hits():
+    t = " ".join(f"token={i:08}abc {'Q1w2E3r4T5y6U7i8O9p0' + str(i)}" for i in range(20_000))
+    base = secrets.base_spans(t)
+    assert len(base) == 20_000 and len(secrets.further_candidates(t, base)) == 20_000
+
+
 def test_secret_query_digest(spark):
     got = {x.doc_id: x for x in queries.QUERIES["op10_secret_scan"](spark, SF).collect()}
     for d, t in table(spark, SF, "documents").select("doc_id", "text").collect():

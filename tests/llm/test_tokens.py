@@ -93,6 +93,17 @@ def test_grammar_compresses_repeats():
     assert len(seq) + 3 * len(left) < 200
 
 
+def test_rounds_go_on_until_no_pair_is_frequent():
+    r = np.random.default_rng(1)
+    a = np.concatenate([r.integers(0, 50, 3000), np.tile(r.integers(0, 50, 500), 6)]).astype("<u4")
+    left, right, lengths, seq = grammar.compress(a, 50, None, 4)
+    assert lengths.max() > 64                                     # a copied passage is one rule or few
+    g = grammar.Grammar(50, left.tobytes(), right.tobytes(), lengths.tobytes())
+    assert (g.expand(seq.astype(np.int64)) == a).all()
+    fewer = grammar.compress(a, 50, 6, 4)
+    assert len(seq) < len(fewer[3])
+
+
 def test_shards_read_back(spark, make):
     lib = Tokenizer.from_file(WORD)
     rows = [(7, "The cat."), (None, "zero"), (3, None), (5, ""), (9, "dog " * 3000), (9, "dog " * 3000), (4, "b a")]
