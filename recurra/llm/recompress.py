@@ -11,11 +11,12 @@ occur, this symbol occurs: equal substrings have the same interior symbols.
    one, so few (symbol, document) rows are counted (a row is a symbol with the digest of its reach). Symbols of one document only are out.
 2. The shared symbols go into a Bloom filter (12 bits a symbol, 32 MB at most: beyond that more windows pass, none is lost).
 3. Verify. The rounds run again; windows whose symbol passes get the name of all their words (128 bits, built by naming pairs of
-   halves). For every name the smallest doc_id is found; windows with a smaller one than their own are repeats.
-4. Repeats go back to their documents as positions and are cut out.
+   halves). Windows in a row with one symbol are a run, named from them. For every run the smallest doc_id is found: in later documents it is a repeat as a whole. In
+   the documents that have a run first, its windows are compared one by one with those of other runs of the same symbol.
+4. Repeats go back to their documents as spans of words and are cut out.
 
-Counts are pre-aggregated; windows meet the smallest doc_id of their name in a join in which hot names are spread (``common.hot_join``).
-Texts are only read; what is joined to them is a list of positions a document.
+Counts are pre-aggregated; runs and windows meet the smallest doc_id of their name in a join in which hot names are spread (``common.hot_join``).
+Texts are only read; what is joined to them is a list of spans a document, by broadcast up to a checked size.
 
 Defined results: a NULL text counts as empty; texts shorter than a window keep everything; rows with a NULL doc_id keep everything and
 nothing is removed because of them; rows with the same doc_id are one document to others: none is repeated because of
@@ -37,6 +38,7 @@ U = np.uint64
 PIECE = 1 << 17                       # words parsed at once
 BLOOM_MOST = 1 << 28                  # bits
 PROBES = 4
+BROADCAST_MOST = 4 << 20              # integers in the spans of all documents
 
 
 def mix(a: np.ndarray, b: np.ndarray | np.uint64, salt: int) -> np.ndarray:
@@ -221,51 +223,94 @@ def _bloom(shared: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def _windows(window: int, rounds: int, bloom):
+def _passes(filled: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    out = np.ones(len(keys), bool)
+    for p in _places(keys, len(filled) * 64):
+        out &= (filled[p >> U(6)] >> (p & U(63)) & U(1)).astype(bool)
+    return out
+
+
+def _runs(window: int, rounds: int, bloom):
+    """A row for every run of windows with one representative that passes: its key, the name of the whole run, the names of its windows."""
     def run(batches):
-        filled = bloom.value
-        bits = len(filled) * 64
         for b in slices(batches):
             ids, tags = b.column("doc_id"), b.column("tag")
-            for rows, places, _, key, names, starts in _parsed(b.column("text").to_pylist(), window, rounds):
-                passes = np.ones(len(key), bool)
-                for p in _places(key, bits):
-                    passes &= (filled[p >> U(6)] >> (p & U(63)) & U(1)).astype(bool)
-                at = np.nonzero(passes)[0]
-                if len(at):
-                    name = window_names(names, window)[starts[at]].view(np.int64)
-                    row = pa.array(rows[at])
-                    yield pa.RecordBatch.from_arrays([pa.array(name[:, 0]), pa.array(name[:, 1]), ids.take(row), tags.take(row),
-                                                      pa.array(places[at].astype(np.int32))], ["f1", "f2", "doc_id", "tag", "place"])
+            for rows, places, chosen, key, names, starts in _parsed(b.column("text").to_pylist(), window, rounds):
+                new = np.ones(len(rows), bool)
+                new[1:] = (chosen[1:] != chosen[:-1]) | (rows[1:] != rows[:-1])
+                first = np.nonzero(new)[0]
+                n = np.diff(np.append(first, len(rows)))
+                use = _passes(bloom.value, key[first])
+                first, n = first[use], n[use]
+                if not len(first):
+                    continue
+                ends = np.concatenate([[0], np.cumsum(n)])
+                at = np.repeat(first - ends[:-1], n) + np.arange(ends[-1])
+                w = window_names(names, window)[starts[at]]
+                with np.errstate(over="ignore"):
+                    power = np.multiply.accumulate(np.concatenate([[U(1)], np.full(int(n.max()), U(0x9E3779B97F4A7C15))]))
+                    terms = w * power[np.arange(ends[-1]) - np.repeat(ends[:-1], n)][:, None]
+                    whole = mix(np.add.reduceat(terms, ends[:-1], axis=0), n.astype(U)[:, None], 21).view(np.int64)
+                w = w.view(np.int64)
+                offsets, row = pa.array(ends.astype(np.int32)), pa.array(rows[first])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[first].view(np.int64)), pa.array(whole[:, 0]), pa.array(whole[:, 1]), ids.take(row), tags.take(row), pa.array(places[first].astype(np.int32)), pa.array(n.astype(np.int32)),
+                     pa.ListArray.from_arrays(offsets, pa.array(w[:, 0])), pa.ListArray.from_arrays(offsets, pa.array(w[:, 1]))],
+                    ["key", "s1", "s2", "doc_id", "tag", "place", "n", "w1", "w2"])
+    return run
+
+
+def _with_key(bloom):
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(_passes(bloom.value, b.column("key").to_numpy().view(U))))
     return run
 
 
 def _merged(window: int):
+    """Overlapping and touching stretches of windows as spans of words."""
     def run(batches):
         for b in batches:
             out = []
-            for places in b.column("places").to_pylist():
-                p = np.sort(np.array(places, np.int64))
+            for stretches in b.column("stretches").to_pylist():
+                p = np.array([(x["first"], x["last"]) for x in stretches], np.int64)
+                p = p[np.argsort(p[:, 0], kind="stable")]
+                end = np.maximum.accumulate(p[:, 1] + window)
                 new = np.ones(len(p), bool)
-                new[1:] = p[1:] > p[:-1] + window
+                new[1:] = p[1:, 0] > end[:-1]
                 first = np.nonzero(new)[0]
-                out.append(np.stack([p[first], p[np.append(first[1:], len(p)) - 1] + window], axis=1).ravel().tolist())
+                out.append(np.stack([p[first, 0], end[np.append(first[1:], len(p)) - 1]], axis=1).ravel().tolist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), pa.array(out, pa.list_(pa.int32()))], ["g_doc", "g_tag", "gone"])
     return run
 
 
+RUN = "key long, s1 long, s2 long, doc_id long, tag int, place int, n int, w1 array<long>, w2 array<long>"
+
+
 def repeated_spans(docs: DataFrame, window: int = 50, rounds: int = 4) -> DataFrame:
     """g_doc, g_tag (hash of the text), gone: [first, last + 1, first, ...] of the words that later repeats cover, for documents that have any."""
     spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.hash("text").alias("tag")).filter(F.col("doc_id").isNotNull())
     seen = text.mapInArrow(_symbols(window, rounds), "key long, doc_id long").groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     shared = materialise(seen.filter("low < high").select("key"))
-    bloom = spark.sparkContext.broadcast(_bloom(shared, shared.count()))
-    found = materialise(text.mapInArrow(_windows(window, rounds, bloom), "f1 long, f2 long, doc_id long, tag int, place int"))
-    least = found.groupBy(F.col("f1").alias("l1"), F.col("f2").alias("l2")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").drop("high")
-    met = hot_join(found, least, ["f1", "f2"], ["l1", "l2"], F.struct("doc_id", "place"))
-    later = met.filter("doc_id > low").groupBy("doc_id", "tag").agg(F.collect_list("place").alias("places"))         # at most one a word of the text
-    return materialise(later.mapInArrow(_merged(window), "g_doc long, g_tag int, gone array<int>"))
+    found = materialise(text.mapInArrow(_runs(window, rounds, spark.sparkContext.broadcast(_bloom(shared, shared.count()))), RUN))
+
+    # whole runs that a smaller document has, too
+    runs = found.select("s1", "s2", "doc_id", "tag", "place", "n")
+    spans = materialise(found.groupBy(F.col("s1").alias("o1"), F.col("s2").alias("o2")).agg(F.min("key").alias("o_key"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")))
+    met = hot_join(runs, spans.filter("low < high").select("o1", "o2", "low"), ["s1", "s2"], ["o1", "o2"], F.struct("doc_id", "place"))
+    later = met.filter("doc_id > low").select("doc_id", "tag", F.col("place").alias("first"), (F.col("place") + F.col("n") - 1).alias("last"))
+
+    # windows of runs of which only a part is elsewhere: the first documents of all runs with the same representative
+    parts = materialise(spans.groupBy(F.col("o_key").alias("key")).agg(F.count(F.lit(1)).alias("spans"), F.min("low").alias("a"), F.max("low").alias("b")).filter("spans > 1 AND a < b").select("key"))
+    cut = materialise(found.mapInArrow(_with_key(spark.sparkContext.broadcast(_bloom(parts, parts.count()))), RUN))
+    own = hot_join(cut, spans.select("o1", "o2", "low"), ["s1", "s2"], ["o1", "o2"], F.struct("doc_id", "place")).filter("doc_id = low")
+    pairs = own.select("doc_id", "tag", "place", F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w"))
+    windows = materialise(pairs.select(F.col("w.w1").alias("f1"), F.col("w.w2").alias("f2"), "doc_id", "tag", (F.col("place") + F.col("i")).alias("first")))
+    least = windows.groupBy(F.col("f1").alias("l1"), F.col("f2").alias("l2")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").drop("high")
+    single = hot_join(windows, least, ["f1", "f2"], ["l1", "l2"], F.struct("doc_id", "first")).filter("doc_id > low").select("doc_id", "tag", "first", F.col("first").alias("last"))
+    gathered = later.unionByName(single).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "last")).alias("stretches"))      # at most two a word of the text
+    return materialise(gathered.mapInArrow(_merged(window), "g_doc long, g_tag int, gone array<int>"))
 
 
 def _cut(window_words):
@@ -298,6 +343,9 @@ def digests(docs: DataFrame, window: int = 50, rounds: int = 4) -> DataFrame:
 
 def _rows(docs: DataFrame, window: int, rounds: int, digest: bool) -> DataFrame:
     gone = repeated_spans(docs, window, rounds)
+    size = gone.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("gone")).alias("ends")).first()
+    if size["rows"] * 8 + (size["ends"] or 0) <= BROADCAST_MOST:             # beyond it the texts are shuffled to the spans
+        gone = F.broadcast(gone)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("tag"))
     both = text.join(gone, (F.col("doc_id") == F.col("g_doc")) & (F.col("tag") == F.col("g_tag")), "left").select("doc_id", "text", "gone")
     name = "kept_sha256" if digest else "kept"
