@@ -266,26 +266,3 @@ def asof_version(tasks: DataFrame, promotions: DataFrame) -> DataFrame:
     line = tasks.select("chain_id", "task_id", (F.col("ord") - 1).cast("long").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("v")).unionByName(marks)
     found = asof_latest(line, ["chain_id"], ["at", "kind"], "at div 64", "v", "version_tick")
     return found.filter("kind = 1").select("chain_id", "task_id", "version_tick")
-
-
-def visible_matches(task_keys: DataFrame, promotions: DataFrame) -> DataFrame:
-    """Memories (chain_id, loc) matching a task's keys and visible at it: task_id, loc.
-
-    ``task_keys`` has task_id, chain_id, ord, loc.
-    """
-    return task_keys.join(promotions.select(*KEYS, "promo_tick"), KEYS).filter(F.col("promo_tick") < F.col("ord")).select("task_id", "loc").distinct()
-
-
-def evaluate(tasks: DataFrame, hits: DataFrame, matches: DataFrame, by: str) -> DataFrame:
-    """Paired rates of the arms over the evaluated tasks, with retrieval coverage.
-
-    ``hits`` has arm, task_id, hit; a task must be scored in every arm.
-    """
-    wide = hits.groupBy("task_id").agg(*[F.max(F.when(F.col("arm") == a, F.col("hit").cast("int"))).alias(a) for a in ("control", "treatment", "placebo")])
-    wide = wide.filter("control is not null and treatment is not null and placebo is not null")
-    n = matches.groupBy("task_id").agg(F.count("*").alias("n_retrieved"))
-    x = tasks.select("task_id", by).join(wide, "task_id").join(n, "task_id", "left").fillna(0, ["n_retrieved"])
-    return x.groupBy(by).agg(
-        F.count("*").alias("n_eval"), *[F.sum(a).alias(f"{a}_hits") for a in ("control", "treatment", "placebo")],
-        F.count_if((F.col("treatment") == 1) & (F.col("control") == 0)).alias("wins"), F.count_if((F.col("treatment") == 0) & (F.col("control") == 1)).alias("losses"),
-        F.count_if(F.col("n_retrieved") > 0).alias("covered"), F.sum("n_retrieved").alias("injected"))

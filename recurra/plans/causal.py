@@ -17,7 +17,7 @@ CV_SQL = """WITH r AS (SELECT conv_id, turn, role, count(*) FILTER (role='assist
   c AS (SELECT conv_id, turn, role, CASE WHEN role='system' THEN 0 ELSE a END AS a, CASE WHEN role='system' THEN s ELSE 0 END AS s, CASE WHEN role='system' THEN 0 ELSE u END AS u,
     turn * 60 + CASE role WHEN 'assistant' THEN -115 WHEN 'system' THEN 125 ELSE 0 END AS wall FROM r),
   pr AS (SELECT m.conv_id, m.turn AS m_turn, x.turn AS a_turn, m.a AS ma, m.s AS ms, m.u AS mu, x.a AS xa, x.s AS xs, x.u AS xu, m.wall AS m_wall, x.wall AS a_wall FROM c m JOIN c x ON m.conv_id = x.conv_id
-    WHERE m.turn = (SELECT min(f.turn) FROM c f WHERE f.conv_id = m.conv_id AND f.role = m.role))"""
+    WHERE m.turn = (SELECT min(f.turn) FROM conversations f WHERE f.conv_id = m.conv_id AND f.text IS NOT DISTINCT FROM (SELECT g.text FROM conversations g WHERE g.conv_id = m.conv_id AND g.turn = m.turn)))"""
 TEXT_SQL = "concat_ws(',', CASE WHEN {p}a > 0 THEN 'assistant:' || {p}a END, CASE WHEN {p}s > 0 THEN 'system:' || {p}s END, CASE WHEN {p}u > 0 THEN 'user:' || {p}u END)"
 
 
@@ -28,9 +28,10 @@ def clocks(t):
 
 
 def pairs(t):
-    """Memories are the first turn of each agent in a conversation; every turn meets all of them."""
+    """Memories are content-addressed: a conversation has one for each text, with the turn that said it first. Every turn meets all of them."""
     c = materialise(clocks(t).select("conv_id", "turn", "role", "clock", "wall"))
-    first = c.groupBy("conv_id", "role").agg(F.min_by(F.struct("turn", "clock", "wall"), "turn").alias("m")).select("conv_id", "m.*")
+    said = t.raw("conversations").groupBy("conv_id", F.sha2("text", 256).alias("memory_id")).agg(F.min("turn").alias("turn")).select("conv_id", "turn")
+    first = c.join(said, ["conv_id", "turn"]).select("conv_id", "turn", "clock", "wall")
     return V.with_memories(c, first, "conv_id", ["turn", "clock", "wall"])
 
 
@@ -59,10 +60,12 @@ def clock_skew_disagreement(t):
     return V.skew_disagreement(pairs(t))
 
 
-@query("causal_known", CV_SQL + """ SELECT x.conv_id, x.turn, (SELECT count(*) FROM c m WHERE m.conv_id = x.conv_id AND m.turn <= x.turn AND m.turn % 2 = 0 AND m.a <= x.a AND m.s <= x.s AND m.u <= x.u) AS known FROM c x""")
+@query("causal_known", CV_SQL + """ SELECT x.conv_id, x.turn, (SELECT count(*) FROM pr WHERE pr.conv_id = x.conv_id AND pr.a_turn = x.turn AND ma <= xa AND ms <= xs AND mu <= xu) AS known FROM c x""")
 def causal_known(t):
-    """Even turns are memories; how many of those so far does each turn know?"""
-    return V.known_before(clocks(t), F.col("turn") % 2 == 0, ROLES).select("conv_id", "turn", "known")
+    """How many of its conversation's memories does each turn know?"""
+    said = t.raw("conversations").groupBy("conv_id", F.sha2("text", 256).alias("memory_id")).agg(F.min("turn").alias("turn")).select("conv_id", "turn", F.lit(True).alias("memory"))
+    held = clocks(t).join(said, ["conv_id", "turn"], "left")
+    return V.known_before(held, F.coalesce("memory", F.lit(False)), ROLES).select("conv_id", "turn", "known")
 
 
 @query("clock_skew_all", CV_SQL + " SELECT m.a <= x.a AND m.s <= x.s AND m.u <= x.u AS knew_causal, x.wall >= m.wall AS knew_wall, count(*) AS n FROM c m JOIN c x ON m.conv_id = x.conv_id GROUP BY 1, 2")

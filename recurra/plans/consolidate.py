@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.digest import set_digest_sql
 from ..functions.running import ordered_numbers, position
-from ..operators import consolidate as C, memory as MEM
-from ..operators.metrics import label_outcomes
+from ..operators import consolidate as C, memory as MEM, retrieval as RET
 from ..session import materialise
 from .bindings import TASK_BUCKET, with_views
 from .registry import query
@@ -239,58 +238,135 @@ def chain_tasks(t):
     return position(x, ["chain_id"], ["created_at", "task_id"], TASK_BUCKET).withColumn("ord", F.col("ord").cast("int"))
 
 
-def control_records(t, tasks):
-    """Control flags as records: correct ones are ``bad`` (a defect found), one tick per task."""
-    f = label_outcomes(t.pred.filter("arm = 'control'"), t.gold)
-    return f.join(tasks, "task_id").select("chain_id", F.col("key").alias("loc"), (F.col("ord") - 1).alias("d"), F.col("task_id").cast("string").alias("input_hash"), "label",
-                                            F.lit("verifier").alias("agent_id"), F.col("created_at").alias("ts"), F.concat_ws(":", F.col("task_id").cast("string"), F.col("rank").cast("string")).alias("record_id"), F.col("key").alias("content"))
-
-
 CT_HEAD = """ctk AS (SELECT task_id, grp AS chain_id, created_at, row_number() OVER (PARTITION BY grp ORDER BY created_at, task_id) AS ord, count(*) OVER (PARTITION BY grp) AS n FROM tk),
   crec AS (SELECT c.chain_id, p.fkey AS loc, c.ord - 1 AS d, CASE WHEN g.fkey IS NOT NULL THEN 'bad' ELSE 'good' END AS label FROM pred p JOIN ctk c ON p.task_id = c.task_id LEFT JOIN gold g ON g.task_id = p.task_id AND g.fkey = p.fkey WHERE p.arm = 'control'),
   """
 # one tick and one input per task: a pattern is ready at its second eligible tick
 CPM_SQL = """cpm AS (SELECT chain_id, loc, min(d) + 1 AS promo_tick FROM (SELECT chain_id, loc, d, dense_rank() OVER (PARTITION BY chain_id, loc ORDER BY d) AS k FROM crec WHERE label = 'bad') WHERE k = 2 {cut} GROUP BY 1, 2)"""
-CT_TAIL = """mt AS (SELECT DISTINCT ln.task_id, ln.fkey FROM ln JOIN ctk ON ln.task_id = ctk.task_id JOIN cpm ON cpm.chain_id = ctk.chain_id AND cpm.loc = ln.fkey AND promo_tick < ctk.ord)"""
-EV_SQL = """wd AS (SELECT task_id, max(hit::INT) FILTER (arm='control') AS c, max(hit::INT) FILTER (arm='treatment') AS x, max(hit::INT) FILTER (arm='placebo') AS p FROM hit GROUP BY 1),
-  nr AS (SELECT task_id, count(*) AS n FROM mt GROUP BY 1)
+TOP, TAU = 3, 0.25
+# a task's text names its lines that are not gold; a memory's text is its location
+RT_SQL = f"""qt AS (SELECT DISTINCT task_id, unnest([split_part(fkey, '::', 1), split_part(fkey, '::', 2)]) AS word FROM ln WHERE l_returnflag <> 'R'),
+  qn AS (SELECT task_id, count(*) AS n FROM qt GROUP BY 1),
+  mw AS (SELECT chain_id, loc, promo_tick, unnest([split_part(loc, '::', 1), split_part(loc, '::', 2)]) AS word FROM cpm),
+  sc AS (SELECT qt.task_id, mw.loc, count(*)::DOUBLE / (qn.n + 2 - count(*)) AS score FROM qt JOIN ctk ON ctk.task_id = qt.task_id JOIN qn ON qn.task_id = qt.task_id
+    JOIN mw ON mw.chain_id = ctk.chain_id AND mw.word = qt.word AND promo_tick < ctk.ord GROUP BY qt.task_id, mw.loc, qn.n),
+  rt AS (SELECT task_id, loc, score, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, loc) AS rank FROM sc WHERE score >= {TAU} QUALIFY rank <= {TOP})"""
+EV_SQL = """pool AS (SELECT loc, row_number() OVER (ORDER BY loc) - 1 AS idx, count(*) OVER () AS size FROM (SELECT DISTINCT loc FROM cpm)),
+  sh AS (SELECT x.task_id, pool.loc FROM (SELECT task_id, unnest(range(n)) AS j FROM (SELECT task_id, least(count(*), (SELECT max(size) FROM pool)) AS n FROM rt GROUP BY 1)) x
+    JOIN pool ON pool.idx = (('0x' || substr(md5('sham:' || x.task_id), 1, 8))::BIGINT + j) % size),
+  fl AS (SELECT o.task_id, o.rank, o.ok::INT AS ok, rt.loc IS NULL AS m, sh.loc IS NULL AS p FROM outcome o LEFT JOIN rt ON rt.task_id = o.task_id AND rt.loc = o.fkey LEFT JOIN sh ON sh.task_id = o.task_id AND sh.loc = o.fkey WHERE o.arm = 'control'),
+  f1 AS (SELECT task_id, arg_min(ok, rank) AS control_top1, arg_min(ok, m::INT * 100 + rank) AS memory_top1, arg_min(ok, p::INT * 100 + rank) AS placebo_top1 FROM fl GROUP BY 1),
+  wd AS (SELECT task_id, max(hit::INT) FILTER (arm='control') AS c, max(hit::INT) FILTER (arm='treatment') AS x, max(hit::INT) FILTER (arm='placebo') AS p FROM hit GROUP BY 1),
+  nr AS (SELECT rt.task_id, count(*) AS n, count(gold.fkey) AS n_right FROM rt LEFT JOIN gold ON gold.task_id = rt.task_id AND gold.fkey = rt.loc GROUP BY 1),
+  ns AS (SELECT task_id, count(*) AS n FROM sh GROUP BY 1)
   SELECT ctk.chain_id, count(*) AS n_eval, sum(c)::BIGINT AS control_hits, sum(x)::BIGINT AS treatment_hits, sum(p)::BIGINT AS placebo_hits, count(*) FILTER (x = 1 AND c = 0) AS wins, count(*) FILTER (x = 0 AND c = 1) AS losses,
-    count(*) FILTER (nr.n > 0) AS covered, coalesce(sum(nr.n), 0)::BIGINT AS injected FROM ctk JOIN wd ON ctk.task_id = wd.task_id LEFT JOIN nr ON nr.task_id = ctk.task_id WHERE {where} GROUP BY 1"""
+    count(*) FILTER (nr.n > 0) AS covered, coalesce(sum(nr.n), 0)::BIGINT AS injected, coalesce(sum(n_right), 0)::BIGINT AS useful, coalesce(sum(ns.n), 0)::BIGINT AS placebo_injected,
+    sum(control_top1)::BIGINT AS control_top1, sum(memory_top1)::BIGINT AS memory_top1, sum(placebo_top1)::BIGINT AS placebo_top1
+  FROM ctk JOIN wd ON ctk.task_id = wd.task_id JOIN f1 ON f1.task_id = ctk.task_id LEFT JOIN nr ON nr.task_id = ctk.task_id LEFT JOIN ns ON ns.task_id = ctk.task_id WHERE {where} GROUP BY 1"""
+
+
+def key_words(key: str):
+    return F.array(F.split_part(F.col(key), F.lit("::"), F.lit(1)), F.split_part(F.col(key), F.lit("::"), F.lit(2)))
+
+
+def control_flags(t):
+    """task_id, rank, key, ok, arm of the control arm, for learning alone."""
+    gold = t.gold.select("task_id", F.col("fkey").alias("key"), F.lit(True).alias("ok"))
+    flags = t.pred.filter("arm = 'control'").withColumnRenamed("fkey", "key").join(gold, ["task_id", "key"], "left")
+    return flags.withColumn("ok", F.coalesce("ok", F.lit(False)))
+
+
+def labelled_flags(t):
+    """arm, task_id, rank, key, ok, known: every flag with its truth, written once for learning and scoring."""
+    gold = t.gold.select("task_id", F.col("fkey").alias("key"), F.lit(True).alias("ok"))
+    truth = t.gold.select("task_id", F.lit(True).alias("known")).distinct()
+    flags = t.pred.withColumnRenamed("fkey", "key").join(gold, ["task_id", "key"], "left").join(truth, "task_id", "left")
+    return materialise(flags.select("arm", "task_id", "rank", "key", F.coalesce("ok", F.lit(False)).alias("ok"), F.coalesce("known", F.lit(False)).alias("known")))
+
+
+def flag_records(flags, tasks):
+    """Control flags as records: correct ones are ``bad`` (a defect found), one tick per task."""
+    return flags.filter("arm = 'control'").join(tasks, "task_id").select(
+        "chain_id", F.col("key").alias("loc"), (F.col("ord") - 1).alias("d"), F.col("task_id").cast("string").alias("input_hash"), F.when(F.col("ok"), "bad").otherwise("good").alias("label"),
+        F.lit("verifier").alias("agent_id"), F.col("created_at").alias("ts"), F.concat_ws(":", F.col("task_id").cast("string"), F.col("rank").cast("string")).alias("record_id"), F.col("key").alias("content"))
+
+
+def task_queries(t, tasks):
+    """What a task says of itself: the words of its lines that are not gold."""
+    words = t.ln.filter("l_returnflag <> 'R'").select("task_id", F.explode(key_words("fkey")).alias("w")).groupBy("task_id").agg(F.collect_set("w").alias("words"))      # a task's lines
+    return words.join(tasks.select("task_id", "chain_id", "ord"), "task_id")
 
 
-def task_keys(t, tasks):
-    return t.ln.select("task_id", F.col("fkey").alias("loc")).distinct().join(tasks.select("task_id", "chain_id", "ord"), "task_id")
+def retrievals(t, tasks, memories):
+    return RET.retrieve(task_queries(t, tasks), RET.postings(memories, key_words("loc")), TOP, TAU)
 
 
-@query("rolling_eval", with_views("tk pred gold hit", CT_HEAD + CPM_SQL.format(cut="") + ",\n" + CT_TAIL + ",\n" + EV_SQL.format(where="ctk.ord > 20")))
+def last_ticks(t):
+    return t.tasks.groupBy(F.col("grp").alias("chain_id")).agg(F.count("*").alias("last_tick"))
+
+
+def evaluated(t, tasks, flags, memories):
+    memories = materialise(memories.select("chain_id", "loc", "promo_tick"))
+    pool = ordered_numbers(memories.select("loc").distinct(), ["loc"], "idx").withColumn("idx", (F.col("idx") - 1).cast("long"))
+    got = materialise(retrievals(t, tasks, memories))
+    size = max(1, memories.select("loc").distinct().count())
+    return RET.evaluate(tasks, flags.filter("known"), got, RET.matched_placebo(got, pool, size, "sham"), t.gold, "chain_id")
+
+
+ROLL_SQL = CT_HEAD + CPM_SQL.format(cut="") + ",\n" + RT_SQL
+
+
+@query("rolling_eval", with_views("tk pred gold outcome hit", ROLL_SQL + ",\n" + EV_SQL.format(where="ctk.ord > 20")))
 def rolling_eval(t):
-    """Learn from control flags only, score every task after the warm-up against memory as of the task before."""
-    tasks = chain_tasks(t)
-    last = t.tasks.groupBy(F.col("grp").alias("chain_id")).agg(F.count("*").alias("last_tick"))
-    pm = C.promotion_ticks(control_records(t, tasks), P1, last)
-    return C.evaluate(tasks.filter("ord > 20"), t.hit.select("arm", "task_id", "hit"), C.visible_matches(task_keys(t, tasks), pm), "chain_id")
+    """Learn from control flags only; every task after the warm-up retrieves from memory as of the task before, and is scored."""
+    tasks, flags = chain_tasks(t), labelled_flags(t)
+    pm = C.promotion_ticks(flag_records(flags, tasks), P1, last_ticks(t))
+    return evaluated(t, tasks.filter("ord > 20"), flags, pm)
 
 
-@query("frozen_eval", with_views("tk pred gold hit", CT_HEAD + CPM_SQL.format(cut="AND d < 200") + ",\n" + CT_TAIL + ",\n" + EV_SQL.format(where="ctk.ord > 200")))
+@query("rolling_negative", with_views("tk pred gold outcome hit", CT_HEAD + CPM_SQL.format(cut="AND false") + ",\n" + RT_SQL + ",\n" + EV_SQL.format(where="ctk.ord > 20")))
+def rolling_negative(t):
+    """The same without learning: nothing can be injected, and the first flags of all arms are the control's."""
+    tasks, flags = chain_tasks(t), labelled_flags(t)
+    return evaluated(t, tasks.filter("ord > 20"), flags, t.spark.createDataFrame([], "chain_id string, loc string, promo_tick long"))
+
+
+@query("frozen_eval", with_views("tk pred gold outcome hit", CT_HEAD + CPM_SQL.format(cut="AND d < 200") + ",\n" + RT_SQL + ",\n" + EV_SQL.format(where="ctk.ord > 200")))
 def frozen_eval(t):
-    """Build memory on the first 200 tasks of each chain, freeze it, evaluate on the rest."""
+    """Build memory on the first 200 tasks of each chain, freeze it, retrieve from it and evaluate on the rest."""
+    tasks, flags = chain_tasks(t), labelled_flags(t)
+    pm = C.promotion_ticks(flag_records(flags, tasks.filter("ord <= 200")), P1, 200)
+    return evaluated(t, tasks.filter("ord > 200"), flags, pm)
+
+
+@query("task_retrievals", with_views("tk pred gold", ROLL_SQL + " SELECT task_id, loc, round(score, 6) AS score, rank::INT AS rank FROM rt"))
+def task_retrievals(t):
+    """What every task retrieves as of the task before: top k of at least tau."""
+    tasks = chain_tasks(t)
+    pm = C.promotion_ticks(flag_records(control_flags(t), tasks), P1, last_ticks(t))
+    return retrievals(t, tasks, pm).select("task_id", "loc", F.round("score", 6).alias("score"), "rank")
+
+
+@query("never_retrieved_tasks", with_views("tk pred gold", ROLL_SQL + " SELECT chain_id, loc, promo_tick FROM cpm WHERE NOT EXISTS (SELECT 1 FROM rt JOIN ctk ON ctk.task_id = rt.task_id WHERE ctk.chain_id = cpm.chain_id AND rt.loc = cpm.loc)"))
+def never_retrieved_tasks(t):
+    """Memories that no task ever retrieved."""
     tasks = chain_tasks(t)
-    build = control_records(t, tasks.filter("ord <= 200"))
-    pm = C.promotion_ticks(build, P1, 200)
-    return C.evaluate(tasks.filter("ord > 200"), t.hit.select("arm", "task_id", "hit"), C.visible_matches(task_keys(t, tasks), pm), "chain_id")
+    pm = materialise(C.promotion_ticks(flag_records(control_flags(t), tasks), P1, last_ticks(t)).select("chain_id", "loc", "promo_tick"))
+    used = retrievals(t, tasks, pm).join(tasks.select("task_id", "chain_id"), "task_id").select("chain_id", "loc").distinct()
+    return pm.join(used, ["chain_id", "loc"], "left_anti")
 
 
 @query("asof_memory", with_views("tk pred gold", CT_HEAD + CPM_SQL.format(cut="") + ", v AS (SELECT DISTINCT chain_id, promo_tick FROM cpm) SELECT ctk.chain_id, ctk.task_id, v.promo_tick AS version_tick FROM ctk ASOF LEFT JOIN v ON ctk.chain_id = v.chain_id AND ctk.ord - 1 >= v.promo_tick"))
 def asof_memory(t):
     tasks = chain_tasks(t)
-    last = t.tasks.groupBy(F.col("grp").alias("chain_id")).agg(F.count("*").alias("last_tick"))
-    return C.asof_version(tasks, C.promotion_ticks(control_records(t, tasks), P1, last))
+    return C.asof_version(tasks, C.promotion_ticks(flag_records(control_flags(t), tasks), P1, last_ticks(t)))
 
 
-@query("coverage", with_views("tk pred gold", CT_HEAD + CPM_SQL.format(cut="") + ",\n" + CT_TAIL + " SELECT ctk.chain_id, count(*) AS n_tasks, count(x.task_id) AS covered, round(count(x.task_id) / count(*), 4) AS coverage FROM ctk LEFT JOIN (SELECT DISTINCT task_id FROM mt) x ON x.task_id = ctk.task_id GROUP BY 1"))
+@query("coverage", with_views("tk pred gold", ROLL_SQL + " SELECT ctk.chain_id, count(*) AS n_tasks, count(x.task_id) AS covered, round(count(x.task_id) / count(*), 4) AS coverage FROM ctk LEFT JOIN (SELECT DISTINCT task_id FROM rt) x ON x.task_id = ctk.task_id GROUP BY 1"))
 def coverage(t):
+    """Share of tasks that retrieve anything."""
     tasks = chain_tasks(t)
-    last = t.tasks.groupBy(F.col("grp").alias("chain_id")).agg(F.count("*").alias("last_tick"))
-    got = C.visible_matches(task_keys(t, tasks), C.promotion_ticks(control_records(t, tasks), P1, last)).select("task_id").distinct().withColumn("g", F.lit(1))
+    pm = C.promotion_ticks(flag_records(control_flags(t), tasks), P1, last_ticks(t))
+    got = retrievals(t, tasks, pm).select("task_id").distinct().withColumn("g", F.lit(1))
     x = tasks.join(got, "task_id", "left").groupBy("chain_id").agg(F.count("*").alias("n_tasks"), F.count("g").alias("covered"))
     return x.withColumn("coverage", F.round(F.col("covered") / F.col("n_tasks"), 4))
