@@ -243,10 +243,12 @@ def outcome_crosstab(outcome_rows: DataFrame, labels: tuple[str, ...] = ("bad",
     return outcome_rows.groupBy("outcome").pivot("label", list(labels)).count().fillna(0)
 
 
-def cluster_purity(support: DataFrame, pattern: Column, by: str = "chain_id") -> DataFrame:
-    """Clusters, and those whose records share one pattern."""
-    per = support.groupBy(*KEYS).agg((F.min(pattern) == F.max(pattern)).alias("pure"))
-    return per.groupBy(by).agg(F.count("*").alias("clusters"), F.count_if("pure").alias("pure")).withColumn("merged_share", F.round((F.col("clusters") - F.col("pure")) / F.col("clusters"), 4))
+def cluster_purity(support: DataFrame, pattern: Column, by: str = "chain_id", component: Column | None = None) -> DataFrame:
+    """Clusters, and those whose records share one pattern; with ``component``, also those whose records share a component."""
+    parts = [] if component is None else [component]
+    per = support.groupBy(*KEYS).agg((F.min(pattern) == F.max(pattern)).alias("pure"), *[(F.min(c) == F.max(c)).alias("same_component") for c in parts])
+    counts = per.groupBy(by).agg(F.count("*").alias("clusters"), F.count_if("pure").alias("pure"), *[F.count_if("same_component").alias("component_pure") for _ in parts])
+    return counts.withColumn("merged_share", F.round((F.col("clusters") - F.col("pure")) / F.col("clusters"), 4))
 
 
 def never_used(promotions: DataFrame, outcome_rows: DataFrame) -> DataFrame:

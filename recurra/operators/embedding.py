@@ -11,9 +11,10 @@ def sparse_hash_embedding(docs: DataFrame, key: str, text: str, dim: int = 512)
     """(key, bucket, v): unigrams and bigrams hashed into ``dim`` signed buckets, zeros dropped.
 
     Integer weights; divide by the L2 norm when comparing. Features are exploded and
-    combined map-side, so a long text is never one big array per bucket.
+    combined map-side, so a long text is never one big array per bucket. Texts are dealt out first: one large
+    file read by one task would otherwise hash all its features there.
     """
-    toks = docs.select(key, X.tokens(F.col(text)).alias("__tk"))
+    toks = docs.select(key, text).repartition(key).select(key, X.tokens(F.col(text)).alias("__tk"))
     feats = toks.select(key, F.explode(F.concat(F.col("__tk"), X.bigrams(F.col("__tk")))).alias("f"))
     h = F.md5("f")
     signed = feats.select(key, (hex_word(h) % dim).alias("bucket"), F.when(F.substring(h, 16, 1) >= "8", 1).otherwise(-1).alias("s"))

@@ -64,6 +64,25 @@ def at_version(members: DataFrame, objects: DataFrame, version: str | None, key:
     return objects.join(wanted.select(key), key, "left_semi")
 
 
+def membership(objects: DataFrame, supersession: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``by``, memory_id, added, removed: the ticks from which and before which an object is live (removed NULL: still live). ``objects`` has
+    ``by``, memory_id, added; ``supersession`` old_id, new_id, tick. Two numbers an object stand for all versions it is in."""
+    done = supersession.select("old_id", "new_id", F.col("tick").alias("removed"))
+    old = objects.join(done, F.col("memory_id") == F.col("old_id"), "left")
+    new = old.filter("new_id IS NOT NULL").select(*by, F.col("new_id").alias("memory_id"), F.col("removed").alias("added"), F.lit(None).cast("int").alias("removed"))
+    return old.select(*by, "memory_id", "added", F.col("removed").cast("int").alias("removed")).unionByName(new)
+
+
+def version_ticks(members: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``by``, version_tick: every tick at which a live set changes."""
+    return members.select(*by, F.explode(F.array("added", "removed")).alias("version_tick")).filter("version_tick IS NOT NULL").distinct()
+
+
+def members_at(members: DataFrame, versions: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``by``, version_tick, memory_id: the objects live at each of the wanted versions, by a range predicate."""
+    return versions.join(members, list(by)).filter((F.col("added") <= F.col("version_tick")) & (F.col("removed").isNull() | (F.col("removed") > F.col("version_tick")))).select(*by, "version_tick", "memory_id")
+
+
 def gate_retrieval(ranked: DataFrame, tau: float) -> DataFrame:
     """Keep every candidate's score; inject those above zero and at least ``tau``."""
     return ranked.withColumn("injected", (F.col("score") > 0) & (F.col("score") >= tau))

@@ -6,10 +6,11 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from ..functions.digest import set_digest_sql
+from ..functions.keys import class_of, file_of
 from ..functions.running import ordered_numbers, position
 from ..operators import consolidate as C, memory as MEM, retrieval as RET
 from ..session import materialise
-from .bindings import TASK_BUCKET, with_views
+from .bindings import TASK_BUCKET, class_sql, file_sql, with_views
 from .registry import query
 
 P1 = C.TUNED
@@ -217,6 +218,18 @@ def snapshot_version(t):
     return MEM.snapshot(_memory(t), ["chain_id"])
 
 
+@query("memory_at_version", with_views("rec", SUP_SQL + """, sv AS (SELECT su.old_id, su.new_id, m.chain_id, m.promo_tick + 2 AS tick FROM su JOIN mem m ON m.memory_id = su.old_id WHERE reason = ''),
+  iv AS (SELECT m.chain_id, m.memory_id, m.promo_tick AS added, sv.tick AS removed FROM mem m LEFT JOIN sv ON sv.old_id = m.memory_id UNION ALL SELECT chain_id, new_id, tick, NULL FROM sv),
+  vs AS (SELECT chain_id, added AS v FROM iv UNION SELECT chain_id, removed FROM iv WHERE removed IS NOT NULL)
+  SELECT vs.chain_id, v::INT AS version_tick, memory_id FROM vs JOIN iv ON vs.chain_id = iv.chain_id AND added <= v AND (removed IS NULL OR removed > v)"""))
+def memory_at_version(t):
+    """The memory of every version of every chain; an object is superseded two ticks after its promotion, where that is admitted."""
+    m = materialise(memory(t))
+    done = supersede_verdicts(t, m).filter("reason = ''").join(m.select(F.col("memory_id").alias("m_id"), "promo_tick"), F.col("old_id") == F.col("m_id"))
+    held = materialise(MEM.membership(m.select("chain_id", "memory_id", F.col("promo_tick").cast("int").alias("added")), done.select("old_id", "new_id", (F.col("promo_tick") + 2).alias("tick")), ["chain_id"]))
+    return MEM.members_at(held, MEM.version_ticks(held, ["chain_id"]), ["chain_id"])
+
+
 @query("pool_digest", with_views("rec", MEM_SQL + f", p AS (SELECT DISTINCT chain_id % 10 AS source, content FROM mem) SELECT source, count(*) AS n, {set_digest_sql('content')} AS pool_digest FROM p GROUP BY 1"))
 def pool_digest(t):
     """Placebo pool per source: union of live memories and its digest."""
@@ -339,6 +352,15 @@ def frozen_eval(t):
     return evaluated(t, tasks.filter("ord > 200"), flags, pm)
 
 
+@query("component_purity", with_views("tk pred gold", CT_HEAD + f"""sp AS (SELECT chain_id, {file_sql('loc')} AS f, loc, {class_sql('loc')} AS c FROM crec WHERE label = 'bad'),
+  cl AS (SELECT chain_id, f, min(loc) = max(loc) AS pure, min(c) = max(c) AS same FROM sp GROUP BY 1, 2)
+  SELECT chain_id, count(*) AS clusters, count(*) FILTER (pure) AS pure, count(*) FILTER (same) AS component_pure, round((count(*) - count(*) FILTER (pure)) / count(*), 4) AS merged_share FROM cl GROUP BY 1"""))
+def component_purity(t):
+    """File-level clusters of right control flags: how many hold one location, how many one class."""
+    support = flag_records(control_flags(t), chain_tasks(t)).filter("label = 'bad'").select("chain_id", file_of(F.col("loc")).alias("loc"), "content")
+    return C.cluster_purity(support, F.col("content"), component=class_of(F.col("content")))
+
+
 @query("task_retrievals", with_views("tk pred gold", ROLL_SQL + " SELECT task_id, loc, round(score, 6) AS score, rank::INT AS rank FROM rt"))
 def task_retrievals(t):
     """What every task retrieves as of the task before: top k of at least tau."""

@@ -4,9 +4,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import scratch_dir
+from ..session import materialise, scratch_dir
 from ..sources import memo, records as S
-from ..operators.chains import seeded_sample
+from ..operators.chains import seeded_sample, upper_median
 from .bindings import with_views
 from .registry import query
 
@@ -91,3 +91,18 @@ def corpus_from_changes(t):
     short = (F.size(F.split("o_orderpriority", " ")) < 2) & (F.col("o_orderpriority") != "1-URGENT")
     marked = S.corpus_from_changes(ch, [("no_parent", F.col("ord") == 1), ("no_source_gold", F.col("g").isNull()), ("short_message", short)])
     return marked.groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("drop_reason")).agg(F.count("*").alias("n"))
+
+
+@query("corpus_report", with_views("tk gold", """g AS (SELECT DISTINCT task_id FROM gold), z AS (SELECT task_id, count(*) AS size FROM ln GROUP BY 1),
+  c AS (SELECT tk.task_id, size, CASE WHEN ord = 1 THEN 'no_parent' WHEN g.task_id IS NULL THEN 'no_source_gold' END AS r FROM tk LEFT JOIN g ON tk.task_id = g.task_id LEFT JOIN z ON z.task_id = tk.task_id),
+  m AS (SELECT size, row_number() OVER (ORDER BY size) AS rn, count(*) OVER () AS n FROM c WHERE r IS NULL)
+  SELECT count(*) AS seen, count(*) FILTER (r IS NULL) AS kept, count(*) FILTER (r = 'no_parent') AS no_parent, count(*) FILTER (r = 'no_source_gold') AS no_source_gold, (SELECT min(size) FILTER (rn = n // 2 + 1) FROM m) AS upper_median FROM c"""))
+def corpus_report(t):
+    """Rows kept and dropped by reason, and the upper median of the kept ones' sizes, in one pass and a histogram."""
+    has_gold = t.gold.select("task_id").distinct().withColumn("g", F.lit(1))
+    size = t.raw("lineitem").groupBy(F.col("l_orderkey").alias("task_id")).agg(F.count(F.lit(1)).alias("size"))
+    ch = t.tk.join(has_gold, "task_id", "left").join(size, "task_id", "left")
+    marked = materialise(S.corpus_from_changes(ch, [("no_parent", F.col("ord") == 1), ("no_source_gold", F.col("g").isNull())]).select("drop_reason", "size"))
+    counts = marked.agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("drop_reason").isNull()).alias("kept"), *[F.count_if(F.col("drop_reason") == r).alias(r) for r in ("no_parent", "no_source_gold")])
+    median = upper_median(marked.filter("drop_reason IS NULL"), "size")
+    return counts.withColumn("k", F.lit(1)).join(median.withColumn("k", F.lit(1)), "k").drop("k")

@@ -4,7 +4,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from recurra.functions import dates, digest, keys, text as X
-from recurra.operators import chains as C, gates as G, intervals as I, ledger as L, memory as MEM, metrics as M, paired as P, recurrence as R, sections as D, similarity as S, causal as V
+from recurra.operators import chains as C, consolidate as K, gates as G, intervals as I, ledger as L, memory as MEM, metrics as M, paired as P, recurrence as R, retrieval as RET, sections as D, similarity as S, causal as V
 from recurra.sources import memo, records as SRC, state
 
 
@@ -65,17 +65,17 @@ def test_memo_second_run_has_no_misses(spark):
 # -- text and keys ----------------------------------------------------------------------------
 def test_text(spark):
     c = lambda *a: X.record_content(*[F.lit(x) for x in a])
-    r = one(spark, c("Parser drops last row", "pkg/parser.py", "", "off by one").alias("a"), c("crash on parse", "pkg/parser.py", "parse", "why").alias("b"))
-    assert r.a == "Parser drops last row => pkg / parser :: off by one"
-    assert r.b == "crash on parse => pkg / parser # parse :: why"
-    r = one(spark, X.location_in(F.lit(r.b)).alias("l"), X.clean_message(F.lit("Fix it (#12)"), F.lit("why\nSigned-off-by: x")).alias("m"), X.coerce_list(F.lit('["a","b"]')).alias("j"), X.coerce_list(F.lit("x")).alias("s"), X.coerce_list(F.lit("")).alias("e"))
-    assert (r.l, r.m, r.j, r.s, r.e) == ("pkg / parser # parse", "Fix it\n\nwhy", ["a", "b"], ["x"], [])
+    r = one(spark, c("Totals change after midnight", "shop/billing.py", "", "time zone ignored").alias("a"), c("refund twice", "shop/billing.py", "refund", "retried call").alias("b"))
+    assert r.a == "Totals change after midnight => shop / billing :: time zone ignored"
+    assert r.b == "refund twice => shop / billing # refund :: retried call"
+    r = one(spark, X.location_in(F.lit(r.b)).alias("l"), X.clean_message(F.lit("Round up refunds (#804)"), F.lit("cents were lost\nSigned-off-by: k")).alias("m"), X.coerce_list(F.lit('["a","b"]')).alias("j"), X.coerce_list(F.lit("x")).alias("s"), X.coerce_list(F.lit("")).alias("e"))
+    assert (r.l, r.m, r.j, r.s, r.e) == ("shop / billing # refund", "Round up refunds\n\ncents were lost", ["a", "b"], ["x"], [])
 
 
 def test_keys(spark):
-    k = F.lit("pkg/m.py::Box.a")
-    r = one(spark, keys.file_of(k).alias("f"), keys.class_of(k).alias("c"), keys.dir_of(k).alias("d"), keys.dir_of(F.lit("a/b/c.py")).alias("p"), keys.dir_of(F.lit("c.py")).alias("q"), keys.image_name(F.lit("A__b")).alias("i"), keys.group_from_file(F.lit("a__b__c")).alias("g"))
-    assert tuple(r) == ("pkg/m.py", "pkg/m.py::Box", "pkg/m.py", "a/b", ".", "a_1776_b", "a/b__c")
+    k = F.lit("shop/cart.py::Cart.total")
+    r = one(spark, keys.file_of(k).alias("f"), keys.class_of(k).alias("c"), keys.dir_of(k).alias("d"), keys.dir_of(F.lit("x/y/z.py")).alias("p"), keys.dir_of(F.lit("z.py")).alias("q"), keys.image_name(F.lit("Shop__Web")).alias("i"), keys.group_from_file(F.lit("shop__web__main")).alias("g"))
+    assert tuple(r) == ("shop/cart.py", "shop/cart.py::Cart", "shop/cart.py", "x/y", ".", "shop_1776_web", "shop/web__main")
 
 
 def test_dates(spark):
@@ -121,10 +121,10 @@ def test_fine_level_recurrence(spark):
 
 
 def test_prequential(spark):
-    gold = spark.createDataFrame(list(enumerate(["pkg/m.py::" + k for k in ("Box.a", "Box.b", "Box.a", "top", "Box.b", "Box.a")])), "task_id long, fkey string")
-    out = {r.level: r for r in R.prequential(tasks(spark, range(6)), gold, 2, 3, "trunc(created_at, 'month')").filter("grp is null").collect()}
+    gold = spark.createDataFrame(list(enumerate(["shop/cart.py::" + k for k in ("Cart.add", "Cart.add", "Cart.drop", "Cart.add", "tax", "Cart.drop", "Cart.add")])), "task_id long, fkey string")
+    out = {r.level: r for r in R.prequential(tasks(spark, range(7)), gold, 3, 3, "trunc(created_at, 'month')").filter("grp is null").collect()}
     f, c, p = out["function"], out["class"], out["file"]
-    assert (f.n_eval, f.seen1_rate, f.seen2_rate, c.seen2_rate, p.seen2_rate) == (4, .75, .25, .75, 1.0)
+    assert (f.n_eval, f.seen1_rate, f.seen2_rate, c.seen2_rate, p.seen2_rate) == (4, .75, .5, .75, 1.0)
 
 
 # -- patches and intervals ---------------------------------------------------------------------------
@@ -157,21 +157,21 @@ def test_patch(spark):
     assert D.independent_files(p, "id", "patch").filter("id = 't'").head()["keys"] == ["new.py", "old.py", "src/a.py"]
 
 
-SPANS = [("top", 6, 9), ("Box", 11, 20), ("Box.area", 15, 17), ("Box.fetch", 18, 20), ("tail", 22, 23)]
+SPANS = [("load", 3, 7), ("Ledger", 10, 30), ("Ledger.open", 12, 15), ("Ledger.close", 19, 27), ("report", 33, 40)]
 
 
 def spans(spark):
-    return spark.createDataFrame([("m.py", *s) for s in SPANS], "path string, qualname string, start_line int, end_line int")
+    return spark.createDataFrame([("store.py", *s) for s in SPANS], "path string, qualname string, start_line int, end_line int")
 
 
 def test_innermost_and_range(spark):
-    pts = spark.createDataFrame([("m.py", x) for x in (8, 13, 3, 16)], "path string, line int")
-    assert rows(I.innermost(pts, spans(spark), []), "line", "qualname") == [(13, "Box"), (16, "Box.area"), (3, "<module>"), (8, "top")]
-    r = spark.createDataFrame([(1, "m.py", 8, 16), (2, "m.py", 0, 0), (3, "gone.py", 5, 6)], "id int, path string, start_line int, end_line int")
+    pts = spark.createDataFrame([("store.py", x) for x in (5, 17, 8, 20)], "path string, line int")
+    assert rows(I.innermost(pts, spans(spark), []), "line", "qualname") == [(17, "Ledger"), (20, "Ledger.close"), (5, "load"), (8, "<module>")]
+    r = spark.createDataFrame([(1, "store.py", 6, 13), (2, "store.py", 41, 41), (3, "none.py", 5, 6)], "id int, path string, start_line int, end_line int")
     got = [(x.id, x.symbol) for x in I.range_symbols(r, spans(spark), ["id"]).orderBy("id", "pos").collect()]
-    assert got == [(1, "top"), (1, "<module>"), (1, "Box"), (1, "Box.area"), (2, "<module>"), (3, "<module>")]
+    assert got == [(1, "load"), (1, "<module>"), (1, "Ledger"), (1, "Ledger.open"), (2, "<module>"), (3, "<module>")]
     loc = rows(I.symbolise(r, spans(spark), ["id"]).filter("id <> 1"), "id", "path", "start_line", "end_line", "symbol")
-    assert loc == [(2, "m.py", 0, 0, "<module>"), (3, "gone.py", 5, 6, "<module>")]
+    assert loc == [(2, "store.py", 41, 41, "<module>"), (3, "none.py", 5, 6, "<module>")]
 
 
 def test_overlap_symbols_and_whole_file(spark):
@@ -256,7 +256,7 @@ def hist(spark, pairs):
     return spark.createDataFrame([(int(s * 10000 + .5), m, 1) for s, m in pairs], "s4 long, match boolean, n long").groupBy("s4", "match").agg(F.sum("n").alias("n"))
 
 
-@pytest.mark.parametrize("pairs,tau", [([(.3, False), (.4, False), (.6, True), (.8, True)], 0.0), ([(.1, False), (.2, False), (.3, False), (.55, True)], .25), ([(.1, False), (.2, False), (.3, False), (.4, False)], .4)])
+@pytest.mark.parametrize("pairs,tau", [([(.22, False), (.37, False), (.64, True), (.9, True)], 0.0), ([(.12, False), (.18, False), (.31, False), (.71, True)], .2), ([(.15, False), (.25, False), (.3, False), (.45, False)], .45)])
 def test_threshold(spark, pairs, tau):
     assert S.calibrate(hist(spark, pairs)).head().tau == tau
 
@@ -452,3 +452,55 @@ def test_bootstrap_draws_are_even_beyond_a_million_tasks(spark):
     got = P.bootstrap_interval(counts, "label", "7", 20).head()
     lift = 100 * 20_000 / ((1 << 20) + 7)
     assert got.ci_low < lift < got.ci_high and got.ci_high - got.ci_low < 0.4
+
+
+# -- retrieval as of a point in time ---------------------------------------------------------------------------
+def index(spark):
+    m = spark.createDataFrame([("c", "p q", 3, None), ("c", "p r s", 1, 6), ("c", "q", 9, None), ("other", "p q", 1, None)], "chain_id string, loc string, promo_tick int, superseded_tick int")
+    return RET.postings(m, F.split("loc", " "))
+
+
+def asked(spark, tasks):
+    return spark.createDataFrame([(t, "c", o, w.split()) for t, o, w in tasks], "task_id long, chain_id string, ord int, words array<string>")
+
+
+def test_retrieval_sees_memory_of_the_task_before(spark):
+    q = asked(spark, [(1, 3, "p q"), (2, 4, "p q"), (3, 6, "p r"), (4, 7, "p r"), (5, 10, "q"), (6, 10, "z"), (7, 10, "")])
+    got = [(r.task_id, r["rank"], r["loc"], round(r.score, 4)) for r in RET.retrieve(q, index(spark), 2, 0.2).orderBy("task_id", "rank").collect()]
+    assert got == [(1, 1, "p r s", .25), (2, 1, "p q", 1.0), (2, 2, "p r s", .25), (3, 1, "p r s", .6667), (3, 2, "p q", .3333), (4, 1, "p q", .3333), (5, 1, "q", 1.0), (5, 2, "p q", .5)]
+    assert RET.retrieve(q, index(spark), 2, 1.01).count() == 0 and RET.retrieve(q, index(spark).limit(0), 2, 0.0).count() == 0
+
+
+def test_guided_flags_and_matched_placebos(spark):
+    got = spark.createDataFrame([(1, "b"), (1, "c"), (2, "x")], "task_id long, loc string")
+    pool = spark.createDataFrame([(0, "a"), (1, "b"), (2, "d")], "idx long, loc string")
+    sham = RET.matched_placebo(got, pool, 3, "s")
+    assert {r.task_id: r["count"] for r in sham.groupBy("task_id").count().collect()} == {1: 2, 2: 1}
+    assert sham.distinct().count() == 3
+    flags = spark.createDataFrame([(1, 1, "a", False), (1, 2, "b", True), (2, 1, "y", True), (2, 2, "x", False), (3, 1, "q", True)], "task_id long, rank int, key string, ok boolean")
+    none = got.limit(0)
+    first = {r.task_id: (r.control_top1, r.memory_top1, r.placebo_top1) for r in RET.guided_first(flags, got, none).collect()}
+    assert first == {1: (0, 1, 0), 2: (1, 0, 1), 3: (1, 1, 1)}
+
+
+def test_nothing_is_injected_without_learning(spark):
+    from recurra.plans import REGISTRY
+    from recurra.plans.bindings import Tables
+    rows_ = REGISTRY["rolling_negative"].run(Tables(spark, "/root/testdata/sf0.001")).collect()
+    assert rows_ and all(r.injected == r.covered == r.useful == r.placebo_injected == 0 and r.control_top1 == r.memory_top1 == r.placebo_top1 for r in rows_)
+
+
+def test_members_of_every_version(spark):
+    objects = spark.createDataFrame([("c", "a", 1), ("c", "b", 3), ("d", "z", 2)], "chain_id string, memory_id string, added int")
+    done = spark.createDataFrame([("a", "a2", 4)], "old_id string, new_id string, tick int")
+    held = MEM.membership(objects, done, ["chain_id"])
+    assert rows(held, "chain_id", "memory_id", "added", "removed") == [("c", "a", 1, 4), ("c", "a2", 4, None), ("c", "b", 3, None), ("d", "z", 2, None)]
+    got = rows(MEM.members_at(held, MEM.version_ticks(held, ["chain_id"]), ["chain_id"]), "chain_id", "version_tick", "memory_id")
+    assert got == [("c", 1, "a"), ("c", 3, "a"), ("c", 3, "b"), ("c", 4, "a2"), ("c", 4, "b"), ("d", 2, "z")]
+    assert MEM.members_at(held, spark.createDataFrame([("c", 0)], "chain_id string, version_tick int"), ["chain_id"]).count() == 0
+
+
+def test_component_purity(spark):
+    s = spark.createDataFrame([("c", "f", "f::A.x"), ("c", "f", "f::A.y"), ("c", "g", "g::B.x"), ("c", "g", "g::B.x"), ("c", "h", "h::C.x"), ("c", "h", "h::D.x")], "chain_id string, loc string, key string")
+    r = K.cluster_purity(s, F.col("key"), component=keys.class_of(F.col("key"))).head()
+    assert (r.clusters, r.pure, r.component_pure) == (3, 1, 2)
