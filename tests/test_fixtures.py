@@ -504,3 +504,28 @@ def test_component_purity(spark):
     s = spark.createDataFrame([("c", "f", "f::A.x"), ("c", "f", "f::A.y"), ("c", "g", "g::B.x"), ("c", "g", "g::B.x"), ("c", "h", "h::C.x"), ("c", "h", "h::D.x")], "chain_id string, loc string, key string")
     r = K.cluster_purity(s, F.col("key"), component=keys.class_of(F.col("key"))).head()
     assert (r.clusters, r.pure, r.component_pure) == (3, 1, 2)
+
+
+# -- ranked search ---------------------------------------------------------------------------------------------
+def test_search_equals_scoring_everything_with_fewer_postings(spark):
+    import math
+    import random
+    from collections import Counter
+    from recurra.operators import search as SE
+    r = random.Random(9)
+    word = lambda: f"w{min(r.randrange(1, 400), r.randrange(1, 400), r.randrange(1, 400))}"          # noqa: E731
+    docs = [(i, " ".join(word() for _ in range(r.randint(0, 40)))) for i in range(600)] + [(600, None), (601, "The W1, w1; the")]
+    asked = [(q, " ".join(word() for _ in range(12)) + f" w{300 + 9 * q}") for q in range(8)] + [(90, ""), (91, "nowhere"), (92, None)]
+    index = SE.build_index(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text")
+    top, cost = SE.search(spark.createDataFrame(asked, "qid long, text string"), index, 5)
+    tf = {d: Counter((t or "").lower().replace(",", "").replace(";", "").split()) for d, t in docs}
+    df = Counter(w for c in tf.values() for w in c)
+    idf = {w: round(math.log(len(docs) / n) * 1e6) for w, n in df.items()}
+    want, every = [], 0
+    for q, t in asked:
+        ws = {w for w in (t or "").split() if w in idf}
+        every += sum(df[w] for w in ws)
+        scored = sorted((-sum(min(5, c[w]) * idf[w] for w in ws), d) for d, c in tf.items() if any(idf[w] and w in c for w in ws))[:5]
+        want += [(q, i + 1, d, -s) for i, (s, d) in enumerate(scored)]
+    assert sorted(map(tuple, top.select("qid", "rank", "item", "score").collect())) == sorted(want)
+    assert cost.agg(F.sum("scored")).first()[0] < every
