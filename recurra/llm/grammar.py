@@ -105,14 +105,22 @@ def compress(ids: np.ndarray, base: int, rounds: int | None, least: int) -> tupl
     """(left, right, lengths, seq) of a sequence of ids below ``base``."""
     seq = ids.astype(np.uint32)
     lefts, rights = [], []
-    made = base
+    made, live = base, None
     length_of = np.ones(0, np.int64)
     while len(seq) > 1 and rounds != 0:
         rounds = rounds and rounds - 1
-        bits = max(12, int(len(seq)).bit_length() - 1)
-        h = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D)
+        # a pair of old symbols only becomes rarer: once below ``least`` it is looked at no more, until a new symbol touches it
+        if live is None:
+            live = np.arange(len(seq) - 1)
+        if not len(live):
+            break
+        bits = max(12, len(live).bit_length() - 1)
+        h = (seq[live] * np.uint32(0x9E3779B1) + seq[live + 1] * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D)
         h = (h >> np.uint32(32 - bits)).astype(np.int64)
-        at = _places(np.bincount(h, minlength=1 << bits).astype(np.int32)[h], least)
+        f = np.bincount(h, minlength=1 << bits).astype(np.int32)[h]
+        freq = np.zeros(len(seq) - 1, np.int32)
+        freq[live] = f
+        at = _places(freq, least)
         pair = (seq[at].astype(np.int64) << 32) | seq[at + 1]
         rule, which, n = np.unique(pair, return_inverse=True, return_counts=True)
         good = n >= least
@@ -124,7 +132,14 @@ def compress(ids: np.ndarray, base: int, rounds: int | None, least: int) -> tupl
         seq[at] = symbol
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
+        mark = np.zeros(len(seq), bool)
+        mark[live[f >= least]] = True
+        mark[at] = True
+        mark = mark[keep]
+        new = at - np.arange(len(at))                       # a symbol goes behind each replaced one before
+        mark[np.maximum(new - 1, 0)] = True
         seq = seq[keep]
+        live = np.nonzero(mark[:-1])[0]
         part = [np.where(s < base, 1, length_of[np.maximum(s - base, 0)] if len(length_of) else 1) for s in (left, right)]
         length_of = np.concatenate([length_of, part[0] + part[1]])
         lefts.append(left)
@@ -142,7 +157,7 @@ def _places(freq: np.ndarray, least: int) -> np.ndarray:
     win[1:] &= up
     win[:-1] &= down
     at = np.nonzero(win)[0]
-    tie = np.nonzero(~(up | down))[0]                       # place i is as frequent as i + 1
+    tie = np.nonzero(~(up | down) & (freq[1:] >= least))[0]                       # place i is as frequent as i + 1
     if not len(tie):
         return at
     new = np.concatenate([[True], np.diff(tie) > 1])
