@@ -6,9 +6,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import materialise  # noqa: F401
+from ..session import materialise as write_and_read
 
 WORD = r"[^\x20\x09-\x0D]+"          # fixed value: the word pattern of the contracts
+BATCH_BYTES = 4 << 20
 LONG_KEY = 64
 MEMO_LIMIT = 400_000                 # entries of a generation of a task's memo: bounds memory (about 300 bytes each, two generations), not results
 
@@ -34,6 +35,21 @@ class Memo(dict):
         return value
 
 
+def materialise(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+    """Cut lineage by a written table. While it is written, batches for Python are bounded by ``BATCH_BYTES``; the session's setting is put back."""
+    spark = spark or df.sparkSession
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)                            # None: not set, the default holds
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        return write_and_read(df, spark)
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -74,7 +90,7 @@ def batches_of(fn):
     return run
 
 
-def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that none holds more than about ``most`` bytes, nor is empty: memory follows from bytes, whatever the session's batch sizes."""
     for b in batches:
         if b.num_rows:
