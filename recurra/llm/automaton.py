@@ -115,18 +115,22 @@ class Machine:
                     self.label_at.append(-1)
                 at = to
             self.label_at[at] = t
+        self.shorter = {t: self._shorter(data) for t, data in tokens.items()}      # the longest label that begins a label; -1: none
 
-    def labels(self, word: bytes, at: int) -> list[int]:
-        """The labels that continue a word, shortest first."""
-        out, node, child, label_at = [], 0, self.child, self.label_at
+    def _shorter(self, data: bytes) -> int:
+        return self.longest(data[:-1], 0)
+
+    def longest(self, word: bytes, at: int) -> int:
+        """The longest label that continues a word; -1 if there is none. ``shorter`` leads on to the others."""
+        found, node, child, label_at = -1, 0, self.child, self.label_at
         for b in word[at:]:
             node = child.get(node << 8 | b)
             if node is None:
                 break
             t = label_at[node]
             if t >= 0:
-                out.append(t)
-        return out
+                found = t
+        return found
 
     def arc(self, state: int, label: int) -> bool:
         key = state << 20 | label
@@ -136,48 +140,32 @@ class Machine:
         return ok
 
     def encode(self, word: bytes) -> list[int]:
-        """The one path that spells the word: nearly always the longest label with an arc at each state; else a search."""
-        arcs, length, n = self.arcs, self.length, len(word)
+        """The one path that spells the word: at each state the longest label with an arc; where none is left, one label back and on with
+        the next shorter one. Only one path spells each beginning of the word, too, so no position is entered twice and the
+        work is bounded by positions times labels."""
+        arcs, length, shorter, n = self.arcs, self.length, self.shorter, len(word)
         if len(arcs) > TABLE_LIMIT:
             arcs.clear()
         path: list[int] = []
         at, state = 0, -1
+        t = self.longest(word, 0) if n else -1
         while at < n:
-            for t in reversed(self.labels(word, at)):
-                if state < 0:
-                    break
+            while t >= 0 and state >= 0:
                 ok = arcs.get(state << 20 | t)
                 if ok or ok is None and self.arc(state, t):
                     break
-            else:
-                return self.search(word)
+                t = shorter[t]
+            if t < 0:
+                t = path.pop()
+                at -= length[t]
+                t, state = shorter[t], path[-1] if path else -1
+                continue
             path.append(t)
             at += length[t]
             state = t
+            t = self.longest(word, at)
         return path
 
-    def search(self, word: bytes) -> list[int]:
-        """Longer labels are tried first; a state that cannot go on at a position is not entered there again, so the work is
-        bounded by positions times labels."""
-        path: list[int] = []
-        ahead, at, state = [self.labels(word, 0)], 0, -1
-        dead: set[tuple[int, int]] = set()
-        while True:
-            if not ahead[-1]:
-                dead.add((at, state))
-                ahead.pop()
-                at -= self.length[path.pop()]
-                state = path[-1] if path else -1
-                continue
-            t = ahead[-1].pop()
-            if state >= 0 and not self.arc(state, t) or (at + self.length[t], t) in dead:
-                continue
-            path.append(t)
-            at, state = at + self.length[t], t
-            if at == len(word):
-                return path
-            ahead.append(self.labels(word, at))
-
 
 class Coder:
     """A byte-level BPE tokenizer compiled from the text of a ``tokenizer.json``."""
@@ -196,6 +184,7 @@ class Coder:
         self.machine = Machine(reachable, gadgets)
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of |= {i: utf8(t) for t, i in self.added.items()}
+        self.decimal = {i: str(i) for i in self.bytes_of}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.spec = text
         self.first, self.spaced = Memo(self._chunk, memo), Memo(lambda c: self._chunk(c, " "), memo)         # chunk -> ids and bytes; spaced: after a space
@@ -244,7 +233,7 @@ class Coder:
         words = [whole] if chunk.isalpha() else self.pieces(whole)
         if len(words) == 1:
             ids = self.encode_word(whole)
-            return ",".join(map(str, ids)), b"".join([self.bytes_of[i] for i in ids])
+            return ",".join([self.decimal[i] for i in ids]), b"".join([self.bytes_of[i] for i in ids])
         ids, data = zip(*[self._word(w) for w in words])
         return ",".join(ids), b"".join(data)
 
