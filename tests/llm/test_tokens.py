@@ -45,6 +45,18 @@ def test_automaton_equals_library_on_any_text(coder, byte_library, t):
     assert coder.encode(t) == byte_library.encode(t, add_special_tokens=False).ids
 
 
+def test_path_goes_back_where_the_longest_label_leads_nowhere(coder, byte_library):
+    r = random.Random(8)
+    words = ["".join(r.choice("ehtnoairs") for _ in range(r.randint(1, 40))) for _ in range(4000)]
+    back = 0
+    for w in words:
+        want = byte_library.encode(w, add_special_tokens=False).ids
+        assert coder.encode_word(w) == want, w
+        back += want[0] != coder.machine.longest(w.encode(), 0)
+    assert back > 100                                               # words whose path does not begin with the longest label
+    assert coder.machine.encode(b"") == []
+
+
 def test_gadgets_by_hand():
     # a b c = 0 1 2; merges aa -> 3, ab -> 4
     g = automaton.Gadgets(5)
