@@ -48,7 +48,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and digests of every document that is left."""
-    return automaton.encode_decode(docs, public_tokenizers.path(TOKENIZER), keep_ids=True, memo=40_000)        # its executors hold the other stages' memory too
+    return automaton.encode_decode(docs, public_tokenizers.path(TOKENIZER), keep_ids=True, memo=150_000)        # its executors hold the other stages' memory too
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("mix", mix), ("tokens", tokens)]

@@ -8,9 +8,9 @@ the rank from which it copies the arcs of v. :meth:`Gadgets.arc` unrolls these d
 
 Encoding. A pre-split word is read from the start state: a tree of labels gives those that continue the word, the arc table says
 which of them leave the present state, and the path that spells the whole word (there is exactly one) is the tokenization; its arc labels are the ids. Arcs
-are entered in the table the first time they are asked for. Decoding emits the labels' bytes.
+are entered in the table the first time they are asked for. Decoding takes the ids alone and emits the bytes of each id's label.
 
-Words repeat, so each task keeps tables from words to their ids; tables are bounded by a fixed number of entries, which
+Words repeat, so each task keeps tables from words to their ids (as decimal text); tables are bounded by a fixed number of entries, which
 changes no result.
 
 Defined results: NULL text is empty: no ids, the digests of nothing; the text of an added token becomes its id, as in the
@@ -185,9 +185,10 @@ class Coder:
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of |= {i: utf8(t) for t, i in self.added.items()}
         self.decimal = {i: str(i) for i in self.bytes_of}
+        self.emits = {self.decimal[i]: b for i, b in self.bytes_of.items()}          # label of an id in decimal text
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.spec = text
-        self.first, self.spaced = Memo(self._chunk, memo), Memo(lambda c: self._chunk(c, " "), memo)         # chunk -> ids and bytes; spaced: after a space
+        self.first, self.spaced = Memo(self._chunk, memo), Memo(lambda c: self._chunk(c, " "), memo)         # chunk -> ids in decimal text; spaced: after a space
         self.feed = self.first["\n"]
         self._library = None
 
@@ -209,8 +210,8 @@ class Coder:
             out += [part] if i % 2 else self.split(part)
         return out
 
-    def coded(self, text: str) -> list[tuple[str, bytes]]:
-        """Ids (as decimal text) and emitted bytes, chunk by chunk.
+    def coded(self, text: str) -> str:
+        """Ids as decimal text, joined by commas.
 
         In a text whose only white space are single spaces and line feeds between other characters, the splitting rule cuts before each
         space and on both sides of each line feed; so its chunks can be looked up whole. Other texts are split first."""
@@ -222,20 +223,22 @@ class Coder:
                 out += [spaced[w] for w in rest]
                 out.append(self.feed)
             out.pop()
-            return out
-        return [self._word(w) for w in self.pieces(text)]
+            return ",".join(out)
+        return ",".join([self._word(w) for w in self.pieces(text)])
 
-    def _word(self, word: str) -> tuple[str, bytes]:
+    def emitted(self, ids: str) -> bytes:
+        """The labels of ids in decimal text."""
+        return b"".join(map(self.emits.__getitem__, ids.split(","))) if ids else b""
+
+    def _word(self, word: str) -> str:
         return self.spaced[word[1:]] if word[0] == " " and len(word) > 1 else self.first[word]
 
-    def _chunk(self, chunk: str, before: str = "") -> tuple[str, bytes]:
+    def _chunk(self, chunk: str, before: str = "") -> str:
         whole = before + chunk
         words = [whole] if chunk.isalpha() else self.pieces(whole)
         if len(words) == 1:
-            ids = self.encode_word(whole)
-            return ",".join([self.decimal[i] for i in ids]), b"".join([self.bytes_of[i] for i in ids])
-        ids, data = zip(*[self._word(w) for w in words])
-        return ",".join(ids), b"".join(data)
+            return ",".join([self.decimal[i] for i in self.encode_word(whole)])
+        return ",".join([self._word(w) for w in words])
 
     def encode_word(self, word: str) -> list[int]:
         one = self.added.get(word)
@@ -268,14 +271,12 @@ def encode_decode(docs: DataFrame, tokenizer: str, keep_ids: bool = False, memo:
             n, ids, a, z = [], [], [], []
             none = pa.nulls(b.num_rows, pa.list_(pa.int32()))
             for t in b.column("text").to_pylist():
-                coded = coder.coded(t or "")
-                text = ",".join([c[0] for c in coded])
+                text = coder.coded(t or "")
                 n.append(text.count(",") + 1 if text else 0)
                 if keep_ids:
                     ids.append(np.fromstring(text, np.int32, sep=",") if text else np.empty(0, np.int32))
                 a.append(hashlib.sha256(text.encode()).hexdigest())
-                data = b"".join([c[1] for c in coded])
-                z.append(hashlib.sha256(data.decode("utf-8", "replace").encode()).hexdigest())
+                z.append(hashlib.sha256(coder.emitted(text).decode("utf-8", "replace").encode()).hexdigest())
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), np.concatenate(ids)) if keep_ids else none
             return batch(doc_id=b.column("doc_id"), n_tokens=pa.array(n, pa.int64()), ids=lists,
                          ids_sha256=pa.array(a, pa.string()), decoded_sha256=pa.array(z, pa.string()))
