@@ -4,9 +4,8 @@ weights, as token ids.
 Every stage takes (spark, docs, sf_dir), works on all rows it is given and returns the columns of documents; the last returns
 tokens. ``n_chars`` follows the text. Stages may be run one by one, each from the Parquet the one before has written.
 
-Stages that end in Python return a table they have written themselves: batches are bounded by bytes only while ``materialise`` writes, and
-with the session's own batch size (10,000 rows) an executor's buffers grow by hundreds of MB. Near duplicates and the mix return a plan, which ``run``
-writes: their intermediates leave no room on disk for one more copy of the texts.
+The last stage writes its table itself: batches are bounded by bytes only while ``materialise`` writes. The others return a plan, which ``run``
+writes: one more copy of the texts would not fit the disk beside the intermediates of near duplicates.
 """
 from __future__ import annotations
 
@@ -28,7 +27,7 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or in no language that the given documents teach, go."""
-    return materialise(langid.keep_identified(docs, langid.fit(docs)))
+    return langid.keep_identified(docs, langid.fit(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +36,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     while runs in docs.columns:
         runs += "_"
     done = lines.dedup_lines(docs, runs_name=runs)
-    return materialise(_measured(done.filter(F.col(runs).isNull() | (F.col("text") != "")).drop(runs)))
+    return _measured(done.filter(F.col(runs).isNull() | (F.col("text") != "")).drop(runs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +54,6 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return materialise(automaton.encode_decode(docs, public_tokenizers.path(TOKENIZER), keep_ids=True, memo=150_000))        # its executors hold the other stages' memory too
 
 
-LAZY = {"near_duplicates", "mix"}          # stages that return a plan
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("mix", mix), ("tokens", tokens)]
 
 ORACLE_SQL = None            # Bloom filters and a tokenizer: see tests/llm for the brute-force versions
@@ -63,8 +61,6 @@ ORACLE_SQL = None            # Bloom filters and a tokenizer: see tests/llm for
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name in LAZY:
-            docs = materialise(docs)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -21,9 +21,12 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batch, batches_of, bounded_sample, fold, held_out, materialise, slices
+from .common import batch, batches_of, bounded_sample, fold, held_out, materialise
+
+BROADCAST_ROWS = 250_000          # ids of rejected rows sent to every task at most
 
 ORDERS = (2, 3, 4)
 HASHES = 3
@@ -166,19 +169,33 @@ def classify(docs: DataFrame, **params) -> DataFrame:
 
 def keep_identified(docs: DataFrame, filters: Filters, min_score: float = 0.3) -> DataFrame:
     """The documents whose language is recognised (not ``und``, score at least ``min_score``), all columns and rows
-    as they came. The decision is made on each row's own text, so nothing is joined or shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
-    schema = docs.schema
-    at = docs.columns.index("text")
+    as they came. The decision depends on a row's own text. Rejected rows are written as (id, hash of the text) and, up to
+    ``BROADCAST_ROWS`` of them, sent to every task, so that no text passes through Python twice; if there are more, rows are
+    decided as they pass. Neither way shuffles texts, and both keep the same rows."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(filters)
 
-    def run(batches):
+    def recognised(texts: pa.Array) -> pa.Array:
         f = shared.value
         fp = f.false_positive
-        for b in slices(batches):
-            keep = []
-            for t in b.column(at).to_pylist():
-                h = grams(t)
-                keep.append(bool(len(h) and f.langs and ((f.counts(h) - len(h) * fp) / (1 - fp)).max() >= min_score * len(h)))
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, schema)
+        keep = []
+        for t in texts.to_pylist():
+            h = grams(t)
+            keep.append(bool(len(h) and f.langs and ((f.counts(h) - len(h) * fp) / (1 - fp)).max() >= min_score * len(h)))
+        return pa.array(keep, pa.bool_())
+
+    def rejected(b: pa.RecordBatch) -> pa.RecordBatch:
+        return b.select(["r_doc", "r_key"]).filter(pc.invert(recognised(b.column("text"))))
+
+    def rows(b: pa.RecordBatch) -> pa.RecordBatch:
+        return b.filter(recognised(b.column(at)))
+
+    text = F.col("text").cast("string")
+    doc, key = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(text, F.lit("")))
+    gone = materialise(docs.select(doc.alias("r_doc"), key.alias("r_key"), text.alias("text")).mapInArrow(batches_of(rejected), "r_doc long, r_key long")).distinct()
+    if gone.count() > BROADCAST_ROWS:
+        at = docs.columns.index("text")
+        return docs.mapInArrow(batches_of(rows), docs.schema)
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc.alias("k_doc"), key.alias("k_key"))
+    left = named.join(F.broadcast(gone), F.col("k_doc").eqNullSafe(F.col("r_doc")) & (F.col("k_key") == F.col("r_key")), "left_anti")
+    return left.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -69,6 +69,16 @@ def test_keep_identified_returns_rows_as_they_are(make):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(30))
 
 
+def test_keep_identified_is_the_same_where_ids_are_not_broadcast(make, monkeypatch):
+    docs = make([(i, prose("en", 60, i), "en", "s") for i in range(30)] + [(40, "12 34", "en"), (41, None, "en"), (None, prose("en", 60, 3), "en"), (None, None, None)])
+    filters = langid.fit(docs)
+    few = sorted(map(str, langid.keep_identified(docs, filters).collect()))
+    monkeypatch.setattr(langid, "BROADCAST_ROWS", -1)
+    assert few and few == sorted(map(str, langid.keep_identified(docs, filters).collect()))
+    assert not any("12 34" in r for r in few)
+
+
+
 def test_filters_return_every_language_of_a_gram():
     h = langid.grams("abcdef")
     f = langid.build([("x", int(g)) for g in h.view("int64")] + [("y", int(g)) for g in h[:2].view("int64")], 16)
